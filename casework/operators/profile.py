@@ -3,16 +3,19 @@ numeric/mixed profiles, correlations, box statistics, densities.
 
 Everything is a grouped aggregate: partial (map-side) aggregation runs
 before the shuffle, and windows only ever run over already-aggregated,
-small tables (one row per group/value), never over raw rows.
+small tables (one row per group/value), never over raw rows.  Quantiles come
+from the exact distributed ``exact_quantiles`` (no per-group value buffers).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from casework.operators.quantile import exact_quantiles, quantile_columns
 
 
 def _q(c: str) -> Column:
@@ -21,17 +24,18 @@ def _q(c: str) -> Column:
 
 def melt(df: DataFrame, cols: list[str], keep: list[str] | None = None,
          name: str = "column_name", value: str = "value", as_string: bool = True) -> DataFrame:
-    """Wide -> long over ``cols`` (one narrow ``stack``; no shuffle)."""
-    keep = keep or []
-    vals = [(_q(c).cast("string") if as_string else _q(c).cast("double")).alias(c) for c in cols]
-    return (df.select(*[_q(k) for k in keep], *vals)
-            .unpivot([_q(k) for k in keep] or [], cols, name, value) if keep else
-            df.select(*vals).unpivot([], cols, name, value))
+    """Wide -> long over ``cols`` (a narrow ``unpivot``; no shuffle)."""
+    keep = list(keep or [])
+    t = "string" if as_string else "double"
+    sel = df.select(*[_q(k) for k in keep], *[_q(c).cast(t).alias(c) for c in cols])
+    return sel.unpivot(keep, cols, name, value)
 
 
-def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:
-    """Counts per non-null value."""
-    return (df.where(_q(col).isNotNull()).groupBy(_q(col)).agg(F.count(F.lit(1)).alias(name)))
+def value_counts(df: DataFrame, col: str, by: list[str] | None = None, name: str = "n") -> DataFrame:
+    """Counts per non-null value (optionally inside groups)."""
+    by = list(by or [])
+    return (df.where(_q(col).isNotNull()).groupBy(*by, _q(col))
+            .agg(F.count(F.lit(1)).alias(name)))
 
 
 def crosstab_pct(df: DataFrame, category_cols: list[str], outcome: str,
@@ -51,3 +55,230 @@ def crosstab_pct(df: DataFrame, category_cols: list[str], outcome: str,
     tot = Window.partitionBy("column_name", "value")
     return cnt.withColumn(
         "pct", F.round(F.lit(100.0) * F.col("n") / F.sum("n").over(tot), decimals))
+
+
+def freq_by_outcome(df: DataFrame, cols: list[str], outcome: str, classes: list[str],
+                    decimals: int = 6) -> DataFrame:
+    """Share of each value among the non-null values of a column inside
+    each outcome class; classes side by side, absent -> 0 (no join needed).
+
+    Output: (column_name, value, <class>...).
+    """
+    long = melt(df, cols, [outcome]).where(F.col("value").isNotNull())
+    cnt = long.groupBy("column_name", "value", outcome).agg(F.count(F.lit(1)).alias("n"))
+    tot = Window.partitionBy("column_name", outcome)
+    share = cnt.withColumn("share", F.col("n") / F.sum("n").over(tot))
+    return share.groupBy("column_name", "value").agg(*[
+        F.round(F.coalesce(F.max(F.when(F.col(outcome) == F.lit(k), F.col("share"))),
+                           F.lit(0.0)), decimals).alias(k) for k in classes])
+
+
+_PROBS = (0.25, 0.5, 0.75)
+_QNAMES = ["p25", "p50", "p75"]
+
+
+def profile_numeric(df: DataFrame, cols: list[str], by: list[str] | None = None,
+                    decimals: int | None = 6) -> DataFrame:
+    """describe() per group and column in long form:
+    (by..., column_name, count, mean, std, min, p25, p50, p75, max).
+    ``std`` is the sample standard deviation; quantiles are linear."""
+    by = list(by or [])
+    long = melt(df, cols, by, as_string=False).where(
+        F.col("value").isNotNull() & ~F.isnan("value"))
+    keys = by + ["column_name"]
+    basic = long.groupBy(*keys).agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+        F.max("value").alias("max"))
+    qs = quantile_columns(long, "value", keys, _PROBS, _QNAMES)
+    out = basic.join(qs, keys, "left")
+    r = (lambda c: F.round(F.col(c), decimals)) if decimals is not None else F.col
+    return out.select(*keys, F.col("count").cast("long").alias("count"),
+                      *[r(c).alias(c) for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
+
+
+def profile_text(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
+    """D8 (text part): count, unique, top, freq per group and column.
+    ``top`` = most frequent value, the smallest one on ties (deterministic)."""
+    by = list(by or [])
+    long = melt(df, cols, by).where(F.col("value").isNotNull())
+    keys = by + ["column_name"]
+    vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v")))
+    return vc.groupBy(*keys).agg(
+        F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"),
+        best.alias("_b")).select(*keys, "count", "unique", F.col("_b.v").alias("top"),
+                                 (-F.col("_b.neg_n")).cast("long").alias("freq"))
+
+
+def profile_mixed(df: DataFrame, num_cols: list[str], text_cols: list[str],
+                  by: list[str] | None = None, decimals: int | None = 6) -> DataFrame:
+    """describe(include='all') in long form, numeric and text rows together."""
+    by = list(by or [])
+    n = profile_numeric(df, num_cols, by, decimals)
+    t = profile_text(df, text_cols, by)
+    # unique/freq exist for text rows only: double keeps the NULLs plain
+    t = t.withColumn("unique", F.col("unique").cast("double")).withColumn(
+        "freq", F.col("freq").cast("double"))
+    return n.unionByName(t, allowMissingColumns=True)
+
+
+def confusion_subsets(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """Tag each row with its truth=pred cell and its prediction margin
+    (two rows per input row: a bounded, narrow explode)."""
+    return df.where(_q(truth).isNotNull() & _q(pred).isNotNull()).withColumn(
+        "subset", F.explode(F.array(
+            F.concat(_q(truth), F.lit("="), _q(pred)),
+            F.concat(F.lit("Predikert "), _q(pred)))))
+
+
+def profile_by_confusion(df: DataFrame, truth: str, pred: str, num_cols: list[str],
+                         text_cols: list[str], count_col: str | None = None,
+                         decimals: int | None = 6) -> tuple[DataFrame, DataFrame | None]:
+    """Profiles for the four truth x prediction cells and the two
+    prediction margins.  Each row is tagged with both of its subsets (explode of
+    a two-element array), so one grouped pass covers overlapping subsets.
+    Returns (profile, value counts of ``count_col`` per subset)."""
+    tagged = confusion_subsets(df, truth, pred)
+    prof = profile_mixed(tagged, num_cols, text_cols, ["subset"], decimals)
+    counts = value_counts(tagged, count_col, ["subset"]) if count_col else None
+    return prof, counts
+
+
+def cardinality_gate(df: DataFrame, cols: list[str], max_distinct: int = 50) -> DataFrame:
+    """Which text columns are label-encoded (<= ``max_distinct`` values).
+    Output: (column_name, n_distinct, encode)."""
+    long = melt(df, cols)
+    d = long.where(F.col("value").isNotNull()).groupBy("column_name").agg(
+        F.count_distinct("value").alias("n_distinct"))
+    return d.select("column_name", d.n_distinct.cast("long").alias("n_distinct"),
+                    (d.n_distinct <= max_distinct).alias("encode"))
+
+
+def corr_matrix(df: DataFrame, cols: list[str], decimals: int = 6) -> DataFrame:
+    """Pearson correlation of every column pair over complete cases.
+    One aggregate computes the upper triangle; the result is mirrored and the
+    diagonal added.  Output: (col_a, col_b, corr)."""
+    cc = df.select(*[_q(c).cast("double").alias(c) for c in cols]).dropna("any")
+    pairs = list(combinations(cols, 2))
+    row = cc.agg(*[F.corr(_q(a), _q(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)],
+                 F.count(F.lit(1)).alias("_n"))
+    stacks = []
+    for i, (a, b) in enumerate(pairs):
+        stacks.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
+                               F.col(f"`{i}`").alias("corr")))
+        stacks.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"),
+                               F.col(f"`{i}`").alias("corr")))
+    for c in cols:
+        stacks.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
+                               F.when(F.col("_n") > 1, F.lit(1.0)).alias("corr")))
+    out = row.select(F.explode(F.array(*stacks)).alias("s")).select("s.*")
+    return out.withColumn("corr", F.round("corr", decimals))
+
+
+def top_mean_diff(df: DataFrame, cols: list[str], group: str, a: str, b: str,
+                  k: int = 5, decimals: int = 6) -> DataFrame:
+    """The ``k`` columns whose means differ most between groups ``a`` and
+    ``b``: (column_name, mean_<a>, mean_<b>, abs_diff).  Top-k is the feature."""
+    long = melt(df, cols, [group], as_string=False)
+    m = long.groupBy("column_name").agg(
+        F.avg(F.when(_q(group) == F.lit(a), F.col("value"))).alias(f"mean_{a}"),
+        F.avg(F.when(_q(group) == F.lit(b), F.col("value"))).alias(f"mean_{b}"))
+    m = m.withColumn("abs_diff", F.abs(F.col(f"mean_{a}") - F.col(f"mean_{b}")))
+    m = m.where(F.col("abs_diff").isNotNull()).orderBy(F.desc("abs_diff"), "column_name").limit(k)
+    return m.select("column_name", *[F.round(c, decimals).alias(c)
+                                     for c in [f"mean_{a}", f"mean_{b}", "abs_diff"]])
+
+
+def score_quantiles(df: DataFrame, score: str, by: list[str] | None = None,
+                    probs=_PROBS, names=_QNAMES) -> DataFrame:
+    """Quantiles of a score (linear interpolation)."""
+    return quantile_columns(df, score, by, probs, names)
+
+
+def facet_options(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Sorted distinct non-null values per facet, long form (facet, value)."""
+    return (melt(df, cols, name="facet").where(F.col("value").isNotNull())
+            .select("facet", "value").distinct())
+
+
+def facet_bounds(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Integer slider bounds per numeric facet (truncated like ``int``)."""
+    long = melt(df, cols, name="facet", as_string=False)
+    return long.groupBy("facet").agg(
+        F.min("value").cast("long").alias("lo"), F.max("value").cast("long").alias("hi"))
+
+
+def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
+              decimals: int = 6) -> DataFrame:
+    """Quartiles, 1.5 IQR fences, whisker ends (extreme values inside the
+    fences) and outlier counts per group."""
+    q = quantile_columns(df, value, by, _PROBS, ["q1", "median", "q3"])
+    v = df.select(*[_q(c) for c in by], _q(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull())
+    j = v.join(q.withColumn("_iqr", F.col("q3") - F.col("q1")), by)
+    lo = F.col("q1") - F.lit(whisker) * F.col("_iqr")
+    hi = F.col("q3") + F.lit(whisker) * F.col("_iqr")
+    inside = (F.col("_v") >= lo) & (F.col("_v") <= hi)
+    agg = j.groupBy(*by).agg(
+        F.first("q1").alias("q1"), F.first("median").alias("median"), F.first("q3").alias("q3"),
+        F.min(F.when(inside, F.col("_v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("_v"))).alias("whisker_hi"),
+        F.count_if(~inside).cast("long").alias("n_outliers"),
+        F.count(F.lit(1)).cast("long").alias("n"))
+    return agg.select(*by, *[F.round(c, decimals).alias(c) for c in
+                             ["q1", "median", "q3", "whisker_lo", "whisker_hi"]],
+                      "n_outliers", "n")
+
+
+def kde_grid(df: DataFrame, value: str, by: list[str], gridsize: int = 200,
+             cut: float = 3.0, decimals: int = 8) -> DataFrame:
+    """Gaussian KDE per group on a ``gridsize``-point grid.
+
+    Scott bandwidth h = n^(-1/5) * sample std; grid from min - cut*h to
+    max + cut*h.  Values are pre-aggregated to (group, value, count) so the
+    grid product is distinct values x grid points, not rows x grid points.
+    The grid (groups x gridsize rows) is tiny and broadcast.
+    Output: (by..., grid_idx, x, density)."""
+    v = df.select(*[_q(c) for c in by], _q(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull())
+    st = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
+                            F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    st = st.withColumn("_h", F.pow(F.col("_n").cast("double"), F.lit(-0.2)) * F.col("_sd")) \
+           .where(F.col("_h") > 0)
+    st = st.withColumn("_g0", F.col("_mn") - F.lit(cut) * F.col("_h")).withColumn(
+        "_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_h")) / F.lit(gridsize - 1))
+    grid = st.select(*by, "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1)))
+                     .alias("grid_idx"), "_g0", "_step")
+    grid = grid.withColumn("x", F.col("_g0") + F.col("grid_idx") * F.col("_step"))
+    dv = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    z = (F.col("x") - F.col("_v")) / F.col("_h")
+    pair = F.broadcast(grid).join(dv, by)
+    dens = pair.groupBy(*by, "grid_idx", "x", "_n", "_h").agg(
+        F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    out = dens.select(*by, "grid_idx", "x",
+                      (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))))
+                      .alias("density"))
+    return out.select(*by, "grid_idx", F.round("x", 6).alias("x"),
+                      F.round("density", decimals).alias("density"))
+
+
+def histogram_density(df: DataFrame, value: str, group: str, bins: int = 20,
+                      decimals: int = 8) -> DataFrame:
+    """Density histogram per group on common bins over the global range.
+    Output: (group, bin, lo, hi, density) with density = n/(n_group * width)."""
+    v = df.select(_q(group), _q(value).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull() & _q(group).isNotNull())
+    rng = v.agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
+    w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
+    # one-row range table, attached through a constant key (broadcast)
+    j = v.withColumn("_k", F.lit(1)).join(F.broadcast(rng.withColumn("_k", F.lit(1))), "_k")
+    j = j.withColumn("bin", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / w),
+                                                  F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
+    c = j.groupBy(_q(group), "bin", "_mn", "_mx").agg(F.count(F.lit(1)).alias("n"))
+    tot = Window.partitionBy(_q(group))
+    c = c.withColumn("_w", (F.col("_mx") - F.col("_mn")) / F.lit(bins))
+    c = c.withColumn("density", F.col("n") / (F.sum("n").over(tot) * F.col("_w")))
+    return c.select(_q(group), "bin", F.round(F.col("_mn") + F.col("bin") * F.col("_w"), decimals).alias("lo"),
+                    F.round(F.col("_mn") + (F.col("bin") + 1) * F.col("_w"), decimals).alias("hi"),
+                    F.col("n").cast("long").alias("n"), F.round("density", decimals).alias("density"))

@@ -38,6 +38,128 @@ def outcome_crosstab_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
         "outcome", weight="w")
 
 
-QUERIES = {
-    "outcome_crosstab_pct": outcome_crosstab_pct,
-}
+
+# ---------------------------------------------------------------- stand-ins
+# lineitem as a case table: truth from the return flag, a synthetic
+# prediction from the discount, correct/incorrect from both.
+
+def _li_cases(t: Tables) -> DataFrame:
+    li = t.lineitem
+    truth = clean.binary_outcome(_decision())
+    pred = F.when(F.col("l_discount") >= 0.05, F.lit(clean.REJECT)).otherwise(F.lit(clean.APPROVE))
+    return (li.withColumn("truth", truth).withColumn("pred", pred)
+            .withColumn("correct", F.when(F.col("truth") == F.col("pred"), F.lit("correct"))
+                        .otherwise(F.lit("incorrect")))
+            .withColumn("ship_year", F.year("l_shipdate").cast("string")))
+
+
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def freq_by_outcome(spark, sf_dir):
+    """C6 + D5."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.freq_by_outcome(df, ["l_linestatus", "ship_year"], "truth",
+                                   [clean.REJECT, clean.APPROVE])
+
+
+def profile_numeric(spark, sf_dir):
+    """D7 per outcome."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.profile_numeric(df, _NUM, ["truth"])
+
+
+def profile_mixed(spark, sf_dir):
+    """D8 per outcome."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.profile_mixed(df, ["l_quantity", "l_extendedprice"],
+                                 ["l_linestatus", "ship_year"], ["truth"])
+
+
+def profile_by_confusion(spark, sf_dir):
+    """Four cells + two margins."""
+    df = _li_cases(Tables(spark, sf_dir))
+    prof, _ = profile.profile_by_confusion(df, "truth", "pred", ["l_quantity", "l_tax"],
+                                           ["l_linestatus"])
+    return prof
+
+
+def confusion_subset_counts(spark, sf_dir):
+    """D9 + D4: value counts of a text column inside every confusion subset."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.value_counts(profile.confusion_subsets(df, "truth", "pred"), "ship_year", ["subset"])
+
+
+def cardinality_gate(spark, sf_dir):
+    """D10."""
+    li = Tables(spark, sf_dir).lineitem
+    return profile.cardinality_gate(li, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey"])
+
+
+def corr_matrix(spark, sf_dir):
+    """D11 over numerics + label-encoded low-cardinality text."""
+    from casework.operators import features
+    li = Tables(spark, sf_dir).lineitem
+    enc = features.label_encode(li, ["l_returnflag", "l_linestatus"])
+    return profile.corr_matrix(enc, _NUM + ["l_returnflag_code", "l_linestatus_code"])
+
+
+def top_mean_diff(spark, sf_dir):
+    """Columns whose means differ most between correct and incorrect."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.top_mean_diff(df, _NUM + ["l_linenumber"], "correct", "correct", "incorrect", k=3)
+
+
+def score_quantiles(spark, sf_dir):
+    """Quartiles of a score per outcome."""
+    df = _li_cases(Tables(spark, sf_dir)).withColumn("score", F.col("l_discount") * 10)
+    return profile.score_quantiles(df, "score", ["truth"]).select(
+        "truth", *[F.round(c, 6).alias(c) for c in ["p25", "p50", "p75"]])
+
+
+def box_stats(spark, sf_dir):
+    """D15 per outcome."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.box_stats(df, "l_extendedprice", ["truth"])
+
+
+def kde_grid(spark, sf_dir):
+    """KDE of order totals per order status."""
+    o = Tables(spark, sf_dir).orders
+    return profile.kde_grid(o, "o_totalprice", ["o_orderstatus"], decimals=12)
+
+
+def histogram_density(spark, sf_dir):
+    """Correct vs incorrect density histogram."""
+    df = _li_cases(Tables(spark, sf_dir))
+    return profile.histogram_density(df, "l_extendedprice", "correct", bins=20)
+
+
+def _orders_cases(t: Tables) -> DataFrame:
+    return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+
+
+def facet_options(spark, sf_dir):
+    """Distinct facet values."""
+    df = _orders_cases(Tables(spark, sf_dir))
+    return profile.facet_options(df, ["o_orderpriority", "o_orderstatus", "c_mktsegment"])
+
+
+def facet_bounds(spark, sf_dir):
+    """Integer slider bounds."""
+    df = _orders_cases(Tables(spark, sf_dir))
+    return profile.facet_bounds(df, ["o_totalprice", "c_acctbal"])
+
+
+def _registry() -> dict:
+    names = [
+        "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
+        "profile_by_confusion", "confusion_subset_counts", "cardinality_gate", "corr_matrix",
+        "top_mean_diff", "score_quantiles", "box_stats", "kde_grid", "histogram_density",
+        "facet_options", "facet_bounds",
+    ]
+    g = globals()
+    return {n: g[n] for n in names}
+
+
+QUERIES = _registry()

@@ -23,3 +23,197 @@ SELECT column_name, value, outcome, n,
        round(100.0 * CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY column_name, value) AS DOUBLE), 1) AS pct
 FROM cnt
 """
+
+_LI = """
+li AS (
+  SELECT *,
+    CASE WHEN l_returnflag = 'R' THEN 'Avslag' ELSE 'Godkjent' END AS truth,
+    CASE WHEN l_discount >= 0.05 THEN 'Avslag' ELSE 'Godkjent' END AS pred,
+    CASE WHEN (CASE WHEN l_returnflag = 'R' THEN 'Avslag' ELSE 'Godkjent' END)
+            = (CASE WHEN l_discount >= 0.05 THEN 'Avslag' ELSE 'Godkjent' END)
+         THEN 'correct' ELSE 'incorrect' END AS correct,
+    CAST(year(l_shipdate) AS VARCHAR) AS ship_year
+  FROM lineitem)"""
+
+ORACLE["freq_by_outcome"] = f"""
+WITH {_LI},
+long AS (
+  SELECT 'l_linestatus' AS column_name, CAST(l_linestatus AS VARCHAR) AS value, truth FROM li
+  UNION ALL SELECT 'ship_year', ship_year, truth FROM li),
+cnt AS (SELECT column_name, value, truth, count(*) AS n FROM long WHERE value IS NOT NULL
+        GROUP BY ALL),
+sh AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY column_name, truth) AS share FROM cnt)
+SELECT column_name, value,
+  round(coalesce(max(CASE WHEN truth = 'Avslag' THEN share END), 0.0), 6) AS "Avslag",
+  round(coalesce(max(CASE WHEN truth = 'Godkjent' THEN share END), 0.0), 6) AS "Godkjent"
+FROM sh GROUP BY column_name, value
+"""
+
+
+def _describe_sql(src: str, by: str, cols: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {by}, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM {src}" for c in cols)
+    return f"""
+long AS ({parts})
+SELECT {by}, column_name, count(value) AS count, round(avg(value), 6) AS mean,
+  round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
+  round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+  round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
+FROM long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY {by}, column_name"""
+
+
+def _text_sql(src: str, by: str, cols: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {by}, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM {src}" for c in cols)
+    return f"""
+tlong AS ({parts}),
+vc AS (SELECT {by}, column_name, value, count(*) AS n FROM tlong WHERE value IS NOT NULL GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY {by}, column_name ORDER BY n DESC, value) AS r FROM vc)
+SELECT {by}, column_name, CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique",
+  max(CASE WHEN r = 1 THEN value END) AS top, max(CASE WHEN r = 1 THEN n END) AS freq
+FROM rk GROUP BY {by}, column_name"""
+
+
+_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+ORACLE["profile_numeric"] = f"WITH {_LI}, " + _describe_sql("li", "truth", _NUM)
+
+ORACLE["profile_mixed"] = f"""
+WITH {_LI}, num AS (WITH {_describe_sql('li', 'truth', ['l_quantity', 'l_extendedprice'])}),
+txt AS (WITH {_text_sql('li', 'truth', ['l_linestatus', 'ship_year'])})
+SELECT truth, column_name, count, mean, std, min, p25, p50, p75, max,
+       NULL::DOUBLE AS "unique", NULL::VARCHAR AS top, NULL::DOUBLE AS freq FROM num
+UNION ALL
+SELECT truth, column_name, count, NULL, NULL, NULL, NULL, NULL, NULL, NULL, "unique", top, freq FROM txt
+"""
+
+_SUBSETS = f"""{_LI},
+tagged AS (
+  SELECT *, truth || '=' || pred AS subset FROM li
+  UNION ALL SELECT *, 'Predikert ' || pred AS subset FROM li)"""
+
+ORACLE["profile_by_confusion"] = f"""
+WITH {_SUBSETS}, num AS (WITH {_describe_sql('tagged', 'subset', ['l_quantity', 'l_tax'])}),
+txt AS (WITH {_text_sql('tagged', 'subset', ['l_linestatus'])})
+SELECT subset, column_name, count, mean, std, min, p25, p50, p75, max,
+       NULL::DOUBLE AS "unique", NULL::VARCHAR AS top, NULL::DOUBLE AS freq FROM num
+UNION ALL
+SELECT subset, column_name, count, NULL, NULL, NULL, NULL, NULL, NULL, NULL, "unique", top, freq FROM txt
+"""
+
+ORACLE["confusion_subset_counts"] = f"""
+WITH {_SUBSETS}
+SELECT subset, ship_year, count(*) AS n FROM tagged WHERE ship_year IS NOT NULL GROUP BY ALL
+"""
+
+ORACLE["cardinality_gate"] = """
+WITH long AS (
+  SELECT 'l_returnflag' AS column_name, CAST(l_returnflag AS VARCHAR) AS value FROM lineitem
+  UNION ALL SELECT 'l_linestatus', CAST(l_linestatus AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_partkey', CAST(l_partkey AS VARCHAR) FROM lineitem)
+SELECT column_name, count(DISTINCT value) AS n_distinct, count(DISTINCT value) <= 50 AS encode
+FROM long WHERE value IS NOT NULL GROUP BY column_name
+"""
+
+_CORR_COLS = _NUM + ["l_returnflag_code", "l_linestatus_code"]
+
+
+def _corr_sql() -> str:
+    from itertools import combinations
+    sel = []
+    for a, b in combinations(_CORR_COLS, 2):
+        sel.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM enc")
+        sel.append(f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM enc")
+    for c in _CORR_COLS:
+        sel.append(f"SELECT '{c}', '{c}', CASE WHEN count(*) > 1 THEN 1.0 END FROM enc")
+    return f"""
+WITH rf AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+            FROM (SELECT DISTINCT CAST(l_returnflag AS VARCHAR) AS v FROM lineitem WHERE l_returnflag IS NOT NULL)),
+ls AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT CAST(l_linestatus AS VARCHAR) AS v FROM lineitem WHERE l_linestatus IS NOT NULL)),
+enc AS (SELECT CAST(l_quantity AS DOUBLE) AS l_quantity, CAST(l_extendedprice AS DOUBLE) AS l_extendedprice,
+               CAST(l_discount AS DOUBLE) AS l_discount, CAST(l_tax AS DOUBLE) AS l_tax,
+               CAST(rf.code AS DOUBLE) AS l_returnflag_code, CAST(ls.code AS DOUBLE) AS l_linestatus_code
+        FROM lineitem l LEFT JOIN rf ON l.l_returnflag = rf.v LEFT JOIN ls ON l.l_linestatus = ls.v
+        WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL
+          AND l_tax IS NOT NULL AND rf.code IS NOT NULL AND ls.code IS NOT NULL)
+""" + "\nUNION ALL\n".join(sel)
+
+
+ORACLE["corr_matrix"] = _corr_sql()
+
+ORACLE["top_mean_diff"] = f"""
+WITH {_LI},
+long AS ({" UNION ALL ".join(f"SELECT correct, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM li" for c in _NUM + ['l_linenumber'])}),
+m AS (SELECT column_name, avg(CASE WHEN correct = 'correct' THEN value END) AS mean_correct,
+             avg(CASE WHEN correct = 'incorrect' THEN value END) AS mean_incorrect
+      FROM long GROUP BY column_name)
+SELECT column_name, round(mean_correct, 6) AS mean_correct, round(mean_incorrect, 6) AS mean_incorrect,
+       round(abs(mean_correct - mean_incorrect), 6) AS abs_diff
+FROM m WHERE abs(mean_correct - mean_incorrect) IS NOT NULL
+ORDER BY abs(mean_correct - mean_incorrect) DESC, column_name LIMIT 3
+"""
+
+ORACLE["score_quantiles"] = f"""
+WITH {_LI}
+SELECT truth, round(quantile_cont(l_discount * 10, 0.25), 6) AS p25,
+       round(quantile_cont(l_discount * 10, 0.5), 6) AS p50,
+       round(quantile_cont(l_discount * 10, 0.75), 6) AS p75
+FROM li WHERE l_discount IS NOT NULL GROUP BY truth
+"""
+
+ORACLE["box_stats"] = f"""
+WITH {_LI},
+q AS (SELECT truth, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS median,
+             quantile_cont(l_extendedprice, 0.75) AS q3 FROM li WHERE l_extendedprice IS NOT NULL GROUP BY truth),
+j AS (SELECT li.truth, l_extendedprice AS v, q1, median, q3, q3 - q1 AS iqr FROM li JOIN q ON li.truth = q.truth
+      WHERE l_extendedprice IS NOT NULL)
+SELECT truth, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median, round(any_value(q3), 6) AS q3,
+  round(min(CASE WHEN v >= q1 - 1.5 * iqr AND v <= q3 + 1.5 * iqr THEN v END), 6) AS whisker_lo,
+  round(max(CASE WHEN v >= q1 - 1.5 * iqr AND v <= q3 + 1.5 * iqr THEN v END), 6) AS whisker_hi,
+  count(*) FILTER (WHERE NOT (v >= q1 - 1.5 * iqr AND v <= q3 + 1.5 * iqr)) AS n_outliers,
+  count(*) AS n
+FROM j GROUP BY truth
+"""
+
+ORACLE["kde_grid"] = """
+WITH v AS (SELECT o_orderstatus, o_totalprice AS x FROM orders WHERE o_totalprice IS NOT NULL),
+st AS (SELECT o_orderstatus, count(*) AS n, stddev_samp(x) AS sd, min(x) AS mn, max(x) AS mx FROM v GROUP BY 1),
+st2 AS (SELECT *, pow(CAST(n AS DOUBLE), -0.2) * sd AS h FROM st),
+st3 AS (SELECT *, mn - 3.0 * h AS g0, (mx - mn + 6.0 * h) / 199 AS step FROM st2 WHERE h > 0),
+grid AS (SELECT o_orderstatus, n, h, CAST(i AS INTEGER) AS grid_idx, g0 + i * step AS x
+         FROM st3, range(0, 200) r(i)),
+dv AS (SELECT o_orderstatus, x AS v, count(*) AS c FROM v GROUP BY 1, 2)
+SELECT grid.o_orderstatus, grid_idx, round(grid.x, 6) AS x,
+  round(sum(c * exp(-0.5 * ((grid.x - v) / h) * ((grid.x - v) / h))) / (n * h * sqrt(2 * pi())), 12) AS density
+FROM grid JOIN dv ON grid.o_orderstatus = dv.o_orderstatus
+GROUP BY grid.o_orderstatus, grid_idx, grid.x, n, h
+"""
+
+ORACLE["histogram_density"] = f"""
+WITH {_LI},
+v AS (SELECT correct, l_extendedprice AS x FROM li WHERE l_extendedprice IS NOT NULL AND correct IS NOT NULL),
+r AS (SELECT min(x) AS mn, max(x) AS mx FROM v),
+b AS (SELECT correct, CAST(CASE WHEN (mx - mn) / 20 > 0 THEN least(floor((x - mn) / ((mx - mn) / 20)), 19) ELSE 0 END AS INTEGER) AS bin,
+             mn, mx FROM v, r),
+c AS (SELECT correct, bin, mn, mx, count(*) AS n FROM b GROUP BY ALL)
+SELECT correct, bin, round(mn + bin * ((mx - mn) / 20), 8) AS lo, round(mn + (bin + 1) * ((mx - mn) / 20), 8) AS hi,
+  n, round(n / (sum(n) OVER (PARTITION BY correct) * ((mx - mn) / 20)), 8) AS density
+FROM c
+"""
+
+_OC = "(SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) oc"
+
+ORACLE["facet_options"] = f"""
+SELECT DISTINCT facet, value FROM (
+  SELECT 'o_orderpriority' AS facet, CAST(o_orderpriority AS VARCHAR) AS value FROM {_OC}
+  UNION ALL SELECT 'o_orderstatus', CAST(o_orderstatus AS VARCHAR) FROM {_OC}
+  UNION ALL SELECT 'c_mktsegment', CAST(c_mktsegment AS VARCHAR) FROM {_OC}) WHERE value IS NOT NULL
+"""
+
+ORACLE["facet_bounds"] = f"""
+SELECT facet, CAST(trunc(min(value)) AS BIGINT) AS lo, CAST(trunc(max(value)) AS BIGINT) AS hi FROM (
+  SELECT 'o_totalprice' AS facet, CAST(o_totalprice AS DOUBLE) AS value FROM {_OC}
+  UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS DOUBLE) FROM {_OC}) GROUP BY facet
+"""
