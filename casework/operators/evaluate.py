@@ -72,14 +72,15 @@ def class_report(df: DataFrame, truth: str, pred: str, labels: list[str] | None
         F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
         F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
         F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"))
+    def row(label, p, r, f):
+        return F.struct(F.lit(label).alias("label"), p.cast("double").alias("precision"),
+                        r.cast("double").alias("recall"), f.cast("double").alias("f1"),
+                        F.col("n").cast("long").alias("support"))
+    acc = F.coalesce(F.try_divide(F.col("tp"), F.col("n")), F.lit(0.0))
     summary = tot.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("label"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 F.coalesce(F.try_divide(F.col("tp"), F.col("n")), F.lit(0.0)).alias("f1"),
-                 F.col("n").cast("long").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("mp"), F.col("mr"), F.col("mf"), F.col("n").cast("long")),
-        F.struct(F.lit("weighted avg"), F.col("wp"), F.col("wr"), F.col("wf"),
-                 F.col("n").cast("long")))).alias("s")).select("s.*")
+        row("accuracy", F.lit(None), F.lit(None), acc),
+        row("macro avg", F.col("mp"), F.col("mr"), F.col("mf")),
+        row("weighted avg", F.col("wp"), F.col("wr"), F.col("wf")))).alias("s")).select("s.*")
     out = per.select("label", "precision", "recall", "f1", "support").unionByName(summary)
     return out.select("label", *[F.round(c, decimals).alias(c) for c in ["precision", "recall", "f1"]],
                       "support")
@@ -119,7 +120,7 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
     """
     key = by or "_cls"
     base = df if by else df.withColumn("_cls", F.lit("*"))
-    total = base.agg(F.count(F.lit(1)).alias("N"))
+    total = base.agg(F.count(F.lit(1)).alias("_n_all"))
     pred = base.where(_q(predicted)) if predicted else base
     pts = (pred.select(_q(key).alias("class"), (-_q(p).cast("double")).alias("neg_p"),
                        F.lit(1.0).alias("n"), _q(hit).cast("double").alias("hits"))
@@ -135,7 +136,7 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
     # one-row total, attached through a constant key (broadcast)
     ev = ev.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
     ev = ev.where(F.col("n") > 0).withColumn("precision", F.col("hits") / F.col("n")) \
-           .withColumn("coverage", F.col("n") / F.col("N"))
+           .withColumn("coverage", F.col("n") / F.col("_n_all"))
     ok = ev.where(F.col("precision") >= F.lit(target))
     best = ok.groupBy("class").agg(F.min(F.struct("t", "precision", "coverage", "n")).alias("b"))
     best = best.select("class", F.col("b.t").alias("threshold"),
@@ -146,7 +147,8 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
         names = pred.select(_q(key).alias("class")).distinct()
     out = names.join(best, "class", "left")
     out = out.select("class", "threshold", F.round("precision", decimals).alias("precision"),
-                     F.round("coverage", decimals).alias("coverage"), "n_auto")
+                     F.round("coverage", decimals).alias("coverage"),
+                     F.coalesce("n_auto", F.lit(0)).cast("long").alias("n_auto"))
     return out if by else out.drop("class")
 
 

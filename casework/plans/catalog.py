@@ -151,12 +151,181 @@ def facet_bounds(spark, sf_dir):
     return profile.facet_bounds(df, ["o_totalprice", "c_acctbal"])
 
 
+# ---------------------------------------------------------------- evaluation
+_LABELS = [clean.APPROVE, clean.REJECT]
+
+
+def _li_eval(t: Tables) -> DataFrame:
+    """Predictions with an error label where the tax is 0 (excluded by B35)."""
+    df = _li_cases(t)
+    return df.withColumn("pred2", F.when(F.col("l_tax") == 0, F.lit(clean.ERROR))
+                         .otherwise(F.col("pred")))
+
+
+def confusion(spark, sf_dir):
+    """D19 with B35 (only valid labels)."""
+    from casework.operators import evaluate
+    return evaluate.confusion(_li_eval(Tables(spark, sf_dir)), "truth", "pred2", _LABELS)
+
+
+def class_report(spark, sf_dir):
+    """B35 + D20 on valid predictions."""
+    from casework.operators import evaluate
+    df = _li_eval(Tables(spark, sf_dir)).where(F.col("pred2").isin(*_LABELS))
+    return evaluate.class_report(df, "truth", "pred2")
+
+
+def _li_auto(t: Tables) -> DataFrame:
+    li = t.lineitem
+    lab = (F.when(F.col("l_returnflag") == "A", F.lit("Utvidet bruk"))
+           .when(F.col("l_returnflag") == "N", F.lit("Varig tillatelse")).otherwise(F.lit(clean.REJECT)))
+    return (li.withColumn("pred_label", lab)
+            .withColumn("confidence", F.lit(1.0) - F.col("l_discount") * 5)
+            .withColumn("true_label", F.when(F.col("l_linestatus") == "O", F.col("pred_label"))
+                        .otherwise(F.lit(clean.REJECT))))
+
+
+def auto_approve(spark, sf_dir):
+    """H9: auto-approve rule counts."""
+    from casework.operators import policy
+    df = _li_auto(Tables(spark, sf_dir))
+    d = df.withColumn("decision", policy.auto_approve("pred_label", "confidence"))
+    return d.groupBy("pred_label", "decision").agg(F.count(F.lit(1)).alias("n"))
+
+
+def high_conf_report(spark, sf_dir):
+    """Class report on predictions with confidence >= 0.8."""
+    from casework.operators import evaluate
+    df = _li_auto(Tables(spark, sf_dir)).where(F.col("confidence") >= 0.8)
+    return evaluate.class_report(df, "true_label", "pred_label")
+
+
+def class_ratio(spark, sf_dir):
+    """negative/positive ratio of the reject label."""
+    from casework.operators import evaluate
+    df = _li_cases(Tables(spark, sf_dir)).withColumn(
+        "y", (F.col("truth") == clean.REJECT).cast("int"))
+    return evaluate.class_ratio(df, "y", 1)
+
+
+def _ev_scores(t: Tables) -> DataFrame:
+    ev = t.events
+    return (ev.withColumn("p", F.col("value") / 490)
+            .withColumn("hit", (F.col("value") > 200).cast("int"))
+            .withColumn("predicted", F.col("event_type") != "view")
+            .withColumn("true_class", F.when(F.col("value") > 245, F.col("event_type"))
+                        .otherwise(F.lit("other"))))
+
+
+def precision_threshold(spark, sf_dir):
+    """Reject threshold reaching 90 % precision."""
+    from casework.operators import evaluate
+    df = _ev_scores(Tables(spark, sf_dir))
+    return evaluate.precision_threshold(df, "p", "hit", predicted="predicted", target=0.9)
+
+
+def class_thresholds(spark, sf_dir):
+    """One threshold per predicted class (95 % precision); a class that is
+    never predicted gets NULL."""
+    from casework.operators import evaluate
+    df = _ev_scores(Tables(spark, sf_dir)).withColumn(
+        "hit2", (F.col("true_class") == F.col("event_type")).cast("int"))
+    classes = df.select(F.col("true_class").alias("class")).distinct()
+    return evaluate.precision_threshold(df, "p", "hit2", by="event_type", target=0.95,
+                                        classes=classes)
+
+
+def grid_threshold(spark, sf_dir):
+    """NPV/recall-floored grid threshold."""
+    from casework.operators import evaluate
+    li = Tables(spark, sf_dir).lineitem
+    df = li.select((F.col("l_discount") * 10).alias("p"),
+                   (((F.col("l_discount") >= 0.05) & (F.col("l_quantity") > 10)) |
+                    (F.col("l_quantity") < 3)).cast("int").alias("y"))
+    return evaluate.grid_threshold(df, "p", "y")
+
+
+# Fixed parameters of the policy stand-in: t1 and per-class t2 (NULL never fires).
+POLICY_THRESHOLDS = [(1, "Avslag", 0.8, 0.99), (2, "1-URGENT", 0.5, 0.99),
+                     (2, "2-HIGH", 0.9, 0.99), (2, "3-MEDIUM", None, 0.99),
+                     (2, "4-NOT SPECIFIED", 0.7, 0.99), (2, "5-LOW", 0.3, 0.99)]
+
+
+def _policy_input(t: Tables) -> DataFrame:
+    li = t.lineitem.select("l_orderkey", "l_discount", "l_tax", "l_returnflag")
+    od = t.orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    df = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    return (df.withColumn("p_reject", F.col("l_discount") * 10)
+            .withColumn("stage1_pred", F.when(F.col("l_discount") >= 0.05, F.lit(clean.REJECT))
+                        .otherwise(F.lit(clean.PERMIT)))
+            .withColumn("stage2_class", F.col("o_orderpriority"))
+            .withColumn("stage2_p", F.lit(1.0) - F.col("l_tax") * 10)
+            .withColumn("truth", F.when(F.col("l_returnflag") == "R", F.lit(clean.REJECT))
+                        .otherwise(F.col("o_orderpriority")))
+            .withColumn("policy_class", F.when(F.col("o_orderstatus") == "F", F.lit(" Lite  streng"))
+                        .when(F.col("o_orderstatus") == "O", F.lit("Mindre streng "))
+                        .otherwise(F.lit("Streng"))))
+
+
+def _thresholds(spark):
+    from casework.sources.cases import THRESHOLD_SCHEMA
+    return spark.createDataFrame(POLICY_THRESHOLDS, THRESHOLD_SCHEMA)
+
+
+def two_stage_policy(spark, sf_dir):
+    """Decisions per outcome with mean confidence."""
+    from casework.operators import policy
+    df = policy.two_stage_decide(_policy_input(Tables(spark, sf_dir)), _thresholds(spark))
+    return df.groupBy("auto_decision").agg(F.count(F.lit(1)).alias("n"),
+                                           F.round(F.avg("decision_conf"), 6).alias("mean_conf"))
+
+
+def two_stage_metrics(spark, sf_dir):
+    """H11 + D21: auto count, accuracy, coverage."""
+    from casework.operators import policy
+    df = policy.two_stage_decide(_policy_input(Tables(spark, sf_dir)), _thresholds(spark))
+    return policy.policy_metrics(df, "auto_decision", "truth")
+
+
+def gated_policy(spark, sf_dir):
+    """H12 + D21: the same policy behind the policy-class gate."""
+    from casework.operators import policy
+    df = _policy_input(Tables(spark, sf_dir)).withColumn("gate_ok", policy.gate_ok("policy_class"))
+    d = policy.two_stage_decide(df, _thresholds(spark), gate=F.col("gate_ok"))
+    return policy.policy_metrics(d, "auto_decision", "truth", gate="gate_ok")
+
+
+def rule_reject(spark, sf_dir):
+    """Rule-based rejection counts per policy class and application type."""
+    from casework.operators import policy
+    t = Tables(spark, sf_dir)
+    li = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    od = t.orders.select("o_orderkey", "o_orderstatus")
+    df = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"))
+    df = (df.withColumn("policy_class", F.when(F.col("o_orderstatus") == "F", F.lit("Lite streng"))
+                        .when(F.col("o_orderstatus") == "O", F.lit("Mindre streng"))
+                        .otherwise(F.lit(None).cast("string")))
+          .withColumn("speed", F.col("l_quantity") + 40)
+          .withColumn("curve", F.when(F.col("l_linenumber") == 1, F.lit("Krapp sving"))
+                      .otherwise(F.lit("Rett veg")))
+          .withColumn("application_type", F.when(F.col("l_returnflag") == "A", F.lit("Utvidet bruk"))
+                      .when(F.col("l_returnflag") == "N", F.lit(None).cast("string"))
+                      .otherwise(F.lit("Ny avkjørsel"))))
+    df = df.withColumn("reject", policy.rule_reject("policy_class", "speed", "curve",
+                                                    "application_type"))
+    return df.groupBy("policy_class", "application_type", "reject").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
         "profile_by_confusion", "confusion_subset_counts", "cardinality_gate", "corr_matrix",
         "top_mean_diff", "score_quantiles", "box_stats", "kde_grid", "histogram_density",
         "facet_options", "facet_bounds",
+        "confusion", "class_report", "auto_approve", "high_conf_report", "class_ratio",
+        "precision_threshold", "class_thresholds", "grid_threshold", "two_stage_policy",
+        "two_stage_metrics", "gated_policy", "rule_reject",
     ]
     g = globals()
     return {n: g[n] for n in names}

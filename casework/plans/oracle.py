@@ -217,3 +217,186 @@ SELECT facet, CAST(trunc(min(value)) AS BIGINT) AS lo, CAST(trunc(max(value)) AS
   SELECT 'o_totalprice' AS facet, CAST(o_totalprice AS DOUBLE) AS value FROM {_OC}
   UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS DOUBLE) FROM {_OC}) GROUP BY facet
 """
+
+_LIE = _LI + """,
+lie AS (SELECT *, CASE WHEN l_tax = 0 THEN 'Feil' ELSE pred END AS pred2 FROM li)"""
+
+ORACLE["confusion"] = f"""
+WITH {_LIE},
+grid AS (SELECT * FROM (VALUES ('Godkjent', 'Godkjent', 0, 0), ('Godkjent', 'Avslag', 0, 1),
+                               ('Avslag', 'Godkjent', 1, 0), ('Avslag', 'Avslag', 1, 1))
+         g(truth, pred, truth_idx, pred_idx)),
+cnt AS (SELECT truth, pred2 AS pred, count(*) AS n FROM lie
+        WHERE truth IN ('Godkjent', 'Avslag') AND pred2 IN ('Godkjent', 'Avslag') GROUP BY ALL)
+SELECT g.truth, g.pred, CAST(g.truth_idx AS INTEGER) AS truth_idx, CAST(g.pred_idx AS INTEGER) AS pred_idx,
+       coalesce(cnt.n, 0) AS n
+FROM grid g LEFT JOIN cnt ON g.truth = cnt.truth AND g.pred = cnt.pred
+"""
+
+
+def _report_sql(src: str, truth: str, pred: str) -> str:
+    return f"""
+v AS (SELECT {truth} AS truth, {pred} AS pred FROM {src} WHERE {truth} IS NOT NULL AND {pred} IS NOT NULL),
+lab AS (SELECT truth AS label FROM v UNION SELECT pred FROM v),
+cnt AS (SELECT lab.label,
+          (SELECT count(*) FROM v WHERE v.truth = lab.label) AS support,
+          (SELECT count(*) FROM v WHERE v.pred = lab.label) AS npred,
+          (SELECT count(*) FROM v WHERE v.truth = lab.label AND v.pred = lab.label) AS tp FROM lab),
+per AS (SELECT label, support, tp,
+          CASE WHEN npred > 0 THEN CAST(tp AS DOUBLE) / npred ELSE 0.0 END AS precision,
+          CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall FROM cnt),
+per2 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall)
+                   ELSE 0.0 END AS f1 FROM per),
+tot AS (SELECT sum(support) AS n, sum(tp) AS tp, avg(precision) AS mp, avg(recall) AS mr, avg(f1) AS mf,
+          sum(precision * support) / sum(support) AS wp, sum(recall * support) / sum(support) AS wr,
+          sum(f1 * support) / sum(support) AS wf FROM per2)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM per2
+UNION ALL SELECT 'accuracy', NULL, NULL, round(CAST(tp AS DOUBLE) / n, 6), CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'macro avg', round(mp, 6), round(mr, 6), round(mf, 6), CAST(n AS BIGINT) FROM tot
+UNION ALL SELECT 'weighted avg', round(wp, 6), round(wr, 6), round(wf, 6), CAST(n AS BIGINT) FROM tot"""
+
+
+ORACLE["class_report"] = f"""
+WITH {_LIE}, valid AS (SELECT * FROM lie WHERE pred2 IN ('Godkjent', 'Avslag')), {_report_sql('valid', 'truth', 'pred2')}
+"""
+
+_AUTO = """
+auto AS (SELECT *,
+  CASE WHEN l_returnflag = 'A' THEN 'Utvidet bruk' WHEN l_returnflag = 'N' THEN 'Varig tillatelse'
+       ELSE 'Avslag' END AS pred_label,
+  1.0 - l_discount * 5 AS confidence FROM lineitem),
+auto2 AS (SELECT *, CASE WHEN l_linestatus = 'O' THEN pred_label ELSE 'Avslag' END AS true_label FROM auto)"""
+
+ORACLE["auto_approve"] = f"""
+WITH {_AUTO}
+SELECT pred_label, CASE WHEN pred_label IN ('Utvidet bruk', 'Varig tillatelse') AND confidence >= 0.8
+                        THEN 'AUTO_APPROVE' ELSE 'MANUAL_REVIEW' END AS decision, count(*) AS n
+FROM auto2 GROUP BY ALL
+"""
+
+ORACLE["high_conf_report"] = f"""
+WITH {_AUTO}, hc AS (SELECT * FROM auto2 WHERE confidence >= 0.8), {_report_sql('hc', 'true_label', 'pred_label')}
+"""
+
+ORACLE["class_ratio"] = """
+WITH y AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem)
+SELECT count(*) FILTER (WHERE y <> 1) AS n_neg, count(*) FILTER (WHERE y = 1) AS n_pos,
+       CAST(count(*) FILTER (WHERE y <> 1) AS DOUBLE) / nullif(count(*) FILTER (WHERE y = 1), 0) AS ratio
+FROM y
+"""
+
+_EV = """
+ev AS (SELECT *, value / 490 AS p, CASE WHEN value > 200 THEN 1 ELSE 0 END AS hit,
+              event_type <> 'view' AS predicted,
+              CASE WHEN value > 245 THEN event_type ELSE 'other' END AS true_class FROM events)"""
+
+ORACLE["precision_threshold"] = f"""
+WITH {_EV},
+tot AS (SELECT count(*) AS n_all FROM ev),
+cand AS (SELECT DISTINCT round(p, 6) AS t FROM ev WHERE predicted AND p IS NOT NULL),
+sc AS (SELECT c.t, count(*) AS n, sum(hit) AS hits FROM cand c JOIN ev ON ev.predicted AND ev.p >= c.t GROUP BY c.t),
+ok AS (SELECT t, CAST(hits AS DOUBLE) / n AS precision, n FROM sc WHERE n > 0 AND CAST(hits AS DOUBLE) / n >= 0.9),
+best AS (SELECT * FROM ok ORDER BY t LIMIT 1)
+SELECT best.t AS threshold, round(best.precision, 6) AS precision,
+       round(CAST(best.n AS DOUBLE) / tot.n_all, 6) AS coverage, CAST(coalesce(best.n, 0) AS BIGINT) AS n_auto
+FROM tot LEFT JOIN best ON TRUE
+"""
+
+ORACLE["class_thresholds"] = f"""
+WITH {_EV},
+e2 AS (SELECT *, CASE WHEN true_class = event_type THEN 1 ELSE 0 END AS hit2 FROM ev),
+tot AS (SELECT count(*) AS n_all FROM e2),
+cand AS (SELECT DISTINCT event_type AS class, round(p, 6) AS t FROM e2 WHERE p IS NOT NULL),
+sc AS (SELECT c.class, c.t, count(*) AS n, sum(hit2) AS hits FROM cand c
+       JOIN e2 ON e2.event_type = c.class AND e2.p >= c.t GROUP BY c.class, c.t),
+ok AS (SELECT class, t, CAST(hits AS DOUBLE) / n AS precision, n FROM sc
+       WHERE n > 0 AND CAST(hits AS DOUBLE) / n >= 0.95),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY t) AS r FROM ok) WHERE r = 1),
+classes AS (SELECT DISTINCT true_class AS class FROM e2)
+SELECT classes.class, best.t AS threshold, round(best.precision, 6) AS precision,
+       round(CAST(best.n AS DOUBLE) / (SELECT n_all FROM tot), 6) AS coverage,
+       CAST(coalesce(best.n, 0) AS BIGINT) AS n_auto
+FROM classes LEFT JOIN best ON classes.class = best.class
+"""
+
+
+def _grid_sql() -> str:
+    from casework.operators.evaluate import GRID_THRESHOLDS
+    vals = ", ".join(f"(CAST('{t!r}' AS DOUBLE))" for t in GRID_THRESHOLDS)
+    return f"""
+WITH d AS (SELECT l_discount * 10 AS p,
+                  CASE WHEN (l_discount >= 0.05 AND l_quantity > 10) OR l_quantity < 3 THEN 1 ELSE 0 END AS y
+           FROM lineitem),
+g AS (SELECT * FROM (VALUES {vals}) g(t)),
+cm AS (SELECT t, sum(CASE WHEN p >= t AND y = 1 THEN 1 ELSE 0 END) AS tp,
+              sum(CASE WHEN NOT (p >= t) AND y = 1 THEN 1 ELSE 0 END) AS fn,
+              sum(CASE WHEN NOT (p >= t) AND y <> 1 THEN 1 ELSE 0 END) AS tn
+       FROM g, d GROUP BY t),
+sc AS (SELECT t, CASE WHEN tn + fn > 0 THEN CAST(tn AS DOUBLE) / (tn + fn) ELSE 0.0 END AS npv,
+              CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / (tp + fn) ELSE 0.0 END AS recall FROM cm),
+ok AS (SELECT *, (recall + npv) / 2 AS score FROM sc WHERE npv >= 0.6 AND recall >= 0.6),
+best AS (SELECT * FROM ok ORDER BY score DESC, t LIMIT 1)
+SELECT coalesce(best.t, 0.5) AS threshold, round(best.score, 6) AS score, round(best.npv, 6) AS npv,
+       round(best.recall, 6) AS recall
+FROM (SELECT 1) one LEFT JOIN best ON TRUE
+"""
+
+
+ORACLE["grid_threshold"] = _grid_sql()
+
+_POL = """
+pin AS (
+  SELECT l.l_discount * 10 AS p_reject,
+    CASE WHEN l.l_discount >= 0.05 THEN 'Avslag' ELSE 'Tillatelse' END AS stage1_pred,
+    o.o_orderpriority AS stage2_class, 1.0 - l.l_tax * 10 AS stage2_p,
+    CASE WHEN l.l_returnflag = 'R' THEN 'Avslag' ELSE o.o_orderpriority END AS truth,
+    CASE WHEN o.o_orderstatus = 'F' THEN ' Lite  streng' WHEN o.o_orderstatus = 'O' THEN 'Mindre streng '
+         ELSE 'Streng' END AS policy_class
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
+thr AS (SELECT * FROM (VALUES (1, 'Avslag', 0.8), (2, '1-URGENT', 0.5), (2, '2-HIGH', 0.9),
+          (2, '3-MEDIUM', NULL), (2, '4-NOT SPECIFIED', 0.7), (2, '5-LOW', 0.3)) t(stage, class, threshold)),
+gated AS (SELECT pin.*, coalesce(trim(regexp_replace(policy_class, '\\s+', ' ', 'g')) IN ('Lite streng', 'Mindre streng'), false) AS gate_ok,
+            (SELECT max(threshold) FROM thr WHERE stage = 1) AS t1, t2.threshold AS t2
+          FROM pin LEFT JOIN (SELECT class, threshold FROM thr WHERE stage = 2) t2 ON pin.stage2_class = t2.class)"""
+
+
+def _decide(gate: bool) -> str:
+    g = " AND gate_ok" if gate else ""
+    f1 = f"stage1_pred = 'Avslag' AND t1 IS NOT NULL AND p_reject >= t1{g}"
+    f2 = f"stage1_pred = 'Tillatelse' AND t2 IS NOT NULL AND stage2_p >= t2{g}"
+    return f"""
+dec AS (SELECT *, CASE WHEN {f1} THEN 'Avslag' WHEN {f2} THEN stage2_class ELSE 'manual_review' END AS auto_decision,
+                  CASE WHEN {f1} THEN p_reject WHEN {f2} THEN stage2_p END AS decision_conf FROM gated)"""
+
+
+ORACLE["two_stage_policy"] = f"""
+WITH {_POL}, {_decide(False)}
+SELECT auto_decision, count(*) AS n, round(avg(decision_conf), 6) AS mean_conf FROM dec GROUP BY auto_decision
+"""
+
+_METRICS = """
+SELECT count(*) AS n, count(*) FILTER (WHERE auto_decision <> 'manual_review') AS auto_n,
+  round(avg(CASE WHEN auto_decision <> 'manual_review' THEN CAST(auto_decision = truth AS DOUBLE) END), 6) AS auto_accuracy,
+  round(CAST(count(*) FILTER (WHERE auto_decision <> 'manual_review') AS DOUBLE) / count(*), 6) AS coverage"""
+
+ORACLE["two_stage_metrics"] = f"WITH {_POL}, {_decide(False)} {_METRICS} FROM dec"
+
+ORACLE["gated_policy"] = f"""WITH {_POL}, {_decide(True)} {_METRICS},
+  count(*) FILTER (WHERE NOT gate_ok) AS blocked FROM dec"""
+
+ORACLE["rule_reject"] = """
+WITH b AS (
+  SELECT CASE WHEN o.o_orderstatus = 'F' THEN 'Lite streng' WHEN o.o_orderstatus = 'O' THEN 'Mindre streng' END AS policy_class,
+         l.l_quantity + 40 AS speed,
+         CASE WHEN l.l_linenumber = 1 THEN 'Krapp sving' ELSE 'Rett veg' END AS curve,
+         CASE WHEN l.l_returnflag = 'A' THEN 'Utvidet bruk' WHEN l.l_returnflag = 'N' THEN NULL
+              ELSE 'Ny avkjørsel' END AS application_type
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey)
+SELECT policy_class, application_type,
+  (policy_class IS DISTINCT FROM 'Lite streng')
+  OR ((coalesce(speed > 60, false) OR curve IS NOT DISTINCT FROM 'Krapp sving')
+      AND NOT coalesce(application_type IN ('Utvidet bruk', 'Endret bruk'), false)) AS reject,
+  count(*) AS n
+FROM b GROUP BY ALL
+"""
