@@ -159,4 +159,4 @@ def display_label(case_number, purpose, road_ref, municipality, received) -> Col
 
 def received_date(text) -> Column:
     """Day-first date text -> date; malformed -> NULL."""
-    return F.try_to_date(_c(text), F.lit("dd.MM.yyyy"))
+    return F.try_to_date(_c(text), "dd.MM.yyyy")

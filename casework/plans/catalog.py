@@ -317,6 +317,201 @@ def rule_reject(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- annotations
+# base = finished orders keyed by customer; annotations = events keyed by
+# user, value = event type with 'error' as a missing annotation, order = id.
+
+def _ann_inputs(t: Tables):
+    base = (t.orders.where(F.col("o_orderstatus") == "F")
+            .select("o_orderkey", F.col("o_custkey").alias("case_id")))
+    ann = t.events.select(F.col("user_id").alias("case_id"), "event_id",
+                          F.when(F.col("event_type") != "error", F.col("event_type")).alias("difficulty"))
+    return base, ann
+
+
+def merge_annotations(spark, sf_dir):
+    """C1 + D1: last non-null annotation per key onto every base row."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    return annotate.merge_annotations(base, ann, ["case_id", "case_number"], "difficulty", "event_id")
+
+
+def unmatched_keys(spark, sf_dir):
+    """Annotation keys without a base row."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    return annotate.unmatched_keys(base, ann, ["case_id"])
+
+
+def duplicate_keys(spark, sf_dir):
+    """Keys repeated in the base, with their annotation counts."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    return annotate.duplicate_keys(base, ann, ["case_id"])
+
+
+def reconcile(spark, sf_dir):
+    """D3: reconciliation counts of the merge."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    merged = annotate.merge_annotations(base, ann, ["case_id"], "difficulty", "event_id")
+    return annotate.reconcile(base, ann, merged, ["case_id"], "difficulty", "difficulty")
+
+
+# ---------------------------------------------------------------- enrichment
+
+def lookup_attribute(spark, sf_dir):
+    """A12 + B29 + C4: property 'k' of each customer's first event (events as
+    road objects with a property array parsed from JSON); none -> ''."""
+    from casework.operators import enrich
+    t = Tables(spark, sf_dir)
+    props = F.transform(F.map_entries(F.from_json("props", "map<string,string>")),
+                        lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
+    objects = t.events.select("user_id", "event_id", props.alias("properties"))
+    cases = t.customer.select("c_custkey", "c_mktsegment")
+    return enrich.lookup_attribute(cases, objects, "c_custkey", "user_id", "event_id", "k", "k_value")
+
+
+def lookup_first_line(spark, sf_dir):
+    """C4: quantity of the first line item (total order over all columns) of
+    each part; parts without lines -> ''."""
+    from casework.operators import enrich
+    t = Tables(spark, sf_dir)
+    li = t.lineitem
+    order = F.struct(*[F.col(c) for c in li.columns])
+    first = li.groupBy("l_partkey").agg(F.min_by(F.col("l_quantity"), order).alias("qty"))
+    j = t.part.select("p_partkey").join(first, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return j.select("p_partkey", F.coalesce(F.col("qty").cast("string"), F.lit("")).alias("first_qty"))
+
+
+def count_within(spark, sf_dir):
+    """Line items of the same part whose extended price lies within +-500."""
+    from casework.operators import enrich
+    li = Tables(spark, sf_dir).lineitem.select("l_orderkey", "l_linenumber", "l_partkey",
+                                               "l_extendedprice")
+    return enrich.count_within(li, li, "l_partkey", "l_extendedprice", "l_partkey",
+                               "l_extendedprice", 500.0)
+
+
+def count_events_nearby(spark, sf_dir):
+    """C5 on time: events of the same user within +-60 s of each event."""
+    from casework.operators import enrich
+    ev = Tables(spark, sf_dir).events.select(
+        "event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sec"))
+    out = enrich.count_within(ev, ev, "user_id", "sec", "user_id", "sec", 60.0)
+    return out.select("event_id", "user_id", "n_within")
+
+
+# ---------------------------------------------------------------- cleaning
+
+NBSP = "\u00a0"
+
+
+def clean_parse_numbers(spark, sf_dir):
+    """Locale text -> number, whitespace-squashed category, dedup."""
+    from casework.functions import derive  # noqa: F401
+    li = Tables(spark, sf_dir).lineitem
+    txt = F.concat(F.lit(" "), F.translate(F.format_number("l_extendedprice", 2), ",.", "\u00a0,"),
+                   F.lit(" "))
+    txt = F.when(F.col("l_linenumber") == 7, F.lit("abc")).otherwise(txt)
+    cat = F.concat(F.lit(" "), F.col("l_returnflag"), F.lit("   "), F.col("l_linestatus"))
+    df = li.select(clean.parse_number(F.trim(txt)).alias("price"),
+                   clean.squash_space(cat).alias("category"),
+                   clean.binary_outcome(_decision()).alias("truth"))
+    return df.dropDuplicates(["price", "category", "truth"])
+
+
+def curve_category(spark, sf_dir):
+    """B17 + B18: curve categories and display labels from a signed radius."""
+    from casework.functions import derive
+    p = Tables(spark, sf_dir).part
+    r = F.when(F.col("p_size") != 1, F.round((F.col("p_retailprice") - 950) * 100, 1))
+    df = p.select("p_partkey", r.alias("radius"))
+    cat = derive.curve_category("radius")
+    return df.select("p_partkey", cat.alias("curve_category"),
+                     derive.turn_label(cat, F.col("radius")).alias("turn_label"))
+
+
+def curve_category_counts(spark, sf_dir):
+    """B17 + D4: value counts of the coarse curve class."""
+    from casework.functions import derive
+    p = Tables(spark, sf_dir).part
+    r = F.when(F.col("p_size") != 1, F.round((F.col("p_retailprice") - 950) * 100, 1))
+    cat = derive.curve_category(r)
+    coarse = F.regexp_replace(cat, r" \(svingradius .*\)$", "")
+    return profile.value_counts(p.select(coarse.alias("curve_class")), "curve_class")
+
+
+def risk_band(spark, sf_dir):
+    """B19 on probability and percent scale."""
+    from casework.functions import derive
+    li = Tables(spark, sf_dir).lineitem
+    p = F.col("l_discount") * 5
+    df = li.select(derive.risk_band(p).alias("band"),
+                   derive.risk_band(F.round(p * 100, 1), scale=100).alias("band_pct"))
+    return df.groupBy("band", "band_pct").agg(F.count(F.lit(1)).alias("n"))
+
+
+def derived_features(spark, sf_dir):
+    """Engineered and serving features."""
+    from casework.functions import derive
+    li = Tables(spark, sf_dir).lineitem
+    aadt, acc = F.col("l_extendedprice") / 1000, F.col("l_quantity")
+    share, speed = F.col("l_discount") * 100, F.col("l_tax") * 1000
+    grad, radius = F.col("l_discount") - 0.05, F.col("l_partkey") * 50
+    cols = [derive.per_access(aadt, acc).alias("per_access"), F.log1p(aadt).alias("log_aadt"),
+            F.abs(grad).alias("abs_gradient"),
+            derive.curve_indicator(radius).alias("curve_ind"),
+            derive.gradient_indicator(grad).alias("gradient_ind"),
+            derive.curve_sigmoid(radius).alias("curve_sigmoid"),
+            derive.long_vehicles(aadt, share).alias("long_vehicles"),
+            *derive.serving_features(aadt, share, speed, acc, grad)]
+    df = li.select("l_orderkey", "l_linenumber", *cols)
+    return df.select("l_orderkey", "l_linenumber",
+                     *[(F.round(c, 9) if c in ("log_aadt", "curve_sigmoid") else F.col(c)).alias(c)
+                       for c in df.columns[2:]])
+
+
+def _facet_input(t: Tables) -> DataFrame:
+    from casework.functions import derive
+    df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return df.withColumn("received_text", F.date_format("o_orderdate", "dd.MM.yyyy")) \
+             .withColumn("received", derive.received_date("received_text"))
+
+
+def facet_filter(spark, sf_dir):
+    """B23 + B24 + B25: faceted subset with display labels."""
+    from casework.functions import derive
+    from casework.operators import browse
+    df = _facet_input(Tables(spark, sf_dir))
+    pred = browse.facet_predicate(
+        facets={"o_orderpriority": ["1-URGENT", "2-HIGH"], "c_mktsegment": ["BUILDING", "MACHINERY"],
+                "o_orderstatus": []},
+        ranges={"o_totalprice": (50000, 300000), "c_acctbal": (0, 8000)},
+        since=("received", "1997-01-01"))
+    sub = df.where(pred)
+    label = derive.display_label(F.col("o_orderkey"), "c_mktsegment", "o_orderpriority",
+                                 F.col("c_nationkey"), "received_text")
+    return sub.select("o_orderkey", "o_custkey", label.alias("display_label"))
+
+
+def row_lookup(spark, sf_dir):
+    """B4 + B26: deterministic row id for every order, then the one picked case."""
+    from casework.operators import browse
+    o = Tables(spark, sf_dir).orders
+    keys = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    df = browse.with_row_id(o, keys)
+    pick = browse.row_id_of(["2", "330", "O", "2-HIGH"])
+    return browse.by_id(df, "row_id", pick).select("row_id", "o_orderkey", "o_totalprice")
+
+
+def row_ids(spark, sf_dir):
+    """The id column itself (stable under retries, no randomness)."""
+    from casework.operators import browse
+    o = Tables(spark, sf_dir).orders
+    return browse.with_row_id(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]) \
+        .select("o_orderkey", "row_id")
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -326,6 +521,10 @@ def _registry() -> dict:
         "confusion", "class_report", "auto_approve", "high_conf_report", "class_ratio",
         "precision_threshold", "class_thresholds", "grid_threshold", "two_stage_policy",
         "two_stage_metrics", "gated_policy", "rule_reject",
+        "merge_annotations", "unmatched_keys", "duplicate_keys", "reconcile",
+        "lookup_attribute", "lookup_first_line", "count_within", "count_events_nearby",
+        "clean_parse_numbers", "curve_category", "curve_category_counts", "risk_band",
+        "derived_features", "facet_filter", "row_lookup", "row_ids",
     ]
     g = globals()
     return {n: g[n] for n in names}

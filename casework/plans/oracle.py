@@ -400,3 +400,165 @@ SELECT policy_class, application_type,
   count(*) AS n
 FROM b GROUP BY ALL
 """
+
+_ANN = """
+base AS (SELECT o_orderkey, o_custkey AS case_id FROM orders WHERE o_orderstatus = 'F'),
+ann AS (SELECT user_id AS case_id, event_id, CASE WHEN event_type <> 'error' THEN event_type END AS difficulty
+        FROM events),
+per_key AS (SELECT case_id, arg_max(difficulty, event_id) FILTER (WHERE difficulty IS NOT NULL) AS difficulty
+            FROM ann WHERE case_id IS NOT NULL GROUP BY case_id)"""
+
+ORACLE["merge_annotations"] = f"""
+WITH {_ANN}
+SELECT b.case_id, b.o_orderkey, p.difficulty FROM base b LEFT JOIN per_key p ON b.case_id = p.case_id
+"""
+
+ORACLE["unmatched_keys"] = f"""
+WITH {_ANN}
+SELECT DISTINCT case_id FROM ann WHERE case_id IS NOT NULL
+  AND case_id NOT IN (SELECT case_id FROM base WHERE case_id IS NOT NULL)
+"""
+
+ORACLE["duplicate_keys"] = f"""
+WITH {_ANN},
+dup AS (SELECT case_id, count(*) AS n_base FROM base WHERE case_id IS NOT NULL GROUP BY case_id HAVING count(*) > 1),
+na AS (SELECT case_id, count(*) AS n_ann FROM ann WHERE case_id IS NOT NULL GROUP BY case_id)
+SELECT dup.case_id, dup.n_base, coalesce(na.n_ann, 0) AS n_ann FROM dup LEFT JOIN na ON dup.case_id = na.case_id
+"""
+
+ORACLE["reconcile"] = f"""
+WITH {_ANN},
+merged AS (SELECT b.case_id, p.difficulty FROM base b LEFT JOIN per_key p ON b.case_id = p.case_id)
+SELECT (SELECT count(DISTINCT case_id) FROM ann WHERE difficulty IS NOT NULL AND case_id IS NOT NULL) AS annotated_keys,
+       count(*) AS base_rows, count(difficulty) AS transferred, count(*) - count(difficulty) AS missing
+FROM merged
+"""
+
+ORACLE["lookup_attribute"] = """
+WITH first AS (SELECT user_id, arg_min(props, event_id) AS props FROM events WHERE user_id IS NOT NULL GROUP BY user_id)
+SELECT c.c_custkey, c.c_mktsegment,
+       coalesce(CAST(json_extract_string(f.props, '$.k') AS VARCHAR), '') AS k_value
+FROM customer c LEFT JOIN first f ON c.c_custkey = f.user_id
+"""
+
+ORACLE["lookup_first_line"] = """
+WITH first AS (
+  SELECT l_partkey, l_quantity AS qty FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber,
+        l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS r
+    FROM lineitem) WHERE r = 1)
+SELECT p.p_partkey, coalesce(CAST(f.qty AS VARCHAR), '') AS first_qty
+FROM part p LEFT JOIN first f ON p.p_partkey = f.l_partkey
+"""
+
+ORACLE["count_within"] = """
+SELECT c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_extendedprice,
+  (SELECT count(*) FROM lineitem p WHERE p.l_partkey = c.l_partkey
+     AND p.l_extendedprice <= c.l_extendedprice + 500.0
+     AND NOT (p.l_extendedprice < c.l_extendedprice - 500.0)) AS n_within
+FROM lineitem c
+"""
+
+ORACLE["count_events_nearby"] = """
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec FROM events)
+SELECT c.event_id, c.user_id,
+  (SELECT count(*) FROM e p WHERE p.user_id = c.user_id AND p.sec <= c.sec + 60.0
+     AND NOT (p.sec < c.sec - 60.0)) AS n_within
+FROM e c
+"""
+
+ORACLE["clean_parse_numbers"] = """
+WITH t AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN 'abc'
+              ELSE ' ' || translate(format('{:,.2f}', l_extendedprice), ',.', chr(160) || ',') || ' ' END AS txt,
+         ' ' || l_returnflag || '   ' || l_linestatus AS cat,
+         CASE WHEN l_returnflag = 'R' THEN 'Avslag' ELSE 'Godkjent' END AS truth
+  FROM lineitem)
+SELECT DISTINCT TRY_CAST(replace(translate(trim(txt), ' ' || chr(160), ''), ',', '.') AS DOUBLE) AS price,
+       regexp_replace(trim(cat), '\\s+', ' ', 'g') AS category, truth
+FROM t
+"""
+
+_CURVE = """
+r AS (SELECT p_partkey, CASE WHEN p_size <> 1 THEN round((p_retailprice - 950) * 100, 1) END AS radius FROM part),
+c AS (SELECT p_partkey, radius,
+  CASE WHEN abs(radius) >= 3000 THEN 'Rett veg'
+       WHEN abs(radius) >= 1000 THEN 'Veldig slak sving (svingradius ' || CAST(abs(radius) AS VARCHAR) || 'm)'
+       WHEN abs(radius) >= 500 THEN 'Slak sving (svingradius ' || CAST(abs(radius) AS VARCHAR) || 'm)'
+       WHEN abs(radius) >= 0 THEN 'Krapp sving'
+       ELSE 'Ukjent' END AS curve_category FROM r)"""
+
+ORACLE["curve_category"] = f"""
+WITH {_CURVE}
+SELECT p_partkey, curve_category,
+  CASE WHEN curve_category = 'Krapp sving' THEN 'Sving (svingradius ' || CAST(abs(radius) AS VARCHAR) || 'm)'
+       ELSE curve_category END AS turn_label
+FROM c
+"""
+
+ORACLE["curve_category_counts"] = f"""
+WITH {_CURVE}
+SELECT regexp_replace(curve_category, ' \\(svingradius .*\\)$', '') AS curve_class, count(*) AS n
+FROM c GROUP BY 1
+"""
+
+ORACLE["risk_band"] = """
+WITH p AS (SELECT l_discount * 5 AS p FROM lineitem)
+SELECT CASE WHEN p < 0.05 THEN 'lav sannsynlighet for avslag' WHEN p < 0.5 THEN 'medium sannsynlighet for avslag'
+            ELSE 'høy sannsynlighet for avslag' END AS band,
+       CASE WHEN round(p * 100, 1) < 5 THEN 'lav sannsynlighet for avslag'
+            WHEN round(p * 100, 1) < 50 THEN 'medium sannsynlighet for avslag'
+            ELSE 'høy sannsynlighet for avslag' END AS band_pct,
+       count(*) AS n
+FROM p GROUP BY ALL
+"""
+
+
+def _derived_sql() -> str:
+    from casework.functions.derive import SERVING_FEATURES
+    base = {"aadt": "(l_extendedprice / 1000)", "accesses": "l_quantity", "share": "(l_discount * 100)",
+            "speed": "(l_tax * 1000)", "gradient": "abs(l_discount - 0.05)",
+            "long": "((l_extendedprice / 1000) * (l_discount * 100) / 100)"}
+    feats = []
+    for name, parts, _ in SERVING_FEATURES:
+        feats.append(f"CAST({' * '.join(base[p] for p in parts)} AS DOUBLE) AS {name}")
+    return f"""
+SELECT l_orderkey, l_linenumber,
+  (l_extendedprice / 1000) / (l_quantity + 1) AS per_access,
+  round(ln(1 + (l_extendedprice / 1000)), 9) AS log_aadt,
+  abs(l_discount - 0.05) AS abs_gradient,
+  CASE WHEN abs(l_partkey * 50) > 99000 THEN 0 ELSE 1 END AS curve_ind,
+  CASE WHEN abs(l_discount - 0.05) > 0.1 THEN 1 ELSE 0 END AS gradient_ind,
+  round(CASE WHEN abs(l_partkey * 50) < 99000 THEN 1.0 / (1.0 + exp(-0.001 * abs(l_partkey * 50))) ELSE 0.0 END, 9)
+    AS curve_sigmoid,
+  (l_extendedprice / 1000) * (l_discount * 100) / 100 AS long_vehicles,
+  {', '.join(feats)}
+FROM lineitem"""
+
+
+ORACLE["derived_features"] = _derived_sql()
+
+ORACLE["facet_filter"] = """
+WITH d AS (SELECT o.*, c.*, strftime(o.o_orderdate, '%d.%m.%Y') AS received_text,
+                  CAST(o.o_orderdate AS DATE) AS received
+           FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)
+SELECT o_orderkey, o_custkey,
+  'Saksnr: ' || coalesce(CAST(o_orderkey AS VARCHAR), '') || ' | For ' || lower(coalesce(c_mktsegment, ''))
+  || ' på ' || split_part(coalesce(o_orderpriority, ''), ' ', 1) || ' i ' || coalesce(CAST(c_nationkey AS VARCHAR), '')
+  || ' mottatt ' || coalesce(received_text, '') AS display_label
+FROM d
+WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND c_mktsegment IN ('BUILDING', 'MACHINERY')
+  AND coalesce(o_totalprice BETWEEN 50000 AND 300000, false) AND coalesce(c_acctbal BETWEEN 0 AND 8000, false)
+  AND coalesce(received >= DATE '1997-01-01', false)
+"""
+
+ORACLE["row_lookup"] = """
+WITH d AS (SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+                                   o_orderpriority)) AS row_id, o_orderkey, o_totalprice FROM orders)
+SELECT * FROM d WHERE row_id = sha256(concat_ws('|', '2', '330', 'O', '2-HIGH'))
+"""
+
+ORACLE["row_ids"] = """
+SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+                                    o_orderpriority)) AS row_id FROM orders
+"""
