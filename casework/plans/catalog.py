@@ -512,6 +512,148 @@ def row_ids(spark, sf_dir):
     return browse.with_row_id(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]) \
         .select("o_orderkey", "row_id")
 
+# ---------------------------------------------------------------- sampling
+
+def _orders_lab(t: Tables) -> DataFrame:
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return o.withColumn("label", F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(clean.REJECT))
+                        .otherwise(F.lit(clean.PERMIT)))
+
+
+def hash_split(spark, sf_dir):
+    """G1: 60/40 split by arithmetic hash."""
+    from casework.operators import sample
+    o = _orders_lab(Tables(spark, sf_dir))
+    return sample.hash_split(o, "o_orderkey", (0.6, 0.4), seed=42).select("o_orderkey", "split")
+
+
+def stratified_split(spark, sf_dir):
+    """20 % test per order status."""
+    from casework.operators import sample
+    o = _orders_lab(Tables(spark, sf_dir))
+    return sample.stratified_split(o, "o_orderkey", ["o_orderstatus"], 0.2, seed=7) \
+        .select("o_orderkey", "o_orderstatus", "split")
+
+
+def nested_split(spark, sf_dir):
+    """G2 nested: 20 % test by label, then 20 % validation by priority inside train."""
+    from casework.operators import sample
+    o = _orders_lab(Tables(spark, sf_dir))
+    outer = sample.stratified_split(o, "o_orderkey", ["label"], 0.2, seed=11)
+    train = outer.where(F.col("split") == "train").drop("split")
+    inner = sample.stratified_split(train, "o_orderkey", ["o_orderpriority"], 0.2, seed=13,
+                                    names=("train", "val"))
+    return outer.where(F.col("split") == "test").select("o_orderkey", "split") \
+        .unionByName(inner.select("o_orderkey", "split"))
+
+
+def balanced_sample(spark, sf_dir):
+    """All rejects + twice as many permits."""
+    from casework.operators import sample
+    o = _orders_lab(Tables(spark, sf_dir))
+    return sample.balanced_sample(o, "o_orderkey", "label", clean.REJECT, 2.0, seed=5) \
+        .select("o_orderkey", "label")
+
+
+def oversample(spark, sf_dir):
+    """Minority replicated to parity (train part of a hash split)."""
+    from casework.operators import sample
+    o = sample.hash_split(_orders_lab(Tables(spark, sf_dir)), "o_orderkey", (0.8, 0.2), seed=3)
+    tr = o.where(F.col("split") == "train").drop("split")
+    return sample.oversample(tr, "o_orderkey", "label", seed=9).select("o_orderkey", "label", "copy")
+
+
+def balanced_bags(spark, sf_dir):
+    """Three class-balanced bags."""
+    from casework.operators import sample
+    o = _orders_lab(Tables(spark, sf_dir))
+    return sample.balanced_bags(o, "o_orderkey", "label", clean.REJECT, bags=3, ratio=1.0, seed=100) \
+        .select("bag", "o_orderkey", "label")
+
+
+def stage2_pool(spark, sf_dir):
+    """True permits of the training split."""
+    from casework.operators import sample
+    o = sample.hash_split(_orders_lab(Tables(spark, sf_dir)), "o_orderkey", (0.6, 0.4), seed=42)
+    return sample.stage2_pool(o, "split", "label").select("o_orderkey", "o_orderpriority")
+
+
+# ---------------------------------------------------------------- features
+
+def one_hot(spark, sf_dir):
+    """One column per category value; missing -> all zeros."""
+    from casework.operators import features
+    li = Tables(spark, sf_dir).lineitem.select(
+        "l_orderkey", "l_linenumber",
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("l_returnflag"),
+        "l_linestatus")
+    return features.one_hot(li, ["l_returnflag", "l_linestatus"])
+
+
+def one_hot_unseen(spark, sf_dir):
+    """Vocabulary learned on the training rows; unseen values -> zeros."""
+    from casework.operators import features
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderstatus")
+    vocab = {"o_orderstatus": features.vocabulary(o.where(F.col("o_orderstatus") != "P"),
+                                                  "o_orderstatus")}
+    enc = features.one_hot(o, ["o_orderstatus"], vocab=vocab, drop_source=False)
+    return enc.groupBy("o_orderstatus", "o_orderstatus_F", "o_orderstatus_O").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def label_encode(spark, sf_dir):
+    """Sorted classes -> codes and back."""
+    from casework.operators import features
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    enc = features.label_encode(o, ["o_orderpriority", "o_orderstatus"])
+    classes = features.vocabulary(o, "o_orderpriority")
+    return enc.withColumn("decoded", features.label_decode("o_orderpriority_code", classes)) \
+        .select("o_orderkey", "o_orderpriority_code", "o_orderstatus_code", "decoded")
+
+
+def zscore(spark, sf_dir):
+    """Z-scores with population std (NULLs filled with 0 first)."""
+    from casework.operators import features
+    li = Tables(spark, sf_dir).lineitem.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        F.when(F.col("l_tax") != 0, F.col("l_tax")).alias("l_tax"))
+    cols = ["l_quantity", "l_extendedprice", "l_tax"]
+    z = features.zscore(li, cols)
+    return z.select("l_orderkey", "l_linenumber", *[F.round(c + "_z", 6).alias(c + "_z") for c in cols])
+
+
+def interactions3(spark, sf_dir):
+    """All products of 1..3 distinct inputs."""
+    from casework.operators import features
+    li = Tables(spark, sf_dir).lineitem
+    return features.interactions(li, ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 3,
+                                 keep=["l_orderkey"])
+
+
+def _impute_input(t: Tables) -> DataFrame:
+    return t.lineitem.select(
+        "l_orderkey", F.when(F.col("l_quantity") != 25, F.col("l_quantity")).alias("l_quantity"),
+        "l_discount",
+        F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("l_linestatus"),
+        "l_returnflag")
+
+
+def impute_stats(spark, sf_dir):
+    """Exact medians and most frequent values."""
+    from casework.operators import features
+    return features.impute_stats(_impute_input(Tables(spark, sf_dir)), ["l_quantity", "l_discount"],
+                                 ["l_linestatus", "l_returnflag"])
+
+
+def impute(spark, sf_dir):
+    """Fills applied; totals per filled category."""
+    from casework.operators import features
+    df = features.impute(_impute_input(Tables(spark, sf_dir)), ["l_quantity", "l_discount"],
+                         ["l_linestatus", "l_returnflag"])
+    return df.groupBy("l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"),
+                                          F.count(F.lit(1)).alias("n"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -525,6 +667,9 @@ def _registry() -> dict:
         "lookup_attribute", "lookup_first_line", "count_within", "count_events_nearby",
         "clean_parse_numbers", "curve_category", "curve_category_counts", "risk_band",
         "derived_features", "facet_filter", "row_lookup", "row_ids",
+        "hash_split", "stratified_split", "nested_split", "balanced_sample", "oversample",
+        "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
+        "interactions3", "impute_stats", "impute",
     ]
     g = globals()
     return {n: g[n] for n in names}

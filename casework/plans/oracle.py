@@ -562,3 +562,148 @@ ORACLE["row_ids"] = """
 SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
                                     o_orderpriority)) AS row_id FROM orders
 """
+
+
+def _h(key: str, seed: int) -> str:
+    return f"((({key}) % 10007) * 2654435761 + {seed}) % 10007"
+
+
+_OL = """
+ol AS (SELECT o_orderkey, o_orderstatus, o_orderpriority,
+              CASE WHEN o_orderpriority = '1-URGENT' THEN 'Avslag' ELSE 'Tillatelse' END AS label FROM orders)"""
+
+ORACLE["hash_split"] = f"""
+WITH {_OL}
+SELECT o_orderkey, CASE WHEN {_h('o_orderkey', 42)} / 10007.0 < 0.6 THEN 'train' ELSE 'test' END AS split FROM ol
+"""
+
+
+def _strat(src: str, strata: str, frac: float, seed: int, names=("train", "test")) -> str:
+    return f"""(SELECT *, CASE WHEN row_number() OVER (PARTITION BY {strata} ORDER BY {_h('o_orderkey', seed)}, o_orderkey)
+        <= floor(count(*) OVER (PARTITION BY {strata}) * {frac} + 0.5) THEN '{names[1]}' ELSE '{names[0]}' END AS split
+      FROM {src})"""
+
+
+ORACLE["stratified_split"] = f"""
+WITH {_OL}
+SELECT o_orderkey, o_orderstatus, split FROM {_strat('ol', 'o_orderstatus', 0.2, 7)}
+"""
+
+ORACLE["nested_split"] = f"""
+WITH {_OL}, outer_s AS {_strat('ol', 'label', 0.2, 11)},
+tr AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, label FROM outer_s WHERE split = 'train')
+SELECT o_orderkey, split FROM outer_s WHERE split = 'test'
+UNION ALL SELECT o_orderkey, split FROM {_strat('tr', 'o_orderpriority', 0.2, 13, ('train', 'val'))}
+"""
+
+ORACLE["balanced_sample"] = f"""
+WITH {_OL}, nm AS (SELECT count(*) AS n_min FROM ol WHERE label = 'Avslag'),
+r AS (SELECT *, row_number() OVER (PARTITION BY label = 'Avslag' ORDER BY {_h('o_orderkey', 5)}, o_orderkey) AS rn FROM ol)
+SELECT o_orderkey, label FROM r, nm
+WHERE (label = 'Avslag' AND rn <= n_min) OR (label <> 'Avslag' AND rn <= floor(n_min * 2.0))
+"""
+
+ORACLE["oversample"] = f"""
+WITH {_OL}, tr AS (SELECT * FROM ol WHERE {_h('o_orderkey', 3)} / 10007.0 < 0.8),
+c AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
+m AS (SELECT max(n) AS mx FROM c),
+r AS (SELECT tr.*, row_number() OVER (PARTITION BY tr.label ORDER BY {_h('o_orderkey', 9)}, o_orderkey) AS rn,
+             c.n, m.mx FROM tr JOIN c ON tr.label = c.label, m),
+k AS (SELECT o_orderkey, label, CAST(floor(mx / n) + CASE WHEN rn <= mx % n THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r)
+SELECT o_orderkey, label, CAST(g.copy AS BIGINT) AS copy FROM k, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy) g
+"""
+
+
+def _bags_sql() -> str:
+    parts = []
+    for b in (1, 2, 3):
+        parts.append(f"""SELECT {b} AS bag, o_orderkey, label FROM (
+  SELECT *, row_number() OVER (ORDER BY {_h('o_orderkey', 100 + b)}, o_orderkey) AS rn FROM ol WHERE label <> 'Avslag'), nm
+  WHERE rn <= floor(n_min * 1.0)
+UNION ALL SELECT {b}, o_orderkey, label FROM ol WHERE label = 'Avslag'""")
+    return f"WITH {_OL}, nm AS (SELECT count(*) AS n_min FROM ol WHERE label = 'Avslag')\n" + \
+        "\nUNION ALL\n".join(parts)
+
+
+ORACLE["balanced_bags"] = _bags_sql()
+
+ORACLE["stage2_pool"] = f"""
+WITH {_OL}
+SELECT o_orderkey, o_orderpriority FROM ol
+WHERE {_h('o_orderkey', 42)} / 10007.0 < 0.6 AND label = 'Tillatelse'
+"""
+
+ORACLE["one_hot"] = """
+WITH li AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS rf, l_linestatus
+            FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  coalesce(CAST(rf = 'A' AS INTEGER), 0) AS l_returnflag_A, coalesce(CAST(rf = 'R' AS INTEGER), 0) AS l_returnflag_R,
+  coalesce(CAST(l_linestatus = 'F' AS INTEGER), 0) AS l_linestatus_F,
+  coalesce(CAST(l_linestatus = 'O' AS INTEGER), 0) AS l_linestatus_O
+FROM li
+"""
+
+ORACLE["one_hot_unseen"] = """
+SELECT o_orderstatus, coalesce(CAST(o_orderstatus = 'F' AS INTEGER), 0) AS o_orderstatus_F,
+       coalesce(CAST(o_orderstatus = 'O' AS INTEGER), 0) AS o_orderstatus_O, count(*) AS n
+FROM orders GROUP BY ALL
+"""
+
+ORACLE["label_encode"] = """
+WITH p AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+           FROM (SELECT DISTINCT CAST(o_orderpriority AS VARCHAR) AS v FROM orders WHERE o_orderpriority IS NOT NULL)),
+s AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
+      FROM (SELECT DISTINCT CAST(o_orderstatus AS VARCHAR) AS v FROM orders WHERE o_orderstatus IS NOT NULL))
+SELECT o.o_orderkey, p.code AS o_orderpriority_code, s.code AS o_orderstatus_code, p.v AS decoded
+FROM orders o LEFT JOIN p ON o.o_orderpriority = p.v LEFT JOIN s ON o.o_orderstatus = s.v
+"""
+
+ORACLE["zscore"] = """
+WITH li AS (SELECT l_orderkey, l_linenumber, coalesce(l_quantity, 0) AS q, coalesce(l_extendedprice, 0) AS e,
+                   coalesce(CASE WHEN l_tax <> 0 THEN l_tax END, 0) AS t FROM lineitem),
+st AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(e) AS me, stddev_pop(e) AS se, avg(t) AS mt, stddev_pop(t) AS stt
+       FROM li)
+SELECT l_orderkey, l_linenumber,
+  round((q - mq) / CASE WHEN sq = 0 THEN 1.0 ELSE sq END, 6) AS l_quantity_z,
+  round((e - me) / CASE WHEN se = 0 THEN 1.0 ELSE se END, 6) AS l_extendedprice_z,
+  round((t - mt) / CASE WHEN stt = 0 THEN 1.0 ELSE stt END, 6) AS l_tax_z
+FROM li, st
+"""
+
+
+def _inter_sql() -> str:
+    from casework.operators.features import interaction_names
+    cols = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+    sel = [f'CAST({" * ".join(f"CAST({c} AS DOUBLE)" for c in combo)} AS DOUBLE) AS "{name}"'
+           for name, combo in interaction_names(cols, 3)]
+    return "SELECT l_orderkey, " + ", ".join(sel) + " FROM lineitem"
+
+
+ORACLE["interactions3"] = _inter_sql()
+
+_IMP = """
+imp AS (SELECT l_orderkey, CASE WHEN l_quantity <> 25 THEN l_quantity END AS l_quantity, l_discount,
+               CASE WHEN l_returnflag <> 'N' THEN l_linestatus END AS l_linestatus, l_returnflag FROM lineitem)"""
+
+
+def _mode_sql(c: str) -> str:
+    return f"""(SELECT '{c}' AS column_name, 'most_frequent' AS stat, v AS fill_value FROM (
+   SELECT CAST({c} AS VARCHAR) AS v, count(*) AS n FROM imp WHERE {c} IS NOT NULL GROUP BY 1
+   ORDER BY n DESC, v LIMIT 1))"""
+
+
+ORACLE["impute_stats"] = f"""
+WITH {_IMP}
+SELECT 'l_quantity' AS column_name, 'median' AS stat, CAST(quantile_cont(l_quantity, 0.5) AS VARCHAR) AS fill_value FROM imp
+UNION ALL SELECT 'l_discount', 'median', CAST(quantile_cont(l_discount, 0.5) AS VARCHAR) FROM imp
+UNION ALL {_mode_sql('l_linestatus')}
+UNION ALL {_mode_sql('l_returnflag')}
+"""
+
+ORACLE["impute"] = f"""
+WITH {_IMP},
+f AS (SELECT coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM imp)) AS l_quantity,
+             coalesce(l_linestatus, (SELECT v FROM (SELECT l_linestatus AS v, count(*) AS n FROM imp
+                      WHERE l_linestatus IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1))) AS l_linestatus FROM imp)
+SELECT l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM f GROUP BY 1
+"""
