@@ -654,6 +654,42 @@ def impute(spark, sf_dir):
                                           F.count(F.lit(1)).alias("n"))
 
 
+# ---------------------------------------------------------------- retrieval
+
+_SIM_FEATS = ["f_price", "f_acctbal", "f_days", "f_nation"]
+
+
+def _sim_cases(t: Tables) -> DataFrame:
+    from casework.operators import features
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    df = o.select(F.col("o_orderkey").alias("case_id"), F.col("o_orderpriority").alias("policy_class"),
+                  F.col("c_mktsegment").alias("purpose"),
+                  F.when(F.col("o_orderstatus") == "P", F.lit(clean.REJECT)).otherwise(F.lit(clean.APPROVE))
+                  .alias("label"),
+                  F.col("o_totalprice").alias("f_price"), F.col("c_acctbal").alias("f_acctbal"),
+                  F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+                  .cast("double").alias("f_days"),
+                  F.col("c_nationkey").cast("double").alias("f_nation"))
+    z = features.zscore(df, _SIM_FEATS, suffix="")
+    return z
+
+
+def similar_cases(spark, sf_dir):
+    """C8 + E1 + F5: two nearest approved examples per case under the
+    segment cascade (grid path forced on by a low direct-scan limit)."""
+    from casework.operators import similar
+    df = _sim_cases(Tables(spark, sf_dir))
+    out = similar.similar_cases(df, "case_id", "label", clean.APPROVE, "policy_class", "purpose",
+                                _SIM_FEATS, k=2, max_brute=200)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
+def reject_examples(spark, sf_dir):
+    """The shared rejected examples (all rejects; self removed at use)."""
+    from casework.operators import similar
+    return similar.reject_examples(_sim_cases(Tables(spark, sf_dir)), "case_id", "label", clean.REJECT)
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -669,7 +705,7 @@ def _registry() -> dict:
         "derived_features", "facet_filter", "row_lookup", "row_ids",
         "hash_split", "stratified_split", "nested_split", "balanced_sample", "oversample",
         "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
-        "interactions3", "impute_stats", "impute",
+        "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
     ]
     g = globals()
     return {n: g[n] for n in names}

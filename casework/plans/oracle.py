@@ -707,3 +707,49 @@ f AS (SELECT coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM im
                       WHERE l_linestatus IS NOT NULL GROUP BY 1 ORDER BY n DESC, v LIMIT 1))) AS l_linestatus FROM imp)
 SELECT l_linestatus, sum(l_quantity) AS sum_qty, count(*) AS n FROM f GROUP BY 1
 """
+
+_SIM = """
+c AS (SELECT o_orderkey AS case_id, o_orderpriority AS s1, c_mktsegment AS s2,
+             CASE WHEN o_orderstatus = 'P' THEN 'Avslag' ELSE 'Godkjent' END AS label,
+             coalesce(o_totalprice, 0) AS f1, coalesce(c_acctbal, 0) AS f2,
+             coalesce(CAST(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE), 0) AS f3,
+             coalesce(CAST(c_nationkey AS DOUBLE), 0) AS f4
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+st AS (SELECT avg(f1) AS m1, stddev_pop(f1) AS d1, avg(f2) AS m2, stddev_pop(f2) AS d2,
+              avg(f3) AS m3, stddev_pop(f3) AS d3, avg(f4) AS m4, stddev_pop(f4) AS d4 FROM c),
+z AS (SELECT case_id, s1, s2, label,
+             (f1 - m1) / CASE WHEN d1 = 0 THEN 1.0 ELSE d1 END AS z1, (f2 - m2) / CASE WHEN d2 = 0 THEN 1.0 ELSE d2 END AS z2,
+             (f3 - m3) / CASE WHEN d3 = 0 THEN 1.0 ELSE d3 END AS z3, (f4 - m4) / CASE WHEN d4 = 0 THEN 1.0 ELSE d4 END AS z4
+      FROM c, st)"""
+
+ORACLE["similar_cases"] = f"""
+WITH {_SIM},
+n2 AS (SELECT s1, s2, count(*) AS n FROM z WHERE s1 IS NOT NULL AND s2 IS NOT NULL GROUP BY s1, s2),
+n1 AS (SELECT s1, count(*) AS n FROM z WHERE s1 IS NOT NULL GROUP BY s1),
+q AS (SELECT z.*, CASE WHEN coalesce(n2.n, 0) > 1 THEN '2|' || z.s1 || '|' || z.s2
+                       WHEN coalesce(n1.n, 0) > 1 THEN '1|' || z.s1 ELSE '0' END AS seg
+      FROM z LEFT JOIN n2 ON z.s1 = n2.s1 AND z.s2 = n2.s2 LEFT JOIN n1 ON z.s1 = n1.s1),
+p AS (SELECT case_id AS nid, z1, z2, z3, z4, '2|' || s1 || '|' || s2 AS seg FROM z
+      WHERE label = 'Godkjent' AND s1 IS NOT NULL AND s2 IS NOT NULL
+      UNION ALL SELECT case_id, z1, z2, z3, z4, '1|' || s1 FROM z WHERE label = 'Godkjent' AND s1 IS NOT NULL
+      UNION ALL SELECT case_id, z1, z2, z3, z4, '0' FROM z WHERE label = 'Godkjent'),
+pairs AS (SELECT q.case_id, p.nid,
+   (q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2) + (q.z3 - p.z3) * (q.z3 - p.z3)
+   + (q.z4 - p.z4) * (q.z4 - p.z4) AS dist
+   FROM q JOIN p ON q.seg = p.seg AND q.case_id <> p.nid),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY dist, nid) AS rank FROM pairs)
+          WHERE rank <= 2),
+got AS (SELECT q.case_id, count(first.nid) AS m FROM q LEFT JOIN first ON q.case_id = first.case_id GROUP BY q.case_id),
+need AS (SELECT case_id, m FROM got WHERE m < 2),
+gpairs AS (SELECT n.case_id, p.nid,
+   (q.z1 - p.z1) * (q.z1 - p.z1) + (q.z2 - p.z2) * (q.z2 - p.z2) + (q.z3 - p.z3) * (q.z3 - p.z3)
+   + (q.z4 - p.z4) * (q.z4 - p.z4) AS dist, n.m
+   FROM need n JOIN q ON n.case_id = q.case_id JOIN p ON p.seg = '0' AND p.nid <> n.case_id
+   LEFT JOIN first f ON f.case_id = n.case_id AND f.nid = p.nid WHERE f.nid IS NULL),
+fill AS (SELECT case_id, nid, dist, m + r AS rank FROM (
+   SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY dist, nid) AS r FROM gpairs) WHERE r <= 2 - m)
+SELECT case_id, nid AS example_id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM first
+UNION ALL SELECT case_id, nid, round(dist, 6), CAST(rank AS INTEGER) FROM fill
+"""
+
+ORACLE["reject_examples"] = f"WITH {_SIM} SELECT case_id AS example_id FROM z WHERE label = 'Avslag'"

@@ -38,6 +38,8 @@ def get_spark(master: str | None = None, app: str = "casework",
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or f"local[{cpus}]")
     conf = dict(_DEFAULTS)
+    # local mode: the driver JVM is the only executor
+    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf.update(extra or {})
     for k, v in conf.items():
@@ -66,6 +68,20 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return d
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint for iterative / multi-pass operators.
+
+    Uses the shared folder named by ``spark.checkpoint.dir``.  Only when the
+    session names none (local runs and tests) a scratch folder is set up,
+    as the session contract allows; on a cluster the setting is always given.
+    """
+    spark = df.sparkSession
+    if not checkpoint_dir(spark):
+        import tempfile
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="casework-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder.
 
