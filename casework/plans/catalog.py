@@ -690,6 +690,82 @@ def reject_examples(spark, sf_dir):
     return similar.reject_examples(_sim_cases(Tables(spark, sf_dir)), "case_id", "label", clean.REJECT)
 
 
+# ---------------------------------------------------------------- text
+
+def _order_text(t: Tables) -> DataFrame:
+    from casework.functions import text
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority"))
+                        .alias("o_orderpriority"))
+    return o.select("o_orderkey", text.format_case(o, hidden=["o_custkey"]).alias("case_text"))
+
+
+def case_text(spark, sf_dir):
+    """Case rows as 'name: value' text."""
+    return _order_text(Tables(spark, sf_dir))
+
+
+def prompt(spark, sf_dir):
+    """B31 + C8 + E2 + F1: prompts with the two nearest approved examples in
+    distance order; guideline text and rejected examples referenced by id."""
+    from casework.functions import text
+    t = Tables(spark, sf_dir)
+    ct = _order_text(t)
+    sim = similar_cases(spark, sf_dir)
+    ex = (sim.join(ct.select(F.col("o_orderkey").alias("example_id"), F.col("case_text").alias("ex_text")),
+                   "example_id")
+          .withColumn("block", text.example_block("ex_text", F.lit(True))))
+    per_case = ex.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("_ex"))
+    per_case = per_case.select("case_id", F.transform("_ex", lambda x: x["block"]).alias("examples"))
+    guide = t.documents.where(F.col("source") == "src0").agg(F.min("doc_id").alias("guideline_id"))
+    base = ct.join(per_case, ct.o_orderkey == per_case.case_id, "left")
+    base = base.withColumn("_k", F.lit(1)).join(F.broadcast(guide.withColumn("_k", F.lit(1))), "_k")
+    return base.select("o_orderkey", text.build_prompt(
+        F.lit(None).cast("string"), "case_text",
+        F.coalesce("examples", F.array().cast("array<string>")), "guideline_id",
+        "reject_examples").alias("prompt"))
+
+
+def _replies(t: Tables) -> DataFrame:
+    c = t.conversations
+    reply = (F.when(F.col("role") == "user", F.lit(""))
+             .when(F.col("turn") == 1, F.col("text"))
+             .when(F.length("text") > 200, F.lit('```json\n{"approve": true, "reason": "lang tekst"}\n```'))
+             .when(F.length("text") > 100, F.lit('{"approve": false}'))
+             .otherwise(F.lit('```\n{"approve": false, "reason": "kort tekst"}```')))
+    err = F.when((F.col("turn") == 3) & (F.col("role") == "assistant"), F.lit("timeout"))
+    return c.select("conv_id", "turn", reply.alias("reply"), err.alias("error"))
+
+
+def parse_reply(spark, sf_dir):
+    """B32 + B33 + B35: strict and lenient reply parsing, validity mask."""
+    from casework.functions import text
+    r = _replies(Tables(spark, sf_dir))
+    dec, reason = text.parse_reply_strict("reply", "error")
+    lenient = text.parse_reply_lenient("reply", "error")
+    return r.select("conv_id", "turn", dec.alias("strict_decision"), reason.alias("strict_reason"),
+                    lenient.alias("lenient_decision"),
+                    text.valid_prediction(dec).alias("strict_valid"))
+
+
+def explanation_text(spark, sf_dir):
+    """B19 + B34 + E4: explanation text from per-feature contributions."""
+    from casework.functions import text
+    li = Tables(spark, sf_dir).lineitem
+    cq = (F.col("l_quantity") - 25) / 100
+    cd = (F.col("l_discount") - 0.05) * 2
+    ct = (F.col("l_tax") - 0.04) * 3
+    cp = F.floor((F.col("l_extendedprice") - 50000) / 1000) / 1000
+    fac = F.array(
+        F.struct(F.lit("antall").alias("name"), F.col("l_quantity").alias("value"), cq.alias("contribution")),
+        F.struct(F.lit("rabatt").alias("name"), F.col("l_discount").alias("value"), cd.alias("contribution")),
+        F.struct(F.lit("avgift").alias("name"), F.col("l_tax").alias("value"), ct.alias("contribution")),
+        F.struct(F.lit("pris").alias("name"), F.col("l_extendedprice").alias("value"), cp.alias("contribution")))
+    p = F.least(F.greatest(F.lit(0.1) + cq + cd + ct + cp, F.lit(0.0)), F.lit(1.0))
+    return li.select("l_orderkey", "l_linenumber", text.explanation_text(p, fac).alias("explanation"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -706,6 +782,7 @@ def _registry() -> dict:
         "hash_split", "stratified_split", "nested_split", "balanced_sample", "oversample",
         "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
+        "case_text", "prompt", "parse_reply", "explanation_text",
     ]
     g = globals()
     return {n: g[n] for n in names}

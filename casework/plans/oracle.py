@@ -753,3 +753,92 @@ UNION ALL SELECT case_id, nid, round(dist, 6), CAST(rank AS INTEGER) FROM fill
 """
 
 ORACLE["reject_examples"] = f"WITH {_SIM} SELECT case_id AS example_id FROM z WHERE label = 'Avslag'"
+
+_OT = """
+ot AS (SELECT o_orderkey,
+  'o_orderkey: ' || coalesce(CAST(o_orderkey AS VARCHAR), 'nan') || chr(10) ||
+  'o_orderstatus: ' || coalesce(CAST(o_orderstatus AS VARCHAR), 'nan') || chr(10) ||
+  'o_totalprice: ' || coalesce(CAST(o_totalprice AS VARCHAR), 'nan') || chr(10) ||
+  'o_orderpriority: ' || coalesce(CAST(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS VARCHAR), 'nan')
+  AS case_text FROM orders)"""
+
+ORACLE["case_text"] = f"WITH {_OT} SELECT o_orderkey, case_text FROM ot"
+
+
+def _prompt_sql() -> str:
+    from casework.functions.text import PROMPT_HEAD, PROMPT_TAIL
+    sim = ORACLE["similar_cases"]
+    nl2 = "chr(10) || chr(10)"
+    return f"""
+WITH {_OT}, sim AS ({sim}),
+ex AS (SELECT sim.case_id, sim.rank,
+         'Søknadsdata:' || chr(10) || ot.case_text || chr(10) || 'Fasit:' || chr(10) || '{{"approve": true}}' AS block
+       FROM sim JOIN ot ON sim.example_id = ot.o_orderkey),
+pc AS (SELECT case_id, array_to_string(list(block ORDER BY rank), {nl2}) AS examples FROM ex GROUP BY case_id),
+g AS (SELECT min(doc_id) AS guideline_id FROM documents WHERE source = 'src0')
+SELECT ot.o_orderkey,
+  '{PROMPT_HEAD}' || {nl2} || '' || {nl2} || 'Søknad:' || chr(10) || ot.case_text || {nl2} ||
+  'Retningslinjer: [dokument ' || CAST(g.guideline_id AS VARCHAR) || ']' || {nl2} ||
+  'Eksempler med fasit:' || chr(10) || coalesce(pc.examples, '') || {nl2} ||
+  'Avslåtte eksempler: [tabell reject_examples]' || {nl2} || '{PROMPT_TAIL}' AS prompt
+FROM ot LEFT JOIN pc ON ot.o_orderkey = pc.case_id, g
+"""
+
+
+ORACLE["prompt"] = _prompt_sql()
+
+ORACLE["parse_reply"] = """
+WITH r AS (
+  SELECT conv_id, turn,
+    CASE WHEN role = 'user' THEN '' WHEN turn = 1 THEN text
+         WHEN length(text) > 200 THEN '```json' || chr(10) || '{"approve": true, "reason": "lang tekst"}' || chr(10) || '```'
+         WHEN length(text) > 100 THEN '{"approve": false}'
+         ELSE '```' || chr(10) || '{"approve": false, "reason": "kort tekst"}```' END AS reply,
+    CASE WHEN turn = 3 AND role = 'assistant' THEN 'timeout' END AS error
+  FROM conversations),
+b AS (SELECT *, trim(regexp_replace(trim(reply), '^```[a-zA-Z]*\\n?|```$', '', 'g')) AS body FROM r),
+j AS (SELECT *, coalesce(starts_with(body, '{') AND json_valid(body), false) AS ok FROM b),
+v AS (SELECT *, CASE WHEN ok THEN TRY_CAST(json_extract(body, '$.approve') AS BOOLEAN) END AS approve,
+             CASE WHEN ok THEN json_extract_string(body, '$.reason') END AS reason FROM j),
+d AS (SELECT *,
+  CASE WHEN error IS NOT NULL OR NOT ok THEN 'Feil' WHEN coalesce(approve, false) THEN 'Godkjent' ELSE 'Avslag' END
+    AS strict_decision,
+  CASE WHEN error IS NOT NULL OR NOT ok THEN coalesce(error, 'Ugyldig svar') ELSE coalesce(reason, 'Ingen begrunnelse oppgitt.') END
+    AS strict_reason,
+  CASE WHEN error IS NOT NULL THEN 'Feil' WHEN ok AND coalesce(approve, false) THEN 'Godkjent' ELSE 'Avslag' END
+    AS lenient_decision FROM v)
+SELECT conv_id, turn, strict_decision, strict_reason, lenient_decision,
+       strict_decision IN ('Godkjent', 'Avslag') AS strict_valid FROM d
+"""
+
+ORACLE["explanation_text"] = """
+WITH f AS (
+  SELECT l_orderkey, l_linenumber,
+    [{'contribution': (l_quantity - 25) / 100, 'name': 'antall', 'value': l_quantity},
+     {'contribution': (l_discount - 0.05) * 2, 'name': 'rabatt', 'value': l_discount},
+     {'contribution': (l_tax - 0.04) * 3, 'name': 'avgift', 'value': l_tax},
+     {'contribution': floor((l_extendedprice - 50000) / 1000) / 1000, 'name': 'pris', 'value': l_extendedprice}] AS fac,
+    least(greatest(0.1 + (l_quantity - 25) / 100 + (l_discount - 0.05) * 2 + (l_tax - 0.04) * 3
+                   + floor((l_extendedprice - 50000) / 1000) / 1000, 0.0), 1.0) AS p
+  FROM lineitem),
+s AS (SELECT *, list_sort(fac, 'DESC') AS srt FROM f),
+pn AS (SELECT *, list_filter(srt, lambda x: x.contribution > 0)[1:3] AS pos,
+              list_filter(srt, lambda x: x.contribution < 0) AS neg_all FROM s),
+pn2 AS (SELECT *, neg_all[greatest(len(neg_all) - 2, 1):greatest(len(neg_all) - 2, 1) + 2] AS neg FROM pn),
+ln AS (SELECT *,
+  CASE WHEN len(pos) = 0 THEN '  (ingen vesentlige faktorer)' ELSE array_to_string(list_transform(pos, lambda x:
+    '  • ' || x.name || ' (verdi: ' || CAST(round(x.value, 3) AS VARCHAR) || ', effekt: ' ||
+    CASE WHEN round(x.contribution, 3) >= 0 THEN '+' ELSE '' END || CAST(round(x.contribution, 3) AS VARCHAR) || ')'),
+    chr(10)) END AS pos_txt,
+  CASE WHEN len(neg) = 0 THEN '  (ingen vesentlige faktorer)' ELSE array_to_string(list_transform(neg, lambda x:
+    '  • ' || x.name || ' (verdi: ' || CAST(round(x.value, 3) AS VARCHAR) || ', effekt: ' ||
+    CASE WHEN round(x.contribution, 3) >= 0 THEN '+' ELSE '' END || CAST(round(x.contribution, 3) AS VARCHAR) || ')'),
+    chr(10)) END AS neg_txt FROM pn2)
+SELECT l_orderkey, l_linenumber,
+  'Sannsynlighet for avslag: ' || CAST(round(p * 100, 1) AS VARCHAR) || ' %' || chr(10) ||
+  'Kategori: ' || CASE WHEN p < 0.05 THEN 'lav sannsynlighet for avslag' WHEN p < 0.5 THEN 'medium sannsynlighet for avslag'
+                       ELSE 'høy sannsynlighet for avslag' END || chr(10) || chr(10) ||
+  'Faktorer som ØKER sannsynligheten for avslag:' || chr(10) || pos_txt || chr(10) || chr(10) ||
+  'Faktorer som REDUSERER sannsynligheten for avslag:' || chr(10) || neg_txt AS explanation
+FROM ln
+"""
