@@ -1,0 +1,9 @@
+"""Small shared helpers for probability columns."""
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def p_reject_column(df: DataFrame, prob_col: str = "probability", index: int = 1) -> Column:
+    return vector_to_array(F.col(prob_col))[index]

@@ -789,3 +789,11 @@ def _registry() -> dict:
 
 
 QUERIES = _registry()
+
+
+def _add_model_queries():
+    from casework.plans.jobs import MODEL_QUERIES
+    QUERIES.update(MODEL_QUERIES)
+
+
+_add_model_queries()
