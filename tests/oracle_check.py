@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
 
+
 from casework.session import get_spark  # noqa: E402
 from casework.sources.tables import TABLES  # noqa: E402
 
