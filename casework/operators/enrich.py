@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.derive import first_property, road_meter, road_part
+from casework.operators.joins import broadcast_if_small
 from casework.operators.quantile import prefix_sums
 
 
@@ -81,3 +82,29 @@ def count_within_ref(cases: DataFrame, points: DataFrame, ref_col: str = "road_r
     c = cases.withColumn("_road", road_part(ref_col)).withColumn("_meter", road_meter(ref_col))
     return count_within(c, points, "_road", "_meter", "road", "meter", radius, out).drop(
         "_road", "_meter")
+
+
+def lookup_by_reference(cases: DataFrame, objects: DataFrame, object_type: int, prop: str,
+                        out: str, ref_col: str = "road_ref", default: str = "") -> DataFrame:
+    """C4 on a road-object snapshot: property ``prop`` of the first object (by
+    ``ord``) of ``object_type`` referencing the case's road part; none -> default."""
+    o = objects.where(F.col("object_type") == object_type)
+    refs = o.select("ord", "properties", F.explode("references").alias("r")) \
+            .select(F.col("r.road").alias("_road"), "ord", "properties")
+    c = cases.withColumn("_road", road_part(ref_col))
+    res = lookup_attribute(c, refs, "_road", "_road", "ord", prop, out, default)
+    return res.drop("_road")
+
+
+def application_type(cases: DataFrame, overrides: DataFrame, decision: str = "decision",
+                     url: str = "archive_url", out: str = "application_type",
+                     reject: str = "Avslag") -> DataFrame:
+    """The application type starts as the decision; rejected cases are
+    blank unless the override table (archive_url, application_type) names
+    their type.  The override table is broadcast only when proven small."""
+    ov = overrides.select(F.col("archive_url").alias("_url"),
+                          F.col("application_type").alias("_ov")).dropDuplicates(["_url"])
+    j = cases.join(broadcast_if_small(ov), F.col(url) == F.col("_url"), "left")
+    val = F.when(F.col(decision) == F.lit(reject), F.coalesce(F.col("_ov"), F.lit(""))) \
+           .otherwise(F.col(decision))
+    return j.withColumn(out, val).drop("_url", "_ov")

@@ -1,0 +1,17 @@
+"""Join helpers with an explicit size check for broadcasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A broadcast side must be proven small: at most this many rows.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Return ``broadcast(df)`` when it has at most ``max_rows`` rows (checked
+    with a bounded ``limit`` count), else ``df`` unchanged so the planner
+    falls back to a shuffle join."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

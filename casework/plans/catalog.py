@@ -766,6 +766,24 @@ def explanation_text(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", text.explanation_text(p, fac).alias("explanation"))
 
 
+def application_type(spark, sf_dir):
+    """Application type from the decision, rejects filled from overrides
+    (override rows derived from the urgent orders)."""
+    from casework.operators import enrich
+    t = Tables(spark, sf_dir)
+    o = t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    cases = o.select("o_orderkey",
+                     F.when(F.col("o_orderstatus") == "F", F.lit("Avslag"))
+                     .when(F.col("o_orderstatus") == "O", F.lit("Varig tillatelse"))
+                     .otherwise(F.lit("Utvidet bruk")).alias("decision"),
+                     F.concat(F.lit("arkiv/"), F.col("o_orderkey").cast("string")).alias("archive_url"))
+    ov = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.concat(F.lit("arkiv/"), F.col("o_orderkey").cast("string")).alias("archive_url"),
+        F.lit("Endret bruk").alias("application_type"))
+    out = enrich.application_type(cases, ov)
+    return out.groupBy("decision", "application_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -782,7 +800,7 @@ def _registry() -> dict:
         "hash_split", "stratified_split", "nested_split", "balanced_sample", "oversample",
         "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
-        "case_text", "prompt", "parse_reply", "explanation_text",
+        "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
     ]
     g = globals()
     return {n: g[n] for n in names}

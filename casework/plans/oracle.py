@@ -842,3 +842,14 @@ SELECT l_orderkey, l_linenumber,
   'Faktorer som REDUSERER sannsynligheten for avslag:' || chr(10) || neg_txt AS explanation
 FROM ln
 """
+
+ORACLE["application_type"] = """
+WITH c AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Avslag' WHEN o_orderstatus = 'O' THEN 'Varig tillatelse'
+                                   ELSE 'Utvidet bruk' END AS decision,
+                  'arkiv/' || CAST(o_orderkey AS VARCHAR) AS archive_url FROM orders),
+ov AS (SELECT DISTINCT 'arkiv/' || CAST(o_orderkey AS VARCHAR) AS archive_url, 'Endret bruk' AS application_type
+       FROM orders WHERE o_orderpriority = '1-URGENT')
+SELECT decision, CASE WHEN decision = 'Avslag' THEN coalesce(ov.application_type, '') ELSE decision END AS application_type,
+       count(*) AS n
+FROM c LEFT JOIN ov ON c.archive_url = ov.archive_url GROUP BY ALL
+"""
