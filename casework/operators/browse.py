@@ -21,16 +21,19 @@ def facet_predicate(facets: dict[str, list] | None = None,
                     ranges: dict[str, tuple] | None = None,
                     since: tuple[str, str] | None = None) -> Column:
     """AND of non-empty ``isin`` facets, inclusive ranges (a missing
-    value fails a range) and ``date >= since`` (bad dates are NULL and fail)."""
+    value fails a range) and ``date >= since`` (bad dates are NULL and fail).
+
+    Meant for ``where``: a NULL comparison drops the row like False, and the
+    plain comparisons are pushed into the Parquet scan."""
     parts = []
     for c, vals in (facets or {}).items():
         if vals:
             parts.append(_q(c).isin(*vals))
     for c, (lo, hi) in (ranges or {}).items():
-        parts.append(F.coalesce(_q(c).between(lo, hi), F.lit(False)))
+        parts.append((_q(c) >= F.lit(lo)) & (_q(c) <= F.lit(hi)))
     if since:
         col, d = since
-        parts.append(F.coalesce(_q(col) >= F.to_date(F.lit(d)), F.lit(False)))
+        parts.append(_q(col) >= F.to_date(F.lit(d)))
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
