@@ -26,12 +26,20 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def hash_params(seed: int) -> tuple[int, int]:
+    """Multiplier and offset of the affine hash for ``seed``.  Different seeds
+    give different permutations of the residues (not just a rotation)."""
+    a = (HASH_MUL + seed * 7919) % HASH_MOD or 1
+    b = (seed * 104729) % HASH_MOD
+    return a, b
+
+
 def hash_bucket(key, seed: int = 0) -> Column:
-    """Integer hash in [0, HASH_MOD): ((key mod P) * A + seed) mod P.
+    """Integer hash in [0, HASH_MOD): ((key mod P) * a_seed + b_seed) mod P.
     Overflow-free for any bigint key; DuckDB computes the same value."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(F.pmod(k.cast("long"), F.lit(HASH_MOD)) * F.lit(HASH_MUL) + F.lit(seed),
-                  F.lit(HASH_MOD))
+    a, b = hash_params(seed)
+    return F.pmod(F.pmod(k.cast("long"), F.lit(HASH_MOD)) * F.lit(a) + F.lit(b), F.lit(HASH_MOD))
 
 
 def hash_split(df: DataFrame, key: str, fractions=(0.6, 0.4), names=("train", "test"),

@@ -39,7 +39,7 @@ _FIT_CACHE: dict = {}
 
 
 def _reject_fit(spark, sf_dir, trees=(20, 40)):
-    key = (sf_dir, trees)
+    key = (id(spark), sf_dir, trees)
     if key not in _FIT_CACHE:
         df = model_cases(spark, sf_dir)
         _FIT_CACHE[key] = models.fit_reject_model(df, "case_id", INPUTS, "y", screen_trees=trees[0],

@@ -565,7 +565,9 @@ SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_cus
 
 
 def _h(key: str, seed: int) -> str:
-    return f"((({key}) % 10007) * 2654435761 + {seed}) % 10007"
+    from casework.operators.sample import hash_params
+    a, b = hash_params(seed)
+    return f"((({key}) % 10007) * {a} + {b}) % 10007"
 
 
 _OL = """

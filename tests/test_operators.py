@@ -67,7 +67,8 @@ def test_rank_select_equals_row_number(spark):
     df = spark.createDataFrame(data, "id long, s string")
     q = spark.createDataFrame([("a", 50), ("b", 7)], "s string, quota long")
     got = {r.id for r in sample.rank_select(df, ["s"], "id", q, seed=5).where("selected").collect()}
-    h = lambda k: ((k % sample.HASH_MOD) * sample.HASH_MUL + 5) % sample.HASH_MOD
+    a, b = sample.hash_params(5)
+    h = lambda k: ((k % sample.HASH_MOD) * a + b) % sample.HASH_MOD
     want = set()
     for s_, quota in (("a", 50), ("b", 7)):
         ids = sorted((h(i), i) for i, s in data if s == s_)
