@@ -63,11 +63,11 @@ def duplicate_keys(base: DataFrame, ann: DataFrame, keys: list[str]) -> DataFram
 def reconcile(base: DataFrame, ann: DataFrame, merged: DataFrame, keys: list[str],
               value: str, merged_col: str) -> DataFrame:
     """D3: annotated keys, base rows, rows that received a value, rows without."""
-    a = ann.where(_q(value).isNotNull()).select(*keys).dropna().distinct().agg(
-        F.count(F.lit(1)).alias("annotated_keys"))
+    a = ann.where(_q(value).isNotNull()).select(*keys).dropna().distinct() \
+           .select(F.count(F.lit(1))).scalar()
     m = merged.agg(F.count(F.lit(1)).alias("base_rows"),
                    F.count(_q(merged_col)).alias("transferred"))
-    return (a.withColumn("_k", F.lit(1)).join(m.withColumn("_k", F.lit(1)), "_k")
+    return (m.withColumn("annotated_keys", a)
             .select(F.col("annotated_keys").cast("long"), F.col("base_rows").cast("long"),
                     F.col("transferred").cast("long"),
                     (F.col("base_rows") - F.col("transferred")).cast("long").alias("missing")))

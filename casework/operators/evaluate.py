@@ -120,7 +120,7 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
     """
     key = by or "_cls"
     base = df if by else df.withColumn("_cls", F.lit("*"))
-    total = base.agg(F.count(F.lit(1)).alias("_n_all"))
+    total = base.select(F.count(F.lit(1))).scalar()
     pred = base.where(_q(predicted)) if predicted else base
     pts = (pred.select(_q(key).alias("class"), (-_q(p).cast("double")).alias("neg_p"),
                        F.lit(1.0).alias("n"), _q(hit).cast("double").alias("hits"))
@@ -133,8 +133,8 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
     ps = prefix_sums(pts, cand, ["class"], "neg_p", ["n", "hits"], "qid",
                      bucket_width=bucket_width)
     ev = ps.select(F.col("qid.class").alias("class"), F.col("qid.t").alias("t"), "n", "hits")
-    # one-row total, attached through a constant key (broadcast)
-    ev = ev.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    # the evaluation-set size is a scalar subquery (no join)
+    ev = ev.withColumn("_n_all", total)
     ev = ev.where(F.col("n") > 0).withColumn("precision", F.col("hits") / F.col("n")) \
            .withColumn("coverage", F.col("n") / F.col("_n_all"))
     ok = ev.where(F.col("precision") >= F.lit(target))
@@ -142,14 +142,17 @@ def precision_threshold(df: DataFrame, p: str, hit: str, predicted: str | None =
     best = best.select("class", F.col("b.t").alias("threshold"),
                        F.col("b.precision").alias("precision"), F.col("b.coverage").alias("coverage"),
                        F.col("b.n").cast("long").alias("n_auto"))
-    names = classes if classes is not None else base.select(_q(key).alias("class")).distinct()
-    if predicted and classes is None:
-        names = pred.select(_q(key).alias("class")).distinct()
+    if not by:
+        # one class: a global aggregate always yields exactly one row (no join)
+        one = ok.agg(F.min(F.struct("t", "precision", "coverage", "n")).alias("b"))
+        return one.select(F.col("b.t").alias("threshold"), F.round("b.precision", decimals).alias("precision"),
+                          F.round("b.coverage", decimals).alias("coverage"),
+                          F.coalesce(F.col("b.n"), F.lit(0)).cast("long").alias("n_auto"))
+    names = classes if classes is not None else pred.select(_q(key).alias("class")).distinct()
     out = names.join(best, "class", "left")
-    out = out.select("class", "threshold", F.round("precision", decimals).alias("precision"),
-                     F.round("coverage", decimals).alias("coverage"),
-                     F.coalesce("n_auto", F.lit(0)).cast("long").alias("n_auto"))
-    return out if by else out.drop("class")
+    return out.select("class", "threshold", F.round("precision", decimals).alias("precision"),
+                      F.round("coverage", decimals).alias("coverage"),
+                      F.coalesce("n_auto", F.lit(0)).cast("long").alias("n_auto"))
 
 
 # 17 evenly spaced thresholds from 0.1 to 0.9 (last one exact),

@@ -114,19 +114,20 @@ def zscore(df: DataFrame, cols: list[str], fit: DataFrame | None = None, suffix:
     """(x - mean) / population std, statistics from ``fit`` (default: the
     same rows); zero variance -> scale 1.  NULLs are filled with ``fill`` first
     (the reference fills 0 before scaling).  One aggregate; its one-row result
-    is broadcast through a constant key."""
+    is attached as scalar subqueries."""
     src = fit if fit is not None else df
 
     def filled(d):
         return d.fillna(fill, subset=cols) if fill is not None else d
-    st = filled(src).agg(*[F.avg(_q(c)).alias(f"_m_{c}") for c in cols],
-                         *[F.stddev_pop(_q(c)).alias(f"_s_{c}") for c in cols])
-    j = filled(df).withColumn("_k", F.lit(1)).join(F.broadcast(st.withColumn("_k", F.lit(1))), "_k")
-    out = j
+    fs = filled(src)
+    out = filled(df)
+    for c in cols:  # statistics as scalar subqueries: no join, one tiny job each
+        out = out.withColumn(f"_m_{c}", fs.select(F.avg(_q(c))).scalar()) \
+                 .withColumn(f"_s_{c}", fs.select(F.stddev_pop(_q(c))).scalar())
     for c in cols:
         s = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
         out = out.withColumn(c + suffix, (_q(c) - F.col(f"_m_{c}")) / s)
-    return out.drop("_k", *[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    return out.drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
 
 
 def interaction_names(cols: list[str], degree: int = 3) -> list[tuple[str, tuple[str, ...]]]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from casework.functions.derive import risk_band
 from casework.operators import features as feat_ops
 from casework.operators import sample
-from casework.operators.similar import knn
+from casework.operators.similar import global_segment, knn
 from casework.session import checkpoint_dir, materialize
 
 
@@ -37,9 +37,9 @@ def _q(c: str) -> Column:
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_class); the per-class table is tiny (broadcast)."""
     cnt = df.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = cnt.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = cnt.withColumn("_j", F.lit(1)).join(F.broadcast(tot.withColumn("_j", F.lit(1))), "_j") \
-           .select(_q(label), (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(out))
+    n = df.select(F.count(F.lit(1))).scalar()
+    k = df.select(F.count_distinct(_q(label))).scalar()
+    w = cnt.select(_q(label), (n / (k * F.col("_nc"))).alias(out))
     return df.join(F.broadcast(w), [label])
 
 
@@ -120,23 +120,23 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
     mino = base.where(F.col("_y") == F.lit(minority))
     counts = base.agg(F.count_if(F.col("_y") == F.lit(minority)).alias("n_min"),
                       F.count_if(F.col("_y") != F.lit(minority)).alias("n_maj"))
-    qs = mino.select(F.col("_id").alias("qid"), F.lit("0").alias("seg"),
+    qs = mino.select(F.col("_id").alias("qid"), global_segment("_id").alias("seg"),
                      *[F.col(f).alias("q_" + f) for f in feats])
-    allp = base.select(F.col("_id").alias("nid"), F.lit("0").alias("seg"),
+    allp = base.select(F.col("_id").alias("nid"), global_segment("_id").alias("seg"),
                        *[F.col(f).alias("p_" + f) for f in feats])
     nn_all = knn(qs, allp, feats, k)
     lab = base.select(F.col("_id").alias("nid"), F.col("_y").alias("_ny"))
     r = nn_all.join(lab, "nid").groupBy("qid").agg(
         (F.count_if(F.col("_ny") != F.lit(minority)) / F.lit(float(k))).alias("r"))
     r = materialize(r)
-    tot = r.agg(F.sum("r").alias("rs")).withColumn("_j", F.lit(1)).join(
-        counts.withColumn("_j", F.lit(1)), "_j")
-    g = r.withColumn("_j", F.lit(1)).join(F.broadcast(tot), "_j").withColumn(
+    g = r.withColumn("rs", r.select(F.sum("r")).scalar()) \
+         .withColumn("n_min", counts.select("n_min").scalar()) \
+         .withColumn("n_maj", counts.select("n_maj").scalar()).withColumn(
         "gi", F.when(F.col("rs") > 0, F.rint(F.col("r") / F.col("rs") *
                                             F.greatest(F.floor(F.col("n_maj") * ratio) - F.col("n_min"),
                                                        F.lit(0)))).otherwise(F.lit(0)).cast("long"))
     g = g.where(F.col("gi") > 0).select("qid", "gi")
-    pm = mino.select(F.col("_id").alias("nid"), F.lit("0").alias("seg"),
+    pm = mino.select(F.col("_id").alias("nid"), global_segment("_id").alias("seg"),
                      *[F.col(f).alias("p_" + f) for f in feats])
     nn_min = materialize(knn(qs, pm, feats, k))
     reps = g.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("gi"))).alias("j"))

@@ -61,12 +61,11 @@ def two_stage_decide(df: DataFrame, thresholds: DataFrame, pred1: str = "stage1_
     class's threshold; everything else goes to manual review.  ``gate`` (a
     boolean Column) must hold for either stage to fire.
     Adds (auto_decision, decision_conf)."""
-    t1 = (thresholds.where(F.col("stage") == 1)
-          .select(F.max("threshold").alias("_t1")).withColumn("_k", F.lit(1)))
+    t1 = thresholds.where(F.col("stage") == 1).select(F.max("threshold")).scalar()
     t2 = thresholds.where(F.col("stage") == 2).select(
         F.col("class").alias("_c2"), F.col("threshold").alias("_t2"))
     g = gate if gate is not None else F.lit(True)
-    x = (df.withColumn("_k", F.lit(1)).join(F.broadcast(t1), "_k", "left").drop("_k")
+    x = (df.withColumn("_t1", t1)
          .join(F.broadcast(t2), F.col(top2) == F.col("_c2"), "left"))
     fire1 = (F.col(pred1) == F.lit(REJECT)) & F.col("_t1").isNotNull() & \
         (F.col(p1) >= F.col("_t1")) & g

@@ -278,10 +278,9 @@ def histogram_density(df: DataFrame, value: str, group: str, bins: int = 20,
     Output: (group, bin, lo, hi, density) with density = n/(n_group * width)."""
     v = df.select(_q(group), _q(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & _q(group).isNotNull())
-    rng = v.agg(F.min("_v").alias("_mn"), F.max("_v").alias("_mx"))
     w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
-    # one-row range table, attached through a constant key (broadcast)
-    j = v.withColumn("_k", F.lit(1)).join(F.broadcast(rng.withColumn("_k", F.lit(1))), "_k")
+    # the global range as scalar subqueries (no join)
+    j = v.withColumn("_mn", v.select(F.min("_v")).scalar()).withColumn("_mx", v.select(F.max("_v")).scalar())
     j = j.withColumn("bin", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / w),
                                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
     c = j.groupBy(_q(group), "bin", "_mn", "_mx").agg(F.count(F.lit(1)).alias("n"))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 # Fixed parameters of the arithmetic hash (prime modulus, Knuth multiplier).
 HASH_MOD = 10007
 HASH_MUL = 2654435761
+# Bag index stride in the per-bag key (key * stride + bag); bags < stride.
+BAG_STRIDE = 1009
 
 
 def _q(c: str) -> Column:
@@ -113,9 +115,8 @@ def oversample(df: DataFrame, key: str, label: str, seed: int = 0, out: str = "c
     extra copy for the first m % n rows in hash order.  Copies are numbered
     ``copy`` = 1..k (explode of a bounded sequence)."""
     cnt = df.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_n"))
-    mx = cnt.agg(F.max("_n").alias("_m"))
-    cnt = cnt.withColumn("_k", F.lit(1)).join(F.broadcast(mx.withColumn("_k", F.lit(1))), "_k") \
-             .drop("_k")
+    mx = df.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_n2")).select(F.max("_n2")).scalar()
+    cnt = cnt.withColumn("_m", mx)
     cnt = cnt.withColumn("_q", F.floor(F.col("_m") / F.col("_n")).cast("long")) \
              .withColumn("quota", F.pmod(F.col("_m"), F.col("_n")).cast("long"))
     sel = rank_select(df, [label], key, cnt.select(label, "quota"), seed, "_extra")
@@ -129,20 +130,17 @@ def balanced_bags(df: DataFrame, key: str, label: str, minority, bags: int = 3,
                   ratio: float = 1.0, seed: int = 100) -> DataFrame:
     """(bag, row) table; each bag holds every minority row and
     floor(ratio * n_minority) majority rows chosen by a per-bag hash."""
-    n_min = df.where(_q(label) == F.lit(minority)).agg(F.count(F.lit(1)).alias("n_min"))
-    maj = df.where(~(_q(label) == F.lit(minority)))
-    mins = df.where(_q(label) == F.lit(minority))
-    outs = []
-    for b in range(1, bags + 1):
-        q = n_min.select(F.lit(b).alias("bag"),
-                         F.floor(F.col("n_min") * F.lit(ratio)).cast("long").alias("quota"))
-        sel = rank_select(maj.withColumn("bag", F.lit(b)), ["bag"], key, q, seed + b, "_sel")
-        outs.append(sel.where(F.col("_sel")).drop("_sel"))
-        outs.append(mins.withColumn("bag", F.lit(b)))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.unionByName(o)
-    return res
+    spark = df.sparkSession
+    n_min = df.where(_q(label) == F.lit(minority)).select(F.count(F.lit(1))).scalar()
+    ids = F.sequence(F.lit(1), F.lit(bags))
+    maj = df.where(~(_q(label) == F.lit(minority))).withColumn("bag", F.explode(ids))
+    # per-bag ordering: hash of (key, bag), so every bag draws its own rows
+    maj = maj.withColumn("_bk", _q(key).cast("long") * F.lit(BAG_STRIDE) + F.col("bag"))
+    q = spark.range(1, bags + 1).select(F.col("id").cast("int").alias("bag"),
+                                        F.floor(n_min * F.lit(ratio)).cast("long").alias("quota"))
+    sel = rank_select(maj, ["bag"], "_bk", q, seed, "_sel").where(F.col("_sel")).drop("_sel", "_bk")
+    mins = df.where(_q(label) == F.lit(minority)).withColumn("bag", F.explode(ids))
+    return sel.unionByName(mins)
 
 
 def stage2_pool(df: DataFrame, split: str, label: str, train: str = "train",

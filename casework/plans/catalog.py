@@ -718,9 +718,9 @@ def prompt(spark, sf_dir):
     per_case = ex.groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("_ex"))
     per_case = per_case.select("case_id", F.transform("_ex", lambda x: x["block"]).alias("examples"))
-    guide = t.documents.where(F.col("source") == "src0").agg(F.min("doc_id").alias("guideline_id"))
-    base = ct.join(per_case, ct.o_orderkey == per_case.case_id, "left")
-    base = base.withColumn("_k", F.lit(1)).join(F.broadcast(guide.withColumn("_k", F.lit(1))), "_k")
+    guide = t.documents.where(F.col("source") == "src0").select(F.min("doc_id")).scalar()
+    base = ct.join(per_case, ct.o_orderkey == per_case.case_id, "left") \
+             .withColumn("guideline_id", guide)
     return base.select("o_orderkey", text.build_prompt(
         F.lit(None).cast("string"), "case_text",
         F.coalesce("examples", F.array().cast("array<string>")), "guideline_id",

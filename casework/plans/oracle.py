@@ -617,14 +617,15 @@ SELECT o_orderkey, label, CAST(g.copy AS BIGINT) AS copy FROM k, LATERAL (SELECT
 
 
 def _bags_sql() -> str:
-    parts = []
-    for b in (1, 2, 3):
-        parts.append(f"""SELECT {b} AS bag, o_orderkey, label FROM (
-  SELECT *, row_number() OVER (ORDER BY {_h('o_orderkey', 100 + b)}, o_orderkey) AS rn FROM ol WHERE label <> 'Avslag'), nm
-  WHERE rn <= floor(n_min * 1.0)
-UNION ALL SELECT {b}, o_orderkey, label FROM ol WHERE label = 'Avslag'""")
-    return f"WITH {_OL}, nm AS (SELECT count(*) AS n_min FROM ol WHERE label = 'Avslag')\n" + \
-        "\nUNION ALL\n".join(parts)
+    bk = "(o_orderkey * 1009 + bag)"
+    return f"""
+WITH {_OL}, nm AS (SELECT count(*) AS n_min FROM ol WHERE label = 'Avslag'),
+bags AS (SELECT unnest([1, 2, 3]) AS bag),
+mj AS (SELECT ol.*, bags.bag FROM ol, bags WHERE label <> 'Avslag'),
+r AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY {_h(bk, 100)}, {bk}) AS rn FROM mj)
+SELECT CAST(bag AS INTEGER) AS bag, o_orderkey, label FROM r, nm WHERE rn <= floor(n_min * 1.0)
+UNION ALL SELECT CAST(bag AS INTEGER), o_orderkey, label FROM ol, bags WHERE label = 'Avslag'
+"""
 
 
 ORACLE["balanced_bags"] = _bags_sql()
