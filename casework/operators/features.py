@@ -121,9 +121,11 @@ def zscore(df: DataFrame, cols: list[str], fit: DataFrame | None = None, suffix:
         return d.fillna(fill, subset=cols) if fill is not None else d
     fs = filled(src)
     out = filled(df)
-    for c in cols:  # statistics as scalar subqueries: no join, one tiny job each
-        out = out.withColumn(f"_m_{c}", fs.select(F.avg(_q(c))).scalar()) \
-                 .withColumn(f"_s_{c}", fs.select(F.stddev_pop(_q(c))).scalar())
+    # all statistics in one aggregate, attached as one (reused) scalar subquery
+    st = fs.select(F.struct(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                            *[F.stddev_pop(_q(c)).alias(f"s{i}") for i, c in enumerate(cols)])).scalar()
+    for i, c in enumerate(cols):
+        out = out.withColumn(f"_m_{c}", st[f"m{i}"]).withColumn(f"_s_{c}", st[f"s{i}"])
     for c in cols:
         s = F.when(F.col(f"_s_{c}") == 0, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
         out = out.withColumn(c + suffix, (_q(c) - F.col(f"_m_{c}")) / s)

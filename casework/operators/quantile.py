@@ -31,8 +31,11 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str] | None = None,
                     prob_col: str = "prob", out_col: str = "quantile") -> DataFrame:
     """(by..., prob, quantile) for every group with at least one non-null value."""
     by = list(by or [])
-    if not by:  # one global group: a constant key keeps every step an equi-join
-        q = exact_quantiles(df.withColumn("_all", F.lit(0)), value, ["_all"], probs,
+    if not by:
+        # one global group; the key is computed from a column so the optimizer
+        # keeps the joins as equi-joins (a literal key would be folded away)
+        key = F.regexp_replace(F.coalesce(_q(value).cast("string"), F.lit("")), "^.*$", "0")
+        q = exact_quantiles(df.withColumn("_all", key), value, ["_all"], probs,
                             buckets, prob_col, out_col)
         return q.drop("_all")
     g = [_q(c) for c in by]

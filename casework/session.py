@@ -25,6 +25,15 @@ _DEFAULTS = {
 }
 
 
+def _default_driver_memory() -> str:
+    """Local mode: 60 % of physical memory, at most 16 GB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+        return f"{max(1, min(16, int(total * 0.6 / 2**30)))}g"
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+
+
 def get_spark(master: str | None = None, app: str = "casework",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -39,7 +48,7 @@ def get_spark(master: str | None = None, app: str = "casework",
         builder = builder.master(master or f"local[{cpus}]")
     conf = dict(_DEFAULTS)
     # local mode: the driver JVM is the only executor
-    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
+    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", _default_driver_memory())
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf.update(extra or {})
     for k, v in conf.items():
