@@ -56,6 +56,34 @@ def forest_pipeline(features: list[str], label: str, trees: int = 50, depth: int
     return Pipeline(stages=[va, rf])
 
 
+def preprocess_stages(num_cols: list[str], cat_cols: list[str], out: str = "features") -> list:
+    """Category columns -> StringIndexer (unseen kept as an extra index) ->
+    OneHotEncoder (dropLast, so unseen/missing encode as all zeros) -> one
+    vector with the numeric columns.  Numeric fills come from
+    ``features.impute`` (exact medians) before the pipeline."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    idx = [f"{c}__idx" for c in cat_cols]
+    vec = [f"{c}__vec" for c in cat_cols]
+    stages = []
+    if cat_cols:
+        stages.append(StringIndexer(inputCols=cat_cols, outputCols=idx, handleInvalid="keep",
+                                    stringOrderType="alphabetAsc"))
+        # the indexer's extra "unseen" index is the last category, which dropLast removes
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True))
+    stages.append(VectorAssembler(inputCols=num_cols + vec, outputCol=out, handleInvalid="keep"))
+    return stages
+
+
+def preprocessed_forest(num_cols: list[str], cat_cols: list[str], label: str, trees: int = 50,
+                        depth: int = 8, weight: str | None = None, seed: int = 42) -> Pipeline:
+    """H2/H3 with G11 preprocessing (the two-stage models' input pipeline)."""
+    rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
+                                seed=seed)
+    if weight:
+        rf.setWeightCol(weight)
+    return Pipeline(stages=preprocess_stages(num_cols, cat_cols) + [rf])
+
+
 def gbt_pipeline(features: list[str], label: str, rounds: int = 600, depth: int = 5,
                  step: float = 0.05, subsample: float = 0.9, weight: str | None = None,
                  seed: int = 42) -> Pipeline:

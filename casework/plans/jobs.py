@@ -176,7 +176,7 @@ def two_stage_job(spark, sf_dir):
     inner = sample.stratified_split(train.drop("split"), "case_id", ["stage1"], 0.2, seed=2,
                                     names=("fit", "val"))
     fit1 = models.class_weights(inner.where(F.col("split") == "fit"), "y")
-    m1 = models.forest_pipeline(INPUTS, "y", 20, 6, weight="weight").fit(fit1)
+    m1 = models.preprocessed_forest(INPUTS, ["purpose"], "y", 20, 6, weight="weight").fit(fit1)
     v1 = models.score_reject(m1, inner.where(F.col("split") == "val"))
     v1 = v1.withColumn("pred1", F.col("prediction") == 1).withColumn("hit", F.col("y").cast("int"))
     t1 = evaluate.precision_threshold(v1, "p_reject", "hit", predicted="pred1", target=0.7).first()["threshold"]
@@ -184,9 +184,10 @@ def two_stage_job(spark, sf_dir):
     pool = sample.stage2_pool(train.withColumnRenamed("split", "s"), "s", "stage1", train="train")
     pool = features.label_encode(pool, ["policy_class"], vocab={"policy_class": classes}) \
         .withColumn("cls", F.col("policy_class_code").cast("double"))
-    m2 = models.forest_pipeline(INPUTS, "cls", 20, 5).fit(models.class_weights(pool, "cls"))
+    m2 = models.preprocessed_forest(INPUTS, ["purpose"], "cls", 20, 5, weight="weight") \
+        .fit(models.class_weights(pool, "cls"))
     th = [(1, clean.REJECT, t1, 0.7)]
-    pv = m2.transform(pool)
+    pv = m2.transform(pool.drop("weight"))
     cls2, p2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
     pv = pv.withColumn("c2", cls2).withColumn("p2", p2).withColumn("hit2", (F.col("c2") == F.col("policy_class")).cast("int"))
     t2 = evaluate.precision_threshold(pv, "p2", "hit2", by="c2", target=0.7,
@@ -196,7 +197,7 @@ def two_stage_job(spark, sf_dir):
     thr = spark.createDataFrame(th, THRESHOLD_SCHEMA)
     s1 = models.score_reject(m1, test).withColumn(
         "stage1_pred", F.when(F.col("prediction") == 1, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT)))
-    s2 = m2.transform(s1.drop("prediction"))
+    s2 = m2.transform(s1.drop("prediction", "purpose__idx", "purpose__vec"))
     c2, q2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
     s2 = s2.withColumn("stage2_class", c2).withColumn("stage2_p", q2)
     dec = policy.two_stage_decide(s2, thr)

@@ -189,3 +189,13 @@ def append_run(spark: SparkSession, path: str, run_id: str, record: dict) -> Non
     row = [(run_id, json.dumps(record, default=str, ensure_ascii=False))]
     spark.createDataFrame(row, "run_id string, record string") \
          .write.mode("append").parquet(path)
+
+
+def write_stats(df: DataFrame, path: str, table: str, partition: list[str] | None = None) -> None:
+    """Statistic tables (describe, frequencies, correlations, top-k) in
+    long form, one folder per table, partitioned by statistic columns."""
+    out = df.withColumn("stat_table", F.lit(table))
+    w = out.write.mode("overwrite")
+    if partition:
+        w = w.partitionBy(*partition)
+    w.parquet(f"{path.rstrip('/')}/{table}")

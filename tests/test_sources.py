@@ -70,3 +70,26 @@ def test_road_object_lookup_and_counts(spark):
         spark.createDataFrame([(1, "FV1 S1D1 m101"), (2, "FV1 S1D1 m601 K1"), (3, "FV1 S1D1")],
                               "case_id long, road_ref string"), pts, out="n").collect()}
     assert cnt == {1: 2, 2: 3, 3: 0}
+
+
+def test_write_stats_partitioned(spark):
+    d = tempfile.mkdtemp(prefix="cw-stats-")
+    df = spark.createDataFrame([("a", "mean", 1.0), ("b", "mean", 2.0)], "column_name string, stat string, v double")
+    C.write_stats(df, d, "describe", partition=["stat"])
+    back = spark.read.parquet(os.path.join(d, "describe"))
+    assert back.count() == 2 and "stat" in back.columns
+
+
+def test_preprocess_unseen_category(spark):
+    from casework.operators import features, models
+    train = spark.createDataFrame([(1.0, "A", 0.0), (None, "B", 1.0), (3.0, "A", 1.0)], "x double, c string, y double")
+    test = spark.createDataFrame([(2.0, "Z", 0.0), (2.0, None, 0.0)], train.schema)
+    stats = features.impute_stats(train, ["x"], ["c"])
+    tr = features.impute(train, ["x"], ["c"], stats)
+    te = features.impute(test, ["x"], ["c"], stats)
+    from pyspark.ml import Pipeline
+    pm = Pipeline(stages=models.preprocess_stages(["x"], ["c"])).fit(tr)
+    vecs = [r.features.toArray().tolist() for r in pm.transform(te).collect()]
+    assert vecs[0] == [2.0, 0.0, 0.0]          # unseen -> all zeros
+    assert vecs[1] == [2.0, 1.0, 0.0]          # missing -> most frequent 'A'
+    assert [r.x for r in tr.collect()][1] == 2.0  # exact median fill
