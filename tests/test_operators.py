@@ -161,3 +161,25 @@ def test_shuffle_partitions_do_not_change_results(spark):
         assert res[0] == res[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_similar_cases_with_hot_copies(spark):
+    rnd = random.Random(11)
+    rows = [(i, "A", "x", "G", 0.0, 0.0, 0.0) for i in range(1, 121)]          # 120 identical copies
+    rows += [(200 + i, "A", "x", rnd.choice(["G", "R"]), rnd.gauss(0, 1), rnd.gauss(0, 1), rnd.gauss(0, 1))
+             for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, s1 string, s2 string, lab string, a double, b double, c double")
+    got = similar.similar_cases(df, "id", "lab", "G", "s1", "s2", ["a", "b", "c"], k=2, max_brute=20)
+    got = {(r.case_id, r.rank): r.example_id for r in got.collect()}
+
+    def d(x, y):
+        return sum((x[j] - y[j]) ** 2 for j in range(4, 7))
+    want = {}
+    for q in rows:
+        cand = sorted((d(q, r), r[0]) for r in rows if r[0] != q[0] and r[3] == "G")[:2]
+        for i, (_, e) in enumerate(cand):
+            want[(q[0], i + 1)] = e
+    assert got == want
+    # the copies never reach the pairing step in bulk
+    kept = similar.limit_copies(df.select(F.col("id").alias("nid"), "a", "b", "c"), ["a", "b", "c"], "nid", 3)
+    assert kept.where("a = 0 AND b = 0 AND c = 0").count() == 3
