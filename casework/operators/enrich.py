@@ -52,8 +52,10 @@ def count_within(cases: DataFrame, points: DataFrame, case_key: str, case_pos: s
     """For every case row, the number of points on the same key whose
     position lies in [pos - radius, pos + radius] (inclusive).  Cases with a
     missing key or position, or no points, get 0.  Points with a NULL position
-    never count."""
-    bw = bucket_width or radius
+    never count.  The sort buckets default to radius / 8: a dense stretch of
+    one road is spread over more window partitions, while the per-bucket
+    offset table stays small (one row per non-empty bucket)."""
+    bw = bucket_width or radius / 8.0
     pts = (points.select(_q(point_key).alias("_key"), _q(point_pos).cast("double").alias("_pos"))
            .where(F.col("_key").isNotNull() & F.col("_pos").isNotNull())
            .groupBy("_key", "_pos").agg(F.count(F.lit(1)).cast("double").alias("_w")))
