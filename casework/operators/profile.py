@@ -15,7 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.operators.quantile import exact_quantiles, quantile_columns
+from casework.operators.quantile import quantile_columns
 
 
 def _q(c: str) -> Column:

@@ -784,6 +784,17 @@ def application_type(spark, sf_dir):
     return out.groupBy("decision", "application_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sparse_prune(spark, sf_dir):
+    """B7 + B10: per-outcome sparse-column prune (>= 10 non-null values in
+    every outcome group), after trimming the text cells."""
+    li = Tables(spark, sf_dir).lineitem
+    df = li.select(clean.binary_outcome(_decision()).alias("truth"), "l_orderkey", "l_quantity",
+                   F.concat(F.lit(" "), F.col("l_linestatus"), F.lit(" ")).alias("status_txt"),
+                   F.when(F.col("l_orderkey") < 3, F.lit("sjelden")).alias("rare_note"),
+                   F.when(F.col("l_returnflag") != "R", F.col("l_tax")).alias("approved_only"))
+    return clean.drop_sparse_columns(clean.trim_strings(df), min_non_null=10, by="truth")
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -801,6 +812,7 @@ def _registry() -> dict:
         "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
+        "sparse_prune",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -856,3 +856,11 @@ SELECT decision, CASE WHEN decision = 'Avslag' THEN coalesce(ov.application_type
        count(*) AS n
 FROM c LEFT JOIN ov ON c.archive_url = ov.archive_url GROUP BY ALL
 """
+
+# The two sparse columns (rare_note: a handful of rows; approved_only:
+# NULL in the whole reject group) are pruned, the others kept.
+ORACLE["sparse_prune"] = """
+SELECT CASE WHEN l_returnflag = 'R' THEN 'Avslag' ELSE 'Godkjent' END AS truth, l_orderkey, l_quantity,
+       trim(' ' || l_linestatus || ' ') AS status_txt
+FROM lineitem
+"""
