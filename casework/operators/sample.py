@@ -7,9 +7,9 @@ the same rows.
 
 Exact per-stratum quotas ("the m first rows of each stratum by (hash, key)")
 are chosen without a window over a whole stratum (a class can hold a third of
-all rows): counts per (stratum, hash value) - at most ``HASH_MOD`` rows per
-stratum - locate the boundary hash value, and only the rows of that one
-boundary value are ranked.
+all rows): counts per (stratum, hash value) - at most ``HASH_MOD`` (~1e6) rows
+per stratum - locate the boundary hash value, and only the rows of that one
+boundary value (about n / 1e6 of the stratum) are ranked.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed parameters of the arithmetic hash (prime modulus, Knuth multiplier).
-HASH_MOD = 10007
+HASH_MOD = 1000003
 HASH_MUL = 2654435761
 # Bag index stride in the per-bag key (key * stride + bag); bags < stride.
 BAG_STRIDE = 1009

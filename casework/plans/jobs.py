@@ -22,7 +22,7 @@ INPUTS = ["price_k", "acctbal_k", "days_h", "nation"]
 def model_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    noise = sample.hash_bucket("o_orderkey", 17) < 300          # ~3 % flipped labels
+    noise = sample.hash_bucket("o_orderkey", 17) < int(sample.HASH_MOD * 0.03)   # ~3 % flipped labels
     sig = (F.col("o_totalprice") > 250000) & (F.col("c_acctbal") < 2000)
     y = (sig != noise).cast("double")
     return o.select(F.col("o_orderkey").alias("case_id"),

@@ -565,9 +565,14 @@ SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_cus
 
 
 def _h(key: str, seed: int) -> str:
-    from casework.operators.sample import hash_params
+    from casework.operators.sample import HASH_MOD, hash_params
     a, b = hash_params(seed)
-    return f"((({key}) % 10007) * {a} + {b}) % 10007"
+    return f"((({key}) % {HASH_MOD}) * {a} + {b}) % {HASH_MOD}"
+
+
+def _u(key: str, seed: int) -> str:
+    from casework.operators.sample import HASH_MOD
+    return f"{_h(key, seed)} / {float(HASH_MOD)!r}"
 
 
 _OL = """
@@ -576,7 +581,7 @@ ol AS (SELECT o_orderkey, o_orderstatus, o_orderpriority,
 
 ORACLE["hash_split"] = f"""
 WITH {_OL}
-SELECT o_orderkey, CASE WHEN {_h('o_orderkey', 42)} / 10007.0 < 0.6 THEN 'train' ELSE 'test' END AS split FROM ol
+SELECT o_orderkey, CASE WHEN {_u('o_orderkey', 42)} < 0.6 THEN 'train' ELSE 'test' END AS split FROM ol
 """
 
 
@@ -606,7 +611,7 @@ WHERE (label = 'Avslag' AND rn <= n_min) OR (label <> 'Avslag' AND rn <= floor(n
 """
 
 ORACLE["oversample"] = f"""
-WITH {_OL}, tr AS (SELECT * FROM ol WHERE {_h('o_orderkey', 3)} / 10007.0 < 0.8),
+WITH {_OL}, tr AS (SELECT * FROM ol WHERE {_u('o_orderkey', 3)} < 0.8),
 c AS (SELECT label, count(*) AS n FROM tr GROUP BY label),
 m AS (SELECT max(n) AS mx FROM c),
 r AS (SELECT tr.*, row_number() OVER (PARTITION BY tr.label ORDER BY {_h('o_orderkey', 9)}, o_orderkey) AS rn,
@@ -633,7 +638,7 @@ ORACLE["balanced_bags"] = _bags_sql()
 ORACLE["stage2_pool"] = f"""
 WITH {_OL}
 SELECT o_orderkey, o_orderpriority FROM ol
-WHERE {_h('o_orderkey', 42)} / 10007.0 < 0.6 AND label = 'Tillatelse'
+WHERE {_u('o_orderkey', 42)} < 0.6 AND label = 'Tillatelse'
 """
 
 ORACLE["one_hot"] = """

@@ -86,6 +86,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     if not checkpoint_dir(spark):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
         import tempfile
         ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="casework-ckpt-"))
     return df.checkpoint(eager=True)
