@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casework.functions import clean, text
 from casework.operators import evaluate, models, policy, sample, similar
 from casework.session import materialize
+from casework.sources.cases import append_run, export_ordered, write_thresholds
 from casework.sources.tables import Tables
 
 INPUTS = ["price_k", "acctbal_k", "days_h", "nation"]
@@ -201,8 +202,26 @@ def two_stage_job(spark, sf_dir):
     c2, q2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
     s2 = s2.withColumn("stage2_class", c2).withColumn("stage2_p", q2)
     dec = policy.two_stage_decide(s2, thr)
-    return dec.select("case_id", "truth", "stage1_pred", "p_reject", "stage2_class", "stage2_p",
-                      "auto_decision", "decision_conf")
+    _store_artifacts(spark, m1, m2, thr, policy.policy_metrics(dec, "auto_decision", "truth"))
+    # Id, truth, decision, confidence, stage-1 output, then the features
+    return export_ordered(dec.select("case_id", "truth", "auto_decision", "decision_conf", "stage1_pred",
+                                     "p_reject", "stage2_class", "stage2_p", *INPUTS),
+                          ["case_id", "truth", "auto_decision", "decision_conf", "stage1_pred"])
+
+
+def _store_artifacts(spark, m1, m2, thresholds, metrics) -> str:
+    """H15 store step: models (A11), thresholds (A9) and a run record (A10)
+    under one run folder in the session's checkpoint folder."""
+    import uuid
+    from casework.session import checkpoint_dir
+    materialize(spark.range(1))  # ensures a checkpoint folder is named
+    run = f"{checkpoint_dir(spark).rstrip('/')}/runs/two_stage-{uuid.uuid4().hex[:12]}"
+    m1.write().overwrite().save(f"{run}/stage1")
+    m2.write().overwrite().save(f"{run}/stage2")
+    write_thresholds(thresholds, f"{run}/thresholds")
+    rec = metrics.first().asDict()          # one row of policy numbers
+    append_run(spark, f"{run}/../log", run.rsplit("/", 1)[-1], rec)
+    return run
 
 
 def stream(spark, sf_dir):
