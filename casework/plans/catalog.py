@@ -795,6 +795,35 @@ def sparse_prune(spark, sf_dir):
     return clean.drop_sparse_columns(clean.trim_strings(df), min_non_null=10, by="truth")
 
 
+def quality_report(spark, sf_dir):
+    """D19/D20 on the labelled documents: a length rule as the prediction of
+    the quality label (labels x documents)."""
+    from casework.operators import evaluate
+    t = Tables(spark, sf_dir)
+    df = t.labels.join(t.documents.select("doc_id", "n_chars"), "doc_id")
+    df = df.select(F.col("quality").cast("string").alias("truth"),
+                   F.when(F.col("n_chars") >= 1500, F.lit("1")).otherwise(F.lit("0")).alias("pred"))
+    return evaluate.class_report(df, "truth", "pred")
+
+
+EMB_DIM = 64
+
+
+def similar_embeddings(spark, sf_dir):
+    """C8/E1 on vectors: the three nearest embeddings with the same label
+    (exact grid-pruned search, grid forced by a low direct-scan limit)."""
+    from casework.operators import similar
+    e = Tables(spark, sf_dir).embeddings
+    feats = [f"e{i}" for i in range(EMB_DIM)]
+    cols = [F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(feats)]
+    base = e.select("vec_id", F.col("label").cast("string").alias("seg"), *cols)
+    q = base.select(F.col("vec_id").alias("qid"), "seg", *[F.col(f).alias("q_" + f) for f in feats])
+    p = base.select(F.col("vec_id").alias("nid"), "seg", *[F.col(f).alias("p_" + f) for f in feats])
+    out = similar.knn(q, p, feats, 3, max_brute=20)
+    return out.select(F.col("qid").alias("vec_id"), F.col("nid").alias("neighbor_id"),
+                      F.round("dist", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -812,7 +841,7 @@ def _registry() -> dict:
         "balanced_bags", "stage2_pool", "one_hot", "one_hot_unseen", "label_encode", "zscore",
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
-        "sparse_prune",
+        "sparse_prune", "quality_report", "similar_embeddings",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -869,3 +869,23 @@ SELECT CASE WHEN l_returnflag = 'R' THEN 'Avslag' ELSE 'Godkjent' END AS truth,
        trim(' ' || l_linestatus || ' ') AS status_txt
 FROM lineitem
 """
+
+ORACLE["quality_report"] = f"""
+WITH d AS (SELECT CAST(l.quality AS VARCHAR) AS truth, CASE WHEN d.n_chars >= 1500 THEN '1' ELSE '0' END AS pred
+           FROM labels l JOIN documents d ON l.doc_id = d.doc_id), {_report_sql('d', 'truth', 'pred')}
+"""
+
+
+def _emb_sql() -> str:
+    dist = " + ".join(f"(CAST(q.embedding[{i + 1}] AS DOUBLE) - CAST(p.embedding[{i + 1}] AS DOUBLE)) * "
+                      f"(CAST(q.embedding[{i + 1}] AS DOUBLE) - CAST(p.embedding[{i + 1}] AS DOUBLE))"
+                      for i in range(64))
+    return f"""
+WITH pairs AS (SELECT q.vec_id, p.vec_id AS neighbor_id, {dist} AS dist
+               FROM embeddings q JOIN embeddings p ON q.label = p.label AND q.vec_id <> p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbor_id) AS rank FROM pairs)
+SELECT vec_id, neighbor_id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
+"""
+
+
+ORACLE["similar_embeddings"] = _emb_sql()
