@@ -824,6 +824,25 @@ def similar_embeddings(spark, sf_dir):
                       F.round("dist", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
 
+def annotated_counts(spark, sf_dir):
+    """B5 + D4: merged cases that carry an annotation, counted per value."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    merged = annotate.merge_annotations(base, ann, ["case_id"], "difficulty", "event_id")
+    return profile.value_counts(merged.where(clean.has_label("difficulty")), "difficulty")
+
+
+def reject_rate(spark, sf_dir):
+    """Numeric reject target from both reject spellings, rate per priority."""
+    o = Tables(spark, sf_dir).orders
+    dec = (F.when(F.col("o_orderstatus") == "F", F.lit("Avslag"))
+           .when(F.col("o_orderstatus") == "P", F.lit("Avslag etter klage "))
+           .otherwise(F.lit("Varig tillatelse")))
+    df = o.select("o_orderpriority", clean.reject_flag(dec).alias("y"))
+    return df.groupBy("o_orderpriority").agg(F.sum("y").cast("long").alias("n_reject"),
+                                             F.round(F.avg("y"), 6).alias("reject_rate"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -842,6 +861,7 @@ def _registry() -> dict:
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
         "sparse_prune", "quality_report", "similar_embeddings",
+        "annotated_counts", "reject_rate",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -889,3 +889,17 @@ SELECT vec_id, neighbor_id, round(dist, 6) AS distance, CAST(rank AS INTEGER) AS
 
 
 ORACLE["similar_embeddings"] = _emb_sql()
+
+ORACLE["annotated_counts"] = f"""
+WITH {_ANN},
+merged AS (SELECT b.case_id, p.difficulty FROM base b LEFT JOIN per_key p ON b.case_id = p.case_id)
+SELECT difficulty, count(*) AS n FROM merged
+WHERE difficulty IS NOT NULL AND trim(difficulty) <> '' GROUP BY difficulty
+"""
+
+ORACLE["reject_rate"] = """
+WITH d AS (SELECT o_orderpriority,
+  CASE WHEN (CASE WHEN o_orderstatus = 'F' THEN 'Avslag' WHEN o_orderstatus = 'P' THEN 'Avslag etter klage '
+                  ELSE 'Varig tillatelse' END) IN ('Avslag', 'Avslag etter klage ') THEN 1 ELSE 0 END AS y FROM orders)
+SELECT o_orderpriority, CAST(sum(y) AS BIGINT) AS n_reject, round(avg(y), 6) AS reject_rate FROM d GROUP BY 1
+"""
