@@ -46,11 +46,30 @@ def lookup_attribute(cases: DataFrame, objects: DataFrame, case_key: str, obj_ke
     return j.withColumn(out, F.coalesce(_q(out), F.lit(default)))
 
 
+def _with_exact_bound(df: DataFrame, m: str, r: float, upper: bool, out: str) -> DataFrame:
+    """Adds ``out`` = the extreme double x with ``abs(x - m) <= r`` evaluated
+    in floating point (upper: largest x, else smallest x).
+
+    ``x - m`` rounds monotonically in x, so that set is an interval whose end
+    lies within a few ulps of ``m + r`` (``m - r``).  The candidates step by
+    half an ulp over that neighbourhood, and the test keeps the last one that
+    still passes, so the prefix-sum count equals a direct ``abs`` test.  The
+    start and the step are columns of their own, which keeps the generated
+    code small."""
+    t = F.col(m) + F.lit(r) if upper else F.col(m) - F.lit(r)
+    d = df.withColumn("_t", t).withColumn(
+        "_u", F.pow(F.lit(2.0), F.floor(F.log2(F.abs(F.col("_t")) + F.lit(1e-300))) - F.lit(53.0)))
+    cands = [F.col("_t") + F.lit(float(k)) * F.col("_u") for k in range(-8, 9)]
+    ok = [F.when(F.abs(c - F.col(m)) <= F.lit(r), c) for c in cands]
+    return d.withColumn(out, F.greatest(*ok) if upper else F.least(*ok)).drop("_t", "_u")
+
+
 def count_within(cases: DataFrame, points: DataFrame, case_key: str, case_pos: str,
                  point_key: str, point_pos: str, radius: float = 500.0, out: str = "n_within",
                  bucket_width: float | None = None) -> DataFrame:
     """For every case row, the number of points on the same key whose
-    position lies in [pos - radius, pos + radius] (inclusive).  Cases with a
+    position x satisfies ``abs(x - pos) <= radius`` (inclusive, in floating
+    point: the interval ends are found exactly, see ``_with_exact_bound``).  Cases with a
     missing key or position, or no points, get 0.  Points with a NULL position
     never count.  The sort buckets default to radius / 8: a dense stretch of
     one road is spread over more window partitions, while the per-bucket
@@ -61,10 +80,11 @@ def count_within(cases: DataFrame, points: DataFrame, case_key: str, case_pos: s
            .groupBy("_key", "_pos").agg(F.count(F.lit(1)).cast("double").alias("_w")))
     q = (cases.select(_q(case_key).alias("_key"), _q(case_pos).cast("double").alias("_m"))
          .where(F.col("_key").isNotNull() & F.col("_m").isNotNull()).distinct())
+    q = _with_exact_bound(q, "_m", radius, True, "_hi")
+    q = _with_exact_bound(q, "_m", radius, False, "_lo")
     bounds = q.select("_key", "_m", F.explode(F.array(
-        F.struct((F.col("_m") + F.lit(radius)).alias("_pos"), F.lit(False).alias("_strict"),
-                 F.lit(1).alias("_sign")),
-        F.struct((F.col("_m") - F.lit(radius)).alias("_pos"), F.lit(True).alias("_strict"),
+        F.struct(F.col("_hi").alias("_pos"), F.lit(False).alias("_strict"), F.lit(1).alias("_sign")),
+        F.struct(F.col("_lo").alias("_pos"), F.lit(True).alias("_strict"),
                  F.lit(-1).alias("_sign")))).alias("b")).select(
         "_key", "_m", "b._pos", "b._strict", "b._sign")
     bounds = bounds.withColumn("_qid", F.struct("_key", "_m", "_sign"))

@@ -397,7 +397,9 @@ def count_events_nearby(spark, sf_dir):
     """C5 on time: events of the same user within +-60 s of each event."""
     from casework.operators import enrich
     ev = Tables(spark, sf_dir).events.select(
-        "event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("sec"))
+        "event_id", "user_id",
+        (F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
+         / 1e6).alias("sec"))
     out = enrich.count_within(ev, ev, "user_id", "sec", "user_id", "sec", 60.0)
     return out.select("event_id", "user_id", "n_within")
 

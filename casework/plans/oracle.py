@@ -454,16 +454,14 @@ FROM part p LEFT JOIN first f ON p.p_partkey = f.l_partkey
 ORACLE["count_within"] = """
 SELECT c.l_orderkey, c.l_linenumber, c.l_partkey, c.l_extendedprice,
   (SELECT count(*) FROM lineitem p WHERE p.l_partkey = c.l_partkey
-     AND p.l_extendedprice <= c.l_extendedprice + 500.0
-     AND NOT (p.l_extendedprice < c.l_extendedprice - 500.0)) AS n_within
+     AND abs(p.l_extendedprice - c.l_extendedprice) <= 500.0) AS n_within
 FROM lineitem c
 """
 
 ORACLE["count_events_nearby"] = """
 WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec FROM events)
 SELECT c.event_id, c.user_id,
-  (SELECT count(*) FROM e p WHERE p.user_id = c.user_id AND p.sec <= c.sec + 60.0
-     AND NOT (p.sec < c.sec - 60.0)) AS n_within
+  (SELECT count(*) FROM e p WHERE p.user_id = c.user_id AND abs(p.sec - c.sec) <= 60.0) AS n_within
 FROM e c
 """
 
