@@ -22,7 +22,12 @@ INPUTS = ["price_k", "acctbal_k", "days_h", "nation"]
 
 def model_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return cases_from(t.orders, t.customer)
+
+
+def cases_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """Case rows from orders (batch or stream) and the customer table."""
+    o = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
     noise = sample.hash_bucket("o_orderkey", 17) < int(sample.HASH_MOD * 0.03)   # ~3 % flipped labels
     sig = (F.col("o_totalprice") > 250000) & (F.col("c_acctbal") < 2000)
     y = (sig != noise).cast("double")
@@ -229,13 +234,16 @@ def stream(spark, sf_dir):
     import uuid
     from casework.session import checkpoint_dir
     from casework.streaming.score_stream import score_stream
-    df = model_cases(spark, sf_dir)
-    m = models.forest_pipeline(INPUTS, "y", 20, 5).fit(df)
+    t = Tables(spark, sf_dir)
+    m = models.forest_pipeline(INPUTS, "y", 20, 5).fit(model_cases(spark, sf_dir))
     materialize(spark.range(1))  # ensures a checkpoint folder exists
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(f"{base}/in")
-    return score_stream(spark, f"{base}/in", df.schema, m, f"{base}/out", f"{base}/ckpt",
-                        keep=["case_id", "y"])
+    # the order files are the arriving cases; customers are a static table
+    # (stream-static join), so nothing is copied before scoring
+    customer = t.customer
+    return score_stream(spark, sf_dir, t.orders.schema, m, f"{base}/out", f"{base}/ckpt",
+                        prepare=lambda s: cases_from(s, customer), keep=["case_id", "y"],
+                        file_filter="orders.parquet")
 
 
 MODEL_QUERIES = {

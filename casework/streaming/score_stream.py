@@ -19,9 +19,15 @@ from casework.ml_helpers import p_reject_column
 
 
 def score_stream(spark: SparkSession, in_dir: str, schema: T.StructType, model: PipelineModel,
-                 out_dir: str, checkpoint: str, prepare=None, keep: list[str] | None = None) -> DataFrame:
-    """Run the scoring stream to completion; return the written result."""
-    src = spark.readStream.schema(schema).parquet(in_dir)
+                 out_dir: str, checkpoint: str, prepare=None, keep: list[str] | None = None,
+                 file_filter: str | None = None) -> DataFrame:
+    """Run the scoring stream to completion; return the written result.
+    ``in_dir`` is the folder cases arrive in; ``file_filter`` (a glob) picks
+    the case files inside it."""
+    reader = spark.readStream.schema(schema)
+    if file_filter:
+        reader = reader.option("pathGlobFilter", file_filter)
+    src = reader.parquet(in_dir)
     df = prepare(src) if prepare else src
     scored = model.transform(df)
     p = p_reject_column(scored)
