@@ -38,3 +38,23 @@ def test_adasyn_quota_and_range(spark):
     n_syn = syn.count()
     assert abs(n_syn - (int(n_maj * 0.5) - n_min)) <= max(5, n_min)  # rint per row
     assert syn.where("case_id >= 0").count() == 0
+
+
+def test_reject_model_outputs_consistent(spark):
+    sc = jobs.reject_model(spark, SF).collect()
+    assert sc and all(0.0 <= r.p_reject <= 1.0 for r in sc)
+    assert all(r.percent == round(r.p_reject * 100 + 1e-12, 1) or abs(r.percent - r.p_reject * 100) <= 0.05
+               for r in sc)
+    bands = {"lav sannsynlighet for avslag": (0, 5), "medium sannsynlighet for avslag": (5, 50),
+             "høy sannsynlighet for avslag": (50, 101)}
+    assert all(bands[r.band][0] <= r.percent < bands[r.band][1] for r in sc)
+    imp = jobs.importances(spark, SF).collect()
+    assert len(imp) == 10 and [r.rank for r in imp] == list(range(1, 11))
+    assert all(imp[i].importance >= imp[i + 1].importance for i in range(9))
+
+
+def test_difficulty_threshold_rule(spark):
+    m, test, thr = jobs._difficulty(spark, SF, rounds=5)
+    assert 0.1 <= thr <= 0.9
+    out = models.score_difficulty(m, test, jobs.INPUTS, thr).collect()
+    assert all((r.difficulty_pred == "Vanskelig") == (r.p_difficult >= thr) for r in out)
