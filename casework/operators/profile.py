@@ -15,6 +15,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.operators.joins import broadcast_if_small
 from casework.operators.quantile import quantile_columns
 
 
@@ -250,8 +251,8 @@ def kde_grid(df: DataFrame, value: str, by: list[str], gridsize: int = 200,
     st = st.withColumn("_g0", F.col("_mn") - F.lit(cut) * F.col("_h")).withColumn(
         "_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_h")) / F.lit(gridsize - 1))
     dv = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # one row per group: broadcast (bounded by the number of groups)
-    j = dv.join(F.broadcast(st.select(*by, "_n", "_h", "_g0", "_step")), by)
+    # one row per group: broadcast when the number of groups is proven small
+    j = dv.join(broadcast_if_small(st.select(*by, "_n", "_h", "_g0", "_step")), by)
     lo = F.greatest(F.ceil((F.col("_v") - F.lit(reach) * F.col("_h") - F.col("_g0")) / F.col("_step")),
                     F.lit(0)).cast("int")
     hi = F.least(F.floor((F.col("_v") + F.lit(reach) * F.col("_h") - F.col("_g0")) / F.col("_step")),
