@@ -845,6 +845,21 @@ def reject_rate(spark, sf_dir):
                                              F.round(F.avg("y"), 6).alias("reject_rate"))
 
 
+def count_within_ref(spark, sf_dir):
+    """B28 + C5 end to end: cases carry a linear reference text
+    ('P<part> S1D1 m<price>', every 5th with a ' K1' suffix), points are
+    (road, meter) rows; the reference is parsed and points within 500 m are
+    counted."""
+    from casework.operators import enrich
+    li = Tables(spark, sf_dir).lineitem
+    road = F.concat(F.lit("P"), F.col("l_partkey").cast("string"), F.lit(" S1D1"))
+    ref = F.concat(road, F.lit(" m"), F.col("l_extendedprice").cast("string"),
+                   F.when(F.col("l_linenumber") == 5, F.lit(" K1")).otherwise(F.lit("")))
+    cases = li.select("l_orderkey", "l_linenumber", ref.alias("road_ref"))
+    points = li.select(road.alias("road"), F.col("l_extendedprice").alias("meter"))
+    return enrich.count_within_ref(cases, points, "road_ref", 500.0)
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -863,7 +878,7 @@ def _registry() -> dict:
         "interactions3", "impute_stats", "impute", "similar_cases", "reject_examples",
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
         "sparse_prune", "quality_report", "similar_embeddings",
-        "annotated_counts", "reject_rate",
+        "annotated_counts", "reject_rate", "count_within_ref",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -901,3 +901,16 @@ WITH d AS (SELECT o_orderpriority,
                   ELSE 'Varig tillatelse' END) IN ('Avslag', 'Avslag etter klage ') THEN 1 ELSE 0 END AS y FROM orders)
 SELECT o_orderpriority, CAST(sum(y) AS BIGINT) AS n_reject, round(avg(y), 6) AS reject_rate FROM d GROUP BY 1
 """
+
+ORACLE["count_within_ref"] = """
+WITH c AS (
+  SELECT l_orderkey, l_linenumber,
+    'P' || CAST(l_partkey AS VARCHAR) || ' S1D1 m' || CAST(l_extendedprice AS VARCHAR)
+      || CASE WHEN l_linenumber = 5 THEN ' K1' ELSE '' END AS road_ref FROM lineitem),
+p AS (SELECT 'P' || CAST(l_partkey AS VARCHAR) || ' S1D1' AS road, l_extendedprice AS meter FROM lineitem),
+cp AS (SELECT *, split_part(road_ref, ' m', 1) AS road,
+              TRY_CAST(nullif(regexp_extract(road_ref, ' m([0-9.]+)', 1), '') AS DOUBLE) AS m FROM c)
+SELECT l_orderkey, l_linenumber, road_ref,
+  (SELECT count(*) FROM p WHERE p.road = cp.road AND abs(p.meter - cp.m) <= 500.0) AS n_within
+FROM cp
+"""
