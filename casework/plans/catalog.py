@@ -860,6 +860,27 @@ def count_within_ref(spark, sf_dir):
     return enrich.count_within_ref(cases, points, "road_ref", 500.0)
 
 
+def lookup_by_reference(spark, sf_dir):
+    """A12 + B29 + C4 on a road-object snapshot built from orders: each
+    order is an object of type 540 with one property and one reference on
+    its customer's 'road'; each customer is a case on that road.  The case
+    gets the property of the first object (by order key); none -> ''."""
+    from casework.operators import enrich
+    t = Tables(spark, sf_dir)
+    o = t.orders
+    objects = o.select(
+        F.lit(540).alias("object_type"), F.col("o_orderkey").alias("object_id"),
+        F.col("o_orderkey").alias("ord"),
+        F.array(F.struct(F.lit("Prioritet").alias("name"), F.col("o_orderpriority").alias("value")))
+        .alias("properties"),
+        F.array(F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("road"),
+                         F.lit(0.0).alias("meter"))).alias("references"))
+    cases = t.customer.select("c_custkey",
+                              F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(" m0"))
+                              .alias("road_ref"))
+    return enrich.lookup_by_reference(cases, objects, 540, "Prioritet", "priority")
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -879,6 +900,7 @@ def _registry() -> dict:
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
         "sparse_prune", "quality_report", "similar_embeddings",
         "annotated_counts", "reject_rate", "count_within_ref",
+        "lookup_by_reference",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -914,3 +914,9 @@ SELECT l_orderkey, l_linenumber, road_ref,
   (SELECT count(*) FROM p WHERE p.road = cp.road AND abs(p.meter - cp.m) <= 500.0) AS n_within
 FROM cp
 """
+
+ORACLE["lookup_by_reference"] = """
+WITH first AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS pr FROM orders GROUP BY o_custkey)
+SELECT c.c_custkey, 'C' || CAST(c.c_custkey AS VARCHAR) || ' m0' AS road_ref, coalesce(f.pr, '') AS priority
+FROM customer c LEFT JOIN first f ON c.c_custkey = f.o_custkey
+"""
