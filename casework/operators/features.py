@@ -113,7 +113,7 @@ def zscore(df: DataFrame, cols: list[str], fit: DataFrame | None = None, suffix:
            fill: float | None = 0.0) -> DataFrame:
     """(x - mean) / population std, statistics from ``fit`` (default: the
     same rows); zero variance -> scale 1.  NULLs are filled with ``fill`` first
-    (the reference fills 0 before scaling).  One aggregate; its one-row result
+    (missing features count as 0).  One aggregate; its one-row result
     is attached as scalar subqueries."""
     src = fit if fit is not None else df
 
