@@ -97,7 +97,7 @@ def quantile_columns(df: DataFrame, value: str, by: list[str] | None, probs,
 
 def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str,
                 weights: list[str], qid: str, strict: str | None = None,
-                bucket_width: float = 500.0) -> DataFrame:
+                bucket_width: float = 500.0, target_rows: int = 2_000_000) -> DataFrame:
     """For each query row: sum of point weights with the same keys and
     ``point.pos <= query.pos`` (``< `` when the query's ``strict`` flag is true).
 
@@ -105,6 +105,12 @@ def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str
     per-bucket totals (one row per non-empty bucket) give each bucket's
     offset, and a running sum inside the bucket finishes the count.  Output:
     (qid, weights...).  No point pairs are materialised.
+
+    A bucket with more than ``target_rows`` rows (one hot key and a dense
+    stretch) is cut further at approximate quantiles of its positions
+    (``percentile_approx``, bounded memory): the cut points only balance the
+    work, the sums stay exact because the order (bucket, part, position) is
+    still the position order.
     """
     wcols = list(weights)
     p = points.select(*[_q(k) for k in keys], _q(pos).cast("double").alias("_pos"),
@@ -122,14 +128,36 @@ def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str
                    *[F.lit(0.0).alias(w) for w in wcols])
     u = p.select(*keys, "_pos", "_qid", "_tie", *wcols).unionByName(qs)
     u = u.withColumn("_b", F.floor(F.col("_pos") / F.lit(float(bucket_width))).cast("long"))
-    bt = u.groupBy(*keys, "_b").agg(*[F.sum(w).alias("_t_" + w) for w in wcols])
-    wb = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*keys, "_b", *[F.coalesce(F.sum("_t_" + w).over(wb), F.lit(0.0))
-                                  .alias("_o_" + w) for w in wcols])
-    wi = Window.partitionBy(*keys, "_b").orderBy("_pos", "_tie").rowsBetween(
+    u = _split_hot_buckets(u, keys, target_rows)
+    parts = keys + ["_b", "_s"]
+    bt = u.groupBy(*parts).agg(*[F.sum(w).alias("_t_" + w) for w in wcols])
+    wb = Window.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    bt = bt.select(*parts, *[F.coalesce(F.sum("_t_" + w).over(wb), F.lit(0.0))
+                             .alias("_o_" + w) for w in wcols])
+    wi = Window.partitionBy(*parts).orderBy("_pos", "_tie").rowsBetween(
         Window.unboundedPreceding, 0)
-    run = u.select(*keys, "_b", "_qid", *[F.sum(w).over(wi).alias("_r_" + w) for w in wcols])
+    run = u.select(*parts, "_qid", *[F.sum(w).over(wi).alias("_r_" + w) for w in wcols])
     run = run.where(F.col("_qid").isNotNull())
-    out = run.join(bt, keys + ["_b"])
+    out = run.join(bt, parts)
     return out.select(F.col("_qid").alias(qid),
                       *[(F.col("_o_" + w) + F.col("_r_" + w)).alias(w) for w in wcols])
+
+
+def _split_hot_buckets(u: DataFrame, keys: list[str], target_rows: int) -> DataFrame:
+    """Adds ``_s``: 0, or for a bucket above ``target_rows`` rows the number of
+    its approximate quantile cut points (999 per hot bucket, so each part
+    holds about a thousandth of it) at or below the row's position."""
+    from casework.operators.joins import broadcast_if_small
+    cnt = u.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    hot = cnt.where(F.col("_n") > F.lit(target_rows))
+    if hot.isEmpty():
+        return u.withColumn("_s", F.lit(0).cast("long"))
+    hot = broadcast_if_small(hot)
+    n_parts = 1000
+    probs = F.array(*[F.lit(i / n_parts) for i in range(1, n_parts)])
+    rows = u.join(hot.select(*keys, "_b", "_n"), keys + ["_b"], "left_semi")
+    cuts = rows.groupBy(*keys, "_b").agg(F.percentile_approx("_pos", probs, 10000).alias("_cuts"))
+    cuts = cuts.select(*keys, "_b", F.array_distinct("_cuts").alias("_cuts"))
+    j = u.join(broadcast_if_small(cuts), keys + ["_b"], "left")
+    s = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_pos"))), F.lit(0))
+    return j.withColumn("_s", F.greatest(s, F.lit(0)).cast("long")).drop("_cuts")

@@ -37,3 +37,20 @@ def test_stratified_split_hot_stratum(spark):
     assert out.count() == len(data)                                  # whole: every row kept
     cnt = {r.s: r["count"] for r in out.where(F.col("split") == "test").groupBy("s").count().collect()}
     assert cnt["hot"] == 750
+
+
+def test_prefix_sums_split_hot_bucket(spark):
+    """A bucket far above the row target is cut at approximate quantiles;
+    the counts stay exact."""
+    from casework.operators.quantile import prefix_sums
+    rnd = random.Random(9)
+    pts = [("K", round(rnd.uniform(0, 100), 3)) for _ in range(400)] + [("K", 50.0)] * 50
+    qs = [(i, "K", round(rnd.uniform(-5, 105), 3), bool(i % 2)) for i in range(60)]
+    p = spark.createDataFrame(pts, "k string, x double").groupBy("k", "x").count() \
+             .withColumn("w", F.col("count").cast("double"))
+    q = spark.createDataFrame(qs, "id long, k string, x double, strict boolean")
+    got = {r.id: r.w for r in prefix_sums(p, q, ["k"], "x", ["w"], "id", strict="strict",
+                                            bucket_width=1000.0, target_rows=20).collect()}
+    for i, k, x, strict in qs:
+        want = sum(1 for kk, xx in pts if kk == k and (xx < x if strict else xx <= x))
+        assert got[i] == want, (i, x, strict)
