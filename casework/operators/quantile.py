@@ -8,8 +8,9 @@ values into one aggregation buffer:
 2. split each group's value range into ``buckets`` equal-width bins and sum
    counts per bin (<= ``buckets`` rows per group);
 3. cumulative bin counts locate the bin that holds each target rank;
-4. only those bins are ranked (window over (group, bin)), and the two values
-   around each target rank are interpolated.
+4. those bins are cut into ``buckets`` sub-bins the same way, and only the
+   sub-bins that hold a target rank are ranked (window over (group, bin,
+   sub-bin)); the two values around each target rank are interpolated.
 
 ``prefix_sums`` answers "sum of weights of points at or below a position"
 for many query positions in one sort-based pass (no point pairs emitted);
@@ -68,15 +69,30 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str] | None = None,
     rb = ranks.join(btot, by).where(
         (F.col("k") >= F.col("_bstart")) & (F.col("k") < F.col("_bend")))
     rb = rb.select(*by, prob_col, "side", "k", "_b", "_bstart")
-    # rank values only inside the bins that hold a target
+    # second level: the bins that hold a target are cut into ``buckets``
+    # sub-bins the same way, so only 1/buckets^2 of the value range is ranked
     need = rb.select(*by, "_b").distinct()
-    inb = binned.select(*by, "_b", "_v", "_c").join(need, by + ["_b"], "left_semi")
-    wv = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inb = inb.withColumn("_vend", F.sum("_c").over(wv)).withColumn(
+    inb = binned.select(*by, "_b", "_v", "_c", "_lo").join(need, by + ["_b"], "left_semi") \
+                .join(stats.select(*by, "_hi"), by)
+    sw = (F.col("_hi") - F.col("_lo")) / F.lit(buckets) / F.lit(buckets)
+    b_lo = F.col("_lo") + F.col("_b") * (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
+    inb = inb.withColumn("_sb", F.when(sw > 0, F.least(F.greatest(
+        F.floor((F.col("_v") - b_lo) / sw), F.lit(0)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
+    stot = inb.groupBy(*by, "_b", "_sb").agg(F.sum("_c").alias("_sc"))
+    ws = Window.partitionBy(*by, "_b").orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
+    stot = stot.withColumn("_send", F.sum("_sc").over(ws)).withColumn(
+        "_sstart", F.col("_send") - F.col("_sc"))
+    rs = rb.join(stot, by + ["_b"]).where(
+        (F.col("k") - F.col("_bstart") >= F.col("_sstart")) &
+        (F.col("k") - F.col("_bstart") < F.col("_send")))
+    rs = rs.select(*by, prob_col, "side", "k", "_b", "_bstart", "_sb", "_sstart")
+    need2 = rs.select(*by, "_b", "_sb").distinct()
+    in2 = inb.select(*by, "_b", "_sb", "_v", "_c").join(need2, by + ["_b", "_sb"], "left_semi")
+    wv = Window.partitionBy(*by, "_b", "_sb").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    in2 = in2.withColumn("_vend", F.sum("_c").over(wv)).withColumn(
         "_vstart", F.col("_vend") - F.col("_c"))
-    hit = rb.join(inb, by + ["_b"]).where(
-        (F.col("k") - F.col("_bstart") >= F.col("_vstart")) &
-        (F.col("k") - F.col("_bstart") < F.col("_vend")))
+    off = F.col("k") - F.col("_bstart") - F.col("_sstart")
+    hit = rs.join(in2, by + ["_b", "_sb"]).where((off >= F.col("_vstart")) & (off < F.col("_vend")))
     piv = hit.groupBy(*by, prob_col).agg(
         F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_v0"),
         F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_v1"))
