@@ -40,3 +40,32 @@ def test_exact_quantiles_equal_pandas(spark, vals):
         for p in probs:
             want = sub.v.quantile(p)
             assert abs(got[(g, p)] - want) <= 1e-9 * max(1.0, abs(want))
+
+
+labels = st.lists(st.tuples(st.sampled_from(["A", "B", "C"]), st.sampled_from(["A", "B", "D"])),
+                  min_size=1, max_size=50)
+
+
+@settings(max_examples=6, deadline=None)
+@given(pairs=labels)
+def test_class_report_equals_manual(spark, pairs):
+    from casework.operators import evaluate
+    df = spark.createDataFrame(pairs, "t string, p string")
+    got = {r.label: r for r in evaluate.class_report(df, "t", "p").collect()}
+    labs = sorted({t for t, _ in pairs} | {p for _, p in pairs})
+    n = len(pairs)
+    precs, recs, f1s, sups = [], [], [], []
+    for lab in labs:
+        tp = sum(1 for t, p in pairs if t == lab and p == lab)
+        npred = sum(1 for _, p in pairs if p == lab)
+        sup = sum(1 for t, _ in pairs if t == lab)
+        pr = tp / npred if npred else 0.0
+        rc = tp / sup if sup else 0.0
+        f1 = 2 * pr * rc / (pr + rc) if pr + rc else 0.0
+        assert abs(got[lab].precision - pr) < 1e-6 and abs(got[lab].recall - rc) < 1e-6
+        assert abs(got[lab].f1 - f1) < 1e-6 and got[lab].support == sup
+        precs.append(pr); recs.append(rc); f1s.append(f1); sups.append(sup)
+    acc = sum(1 for t, p in pairs if t == p) / n
+    assert abs(got["accuracy"].f1 - acc) < 1e-6 and got["accuracy"].support == n
+    assert abs(got["macro avg"].f1 - sum(f1s) / len(f1s)) < 1e-6
+    assert abs(got["weighted avg"].recall - sum(r * s for r, s in zip(recs, sups)) / n) < 1e-6
