@@ -93,3 +93,33 @@ def test_preprocess_unseen_category(spark):
     assert vecs[0] == [2.0, 0.0, 0.0]          # unseen -> all zeros
     assert vecs[1] == [2.0, 1.0, 0.0]          # missing -> most frequent 'A'
     assert [r.x for r in tr.collect()][1] == 2.0  # exact median fill
+
+
+def test_readme_quick_start(spark):
+    """The README quick start runs end to end on a three-case fixture."""
+    from casework.functions import clean
+    from casework.operators import features, profile, similar
+    d = tempfile.mkdtemp(prefix="cw-quick-")
+    _write(os.path.join(d, "cases.csv"),
+           "OBJ.VEGOBJEKT-ID;EGS.VEDTAK.10670;EGS.BRUKSOMRÅDE.1256;Avkjørsel, holdningsklasse;ÅDT, total;"
+           "ÅDT, andel lange kjøretøy;Fartsgrense;Trafikkulykker;VSR.VEGSYSTEMREFERANSE\n"
+           "1;Avslag;Bolig;Lite streng;1400;9;30;1;FV1 S1D1 m100\n"
+           "2;Varig tillatelse;Bolig;Lite streng;900;5;50;0;FV1 S1D1 m700\n"
+           "3;Varig tillatelse;Bolig;Lite streng;1000;6;60;2;FV1 S1D1 m300\n")
+    _write(os.path.join(d, "objects.json"),
+           '{"object_type": 46, "object_id": 1, "ord": 1, "properties": [], '
+           '"references": [{"road": "FV1 S1D1", "meter": 400.0}]}\n'
+           '{"object_type": 540, "object_id": 2, "ord": 1, "properties": [{"name": "ÅDT, total", "value": "1500"}], '
+           '"references": [{"road": "FV1 S1D1", "meter": 0.0}]}\n')
+    cases = C.read_cases(spark, os.path.join(d, "cases.csv"))
+    cases = cases.withColumn("outcome", clean.binary_outcome("decision"))
+    objs = C.read_road_objects(spark, os.path.join(d, "objects.json"))
+    cases = enrich.count_within_ref(cases, enrich.object_points(objs, 46), out="accesses_500m")
+    cases = enrich.lookup_by_reference(cases, objs, 540, "ÅDT, total", "aadt_text")
+    ct = profile.crosstab_pct(cases, ["purpose", "policy_class"], "outcome")
+    feats = ["aadt_total", "long_share", "speed_limit", "accidents"]
+    z = features.zscore(cases, feats, suffix="")
+    ex = similar.similar_cases(z, "case_id", "outcome", "Godkjent", "policy_class", "purpose", feats, k=1)
+    assert [(r.accesses_500m, r.aadt_text) for r in cases.orderBy("case_id").collect()] == [(1, "1500")] * 3
+    assert ct.count() == 4
+    assert {r.case_id: r.example_id for r in ex.collect()} == {1: 3, 2: 3, 3: 2}
