@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import mixing, sharding
+from casework.llm import mixing, sharding, simhash
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -19,6 +19,13 @@ MIX_BUDGET = (3, 4)
 MIX_EPOCHS = 2
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-balanced contiguous shards of all documents."""
     pos = sharding.shard_positions(table(spark, sf_dir, "documents"), SHARDS)
@@ -35,6 +42,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_simhash": op6_simhash,
     "op8_shard": op8_shard,
     "op9_mix_sources": op9_mix_sources,
 }
