@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import mixing, sharding, simhash
+from casework.llm import mixing, quality, sharding, simhash
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -19,6 +19,15 @@ MIX_BUDGET = (3, 4)
 MIX_EPOCHS = 2
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, ranker).select(
+        "doc_id", quality.held_out("doc_id").alias("held_out"), "score",
+        F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -42,6 +51,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op8_shard": op8_shard,
     "op9_mix_sources": op9_mix_sources,
