@@ -95,10 +95,12 @@ class Words:
     text's first word (one more entry than texts).
     """
 
+    breaks = _SPACE
+
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
-        word = ~_SPACE[data]
+        word = ~self.breaks[data]
         starts = word.copy()
         starts[1:] &= ~word[:-1]
         inner = offsets[:-1][offsets[:-1] < len(data)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import mixing, quality, sharding, simhash
+from casework.llm import decontaminate, mixing, quality, sharding, simhash
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -19,6 +19,12 @@ MIX_BUDGET = (3, 4)
 MIX_EPOCHS = 2
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document."""
+    found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", "first_word", "cosine", "overlap", "answer")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -51,6 +57,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op8_shard": op8_shard,

@@ -11,11 +11,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casework.llm import mixing, queries, sharding
+from casework.llm import decontaminate, mixing, quality, queries, sharding, simhash
 from casework.session import checkpoint_dir
 from casework.sources.tables import table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality ranker accepts."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.dedup(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents by the source weights; one taken in two epochs has two rows."""
     return mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_BUDGET, queries.MIX_EPOCHS, epoch_col=None)
@@ -26,7 +41,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs, queries.SHARDS)
 
 
-STAGES = [("mix", mix), ("shard", shard)]
+STAGES = [
+    ("quality", quality_filter),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminated),
+    ("mix", mix),
+    ("shard", shard),
+]
 
 #: the stages use hashes and models that SQL does not have; tests compare them with brute force
 ORACLE_SQL = None
