@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontaminate, mixing, quality, sharding, simhash
+from casework.llm import decontaminate, mixing, quality, sharding, simhash, topk
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -25,6 +25,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", "first_word", "cosine", "overlap", "answer")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every 20th vector id against all vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
     "op8_shard": op8_shard,
@@ -111,6 +117,19 @@ taken as (select *, full_n + case when rest > 0 and upto <= rest then 1 else 0 e
 select doc_id, d as domain, lang, source, unnest(range(times))::int as epoch from taken where times > 0
 """
 
+OP4_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, v.vec_id, list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2]))::bigint as score
+  from v as q join v on q.vec_id != v.vec_id where q.vec_id % 20 = 0),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
 ORACLE = {
+    "op4_topk": OP4_SQL,
     "op9_mix_sources": OP9_SQL,
 }
