@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontaminate, mixing, quality, sharding, simhash, topk
+from casework.llm import decontaminate, mixing, pii, quality, sharding, simhash, topk
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -46,6 +46,11 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain and disguised personal data of every document."""
+    return pii.find(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-balanced contiguous shards of all documents."""
     pos = sharding.shard_positions(table(spark, sf_dir, "documents"), SHARDS)
@@ -66,6 +71,7 @@ QUERIES = {
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_shard": op8_shard,
     "op9_mix_sources": op9_mix_sources,
 }
