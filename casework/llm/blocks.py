@@ -49,7 +49,7 @@ def numbers(seed: int, n: int, start: int = 0) -> np.ndarray:
 def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks for the input by its size on disk, as the planner knows it; where
     it does not (a size over 2^50), by the session's shuffle partitions."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 50:
         return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(4, -(-size // block_bytes))
@@ -113,7 +113,7 @@ class Words:
         self.start = np.flatnonzero(starts)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        self._word = word
+        self._word, self._place = word, None
 
     def __len__(self) -> int:
         return len(self.start)
@@ -128,14 +128,13 @@ class Words:
         if not len(self):
             return np.zeros(0, U)
         length = self.end - self.start
-        letters = numbers(seed, 256)
-        places = numbers(seed + 1000, int(length.max()))
-        at = np.flatnonzero(self._word)
-        # place of each word byte in its word
-        place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-        terms = letters[self.data[at]] * places[place]
-        sums = np.add.reduceat(terms, np.cumsum(length) - length)
-        return mix64(sums + length.astype(U) * U(0x9E3779B97F4A7C15))
+        begin = np.cumsum(length) - length
+        if self._place is None:
+            letters = self.data[np.flatnonzero(self._word)]
+            self._place = letters, (np.arange(len(letters), dtype=np.int32) - np.repeat(begin.astype(np.int32), length))
+        letter, place = self._place
+        terms = numbers(seed, 256)[letter] * numbers(seed + 1000, int(length.max()))[place]
+        return mix64(np.add.reduceat(terms, begin) + length.astype(U) * U(0x9E3779B97F4A7C15))
 
 
 class Rolling:

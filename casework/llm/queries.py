@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontaminate, mixing, pii, quality, sharding, simhash, topk
+from casework.llm import decontaminate, mixing, pii, quality, recompress, sharding, simhash, topk
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -19,6 +19,12 @@ MIX_BUDGET = (3, 4)
 MIX_EPOCHS = 2
 
 
+def op1_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 13-word windows that a smaller doc_id has too."""
+    found = recompress.repeated_windows(table(spark, sf_dir, "documents"))
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document."""
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -67,6 +73,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_word_repeats": op1_word_repeats,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
