@@ -55,13 +55,13 @@ def n_blocks(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(4, -(-size // block_bytes))
 
 
-def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(block, id, text); null texts are empty, null ids are ``NO_ID``."""
+def in_blocks(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(block, id, no_id, text, more); null texts are empty, null ids are ``NO_ID``."""
     return docs.select(
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int").alias("block"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("id"),
         F.col(id_col).isNull().alias("no_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
 def byte_views(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

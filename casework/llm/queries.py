@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontaminate, mixing, pii, quality, recompress, sharding, simhash, topk
+from casework.llm import decontaminate, mixing, ngram_lm, pii, quality, recompress, sharding, simhash, topk
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -72,6 +72,13 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "domain", "lang", "source", "epoch")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram scores of all documents."""
+    found = ngram_lm.score(table(spark, sf_dir, "documents"))
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
     "op3_decontaminate": op3_decontaminate,
@@ -81,6 +88,7 @@ QUERIES = {
     "op7_pii": op7_pii,
     "op8_shard": op8_shard,
     "op9_mix_sources": op9_mix_sources,
+    "op10_lm_score": op10_lm_score,
 }
 
 
