@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontaminate, mixing, ngram_lm, pii, quality, recompress, sharding, simhash, topk
+from casework.llm import (bwt_repeats, decontaminate, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
+                          topk)
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -25,6 +26,12 @@ def op1_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op2_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that a smaller doc_id has too."""
+    found = bwt_repeats.repeated_strings(table(spark, sf_dir, "documents"))
+    return found.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document."""
     found = decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -81,6 +88,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
+    "op2_byte_repeats": op2_byte_repeats,
     "op3_decontaminate": op3_decontaminate,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
