@@ -232,7 +232,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         return pa.table({"n": pa.array([int(c.sum())], pa.int64()), "v": pa.array([int((c > 0).sum())], pa.int64())})
 
     # one row, for every block: N and V
-    totals = (asked.groupBy("bucket").applyInArrow(size, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    totals = (asked.groupBy("bucket").applyInArrow(size, "n long, v long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
               .select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(-1).alias("bucket"),
                       F.concat(F.lit("N "), "n", F.lit(" "), "v").cast("binary").alias("load")))
 
@@ -240,10 +240,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         known = sent.value
         total, distinct = map(int, loads.pop(-1).decode().split()[1:])
         out = [[] for _ in range(4)]
-        if rows.num_rows:
-            keys, _ = words_of(rows)
-            counts = told(keys, n_buckets, loads, np.int64)
-            end = int(counts[np.searchsorted(keys, END)])
+        keys, _ = words_of(rows)
+        counts = told(keys, n_buckets, loads, np.int64) if rows.num_rows else np.zeros(len(keys), np.int64)
+        end = int(counts[np.searchsorted(keys, END)])
         for _, _, _, t in parts(rows):
             c = counts[np.searchsorted(keys, t.name)]
             before = np.concatenate([[0], c[:-1]])
