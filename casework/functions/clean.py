@@ -12,26 +12,33 @@ APPROVE = "Godkjent"
 PERMIT = "Tillatelse"
 ERROR = "Feil"
 # Spellings that count as a rejection in the training data.
-REJECT_SPELLINGS = ("Avslag", "Avslag etter klage ")
+REJECT_SPELLINGS = ("Avslag", "Avslag etter klage")
+# White space that hand-typed cells carry, the no-break spaces included.
+BLANKS = r"[\s\u00A0\u2007\u202F]+"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """White space of any kind (line feeds, tabs, no-break spaces) cut at both ends."""
+    return F.regexp_replace(_c(c), f"^{BLANKS}|{BLANKS}$", "")
+
+
 def binary_outcome(decision, reject: str = REJECT, other: str = APPROVE) -> Column:
     """``reject`` when the decision equals it, else ``other`` (NULL too)."""
     return F.when(_c(decision).eqNullSafe(F.lit(reject)), F.lit(reject)).otherwise(F.lit(other))
 
 
 def reject_flag(decision, spellings=REJECT_SPELLINGS) -> Column:
-    """1 for any listed reject spelling (exact text, trailing blank kept), else 0."""
-    return F.when(_c(decision).isin(*spellings), F.lit(1)).otherwise(F.lit(0))
+    """1 for any listed reject spelling, white space around it aside, else 0."""
+    return F.when(strip(decision).isin(*[s.strip() for s in spellings]), F.lit(1)).otherwise(F.lit(0))
 
 
 def has_label(c) -> Column:
     """The label is present (not NULL, not empty after trim)."""
-    return _c(c).isNotNull() & (F.trim(_c(c)) != F.lit(""))
+    return _c(c).isNotNull() & (strip(c) != F.lit(""))
 
 
 def parse_number(c) -> Column:
@@ -39,7 +46,7 @@ def parse_number(c) -> Column:
 
     Removes blanks and no-break spaces, turns the decimal comma into a dot and
     yields NULL for text that still does not parse (never NaN)."""
-    s = F.translate(_c(c).cast("string"), "  ", "")
+    s = F.regexp_replace(_c(c).cast("string"), BLANKS, "")
     s = F.translate(s, ",", ".")
     v = s.try_cast(T.DoubleType())
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
@@ -47,12 +54,12 @@ def parse_number(c) -> Column:
 
 def squash_space(c) -> Column:
     """Trim and collapse runs of white space to one blank."""
-    return F.regexp_replace(F.trim(_c(c)), r"\s+", " ")
+    return F.regexp_replace(strip(c), BLANKS, " ")
 
 
 def trim_strings(df: DataFrame) -> DataFrame:
     """Strip every string cell."""
-    return df.select(*[F.trim(F.col(f.name)).alias(f.name)
+    return df.select(*[strip(F.col(f"`{f.name}`")).alias(f.name)
                        if isinstance(f.dataType, T.StringType) else F.col(f.name)
                        for f in df.schema.fields])
 

@@ -60,14 +60,19 @@ def duplicate_keys(base: DataFrame, ann: DataFrame, keys: list[str]) -> DataFram
                     F.coalesce("n_ann", F.lit(0)).cast("long").alias("n_ann")))
 
 
+def duplicate_annotations(base: DataFrame, ann: DataFrame, keys: list[str], value: str,
+                          order: str) -> DataFrame:
+    """The per-key annotation rows (last value) of the keys that the base repeats."""
+    dup = duplicate_keys(base, ann, keys).select(*keys)
+    return last_non_null(ann.select(*keys, value, order), keys, value, order).join(dup, keys, "left_semi")
+
+
 def reconcile(base: DataFrame, ann: DataFrame, merged: DataFrame, keys: list[str],
               value: str, merged_col: str) -> DataFrame:
-    """D3: annotated keys, base rows, rows that received a value, rows without."""
-    a = ann.where(_q(value).isNotNull()).select(*keys).dropna().distinct() \
-           .select(F.count(F.lit(1))).scalar()
-    m = merged.agg(F.count(F.lit(1)).alias("base_rows"),
-                   F.count(_q(merged_col)).alias("transferred"))
-    return (m.withColumn("annotated_keys", a)
-            .select(F.col("annotated_keys").cast("long"), F.col("base_rows").cast("long"),
-                    F.col("transferred").cast("long"),
-                    (F.col("base_rows") - F.col("transferred")).cast("long").alias("missing")))
+    """D3: annotation rows with a value, base rows that received one, and their
+    difference (negative where repeated base keys receive one value several times)."""
+    total = ann.select(F.count(_q(value))).scalar()
+    m = merged.agg(F.count(_q(merged_col)).alias("transferred"))
+    return (m.withColumn("annotated", total)
+            .select(F.col("annotated").cast("long"), F.col("transferred").cast("long"),
+                    (F.col("annotated") - F.col("transferred")).cast("long").alias("missing")))

@@ -37,19 +37,32 @@ def facet_predicate(facets: dict[str, list] | None = None,
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
-def row_id_expr(cols: list[str]) -> Column:
-    """Deterministic surrogate id = sha256 of the '|'-joined key columns
-    (stable across retries and partitionings, unlike random UUIDs)."""
-    return F.sha2(F.concat_ws("|", *[_q(c).cast("string") for c in cols]), 256)
-
+def _key_text(values: list[Column]) -> Column:
+    """Key cells as one text that no other key has: each with its length, NULL as a dash."""
+    return F.concat(*[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values])
 
-def with_row_id(df: DataFrame, cols: list[str], name: str = "row_id") -> DataFrame:
-    return df.withColumn(name, row_id_expr(cols))
 
-
-def row_id_of(values: list[str]) -> Column:
-    """The id a row with these key texts gets."""
-    return F.sha2(F.concat_ws("|", *[F.lit(v) for v in values]), 256)
+def row_id_expr(cols: list[str]) -> Column:
+    """Deterministic surrogate id = sha256 of the key columns (stable
+    across retries and partitionings, unlike random UUIDs)."""
+    return F.sha2(_key_text([_q(c).cast("string") for c in cols]), 256)
+
+
+def with_row_id(df: DataFrame, cols: list[str] | None = None, name: str = "row_id") -> DataFrame:
+    """The id of each row: of its key ``cols``, or, without a key, of all its
+    columns and an occurrence number, so that equal rows get ids of their own.
+    Equal rows are counted, not gathered, and numbered when spread out again."""
+    if cols is not None:
+        return df.withColumn(name, row_id_expr(cols))
+    counted = df.groupBy(*[_q(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    key = _key_text([*[_q(c).cast("string") for c in df.columns], F.col("_i").cast("string")])
+    return each.select(*[_q(c) for c in df.columns], F.sha2(key, 256).alias(name))
+
+
+def row_id_of(values: list) -> Column:
+    """The id a row with these key values (texts or columns) gets."""
+    return F.sha2(_key_text([v if isinstance(v, Column) else F.lit(v).cast("string") for v in values]), 256)
 
 
 def by_id(df: DataFrame, id_col: str, value) -> DataFrame:

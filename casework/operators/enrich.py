@@ -37,13 +37,16 @@ def first_object(objects: DataFrame, key: str, order: str, value: str, out: str
 
 
 def lookup_attribute(cases: DataFrame, objects: DataFrame, case_key: str, obj_key: str,
-                     order: str, prop: str, out: str, default: str = "") -> DataFrame:
-    """Property ``prop`` of the first object on the case's reference;
-    no object or no such property -> ``default``."""
+                     order: str, prop: str | dict[str, str], out: str | None = None,
+                     default: str = "") -> DataFrame:
+    """Property ``prop`` of the first object on the case's key, as
+    column ``out``, or several of the same object ({column: property}) in one
+    join; no object or no such property -> ``default``."""
+    wanted = prop if isinstance(prop, dict) else {out or prop: prop}
     first = first_object(objects.select(obj_key, order, "properties"), obj_key, order, "properties", "_props")
-    attr = first.select(_q(obj_key).alias("_okey"), first_property("_props", prop, default).alias(out))
+    attr = first.select(_q(obj_key).alias("_okey"), *[first_property("_props", p, default).alias(c) for c, p in wanted.items()])
     j = cases.join(attr, _q(case_key) == F.col("_okey"), "left").drop("_okey")
-    return j.withColumn(out, F.coalesce(_q(out), F.lit(default)))
+    return j.withColumns({c: F.coalesce(_q(c), F.lit(default)) for c in wanted})
 
 
 def _with_exact_bound(df: DataFrame, m: str, r: float, upper: bool, out: str) -> DataFrame:
@@ -106,16 +109,39 @@ def count_within_ref(cases: DataFrame, points: DataFrame, ref_col: str = "road_r
         "_road", "_meter")
 
 
-def lookup_by_reference(cases: DataFrame, objects: DataFrame, object_type: int, prop: str,
-                        out: str, ref_col: str = "road_ref", default: str = "") -> DataFrame:
-    """C4 on a road-object snapshot: property ``prop`` of the first object (by
-    ``ord``) of ``object_type`` referencing the case's road part; none -> default."""
+# Length of road (m) in one join bin of an object's extent.
+EXTENT_BIN = 500.0
+
+
+def lookup_by_reference(cases: DataFrame, objects: DataFrame, object_type: int,
+                        prop: str | dict[str, str], out: str | None = None, ref_col: str = "road_ref",
+                        default: str = "") -> DataFrame:
+    """C4 on a road-object snapshot: properties of the first object (by
+    ``ord``) of ``object_type`` at the case's reference - on the same road, and
+    at the case's meter: there, or (``meter_to``) from before it to beyond it.
+    A reference without a meter means the whole road.  None -> ``default``.
+
+    Extents are cut into bins, so that the join is on (road, bin); each
+    distinct (road, meter) is looked up once."""
+    wanted = prop if isinstance(prop, dict) else {out or prop: prop}
     o = objects.where(F.col("object_type") == object_type)
-    refs = o.select("ord", "properties", F.explode("references").alias("r")) \
-            .select(F.col("r.road").alias("_road"), "ord", "properties")
-    c = cases.withColumn("_road", road_part(ref_col))
-    res = lookup_attribute(c, refs, "_road", "_road", "ord", prop, out, default)
-    return res.drop("_road")
+    has_end = "meter_to" in o.schema["references"].dataType.elementType.names
+    refs = o.select("ord", "properties", F.explode("references").alias("r")).select(
+        F.col("r.road").alias("_road"), F.col("r.meter").alias("_from"),
+        (F.coalesce("r.meter_to", "r.meter") if has_end else F.col("r.meter")).alias("_to"), "ord", "properties")
+    at = cases.select(road_part(ref_col).alias("_road"), road_meter(ref_col).alias("_m")).distinct()
+    pick = F.min_by("properties", "ord").alias("_props")
+    bins = F.sequence(F.floor(F.col("_from") / EXTENT_BIN), F.floor(F.col("_to") / EXTENT_BIN))
+    spans = refs.where("_from <= _to").withColumn("_bin", F.explode(bins))
+    there = (at.where("_m is not null").withColumn("_bin", F.floor(F.col("_m") / EXTENT_BIN))
+             .join(spans, ["_road", "_bin"]).where("_m between _from and _to").groupBy("_road", "_m").agg(pick))
+    roads = (at.where("_m is null").join(refs.groupBy("_road").agg(pick), "_road").select("_road", "_m", "_props"))
+    found = there.unionByName(roads).select(
+        F.col("_road").alias("_r"), F.col("_m").alias("_rm"),
+        *[first_property("_props", p, default).alias(c) for c, p in wanted.items()])
+    c = cases.withColumn("_road", road_part(ref_col)).withColumn("_m", road_meter(ref_col))
+    j = c.join(found, (F.col("_road") == F.col("_r")) & F.col("_m").eqNullSafe(F.col("_rm")), "left")
+    return j.drop("_road", "_m", "_r", "_rm").withColumns({x: F.coalesce(_q(x), F.lit(default)) for x in wanted})
 
 
 def application_type(cases: DataFrame, overrides: DataFrame, decision: str = "decision",

@@ -1,16 +1,16 @@
 """Table-level feature work (B9, D23, G8-G13): label and one-hot encoding,
 imputation statistics, z-scores, interaction products.
 
-Category vocabularies pass through the driver only behind a size bound
-(``max_distinct``, the same 50-value gate the profiles use); larger
-vocabularies raise instead of silently growing a broadcast.
+Label codes come from a table of ranked distinct values joined to the rows,
+so any number of categories works.  One-hot columns are named after values, so
+their vocabulary is read by the driver: it is as long as the output is wide.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,25 +21,34 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
-def vocabulary(df: DataFrame, col: str, max_distinct: int = 50) -> list[str]:
-    """Sorted distinct non-null values of ``col`` as text, at most ``max_distinct``."""
-    vals = (df.select(_q(col).cast("string").alias("v")).where(F.col("v").isNotNull())
-            .distinct().limit(max_distinct + 1).collect())
-    if len(vals) > max_distinct:
-        raise ValueError(f"{col}: more than {max_distinct} distinct values")
+def vocabulary(df: DataFrame, col: str) -> list[str]:
+    """Sorted distinct non-null values of ``col`` as text."""
+    vals = df.select(_q(col).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct().collect()
     return sorted(r["v"] for r in vals)
 
 
-def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code",
-                 max_distinct: int = 50, vocab: dict | None = None) -> DataFrame:
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): the distinct values of ``col`` as text, ranked from 0."""
+    vals = df.select(_q(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
+    return vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+
+
+def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", vocab: dict | None = None,
+                 fit: DataFrame | None = None) -> DataFrame:
     """Sorted classes -> 0..n-1 (text comparison); NULL and unseen -> NULL.
-    The code is a literal-array lookup, so no join and no shuffle."""
+
+    Classes come from ``vocab[col]`` where given (a literal lookup, no join),
+    else from the rows of ``fit`` (default: the rows encoded)."""
     out = df
     for c in cols:
-        v = (vocab or {}).get(c) or vocabulary(df, c, max_distinct)
-        arr = F.array(*[F.lit(x) for x in v])
-        pos = F.array_position(arr, _q(c).cast("string"))
-        out = out.withColumn(c + suffix, F.when(pos > 0, (pos - 1).cast("int")))
+        if vocab is not None and c in vocab:
+            arr = F.array(*[F.lit(x) for x in vocab[c]]).cast("array<string>")
+            pos = F.array_position(arr, _q(c).cast("string"))
+            out = out.withColumn(c + suffix, F.when(pos > 0, (pos - 1).cast("int")))
+        else:
+            codes = label_codes(df if fit is None else fit, c)
+            codes = codes.select(F.col("value").alias("_value"), F.col("code").alias(c + suffix))
+            out = out.join(codes, _q(c).cast("string") == F.col("_value"), "left").drop("_value")
     return out
 
 
@@ -50,19 +59,14 @@ def label_decode(code, classes: list[str]) -> Column:
 
 
 def one_hot(df: DataFrame, cols: list[str], vocab: dict | None = None,
-            max_distinct: int = 50, drop_source: bool = True) -> DataFrame:
+            drop_source: bool = True) -> DataFrame:
     """One 0/1 column per category value, named ``<col>_<value>``.
     Missing and unseen values give all zeros (fit ``vocab`` on train data and
-    pass it when encoding test data)."""
-    out = df
-    for c in cols:
-        v = (vocab or {}).get(c) or vocabulary(df, c, max_distinct)
-        for x in v:
-            out = out.withColumn(f"{c}_{x}", F.coalesce((_q(c).cast("string") == F.lit(x))
-                                                      .cast("int"), F.lit(0)))
-        if drop_source:
-            out = out.drop(c)
-    return out
+    pass it when encoding test data; an empty vocabulary gives no columns)."""
+    known = {c: vocab[c] if vocab is not None and c in vocab else vocabulary(df, c) for c in cols}
+    kept = [_q(c) for c in df.columns if not (drop_source and c in known)]
+    return df.select(*kept, *[F.coalesce((_q(c).cast("string") == F.lit(x)).cast("int"), F.lit(0)).alias(f"{c}_{x}")
+                              for c, values in known.items() for x in values])
 
 
 def impute_stats(df: DataFrame, num_cols: list[str], cat_cols: list[str]) -> DataFrame:
@@ -143,14 +147,12 @@ def interaction_names(cols: list[str], degree: int = 3) -> list[tuple[str, tuple
 
 
 def interactions(df: DataFrame, cols: list[str], degree: int = 3, keep: list[str] | None = None,
-                 as_array: bool | None = None) -> DataFrame:
+                 as_array: bool = False) -> DataFrame:
     """Products of 1..degree *distinct* columns (no powers), named by the
-    joined column names.  Past ~15 inputs the products go to one array column
-    ``interactions`` (same order as ``interaction_names``)."""
+    joined column names, or with ``as_array`` one array column ``interactions``
+    (in the order of ``interaction_names``).  The form never depends on the data."""
     keep = list(keep or [])
     terms = interaction_names(cols, degree)
-    if as_array is None:
-        as_array = len(cols) > 15
     exprs = []
     for name, combo in terms:
         e = _q(combo[0]).cast("double")

@@ -15,7 +15,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.operators.joins import broadcast_if_small
 from casework.operators.quantile import quantile_columns
 
 
@@ -78,13 +77,18 @@ _PROBS = (0.25, 0.5, 0.75)
 _QNAMES = ["p25", "p50", "p75"]
 
 
+def _grouped(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows without a group take no part in a grouped profile."""
+    return df.dropna("any", subset=by) if by else df
+
+
 def profile_numeric(df: DataFrame, cols: list[str], by: list[str] | None = None,
                     decimals: int | None = 6) -> DataFrame:
     """describe() per group and column in long form:
     (by..., column_name, count, mean, std, min, p25, p50, p75, max).
     ``std`` is the sample standard deviation; quantiles are linear."""
     by = list(by or [])
-    long = melt(df, cols, by, as_string=False).where(
+    long = melt(_grouped(df, by), cols, by, as_string=False).where(
         F.col("value").isNotNull() & ~F.isnan("value"))
     keys = by + ["column_name"]
     basic = long.groupBy(*keys).agg(
@@ -102,7 +106,7 @@ def profile_text(df: DataFrame, cols: list[str], by: list[str] | None = None) ->
     """D8 (text part): count, unique, top, freq per group and column.
     ``top`` = most frequent value, the smallest one on ties (deterministic)."""
     by = list(by or [])
-    long = melt(df, cols, by).where(F.col("value").isNotNull())
+    long = melt(_grouped(df, by), cols, by).where(F.col("value").isNotNull())
     keys = by + ["column_name"]
     vc = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("value").alias("v")))
@@ -159,21 +163,23 @@ def cardinality_gate(df: DataFrame, cols: list[str], max_distinct: int = 50) ->
 def corr_matrix(df: DataFrame, cols: list[str], decimals: int = 6) -> DataFrame:
     """Pearson correlation of every column pair over complete cases.
     One aggregate computes the upper triangle; the result is mirrored and the
-    diagonal added.  Output: (col_a, col_b, corr)."""
+    diagonal added.  A column without spread has no correlation, not even with
+    itself (NULL).  Output: (col_a, col_b, corr)."""
     cc = df.select(*[_q(c).cast("double").alias(c) for c in cols]).dropna("any")
-    pairs = list(combinations(cols, 2))
-    row = cc.agg(*[F.corr(_q(a), _q(b)).alias(f"{i}") for i, (a, b) in enumerate(pairs)],
-                 F.count(F.lit(1)).alias("_n"))
-    stacks = []
-    for i, (a, b) in enumerate(pairs):
-        stacks.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                               F.col(f"`{i}`").alias("corr")))
-        stacks.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"),
-                               F.col(f"`{i}`").alias("corr")))
-    for c in cols:
-        stacks.append(F.struct(F.lit(c).alias("col_a"), F.lit(c).alias("col_b"),
-                               F.when(F.col("_n") > 1, F.lit(1.0)).alias("corr")))
-    out = row.select(F.explode(F.array(*stacks)).alias("s")).select("s.*")
+    pairs = list(combinations(range(len(cols)), 2))
+    # a column is constant if min = max: rounding in the variance plays no part
+    row = cc.agg(*[(F.min(_q(c)) < F.max(_q(c))).alias(f"v{i}") for i, c in enumerate(cols)],
+                 *[F.stddev_pop(_q(c)).alias(f"s{i}") for i, c in enumerate(cols)],
+                 *[F.covar_pop(_q(cols[a]), _q(cols[b])).alias(f"c{a}_{b}") for a, b in pairs])
+    cells = []
+    for a, b in pairs:
+        both = F.col(f"v{a}") & F.col(f"v{b}")
+        r = F.when(both, F.try_divide(F.col(f"c{a}_{b}"), F.col(f"s{a}") * F.col(f"s{b}")))
+        cells += [(cols[a], cols[b], r), (cols[b], cols[a], r)]
+    cells += [(c, c, F.when(F.col(f"v{i}"), F.lit(1.0))) for i, c in enumerate(cols)]
+    out = row.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("corr"))
+        for a, b, r in cells])).alias("s")).select("s.*")
     return out.withColumn("corr", F.round("corr", decimals))
 
 
@@ -233,15 +239,13 @@ def box_stats(df: DataFrame, value: str, by: list[str], whisker: float = 1.5,
 
 
 def kde_grid(df: DataFrame, value: str, by: list[str], gridsize: int = 200,
-             cut: float = 3.0, decimals: int = 8, reach: float = 8.0) -> DataFrame:
+             cut: float = 3.0, decimals: int = 8) -> DataFrame:
     """Gaussian KDE per group on a ``gridsize``-point grid.
 
     Scott bandwidth h = n^(-1/5) * sample std; grid from min - cut*h to
-    max + cut*h.  Values are pre-aggregated to (group, value, count), and each
-    distinct value is paired only with the grid points within ``reach`` * h
-    of it (a kernel weight below exp(-reach^2/2) = 1.3e-14 of the peak is
-    dropped), so large inputs cost distinct values x (points within reach),
-    not distinct values x gridsize.  Output: (by..., grid_idx, x, density)."""
+    max + cut*h.  Values are pre-aggregated to (group, value, count); every
+    distinct value adds to every grid point, and partial sums leave a task as
+    at most groups x gridsize rows.  Output: (by..., grid_idx, x, density)."""
     v = df.select(*[_q(c) for c in by], _q(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull())
     st = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"),
@@ -251,24 +255,15 @@ def kde_grid(df: DataFrame, value: str, by: list[str], gridsize: int = 200,
     st = st.withColumn("_g0", F.col("_mn") - F.lit(cut) * F.col("_h")).withColumn(
         "_step", (F.col("_mx") - F.col("_mn") + F.lit(2 * cut) * F.col("_h")) / F.lit(gridsize - 1))
     dv = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    # one row per group: broadcast when the number of groups is proven small
-    j = dv.join(broadcast_if_small(st.select(*by, "_n", "_h", "_g0", "_step")), by)
-    lo = F.greatest(F.ceil((F.col("_v") - F.lit(reach) * F.col("_h") - F.col("_g0")) / F.col("_step")),
-                    F.lit(0)).cast("int")
-    hi = F.least(F.floor((F.col("_v") + F.lit(reach) * F.col("_h") - F.col("_g0")) / F.col("_step")),
-                 F.lit(gridsize - 1)).cast("int")
-    pair = j.where(lo <= hi).withColumn("grid_idx", F.explode(F.sequence(lo, hi)))
+    # one row for each group; Spark broadcasts it by its size
+    j = dv.join(st.select(*by, "_n", "_h", "_g0", "_step"), by)
+    pair = j.withColumn("grid_idx", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))))
     pair = pair.withColumn("x", F.col("_g0") + F.col("grid_idx") * F.col("_step"))
     z = (F.col("x") - F.col("_v")) / F.col("_h")
     dens = pair.groupBy(*by, "grid_idx", "x", "_n", "_h").agg(
         F.sum(F.col("_c") * F.exp(F.lit(-0.5) * z * z)).alias("_s"))
-    # grid points no value reaches have density 0
-    grid = st.select(*by, "_n", "_h", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_idx"),
-                     "_g0", "_step").withColumn("x", F.col("_g0") + F.col("grid_idx") * F.col("_step"))
-    full = grid.join(dens.select(*by, "grid_idx", "_s"), by + ["grid_idx"], "left")
-    out = full.select(*by, "grid_idx", "x",
-                      (F.coalesce(F.col("_s"), F.lit(0.0)) /
-                       (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))).alias("density"))
+    out = dens.select(*by, "grid_idx", "x", (F.col("_s") / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi))))
+                      .alias("density"))
     return out.select(*by, "grid_idx", F.round("x", 6).alias("x"),
                       F.round("density", decimals).alias("density"))
 
@@ -276,7 +271,7 @@ def kde_grid(df: DataFrame, value: str, by: list[str], gridsize: int = 200,
 def histogram_density(df: DataFrame, value: str, group: str, bins: int = 20,
                       decimals: int = 8) -> DataFrame:
     """Density histogram per group on common bins over the global range.
-    Output: (group, bin, lo, hi, density) with density = n/(n_group * width)."""
+    Output: (group, bin, lo, hi, n, density), density = n/(n_group * width), empty bins included."""
     v = df.select(_q(group), _q(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & _q(group).isNotNull())
     w = (F.col("_mx") - F.col("_mn")) / F.lit(bins)
@@ -285,9 +280,13 @@ def histogram_density(df: DataFrame, value: str, group: str, bins: int = 20,
     j = j.withColumn("bin", F.when(w > 0, F.least(F.floor((F.col("_v") - F.col("_mn")) / w),
                                                   F.lit(bins - 1))).otherwise(F.lit(0)).cast("int"))
     c = j.groupBy(_q(group), "bin", "_mn", "_mx").agg(F.count(F.lit(1)).alias("n"))
-    tot = Window.partitionBy(_q(group))
-    c = c.withColumn("_w", (F.col("_mx") - F.col("_mn")) / F.lit(bins))
-    c = c.withColumn("density", F.col("n") / (F.sum("n").over(tot) * F.col("_w")))
-    return c.select(_q(group), "bin", F.round(F.col("_mn") + F.col("bin") * F.col("_w"), decimals).alias("lo"),
-                    F.round(F.col("_mn") + (F.col("bin") + 1) * F.col("_w"), decimals).alias("hi"),
-                    F.col("n").cast("long").alias("n"), F.round("density", decimals).alias("density"))
+    # every group has every bin, with 0 where it has no value
+    per = c.groupBy(_q(group), "_mn", "_mx").agg(F.sum("n").alias("_tot"), F.map_from_entries(
+        F.collect_list(F.struct("bin", "n"))).alias("_by"))          # at most ``bins`` entries
+    full = per.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    full = full.withColumn("n", F.coalesce(F.element_at("_by", F.col("bin")), F.lit(0))) \
+               .withColumn("_w", (F.col("_mx") - F.col("_mn")) / F.lit(bins))
+    full = full.withColumn("density", F.try_divide(F.col("n"), F.col("_tot") * F.col("_w")))
+    return full.select(_q(group), "bin", F.round(F.col("_mn") + F.col("bin") * F.col("_w"), decimals).alias("lo"),
+                       F.round(F.col("_mn") + (F.col("bin") + 1) * F.col("_w"), decimals).alias("hi"),
+                       F.col("n").cast("long").alias("n"), F.round("density", decimals).alias("density"))

@@ -14,6 +14,8 @@ boundary value (about n / 1e6 of the stratum) are ranked.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,29 +59,38 @@ def hash_split(df: DataFrame, key: str, fractions=(0.6, 0.4), names=("train", "t
     return df.withColumn(out, expr)
 
 
+def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
+    """Equal in all ``cols``; NULL equals NULL, so that no row is lost."""
+    return reduce(lambda a, b: a & b, [left[f"`{c}`"].eqNullSafe(right[f"`{c}`"]) for c in cols])
+
+
 def rank_select(df: DataFrame, strata: list[str], key: str, quotas: DataFrame,
                 seed: int = 0, out: str = "selected", quota_col: str = "quota") -> DataFrame:
     """Mark the first ``quota`` rows of every stratum in (hash(key), key) order.
 
-    ``quotas``: (strata..., quota).  Strata without a quota select nothing.
-    Equivalent to ``row_number() OVER (PARTITION BY strata ORDER BY h, key) <= quota``.
-    """
+    ``quotas``: (strata..., quota).  Strata without a quota select nothing; a
+    NULL stratum is one like any other.  Equivalent to
+    ``row_number() OVER (PARTITION BY strata ORDER BY h, key) <= quota``, but
+    only one boundary (hash value, rows before it) per stratum is joined to
+    the rows, and only rows of exactly that hash value are ranked."""
     h = df.withColumn("_h", hash_bucket(key, seed))
-    cnt = h.groupBy(*strata, "_h").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*strata).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
+    cnt = h.groupBy(*[_q(c) for c in strata], "_h").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*[_q(c) for c in strata]).orderBy("_h").rowsBetween(Window.unboundedPreceding, 0)
     cnt = cnt.withColumn("_end", F.sum("_c").over(w)).withColumn("_start", F.col("_end") - F.col("_c"))
-    cnt = cnt.join(quotas.select(*strata, F.col(quota_col).alias("_quota")), strata, "left") \
-             .withColumn("_quota", F.coalesce("_quota", F.lit(0)))
-    # per (stratum, hash value): all in, all out, or the boundary value
-    cnt = cnt.withColumn("_state", F.when(F.col("_end") <= F.col("_quota"), F.lit(1))
-                         .when(F.col("_start") >= F.col("_quota"), F.lit(0)).otherwise(F.lit(2)))
-    j = h.join(cnt.select(*strata, "_h", "_state", "_start", "_quota"), strata + ["_h"])
-    full = j.where(F.col("_state") != 2).withColumn(out, F.col("_state") == 1)
-    part = j.where(F.col("_state") == 2)
-    wr = Window.partitionBy(*strata, "_h").orderBy(_q(key))
-    part = part.withColumn(out, F.col("_start") + F.row_number().over(wr) <= F.col("_quota"))
-    res = full.unionByName(part)
-    return res.drop("_h", "_state", "_start", "_quota")
+    q = quotas.select(*[_q(c).alias(c) for c in strata], F.col(quota_col).alias("_quota"))
+    cnt = cnt.join(q, _same(cnt, q, strata), "left").select(
+        *[cnt[f"`{c}`"] for c in strata], "_h", "_start", "_end", F.coalesce("_quota", F.lit(0)).alias("_quota"))
+    # the first hash value that does not fit whole; none where all rows are taken
+    edge = (cnt.groupBy(*[_q(c) for c in strata], "_quota")
+            .agg(F.min(F.when(F.col("_end") > F.col("_quota"), F.struct("_h", "_start"))).alias("_edge"))
+            .select(*[_q(c).alias(c) for c in strata], "_quota", F.col("_edge._h").alias("_at"),
+                    F.col("_edge._start").alias("_start")))
+    j = h.join(edge, _same(h, edge, strata), "left").select(*[h[f"`{c}`"] for c in h.columns], "_quota", "_at", "_start")
+    clear = j.where("_at is null or _h != _at").withColumn(out, F.expr("_at is null or _h < _at"))
+    tied = j.where("_h = _at")
+    wr = Window.partitionBy(*[_q(c) for c in strata], "_h").orderBy(_q(key))
+    tied = tied.withColumn(out, F.col("_start") + F.row_number().over(wr) <= F.col("_quota"))
+    return clear.unionByName(tied).drop("_h", "_at", "_start", "_quota")
 
 
 def stratum_counts(df: DataFrame, strata: list[str]) -> DataFrame:
@@ -99,7 +110,9 @@ def stratified_split(df: DataFrame, key: str, strata: list[str], test_frac: floa
 
 def balanced_sample(df: DataFrame, key: str, label: str, minority, factor: float = 2.0,
                     seed: int = 0) -> DataFrame:
-    """Every minority row plus floor(factor * n_minority) majority rows."""
+    """Every minority row plus floor(factor * n_minority) majority rows.
+    Rows without a label are neither and take no part."""
+    df = df.where(_q(label).isNotNull())
     n_min = df.where(_q(label) == F.lit(minority)).agg(F.count(F.lit(1)).alias("n_min"))
     tagged = df.withColumn("_is_min", _q(label) == F.lit(minority))
     q = n_min.select(F.lit(False).alias("_is_min"),
@@ -113,24 +126,27 @@ def oversample(df: DataFrame, key: str, label: str, seed: int = 0, out: str = "c
     """Replicate every non-majority class up to the majority count.
     A class with n rows and majority m gets m // n copies of each row, plus one
     extra copy for the first m % n rows in hash order.  Copies are numbered
-    ``copy`` = 1..k (explode of a bounded sequence)."""
-    cnt = df.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_n"))
-    mx = df.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_n2")).select(F.max("_n2")).scalar()
-    cnt = cnt.withColumn("_m", mx)
+    ``copy`` = 1..k (explode of a bounded sequence).  Rows without a label are
+    no class and stay once."""
+    named = df.where(_q(label).isNotNull())
+    cnt = named.groupBy(_q(label)).agg(F.count(F.lit(1)).alias("_n"))
+    cnt = cnt.withColumn("_m", cnt.select(F.max("_n")).scalar())
     cnt = cnt.withColumn("_q", F.floor(F.col("_m") / F.col("_n")).cast("long")) \
              .withColumn("quota", F.pmod(F.col("_m"), F.col("_n")).cast("long"))
-    sel = rank_select(df, [label], key, cnt.select(label, "quota"), seed, "_extra")
-    sel = sel.join(cnt.select(label, "_q"), [label])
+    sel = rank_select(named, [label], key, cnt.select(label, "quota"), seed, "_extra")
+    sel = sel.join(cnt.select(label, "_q"), [label]).select(*[_q(c) for c in df.columns], "_q", "_extra")
     copies = F.col("_q") + F.col("_extra").cast("long")
-    return sel.withColumn(out, F.explode(F.sequence(F.lit(1).cast("long"), copies))) \
-              .drop("_q", "_extra")
+    many = sel.withColumn(out, F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop("_q", "_extra")
+    return many.unionByName(df.where(_q(label).isNull()).withColumn(out, F.lit(1).cast("long")))
 
 
 def balanced_bags(df: DataFrame, key: str, label: str, minority, bags: int = 3,
                   ratio: float = 1.0, seed: int = 100) -> DataFrame:
     """(bag, row) table; each bag holds every minority row and
-    floor(ratio * n_minority) majority rows chosen by a per-bag hash."""
+    floor(ratio * n_minority) majority rows chosen by a per-bag hash.  Rows
+    without a label are neither and take no part."""
     spark = df.sparkSession
+    df = df.where(_q(label).isNotNull())
     n_min = df.where(_q(label) == F.lit(minority)).select(F.count(F.lit(1))).scalar()
     ids = F.sequence(F.lit(1), F.lit(bags))
     maj = df.where(~(_q(label) == F.lit(minority))).withColumn("bag", F.explode(ids))

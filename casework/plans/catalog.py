@@ -97,11 +97,11 @@ def cardinality_gate(spark, sf_dir):
 
 
 def corr_matrix(spark, sf_dir):
-    """D11 over numerics + label-encoded low-cardinality text."""
+    """D11 over numerics, label-encoded low-cardinality text (G8) and a column without spread."""
     from casework.operators import features
     li = Tables(spark, sf_dir).lineitem
-    enc = features.label_encode(li, ["l_returnflag", "l_linestatus"])
-    return profile.corr_matrix(enc, _NUM + ["l_returnflag_code", "l_linestatus_code"])
+    enc = features.label_encode(li, ["l_returnflag", "l_linestatus"]).withColumn("constant", F.lit(5.5))
+    return profile.corr_matrix(enc, _NUM + ["l_returnflag_code", "l_linestatus_code", "constant"])
 
 
 def top_mean_diff(spark, sf_dir):
@@ -318,12 +318,10 @@ def rule_reject(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- annotations
-# base = finished orders keyed by customer; annotations = events keyed by
-# user, value = event type with 'error' as a missing annotation, order = id.
+# base = all orders keyed by customer; annotations = events keyed by user, value = event type with 'error' as a missing annotation, order = id.
 
 def _ann_inputs(t: Tables):
-    base = (t.orders.where(F.col("o_orderstatus") == "F")
-            .select("o_orderkey", F.col("o_custkey").alias("case_id")))
+    base = t.orders.select("o_orderkey", F.col("o_custkey").alias("case_id"))
     ann = t.events.select(F.col("user_id").alias("case_id"), "event_id",
                           F.when(F.col("event_type") != "error", F.col("event_type")).alias("difficulty"))
     return base, ann
@@ -350,6 +348,13 @@ def duplicate_keys(spark, sf_dir):
     return annotate.duplicate_keys(base, ann, ["case_id"])
 
 
+def duplicate_annotations(spark, sf_dir):
+    """The annotation rows of keys that the base repeats."""
+    from casework.operators import annotate
+    base, ann = _ann_inputs(Tables(spark, sf_dir))
+    return annotate.duplicate_annotations(base, ann, ["case_id"], "difficulty", "event_id")
+
+
 def reconcile(spark, sf_dir):
     """D3: reconciliation counts of the merge."""
     from casework.operators import annotate
@@ -497,22 +502,39 @@ def facet_filter(spark, sf_dir):
     return sub.select("o_orderkey", "o_custkey", label.alias("display_label"))
 
 
+_ROW_KEY = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
 def row_lookup(spark, sf_dir):
-    """B4 + B26: deterministic row id for every order, then the one picked case."""
+    """B4 + B26: the orders whose id is that of each customer's largest order key."""
     from casework.operators import browse
     o = Tables(spark, sf_dir).orders
-    keys = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
-    df = browse.with_row_id(o, keys)
-    pick = browse.row_id_of(["2", "330", "O", "2-HIGH"])
-    return browse.by_id(df, "row_id", pick).select("row_id", "o_orderkey", "o_totalprice")
+    df = browse.with_row_id(o, _ROW_KEY)
+    last = o.groupBy("o_custkey").agg(F.max_by(F.struct(*_ROW_KEY), "o_orderkey").alias("k"))
+    picks = last.select(browse.row_id_of([F.col(f"k.{c}").cast("string") for c in _ROW_KEY]).alias("pick"))
+    return df.join(picks, df.row_id == picks.pick, "left_semi").select("row_id", "o_orderkey", "o_totalprice")
+
+
+def _gappy(t: Tables) -> DataFrame:
+    """Line items with missing cells, reduced to few columns so that rows repeat."""
+    return t.lineitem.select(F.when(F.col("l_linenumber") != 2, F.col("l_returnflag")).alias("flag"),
+                             F.when(F.col("l_linenumber") != 3, F.col("l_linestatus")).alias("status"),
+                             F.col("l_linenumber").alias("line"))
 
 
 def row_ids(spark, sf_dir):
-    """The id column itself (stable under retries, no randomness)."""
+    """Ids of orders by key, NULL key parts included (stable under retries)."""
     from casework.operators import browse
-    o = Tables(spark, sf_dir).orders
-    return browse.with_row_id(o, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]) \
-        .select("o_orderkey", "row_id")
+    o = Tables(spark, sf_dir).orders.withColumn(
+        "o_orderpriority", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")))
+    return browse.with_row_id(o, _ROW_KEY).select("o_orderkey", "row_id")
+
+
+def row_ids_repeated(spark, sf_dir):
+    """Ids without a key; equal rows get an id each."""
+    from casework.operators import browse
+    return browse.with_row_id(_gappy(Tables(spark, sf_dir)))
+
 
 # ---------------------------------------------------------------- sampling
 
@@ -729,13 +751,22 @@ def prompt(spark, sf_dir):
         "reject_examples").alias("prompt"))
 
 
+# Replies as they come: clean, fenced, cut off, with text after them, not JSON, odd types.
+REPLIES = [
+    '{"approve": true, "reason": "ok"}', '{"approve": false}', '```json\n{"approve": true}\n```', '\n{"approve": true, "reason": "a"}\n',
+    '\n```json\n{"approve": true}\n```\n', '```\n{"approve": false, "reason": "kort"}```', '{bad', '{"approve": true, "reas',
+    '{"approve": true} extra', '{"approve": true}] extra}', '{"approve": true},{"approve": true}', '{"approve": "yes"}', '{"approve": 1}',
+    '{"approve": 0}', '{"approve": "false"}', '{"approve": ""}', '{"approve": null}', '{"reason": "none"}', '[1]', 'true', '',
+    ' \t ', '{"approve": []}', '{"approve": [0]}', '{"approve": {}}', '{"approve": 0.5, "reason": 5}', "{'approve': true}",
+]
+
+
 def _replies(t: Tables) -> DataFrame:
+    """Each turn's reply: its text in the first turn, else one of ``REPLIES`` by its place."""
     c = t.conversations
-    reply = (F.when(F.col("role") == "user", F.lit(""))
-             .when(F.col("turn") == 1, F.col("text"))
-             .when(F.length("text") > 200, F.lit('```json\n{"approve": true, "reason": "lang tekst"}\n```'))
-             .when(F.length("text") > 100, F.lit('{"approve": false}'))
-             .otherwise(F.lit('```\n{"approve": false, "reason": "kort tekst"}```')))
+    which = F.pmod(F.col("conv_id") * 7 + F.col("turn") * 3 + F.length("text"), F.lit(len(REPLIES))).cast("int")
+    picked = F.element_at(F.array(*[F.lit(r) for r in REPLIES]), which + 1)
+    reply = F.when(F.col("turn") == 1, F.col("text")).otherwise(picked)
     err = F.when((F.col("turn") == 3) & (F.col("role") == "assistant"), F.lit("timeout"))
     return c.select("conv_id", "turn", reply.alias("reply"), err.alias("error"))
 
@@ -835,10 +866,12 @@ def annotated_counts(spark, sf_dir):
 
 
 def reject_rate(spark, sf_dir):
-    """Numeric reject target from both reject spellings, rate per priority."""
+    """Numeric reject target from both reject spellings, in cells with stray
+    white space, rate per priority."""
     o = Tables(spark, sf_dir).orders
     dec = (F.when(F.col("o_orderstatus") == "F", F.lit("Avslag"))
-           .when(F.col("o_orderstatus") == "P", F.lit("Avslag etter klage "))
+           .when(F.col("o_orderstatus") == "P", F.concat(F.lit("\tAvslag etter klage"), F.element_at(
+               F.array(F.lit(""), F.lit(" "), F.lit("\u00a0"), F.lit("\n")), (F.col("o_orderkey") % 4 + 1).cast("int"))))
            .otherwise(F.lit("Varig tillatelse")))
     df = o.select("o_orderpriority", clean.reject_flag(dec).alias("y"))
     return df.groupBy("o_orderpriority").agg(F.sum("y").cast("long").alias("n_reject"),
@@ -861,24 +894,48 @@ def count_within_ref(spark, sf_dir):
 
 
 def lookup_by_reference(spark, sf_dir):
-    """A12 + B29 + C4 on a road-object snapshot built from orders: each
-    order is an object of type 540 with one property and one reference on
-    its customer's 'road'; each customer is a case on that road.  The case
-    gets the property of the first object (by order key); none -> ''."""
+    """A12 + B29 + C4 on a road-object snapshot built from orders: each order
+    is an object of type 540 with two properties on its customer's 'road', a
+    point or (every third) an extent of 400 m; each customer is a case at
+    m500, every fifth without a meter.  The case gets both properties of the
+    first object there (by order key); none -> ''."""
     from casework.operators import enrich
     t = Tables(spark, sf_dir)
     o = t.orders
+    meter = (F.col("o_orderkey") % 10 * 100).cast("double")
     objects = o.select(
-        F.lit(540).alias("object_type"), F.col("o_orderkey").alias("object_id"),
-        F.col("o_orderkey").alias("ord"),
-        F.array(F.struct(F.lit("Prioritet").alias("name"), F.col("o_orderpriority").alias("value")))
-        .alias("properties"),
-        F.array(F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("road"),
-                         F.lit(0.0).alias("meter"))).alias("references"))
-    cases = t.customer.select("c_custkey",
-                              F.concat(F.lit("C"), F.col("c_custkey").cast("string"), F.lit(" m0"))
-                              .alias("road_ref"))
-    return enrich.lookup_by_reference(cases, objects, 540, "Prioritet", "priority")
+        F.lit(540).alias("object_type"), F.col("o_orderkey").alias("object_id"), F.col("o_orderkey").alias("ord"),
+        F.array(F.struct(F.lit("Prioritet").alias("name"), F.col("o_orderpriority").alias("value")),
+                F.struct(F.lit("Status").alias("name"), F.col("o_orderstatus").alias("value"))).alias("properties"),
+        F.array(F.struct(F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("road"), meter.alias("meter"),
+                         F.when(F.col("o_orderkey") % 3 == 0, meter + 400).alias("meter_to"))).alias("references"))
+    ref = F.concat(F.lit("C"), F.col("c_custkey").cast("string"),
+                   F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.lit(" m500")))
+    cases = t.customer.select("c_custkey", ref.alias("road_ref"))
+    return enrich.lookup_by_reference(cases, objects, 540, {"priority": "Prioritet", "status": "Status"})
+
+
+def stratified_split_missing(spark, sf_dir):
+    """G2 with a stratum that is missing: its rows are split like any other."""
+    from casework.operators import sample
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", F.when(
+        F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("priority"))
+    return sample.stratified_split(o, "o_orderkey", ["priority"], 0.2, seed=3)
+
+
+def oversample_missing(spark, sf_dir):
+    """G4 with rows that have no label: they stay once."""
+    from casework.operators import sample
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", F.when(
+        F.col("o_orderpriority") != "5-LOW", F.col("o_orderstatus")).alias("status"))
+    return sample.oversample(o, "o_orderkey", "status", seed=5)
+
+
+def label_encode_many(spark, sf_dir):
+    """G8 with far more than fifty categories (every customer key as text)."""
+    from casework.operators import features
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    return features.label_encode(o, ["customer"])
 
 
 def _registry() -> dict:
@@ -900,7 +957,8 @@ def _registry() -> dict:
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
         "sparse_prune", "quality_report", "similar_embeddings",
         "annotated_counts", "reject_rate", "count_within_ref",
-        "lookup_by_reference",
+        "lookup_by_reference", "duplicate_annotations", "row_ids_repeated",
+        "stratified_split_missing", "oversample_missing", "label_encode_many",
     ]
     g = globals()
     return {n: g[n] for n in names}

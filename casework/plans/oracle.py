@@ -116,7 +116,7 @@ SELECT column_name, count(DISTINCT value) AS n_distinct, count(DISTINCT value) <
 FROM long WHERE value IS NOT NULL GROUP BY column_name
 """
 
-_CORR_COLS = _NUM + ["l_returnflag_code", "l_linestatus_code"]
+_CORR_COLS = _NUM + ["l_returnflag_code", "l_linestatus_code"]  # and "constant", without correlations
 
 
 def _corr_sql() -> str:
@@ -126,7 +126,10 @@ def _corr_sql() -> str:
         sel.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM enc")
         sel.append(f"SELECT '{b}', '{a}', round(corr({a}, {b}), 6) FROM enc")
     for c in _CORR_COLS:
-        sel.append(f"SELECT '{c}', '{c}', CASE WHEN count(*) > 1 THEN 1.0 END FROM enc")
+        sel.append(f"SELECT '{c}', '{c}', CASE WHEN min({c}) < max({c}) THEN 1.0 END FROM enc")
+        sel.append(f"SELECT '{c}', 'constant', CAST(NULL AS DOUBLE)")
+        sel.append(f"SELECT 'constant', '{c}', CAST(NULL AS DOUBLE)")
+    sel.append("SELECT 'constant', 'constant', CAST(NULL AS DOUBLE)")
     return f"""
 WITH rf AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS code
             FROM (SELECT DISTINCT CAST(l_returnflag AS VARCHAR) AS v FROM lineitem WHERE l_returnflag IS NOT NULL)),
@@ -197,7 +200,10 @@ v AS (SELECT correct, l_extendedprice AS x FROM li WHERE l_extendedprice IS NOT
 r AS (SELECT min(x) AS mn, max(x) AS mx FROM v),
 b AS (SELECT correct, CAST(CASE WHEN (mx - mn) / 20 > 0 THEN least(floor((x - mn) / ((mx - mn) / 20)), 19) ELSE 0 END AS INTEGER) AS bin,
              mn, mx FROM v, r),
-c AS (SELECT correct, bin, mn, mx, count(*) AS n FROM b GROUP BY ALL)
+g AS (SELECT DISTINCT correct FROM v),
+c AS (SELECT g.correct, i.bin, any_value(r.mn) AS mn, any_value(r.mx) AS mx, count(b.bin) AS n
+      FROM g CROSS JOIN r CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(20)) i
+      LEFT JOIN b ON b.correct = g.correct AND b.bin = i.bin GROUP BY g.correct, i.bin)
 SELECT correct, bin, round(mn + bin * ((mx - mn) / 20), 8) AS lo, round(mn + (bin + 1) * ((mx - mn) / 20), 8) AS hi,
   n, round(n / (sum(n) OVER (PARTITION BY correct) * ((mx - mn) / 20)), 8) AS density
 FROM c
@@ -402,7 +408,7 @@ FROM b GROUP BY ALL
 """
 
 _ANN = """
-base AS (SELECT o_orderkey, o_custkey AS case_id FROM orders WHERE o_orderstatus = 'F'),
+base AS (SELECT o_orderkey, o_custkey AS case_id FROM orders),
 ann AS (SELECT user_id AS case_id, event_id, CASE WHEN event_type <> 'error' THEN event_type END AS difficulty
         FROM events),
 per_key AS (SELECT case_id, arg_max(difficulty, event_id) FILTER (WHERE difficulty IS NOT NULL) AS difficulty
@@ -426,12 +432,18 @@ na AS (SELECT case_id, count(*) AS n_ann FROM ann WHERE case_id IS NOT NULL GROU
 SELECT dup.case_id, dup.n_base, coalesce(na.n_ann, 0) AS n_ann FROM dup LEFT JOIN na ON dup.case_id = na.case_id
 """
 
+ORACLE["duplicate_annotations"] = f"""
+WITH {_ANN},
+dup AS (SELECT case_id FROM base WHERE case_id IS NOT NULL GROUP BY case_id HAVING count(*) > 1)
+SELECT case_id, difficulty FROM per_key WHERE case_id IN (SELECT case_id FROM dup)
+"""
+
 ORACLE["reconcile"] = f"""
 WITH {_ANN},
-merged AS (SELECT b.case_id, p.difficulty FROM base b LEFT JOIN per_key p ON b.case_id = p.case_id)
-SELECT (SELECT count(DISTINCT case_id) FROM ann WHERE difficulty IS NOT NULL AND case_id IS NOT NULL) AS annotated_keys,
-       count(*) AS base_rows, count(difficulty) AS transferred, count(*) - count(difficulty) AS missing
-FROM merged
+merged AS (SELECT b.case_id, p.difficulty FROM base b LEFT JOIN per_key p ON b.case_id = p.case_id),
+a AS (SELECT count(*) AS annotated FROM ann WHERE difficulty IS NOT NULL),
+t AS (SELECT count(*) AS transferred FROM merged WHERE difficulty IS NOT NULL)
+SELECT annotated, transferred, annotated - transferred AS missing FROM a, t
 """
 
 ORACLE["lookup_attribute"] = """
@@ -550,15 +562,29 @@ WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND c_mktsegment IN ('BUILDING',
   AND coalesce(received >= DATE '1997-01-01', false)
 """
 
-ORACLE["row_lookup"] = """
-WITH d AS (SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
-                                   o_orderpriority)) AS row_id, o_orderkey, o_totalprice FROM orders)
-SELECT * FROM d WHERE row_id = sha256(concat_ws('|', '2', '330', 'O', '2-HIGH'))
+def _key_sql(cols: list[str]) -> str:
+    """Cells with their lengths, NULL as a dash."""
+    return "concat(" + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols) + ")"
+
+
+_ORDER_KEY = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+ORACLE["row_lookup"] = f"""
+WITH last AS (SELECT max(o_orderkey) AS k FROM orders GROUP BY o_custkey)
+SELECT sha256({_key_sql(_ORDER_KEY)}) AS row_id, o_orderkey, o_totalprice FROM orders
+WHERE o_orderkey IN (SELECT k FROM last)
+"""
+
+ORACLE["row_ids"] = f"""
+WITH o AS (SELECT * REPLACE (CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS o_orderpriority) FROM orders)
+SELECT o_orderkey, sha256({_key_sql(_ORDER_KEY)}) AS row_id FROM o
 """
 
-ORACLE["row_ids"] = """
-SELECT o_orderkey, sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
-                                    o_orderpriority)) AS row_id FROM orders
+ORACLE["row_ids_repeated"] = f"""
+WITH g AS (SELECT CASE WHEN l_linenumber <> 2 THEN l_returnflag END AS flag,
+                  CASE WHEN l_linenumber <> 3 THEN l_linestatus END AS status, l_linenumber AS line FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY flag, status, line) AS i FROM g)
+SELECT flag, status, line, sha256({_key_sql(["flag", "status", "line", "i"])}) AS row_id FROM n
 """
 
 
@@ -793,19 +819,27 @@ FROM ot LEFT JOIN pc ON ot.o_orderkey = pc.case_id, g
 
 ORACLE["prompt"] = _prompt_sql()
 
-ORACLE["parse_reply"] = """
+def _replies_sql() -> str:
+    from casework.plans.catalog import REPLIES  # the input rows, not the rule
+    return ", ".join("'" + r.replace("'", "''") + "'" for r in REPLIES)
+
+
+ORACLE["parse_reply"] = r"""
 WITH r AS (
   SELECT conv_id, turn,
-    CASE WHEN role = 'user' THEN '' WHEN turn = 1 THEN text
-         WHEN length(text) > 200 THEN '```json' || chr(10) || '{"approve": true, "reason": "lang tekst"}' || chr(10) || '```'
-         WHEN length(text) > 100 THEN '{"approve": false}'
-         ELSE '```' || chr(10) || '{"approve": false, "reason": "kort tekst"}```' END AS reply,
+    CASE WHEN turn = 1 THEN text
+         ELSE list_extract([%s], CAST((conv_id * 7 + turn * 3 + length(text)) %% len([%s]) AS INTEGER) + 1) END AS reply,
     CASE WHEN turn = 3 AND role = 'assistant' THEN 'timeout' END AS error
   FROM conversations),
-b AS (SELECT *, trim(regexp_replace(trim(reply), '^```[a-zA-Z]*\\n?|```$', '', 'g')) AS body FROM r),
-j AS (SELECT *, coalesce(starts_with(body, '{') AND json_valid(body), false) AS ok FROM b),
-v AS (SELECT *, CASE WHEN ok THEN TRY_CAST(json_extract(body, '$.approve') AS BOOLEAN) END AS approve,
+t AS (SELECT *, regexp_replace(reply, '^\s+|\s+$', '', 'g') AS trimmed FROM r),
+f AS (SELECT *, regexp_replace(regexp_replace(trimmed, '^```[a-zA-Z]*', ''), '```$', '') AS inner_text FROM t),
+b AS (SELECT *, regexp_replace(inner_text, '^\s+|\s+$', '', 'g') AS body FROM f),
+j AS (SELECT *, coalesce(json_valid(body), false) AND coalesce(CASE WHEN json_valid(body) THEN json_type(body) END = 'OBJECT', false) AS ok FROM b),
+k AS (SELECT *, CASE WHEN ok THEN json_type(body, '$.approve') END AS kind,
+             CASE WHEN ok THEN json_extract_string(body, '$.approve') END AS val,
              CASE WHEN ok THEN json_extract_string(body, '$.reason') END AS reason FROM j),
+v AS (SELECT *, CASE kind WHEN 'BOOLEAN' THEN val = 'true' WHEN 'VARCHAR' THEN val <> '' WHEN 'ARRAY' THEN val <> '[]'
+                          WHEN 'OBJECT' THEN val <> '{}' WHEN 'NULL' THEN false ELSE TRY_CAST(val AS DOUBLE) <> 0 END AS approve FROM k),
 d AS (SELECT *,
   CASE WHEN error IS NOT NULL OR NOT ok THEN 'Feil' WHEN coalesce(approve, false) THEN 'Godkjent' ELSE 'Avslag' END
     AS strict_decision,
@@ -815,7 +849,7 @@ d AS (SELECT *,
     AS lenient_decision FROM v)
 SELECT conv_id, turn, strict_decision, strict_reason, lenient_decision,
        strict_decision IN ('Godkjent', 'Avslag') AS strict_valid FROM d
-"""
+""" % (_replies_sql(), _replies_sql())
 
 ORACLE["explanation_text"] = """
 WITH f AS (
@@ -916,7 +950,32 @@ FROM cp
 """
 
 ORACLE["lookup_by_reference"] = """
-WITH first AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS pr FROM orders GROUP BY o_custkey)
-SELECT c.c_custkey, 'C' || CAST(c.c_custkey AS VARCHAR) || ' m0' AS road_ref, coalesce(f.pr, '') AS priority
-FROM customer c LEFT JOIN first f ON c.c_custkey = f.o_custkey
+WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS pr, o_orderstatus AS st, (o_orderkey % 10) * 100 AS lo,
+                  (o_orderkey % 10) * 100 + CASE WHEN o_orderkey % 3 = 0 THEN 400 ELSE 0 END AS hi FROM orders),
+first AS (
+  SELECT c_custkey, arg_min(pr, o_orderkey) AS pr, arg_min(st, o_orderkey) AS st
+  FROM customer JOIN o ON c_custkey = o_custkey AND (c_custkey % 5 = 0 OR 500 BETWEEN lo AND hi) GROUP BY c_custkey)
+SELECT c.c_custkey, 'C' || CAST(c.c_custkey AS VARCHAR) || CASE WHEN c.c_custkey % 5 = 0 THEN '' ELSE ' m500' END AS road_ref,
+       coalesce(f.pr, '') AS priority, coalesce(f.st, '') AS status
+FROM customer c LEFT JOIN first f ON c.c_custkey = f.c_custkey
+"""
+
+ORACLE["stratified_split_missing"] = f"""
+WITH om AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END AS priority FROM orders)
+SELECT o_orderkey, priority, split FROM {_strat('om', 'priority', 0.2, 3)}
+"""
+
+ORACLE["oversample_missing"] = f"""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS status FROM orders),
+c AS (SELECT status, count(*) AS n FROM o WHERE status IS NOT NULL GROUP BY status),
+r AS (SELECT o.*, row_number() OVER (PARTITION BY o.status ORDER BY {_h('o_orderkey', 5)}, o_orderkey) AS rn, c.n,
+             (SELECT max(n) FROM c) AS mx FROM o JOIN c ON o.status = c.status),
+k AS (SELECT o_orderkey, status, CAST(mx // n + CASE WHEN rn <= mx % n THEN 1 ELSE 0 END AS BIGINT) AS copies FROM r
+      UNION ALL SELECT o_orderkey, status, 1 FROM o WHERE status IS NULL)
+SELECT o_orderkey, status, CAST(g.copy AS BIGINT) AS copy FROM k, LATERAL (SELECT unnest(range(1, copies + 1)) AS copy) g
+"""
+
+ORACLE["label_encode_many"] = """
+SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer,
+       CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS customer_code FROM orders
 """

@@ -37,19 +37,21 @@ def _default_driver_memory() -> str:
 def get_spark(master: str | None = None, app: str = "casework",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the engine defaults.
+    """The running session as it is, or a new one with the engine defaults.
 
-    ``master`` defaults to ``local[$BENCH_CPUS]`` for local runs; on a
-    cluster the launcher's master wins because ``getOrCreate`` reuses it.
-    """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
+    Master, driver memory and shuffle partitions are only set when asked for
+    (benches and tests do); else they come from the launcher."""
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        return running
     conf = dict(_DEFAULTS)
-    # local mode: the driver JVM is the only executor
-    conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", _default_driver_memory())
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
+        if master.startswith("local"):  # the driver JVM is the only executor
+            conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", _default_driver_memory())
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -91,14 +93,3 @@ def materialize(df: DataFrame) -> DataFrame:
         import tempfile
         ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="casework-ckpt-"))
     return df.checkpoint(eager=True)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder.
-
-    Survives executor loss (unlike a local checkpoint).  Raises when the
-    session names no checkpoint folder, rather than guessing a local path.
-    """
-    if not checkpoint_dir(df.sparkSession):
-        raise RuntimeError("spark.checkpoint.dir is not set; cannot cut lineage")
-    return df.checkpoint(eager=True)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casework.functions.clean import parse_number, strip
+
 # Source column names of the permit table, keyed by our name.
 SOURCE_NAMES = {
     "case_id": "OBJ.VEGOBJEKT-ID",
@@ -79,7 +81,8 @@ ROAD_OBJECT_SCHEMA = T.StructType([
         T.StructField("value", T.StringType())]))),
     T.StructField("references", T.ArrayType(T.StructType([
         T.StructField("road", T.StringType()),
-        T.StructField("meter", T.DoubleType())]))),
+        T.StructField("meter", T.DoubleType()),
+        T.StructField("meter_to", T.DoubleType())]))),  # end of an extent; NULL for a point
 ])
 
 # Road-object type ids used by the enrichment steps.
@@ -93,43 +96,61 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def to_snake(df: DataFrame) -> DataFrame:
-    """Rename source headers to snake_case (alternate spellings honoured)."""
+    """Rename source headers to snake_case; where an alternate header is
+    present it takes the place of the usual one (B3)."""
     back = {v: k for k, v in SOURCE_NAMES.items()}
+    out, present = df, set(df.columns)
     for ours, alts in ALTERNATE_NAMES.items():
-        for a in alts:
-            back.setdefault(a, ours)
-    present = set(df.columns)
-    out = df
-    for c in df.columns:
+        for a in [a for a in alts if a in present][:1]:
+            out = out.drop(SOURCE_NAMES[ours], ours) if {SOURCE_NAMES[ours], ours} & present else out
+            back[a] = ours
+    for c in out.columns:
         tgt = back.get(c)
-        if tgt and tgt not in present:
+        if tgt and tgt not in out.columns:
             out = out.withColumnRenamed(c, tgt)
     return out
 
 
+def _typed(name: str, src: T.DataType, to: T.DataType) -> Column:
+    """A cell in the schema's type.  Text numbers may carry blanks, a decimal
+    comma or, in counts, a zero fraction (``12.0``); others become NULL."""
+    cell = F.col(f"`{name}`")
+    if isinstance(to, T.StringType) or not isinstance(src, T.StringType):
+        return cell.try_cast(to)
+    if isinstance(to, (T.DoubleType, T.FloatType)):
+        return parse_number(cell).cast(to)
+    if isinstance(to, T.IntegralType):
+        number = parse_number(cell)
+        return F.coalesce(strip(cell).try_cast(to), F.when(number == F.floor(number), number).try_cast(to))
+    return cell.try_cast(to)
+
+
 def conform(df: DataFrame, schema: T.StructType = CASE_SCHEMA,
             keep_extra: bool = True) -> DataFrame:
     """Cast present columns to the schema, add absent ones as NULL.
 
-    Text cells that do not parse become NULL (``try_cast``), never NaN.
+    Cells that do not parse become NULL, never NaN; ``failed_cells`` counts them.
     """
-    present = {c.lower(): c for c in df.columns}
+    present = {f.name.lower(): f for f in df.schema.fields}
     cols = []
     for f in schema.fields:
         src = present.get(f.name.lower())
-        if src is None:
-            cols.append(F.lit(None).cast(f.dataType).alias(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            cols.append(F.col(f"`{src}`").cast("string").alias(f.name))
-        else:
-            cols.append(F.expr(f"try_cast(`{src}` as {f.dataType.simpleString()})")
-                        .alias(f.name))
+        cols.append((F.lit(None).cast(f.dataType) if src is None else _typed(src.name, src.dataType, f.dataType)).alias(f.name))
     names = {f.name.lower() for f in schema.fields}
     if keep_extra:
         cols += [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]
     return df.select(*cols)
 
 
+def failed_cells(df: DataFrame, schema: T.StructType = CASE_SCHEMA) -> DataFrame:
+    """(column_name, failed): non-blank cells that ``conform`` cannot type."""
+    present = {f.name.lower(): f for f in df.schema.fields}
+    typed = [(f.name, present[f.name.lower()], f.dataType) for f in schema.fields if f.name.lower() in present]
+    counts = df.agg(*[F.count_if((strip(F.col(f"`{s.name}`").cast("string")) != "") & _typed(s.name, s.dataType, t).isNull()).alias(n)
+                      for n, s, t in typed])
+    return counts.unpivot([], [n for n, *_ in typed], "column_name", "failed")
+
+
 def read_cases(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
     """A1/A3: delimited scan with header; typed through ``conform``."""
     raw = read_raw(spark, path, sep)

@@ -87,7 +87,7 @@ def main():
     if args and args[0].startswith("/"):
         sf_dir, args = args[0], args[1:]
     import __spark_entry__ as E
-    spark = get_spark(shuffle_partitions=8)
+    spark = get_spark("local[8]", shuffle_partitions=8)
     con = duck(sf_dir)
     qs, orc = E.queries(), E.oracle_sql()
     bad = 0
