@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.derive import first_property, road_meter, road_part
-from casework.operators.joins import broadcast_if_small
 from casework.operators.quantile import prefix_sums
 
 
@@ -149,10 +148,10 @@ def application_type(cases: DataFrame, overrides: DataFrame, decision: str = "de
                      reject: str = "Avslag") -> DataFrame:
     """The application type starts as the decision; rejected cases are
     blank unless the override table (archive_url, application_type) names
-    their type.  The override table is broadcast only when proven small."""
+    their type.  Spark broadcasts the override table if its size allows."""
     ov = overrides.select(F.col("archive_url").alias("_url"),
                           F.col("application_type").alias("_ov")).dropDuplicates(["_url"])
-    j = cases.join(broadcast_if_small(ov), F.col(url) == F.col("_url"), "left")
+    j = cases.join(ov, F.col(url) == F.col("_url"), "left")
     val = F.when(F.col(decision) == F.lit(reject), F.coalesce(F.col("_ov"), F.lit(""))) \
            .otherwise(F.col(decision))
     return j.withColumn(out, val).drop("_url", "_ov")

@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from casework.functions.derive import risk_band
 from casework.operators import features as feat_ops
-from casework.operators.joins import broadcast_if_small
 from casework.operators import sample
 from casework.operators.similar import global_segment, knn
 from casework.session import checkpoint_dir, materialize
@@ -41,7 +40,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     n = df.select(F.count(F.lit(1))).scalar()
     k = df.select(F.count_distinct(_q(label))).scalar()
     w = cnt.select(_q(label), (n / (k * F.col("_nc"))).alias(out))
-    return df.join(broadcast_if_small(w), [label])
+    return df.join(w, [label])
 
 
 def forest_pipeline(features: list[str], label: str, trees: int = 50, depth: int = 8,
@@ -277,7 +276,7 @@ def forest_contributions(model: PipelineModel, df: DataFrame, id_col: str,
     scored = model.transform(df).select(_q(id_col).alias("_rid"), vector_to_array("leaf").alias("_leaves"))
     ex = scored.select("_rid", F.posexplode("_leaves").alias("treeID", "leaf")) \
                .select("_rid", F.col("treeID").cast("int"), F.col("leaf").cast("int"))
-    j = ex.join(broadcast_if_small(lc), ["treeID", "leaf"])
+    j = ex.join(lc, ["treeID", "leaf"])
     names = F.array(*[F.lit(f) for f in features])
     agg = j.groupBy("_rid", "feature").agg((F.sum("contribution") / F.lit(float(n_trees))).alias("contribution"))
     return agg.select(F.col("_rid").alias(id_col),

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions.clean import REJECT, PERMIT, squash_space
-from casework.operators.joins import broadcast_if_small
 
 AUTO_APPROVE = "AUTO_APPROVE"
 MANUAL_REVIEW = "MANUAL_REVIEW"
@@ -67,7 +66,7 @@ def two_stage_decide(df: DataFrame, thresholds: DataFrame, pred1: str = "stage1_
         F.col("class").alias("_c2"), F.col("threshold").alias("_t2"))
     g = gate if gate is not None else F.lit(True)
     x = (df.withColumn("_t1", t1)
-         .join(broadcast_if_small(t2), F.col(top2) == F.col("_c2"), "left"))
+         .join(t2, F.col(top2) == F.col("_c2"), "left"))
     fire1 = (F.col(pred1) == F.lit(REJECT)) & F.col("_t1").isNotNull() & \
         (F.col(p1) >= F.col("_t1")) & g
     fire2 = (F.col(pred1) == F.lit(PERMIT)) & F.col("_t2").isNotNull() & \

@@ -4,13 +4,15 @@
 Spark ``percentile`` / DuckDB ``quantile_cont``) without collecting a group's
 values into one aggregation buffer:
 
-1. pre-aggregate to distinct (group, value, count)   - a hot value is one row;
-2. split each group's value range into ``buckets`` equal-width bins and sum
-   counts per bin (<= ``buckets`` rows per group);
-3. cumulative bin counts locate the bin that holds each target rank;
-4. those bins are cut into ``buckets`` sub-bins the same way, and only the
-   sub-bins that hold a target rank are ranked (window over (group, bin,
-   sub-bin)); the two values around each target rank are interpolated.
+1. one pass for each group's count and, from a bounded sketch, a bracket of
+   values around every target rank (a few ten-thousandths of the rows);
+2. one pass that counts the rows between brackets as one number each and the
+   distinct values inside brackets one by one;
+3. cumulative counts over that small table locate the two values around each
+   target rank, which are interpolated.
+
+The brackets follow the data, so an outlier far from the bulk moves none.  A
+rank outside its bracket would raise an error, never give a wrong value.
 
 ``prefix_sums`` answers "sum of weights of points at or below a position"
 for many query positions in one sort-based pass (no point pairs emitted);
@@ -19,16 +21,21 @@ it is the building block of the proximity count (C5) and threshold scans (E6).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: buckets in one block of offsets
+_BLOCK = 1024
+
 
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str] | None = None,
-                    probs=(0.25, 0.5, 0.75), buckets: int = 1024,
+                    probs=(0.25, 0.5, 0.75), accuracy: int = 10_000,
                     prob_col: str = "prob", out_col: str = "quantile") -> DataFrame:
     """(by..., prob, quantile) for every group with at least one non-null value."""
     by = list(by or [])
@@ -37,68 +44,43 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str] | None = None,
         # keeps the joins as equi-joins (a literal key would be folded away)
         key = F.regexp_replace(F.coalesce(_q(value).cast("string"), F.lit("")), "^.*$", "0")
         q = exact_quantiles(df.withColumn("_all", key), value, ["_all"], probs,
-                            buckets, prob_col, out_col)
+                            accuracy, prob_col, out_col)
         return q.drop("_all")
-    g = [_q(c) for c in by]
-    v = df.select(*g, _q(value).cast("double").alias("_v")).where(
+    v = df.select(*[_q(c) for c in by], _q(value).cast("double").alias("_v")).where(
         F.col("_v").isNotNull() & ~F.isnan("_v"))
-    dv = v.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    stats = dv.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"),
-                                F.max("_v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    binned = dv.join(stats, by)  # stats: one row per group
-    binned = binned.withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width),
-                                       F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-    btot = binned.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
-    wb = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    btot = btot.withColumn("_bend", F.sum("_bc").over(wb)).withColumn(
-        "_bstart", F.col("_bend") - F.col("_bc"))
-    # targets: two ranks per prob
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    tg = stats.select(*by, "_n", F.explode(pr).alias(prob_col))
-    tg = tg.withColumn("_pos", F.col(prob_col) * (F.col("_n") - 1))
-    tg = tg.withColumn("_k0", F.floor("_pos")).withColumn(
-        "_k1", F.least(F.col("_k0") + 1, F.col("_n") - 1)).withColumn(
-        "_frac", F.col("_pos") - F.col("_k0"))
-    ranks = tg.select(*by, prob_col, F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("_k0").alias("k")),
-        F.struct(F.lit(1).alias("side"), F.col("_k1").alias("k")))).alias("_t"))
-    ranks = ranks.select(*by, prob_col, "_t.side", "_t.k")
-    # locate the bin of every target rank (targets x bins of the group: tiny)
-    rb = ranks.join(btot, by).where(
-        (F.col("k") >= F.col("_bstart")) & (F.col("k") < F.col("_bend")))
-    rb = rb.select(*by, prob_col, "side", "k", "_b", "_bstart")
-    # second level: the bins that hold a target are cut into ``buckets``
-    # sub-bins the same way, so only 1/buckets^2 of the value range is ranked
-    need = rb.select(*by, "_b").distinct()
-    inb = binned.select(*by, "_b", "_v", "_c", "_lo").join(need, by + ["_b"], "left_semi") \
-                .join(stats.select(*by, "_hi"), by)
-    sw = (F.col("_hi") - F.col("_lo")) / F.lit(buckets) / F.lit(buckets)
-    b_lo = F.col("_lo") + F.col("_b") * (F.col("_hi") - F.col("_lo")) / F.lit(buckets)
-    inb = inb.withColumn("_sb", F.when(sw > 0, F.least(F.greatest(
-        F.floor((F.col("_v") - b_lo) / sw), F.lit(0)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int"))
-    stot = inb.groupBy(*by, "_b", "_sb").agg(F.sum("_c").alias("_sc"))
-    ws = Window.partitionBy(*by, "_b").orderBy("_sb").rowsBetween(Window.unboundedPreceding, 0)
-    stot = stot.withColumn("_send", F.sum("_sc").over(ws)).withColumn(
-        "_sstart", F.col("_send") - F.col("_sc"))
-    rs = rb.join(stot, by + ["_b"]).where(
-        (F.col("k") - F.col("_bstart") >= F.col("_sstart")) &
-        (F.col("k") - F.col("_bstart") < F.col("_send")))
-    rs = rs.select(*by, prob_col, "side", "k", "_b", "_bstart", "_sb", "_sstart")
-    need2 = rs.select(*by, "_b", "_sb").distinct()
-    in2 = inb.select(*by, "_b", "_sb", "_v", "_c").join(need2, by + ["_b", "_sb"], "left_semi")
-    wv = Window.partitionBy(*by, "_b", "_sb").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    in2 = in2.withColumn("_vend", F.sum("_c").over(wv)).withColumn(
-        "_vstart", F.col("_vend") - F.col("_c"))
-    off = F.col("k") - F.col("_bstart") - F.col("_sstart")
-    hit = rs.join(in2, by + ["_b", "_sb"]).where((off >= F.col("_vstart")) & (off < F.col("_vend")))
-    piv = hit.groupBy(*by, prob_col).agg(
-        F.max(F.when(F.col("side") == 0, F.col("_v"))).alias("_v0"),
-        F.max(F.when(F.col("side") == 1, F.col("_v"))).alias("_v1"))
-    res = piv.join(tg.select(*by, prob_col, "_frac"), by + [prob_col])
-    return res.select(*by, prob_col, (F.col("_v0") + (F.col("_v1") - F.col("_v0")) *
-                                      F.col("_frac")).alias(out_col))
+    slack = 5.0 / accuracy
+    cuts = [x for p in probs for x in (p - slack, p + slack)]
+    sketch = F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, x))) for x in cuts]), F.lit(accuracy))
+    stats = v.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), sketch.alias("_cut"))
+    # open brackets reach to the ends of the range
+    lows = [F.lit(float("-inf")) if p - slack <= 0 else F.col("_cut")[2 * i] for i, p in enumerate(probs)]
+    highs = [F.lit(float("inf")) if p + slack >= 1 else F.col("_cut")[2 * i + 1] for i, p in enumerate(probs)]
+    j = v.join(stats, by)  # stats: one row for each group; broadcast by its size
+    inside = reduce(lambda x, y: x | y, [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b in zip(lows, highs, strict=True)])
+    # grows with the value: the same place means the same brackets
+    place = sum([(F.col("_v") >= a).cast("int") + (F.col("_v") > b).cast("int") for a, b in zip(lows, highs, strict=True)], F.lit(0))
+    # in a small group a rank is a large share of the rows: all its values count one by one
+    small = F.col("_n") <= F.lit(4 * accuracy)
+    few = (j.select(*[_q(c) for c in by], "_n", F.when(small, 0).otherwise(place).alias("_p"),
+                    F.when(small | inside, F.col("_v")).alias("_w"))
+           .groupBy(*by, "_n", "_p", "_w").agg(F.count(F.lit(1)).alias("_c")))
+    upto = Window.partitionBy(*by).orderBy("_p", "_w").rowsBetween(Window.unboundedPreceding, 0)
+    few = few.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+    # the lower rank's value and, past it, the upper rank's
+    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+
+    def holds(k):
+        hit = (k >= F.col("_start")) & (k < F.col("_end"))
+        found = F.when(F.col("_w").isNull(), F.raise_error(F.lit("a rank lies outside its bracket")).cast("double")).otherwise(F.col("_w"))
+        return F.max(F.when(hit, found))
+
+    row = few.groupBy(*by).agg(F.max("_n").alias("_n"), *[x for i, p in enumerate(pos) for x in (
+        holds(F.floor(p)).alias(f"_a{i}"), holds(F.least(F.floor(p) + 1, F.col("_n") - 1)).alias(f"_b{i}"))])
+    values = F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}"))
+                                                             * (pos[i] - F.floor(pos[i]))).alias("q"))
+                       for i, p in enumerate(probs)])
+    return (row.select(*[_q(c) for c in by], F.explode(values).alias("_x"))
+            .select(*[_q(c) for c in by], F.col("_x.p").alias(prob_col), F.col("_x.q").alias(out_col)))
 
 
 def quantile_columns(df: DataFrame, value: str, by: list[str] | None, probs,
@@ -113,67 +95,46 @@ def quantile_columns(df: DataFrame, value: str, by: list[str] | None, probs,
 
 def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str,
                 weights: list[str], qid: str, strict: str | None = None,
-                bucket_width: float = 500.0, target_rows: int = 2_000_000) -> DataFrame:
+                bucket_width: float = 500.0) -> DataFrame:
     """For each query row: sum of point weights with the same keys and
     ``point.pos <= query.pos`` (``< `` when the query's ``strict`` flag is true).
 
-    Points and queries are unioned and sorted by (keys, bucket, pos, tie);
-    per-bucket totals (one row per non-empty bucket) give each bucket's
-    offset, and a running sum inside the bucket finishes the count.  Output:
-    (qid, weights...).  No point pairs are materialised.
-
-    A bucket with more than ``target_rows`` rows (one hot key and a dense
-    stretch) is cut further at approximate quantiles of its positions
-    (``percentile_approx``, bounded memory): the cut points only balance the
-    work, the sums stay exact because the order (bucket, part, position) is
-    still the position order.
+    Points and queries are unioned and sorted by (keys, bucket, pos, tie); the totals of each non-empty bucket give the buckets' offsets, in two
+    levels (buckets within a block of ``_BLOCK``, then blocks), and a running
+    sum inside the bucket finishes the count.  Output: (qid, weights...).  No
+    point pairs are materialised; callers pass one row for each distinct
+    position, so ``bucket_width`` bounds the rows of a bucket.
     """
     wcols = list(weights)
     p = points.select(*[_q(k) for k in keys], _q(pos).cast("double").alias("_pos"),
                       *[_q(w).cast("double").alias(w) for w in wcols]) \
               .where(F.col("_pos").isNotNull())
-    p = p.withColumn("_tie", F.lit(1)).withColumn("_qid", F.lit(None).cast(
-        queries.schema[qid].dataType))
+    bucket = F.floor(F.col("_pos") / F.lit(float(bucket_width))).cast("long")
+    p = p.withColumn("_b", bucket)
     qs = queries.select(*[_q(k) for k in keys], _q(pos).cast("double").alias("_pos"),
                         _q(qid).alias("_qid"),
                         (F.coalesce(_q(strict), F.lit(False)) if strict else F.lit(False))
-                        .alias("_strict")).where(F.col("_pos").isNotNull())
+                        .alias("_strict")).where(F.col("_pos").isNotNull()).withColumn("_b", bucket)
+    # buckets that hold points or queries, with the weight before each, in two levels:
+    # within blocks of buckets, then over the blocks of a key
+    zero = F.lit(0.0)
+    held = (p.groupBy(*keys, "_b").agg(*[F.sum(w).alias(w) for w in wcols])
+            .unionByName(qs.select(*keys, "_b", *[zero.alias(w) for w in wcols]).distinct())
+            .groupBy(*keys, "_b").agg(*[F.sum(w).alias(w) for w in wcols])
+            .withColumn("_k", F.floor(F.col("_b") / _BLOCK)))
+    inner = Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (held.groupBy(*keys, "_k").agg(*[F.sum(w).alias(w) for w in wcols])
+              .select(*keys, "_k", *[F.coalesce(F.sum(w).over(outer), zero).alias("_o_" + w) for w in wcols]))
+    offsets = (held.select(*keys, "_b", "_k", *[F.coalesce(F.sum(w).over(inner), zero).alias("_i_" + w) for w in wcols])
+               .join(blocks, [*keys, "_k"])
+               .select(*keys, "_b", *[(F.col("_i_" + w) + F.col("_o_" + w)).alias("_o_" + w) for w in wcols]))
     # strict queries sort before points at the same position, others after
-    qs = qs.select(*keys, "_pos", "_qid",
-                   F.when(F.col("_strict"), F.lit(0)).otherwise(F.lit(2)).alias("_tie"),
-                   *[F.lit(0.0).alias(w) for w in wcols])
-    u = p.select(*keys, "_pos", "_qid", "_tie", *wcols).unionByName(qs)
-    u = u.withColumn("_b", F.floor(F.col("_pos") / F.lit(float(bucket_width))).cast("long"))
-    u = _split_hot_buckets(u, keys, target_rows)
-    parts = keys + ["_b", "_s"]
-    bt = u.groupBy(*parts).agg(*[F.sum(w).alias("_t_" + w) for w in wcols])
-    wb = Window.partitionBy(*keys).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.select(*parts, *[F.coalesce(F.sum("_t_" + w).over(wb), F.lit(0.0))
-                             .alias("_o_" + w) for w in wcols])
-    wi = Window.partitionBy(*parts).orderBy("_pos", "_tie").rowsBetween(
-        Window.unboundedPreceding, 0)
-    run = u.select(*parts, "_qid", *[F.sum(w).over(wi).alias("_r_" + w) for w in wcols])
-    run = run.where(F.col("_qid").isNotNull())
-    out = run.join(bt, parts)
-    return out.select(F.col("_qid").alias(qid),
-                      *[(F.col("_o_" + w) + F.col("_r_" + w)).alias(w) for w in wcols])
-
-
-def _split_hot_buckets(u: DataFrame, keys: list[str], target_rows: int) -> DataFrame:
-    """Adds ``_s``: 0, or for a bucket above ``target_rows`` rows the number of
-    its approximate quantile cut points (999 per hot bucket, so each part
-    holds about a thousandth of it) at or below the row's position."""
-    from casework.operators.joins import broadcast_if_small
-    cnt = u.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    hot = cnt.where(F.col("_n") > F.lit(target_rows))
-    if hot.isEmpty():
-        return u.withColumn("_s", F.lit(0).cast("long"))
-    hot = broadcast_if_small(hot)
-    n_parts = 1000
-    probs = F.array(*[F.lit(i / n_parts) for i in range(1, n_parts)])
-    rows = u.join(hot.select(*keys, "_b", "_n"), keys + ["_b"], "left_semi")
-    cuts = rows.groupBy(*keys, "_b").agg(F.percentile_approx("_pos", probs, 10000).alias("_cuts"))
-    cuts = cuts.select(*keys, "_b", F.array_distinct("_cuts").alias("_cuts"))
-    j = u.join(broadcast_if_small(cuts), keys + ["_b"], "left")
-    s = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_pos"))), F.lit(0))
-    return j.withColumn("_s", F.greatest(s, F.lit(0)).cast("long")).drop("_cuts")
+    none = F.lit(None).cast(queries.schema[qid].dataType)
+    u = (p.select(*keys, "_b", "_pos", none.alias("_qid"), F.lit(1).alias("_tie"), *wcols)
+         .unionByName(qs.select(*keys, "_b", "_pos", "_qid", F.when(F.col("_strict"), 0).otherwise(2).alias("_tie"),
+                                *[zero.alias(w) for w in wcols])))
+    run = Window.partitionBy(*keys, "_b").orderBy("_pos", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    own = u.select(*keys, "_b", "_qid", *[F.sum(w).over(run).alias("_r_" + w) for w in wcols]).where(F.col("_qid").isNotNull())
+    return own.join(offsets, [*keys, "_b"]).select(
+        F.col("_qid").alias(qid), *[(F.col("_o_" + w) + F.col("_r_" + w)).alias(w) for w in wcols])

@@ -15,7 +15,7 @@ def test_exact_quantiles_match_linear(spark):
            [("b", float(i)) for i in range(10)] + [("c", 3.5)]
     df = spark.createDataFrame(data, "g string, v double")
     got = {(r.g, r.prob): r.quantile for r in
-           quantile.exact_quantiles(df, "v", ["g"], (0.0, 0.1, 0.25, 0.5, 0.9, 1.0), buckets=8).collect()}
+           quantile.exact_quantiles(df, "v", ["g"], (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)).collect()}
     pdf = pd.DataFrame(data, columns=["g", "v"])
     for g, sub in pdf.groupby("g"):
         for p in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):

@@ -34,7 +34,7 @@ values = st.lists(st.tuples(st.sampled_from(["g1", "g2"]),
 def test_exact_quantiles_equal_pandas(spark, vals):
     df = spark.createDataFrame(vals, "g string, v double")
     probs = (0.0, 0.25, 0.5, 0.9, 1.0)
-    got = {(r.g, r.prob): r.quantile for r in quantile.exact_quantiles(df, "v", ["g"], probs, buckets=4).collect()}
+    got = {(r.g, r.prob): r.quantile for r in quantile.exact_quantiles(df, "v", ["g"], probs, accuracy=100).collect()}
     pdf = pd.DataFrame(vals, columns=["g", "v"])
     for g, sub in pdf.groupby("g"):
         for p in probs:

@@ -3,6 +3,8 @@ stay exact and whole (nothing dropped or sampled)."""
 
 import random
 
+import pytest
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -30,6 +32,18 @@ def test_quantiles_hot_group_and_value(spark):
         assert abs(q - pdf[pdf.g == g].v.quantile(p)) < 1e-9
 
 
+def test_quantiles_of_large_groups_and_outliers(spark):
+    """More rows than one by one: brackets from the sketch; one value 1e9 times the bulk."""
+    df = spark.range(60_000).selectExpr("id % 2 as g", "pow(id * 7919 % 60013, 2) as v").unionAll(
+        spark.createDataFrame([(0, 1e18), (1, -1e18)], "g long, v double"))
+    probs = (0.0, 0.25, 0.5, 0.999, 1.0)
+    got = {(r.g, r.prob): r.quantile for r in quantile.exact_quantiles(df, "v", ["g"], probs, accuracy=1000).collect()}
+    pdf = df.toPandas()
+    assert len(got) == 10
+    for (g, p), q in got.items():
+        assert q == pytest.approx(pdf[pdf.g == g].v.quantile(p), rel=1e-12)
+
+
 def test_stratified_split_hot_stratum(spark):
     data = [(i, "hot") for i in range(1, 3001)] + [(i, f"s{i % 7}") for i in range(3001, 4001)]
     df = spark.createDataFrame(data, "id long, s string")
@@ -39,9 +53,8 @@ def test_stratified_split_hot_stratum(spark):
     assert cnt["hot"] == 750
 
 
-def test_prefix_sums_split_hot_bucket(spark):
-    """A bucket far above the row target is cut at approximate quantiles;
-    the counts stay exact."""
+def test_prefix_sums_of_many_buckets(spark):
+    """Offsets of many buckets, queries outside the points' range included."""
     from casework.operators.quantile import prefix_sums
     rnd = random.Random(9)
     pts = [("K", round(rnd.uniform(0, 100), 3)) for _ in range(400)] + [("K", 50.0)] * 50
@@ -50,7 +63,7 @@ def test_prefix_sums_split_hot_bucket(spark):
              .withColumn("w", F.col("count").cast("double"))
     q = spark.createDataFrame(qs, "id long, k string, x double, strict boolean")
     got = {r.id: r.w for r in prefix_sums(p, q, ["k"], "x", ["w"], "id", strict="strict",
-                                            bucket_width=1000.0, target_rows=20).collect()}
+                                            bucket_width=0.5).collect()}
     for i, k, x, strict in qs:
         want = sum(1 for kk, xx in pts if kk == k and (xx < x if strict else xx <= x))
         assert got[i] == want, (i, x, strict)

@@ -64,7 +64,7 @@ def test_road_object_lookup_and_counts(spark):
     cases = spark.createDataFrame([(1, "FV1 S1D1 m100"), (2, "FV2 S1D1 m5 K2"), (3, "FV9 S1D1 m1")],
                                   "case_id long, road_ref string")
     got = {r.case_id: r.aadt for r in enrich.lookup_by_reference(cases, o, 540, "ÅDT, total", "aadt").collect()}
-    assert got == {1: "700", 2: "", 3: ""}
+    assert got == {1: "900", 2: "", 3: ""}  # the object at m100, not the road's first one
     pts = enrich.object_points(o, 46)
     cnt = {r.case_id: r.n for r in enrich.count_within_ref(
         spark.createDataFrame([(1, "FV1 S1D1 m101"), (2, "FV1 S1D1 m601 K1"), (3, "FV1 S1D1")],
@@ -110,7 +110,7 @@ def test_readme_quick_start(spark):
            '{"object_type": 46, "object_id": 1, "ord": 1, "properties": [], '
            '"references": [{"road": "FV1 S1D1", "meter": 400.0}]}\n'
            '{"object_type": 540, "object_id": 2, "ord": 1, "properties": [{"name": "ÅDT, total", "value": "1500"}], '
-           '"references": [{"road": "FV1 S1D1", "meter": 0.0}]}\n')
+           '"references": [{"road": "FV1 S1D1", "meter": 0.0, "meter_to": 1000.0}]}\n')
     cases = C.read_cases(spark, os.path.join(d, "cases.csv"))
     cases = cases.withColumn("outcome", clean.binary_outcome("decision"))
     objs = C.read_road_objects(spark, os.path.join(d, "objects.json"))
