@@ -85,12 +85,13 @@ def preprocessed_forest(num_cols: list[str], cat_cols: list[str], label: str, tr
 
 
 def gbt_pipeline(features: list[str], label: str, rounds: int = 600, depth: int = 5,
-                 step: float = 0.05, subsample: float = 0.9, weight: str | None = None,
+                 step: float = 0.05, subsample: float = 0.9, columns: float = 0.9, weight: str | None = None,
                  seed: int = 42) -> Pipeline:
-    """H4: boosted trees with the difficulty model's settings."""
+    """H4: boosted trees with the difficulty model's settings; each split sees
+    ``columns`` of the inputs."""
     va = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=depth,
-                        stepSize=step, subsamplingRate=subsample, seed=seed)
+                        stepSize=step, subsamplingRate=subsample, seed=seed, featureSubsetStrategy=str(columns))
     if weight:
         gbt.setWeightCol(weight)
     return Pipeline(stages=[va, gbt])
@@ -114,11 +115,12 @@ def p_positive(df: DataFrame, prob_col: str = "probability", index: int = 1) ->
 
 
 def score_reject(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """H5: probability of rejection, percent (1 decimal) and band."""
+    """H5: probability of rejection, percent (1 decimal), and the band of the
+    probability itself (not of the rounded percent)."""
     out = model.transform(df)
     p = p_positive(out)
     return out.withColumn("p_reject", p).withColumn("percent", F.round(p * 100, 1)) \
-              .withColumn("band", risk_band(F.col("percent"), scale=100)) \
+              .withColumn("band", risk_band(F.col("p_reject"))) \
               .drop("features", "rawPrediction", "probability")
 
 
@@ -171,10 +173,12 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
     pick = F.pmod(sample.hash_bucket(F.col("qid") * 7919 + F.col("j"), seed), F.lit(k)) + 1
     reps = reps.withColumn("rank", pick.cast("int"))
     lam = sample.hash_bucket(F.col("qid") * 104729 + F.col("j"), seed + 1) / F.lit(float(sample.HASH_MOD))
-    j = reps.join(nn_min.select("qid", "nid", "rank"), ["qid", "rank"]) \
+    # ids below zero, one block of them for each source row
+    block = g.select(F.max("gi") + 1).scalar()
+    j = reps.withColumn("_block", block).join(nn_min.select("qid", "nid", "rank"), ["qid", "rank"]) \
             .join(mino.select(F.col("_id").alias("qid"), *[F.col(f).alias("x_" + f) for f in feats]), "qid") \
             .join(mino.select(F.col("_id").alias("nid"), *[F.col(f).alias("z_" + f) for f in feats]), "nid")
-    out = j.select((-(F.col("qid") * 100000 + F.col("j"))).alias(id_col),
+    out = j.select((-(F.col("qid") * F.col("_block") + F.col("j"))).alias(id_col),
                    *[(F.col("x_" + f) + lam * (F.col("z_" + f) - F.col("x_" + f))).alias(f) for f in feats],
                    F.lit(minority).alias(label))
     return out
@@ -183,10 +187,12 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
 def fit_reject_model(df: DataFrame, id_col: str, inputs: list[str], label: str,
                      screen_trees: int = 50, final_trees: int = 100, depth: int = 8, top: int = 10,
                      test_frac: float = 0.4, seed: int = 43) -> dict:
-    """H1: split first, screen all 1-3-way interactions with a forest on the
-    training part, keep the top ``top`` by importance, oversample the minority
-    with ADASYN (ratio 0.5) and fit the final forest with balanced weights.
-    Returns {model, features, test (scored), importances}."""
+    """H1: split first, screen all 1-3-way interactions with a forest on
+    balanced bags of the training part (two majority rows for each minority
+    row), keep the top ``top`` by importance, oversample the minority with ADASYN
+    (ratio 0.5) and fit the final forest with balanced weights.
+    Returns {model, inputs, features, names, test, importances}; ``serve_reject``
+    scores raw cases with it."""
     inter = feat_ops.interactions(df, inputs, 3, keep=[id_col, label])
     names = [c for c in inter.columns if c not in (id_col, label)]
     safe = {n: f"x{i}" for i, n in enumerate(names)}
@@ -194,8 +200,8 @@ def fit_reject_model(df: DataFrame, id_col: str, inputs: list[str], label: str,
     split = materialize(sample.hash_split(inter, id_col, (1 - test_frac, test_frac), seed=seed))
     train = split.where(F.col("split") == "train").drop("split")
     test = split.where(F.col("split") == "test").drop("split")
-    screen = forest_pipeline(list(safe.values()), label, screen_trees, depth, seed=seed) \
-        .fit(class_weights(train, label).drop("weight"))
+    bags = sample.balanced_bags(train, id_col, label, 1.0, bags=5, ratio=2.0, seed=seed)
+    screen = forest_pipeline(list(safe.values()), label, screen_trees, depth, seed=seed).fit(bags.drop("bag"))
     imp = importances(screen, list(safe.values()), top)
     keep = [r["feature"] for r in imp.collect()]  # top-k names: bounded by ``top``
     syn = adasyn(train.select(id_col, label, *keep), id_col, keep, label, 1.0, 5, 0.5, seed)
@@ -203,10 +209,19 @@ def fit_reject_model(df: DataFrame, id_col: str, inputs: list[str], label: str,
     aug = class_weights(aug, label)
     model = forest_pipeline(keep, label, final_trees, depth, weight="weight", seed=seed).fit(aug)
     back = {v: k for k, v in safe.items()}
-    return {"model": model, "features": keep, "names": [back[c] for c in keep],
+    return {"model": model, "inputs": inputs, "features": keep, "names": [back[c] for c in keep],
             "test": test, "importances": imp}
 
 
+def serve_reject(fit: dict, cases: DataFrame, id_col: str) -> DataFrame:
+    """H5 for raw cases: the same interactions as in the fit, then probability,
+    percent and band.  Missing inputs count as 0."""
+    raw = cases.select(_q(id_col), *[F.coalesce(_q(c).cast("double"), F.lit(0.0)).alias(c) for c in fit["inputs"]])
+    inter = feat_ops.interactions(raw, fit["inputs"], 3, keep=[id_col])
+    x = inter.select(_q(id_col), *[_q(n).alias(f) for f, n in zip(fit["features"], fit["names"], strict=True)])
+    return score_reject(fit["model"], x).select(_q(id_col), "p_reject", "percent", "band")
+
+
 # ------------------------------------------------------------- contributions
 
 def _tree_table(model_stage) -> DataFrame:

@@ -41,16 +41,9 @@ def cases_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
                     y.alias("y"))
 
 
-_FIT_CACHE: dict = {}
-
-
 def _reject_fit(spark, sf_dir, trees=(20, 40)):
-    key = (id(spark), sf_dir, trees)
-    if key not in _FIT_CACHE:
-        df = model_cases(spark, sf_dir)
-        _FIT_CACHE[key] = models.fit_reject_model(df, "case_id", INPUTS, "y", screen_trees=trees[0],
-                                                  final_trees=trees[1], depth=6, top=10)
-    return _FIT_CACHE[key]
+    return models.fit_reject_model(model_cases(spark, sf_dir), "case_id", INPUTS, "y", screen_trees=trees[0],
+                                   final_trees=trees[1], depth=6, top=10)
 
 
 def reject_model(spark, sf_dir):
@@ -104,27 +97,51 @@ def multiclass_forest(spark, sf_dir):
                                                           favourable=("1-URGENT", "2-HIGH")))
 
 
+DIFFICULTY_INPUTS = [*INPUTS, "price_per_nation", "log_price", "p_reject", "reject_bit"]
+
+
+def _difficulty_inputs(cases, reject):
+    """H4/H6 inputs: the raw ones, a ratio, a log, and the reject model's probability and bit."""
+    scored = models.score_reject(reject, cases)
+    return (scored.withColumn("price_per_nation", F.col("price_k") / (F.col("nation") + 1))
+            .withColumn("log_price", F.log1p(F.greatest("price_k", F.lit(0.0))))
+            .withColumn("reject_bit", F.col("prediction")).drop("prediction", "percent", "band"))
+
+
 def _difficulty(spark, sf_dir, rounds=30):
-    df = model_cases(spark, sf_dir)
-    df = df.withColumn("difficult", (F.col("days_h") > 12).cast("double"))
+    """Model, scored test part and threshold; the threshold comes from a
+    validation part that neither the fit nor the report sees."""
+    df = model_cases(spark, sf_dir).withColumn("difficult", (F.col("days_h") > 12).cast("double"))
     sp = sample.stratified_split(df, "case_id", ["difficult"], 0.4, seed=42)
-    train = sp.where(F.col("split") == "train")
-    over = sample.oversample(train, "case_id", "difficult", seed=1).drop("copy")
-    over = models.class_weights(over, "difficult")
-    m = models.gbt_pipeline(INPUTS, "difficult", rounds=rounds, weight="weight").fit(over)
-    test = sp.where(F.col("split") == "test")
-    val = models.score_difficulty(m, test, INPUTS, 0.5)
+    inner = sample.stratified_split(sp.where(F.col("split") == "train").drop("split"), "case_id", ["difficult"], 0.25,
+                                    seed=43, names=("fit", "val"))
+    fit = materialize(inner.where(F.col("split") == "fit").drop("split"))
+    reject = models.forest_pipeline(INPUTS, "y", 20, 5).fit(fit)
+    # the class ratio is taken before the classes are made equal
+    counts = fit.agg(F.count_if(F.col("difficult") == 0).alias("easy"), F.count_if(F.col("difficult") == 1).alias("hard"))
+    ratio = counts.select(F.col("easy") / F.greatest("hard", F.lit(1))).scalar()
+    over = sample.oversample(_difficulty_inputs(fit, reject), "case_id", "difficult", seed=1).drop("copy")
+    over = over.withColumn("weight", F.when(F.col("difficult") == 1, ratio).otherwise(F.lit(1.0)))
+    m = models.gbt_pipeline(DIFFICULTY_INPUTS, "difficult", rounds=rounds, weight="weight").fit(over)
+    val = _difficulty_inputs(inner.where(F.col("split") == "val").drop("split"), reject)
+    val = models.score_difficulty(m, val, DIFFICULTY_INPUTS, 0.5)
     thr = evaluate.grid_threshold(val, "p_difficult", "difficult").first()["threshold"]
-    return m, test, float(thr)
+    test = _difficulty_inputs(sp.where(F.col("split") == "test").drop("split"), reject)
+    return m, test, float(thr), reject
 
 
 def difficulty_model(spark, sf_dir):
     """H4 + H6 + E8: boosted difficulty model, grid threshold, scored cases."""
-    m, test, thr = _difficulty(spark, sf_dir)
-    return models.score_difficulty(m, test, INPUTS, thr).select(
+    m, test, thr, _ = _difficulty(spark, sf_dir)
+    return models.score_difficulty(m, test, DIFFICULTY_INPUTS, thr).select(
         "case_id", "difficult", "p_difficult", "difficulty_pred")
 
 
+def served_rejects(spark, sf_dir):
+    """H1 + H5: every raw case scored by the reject model."""
+    return models.serve_reject(_reject_fit(spark, sf_dir), model_cases(spark, sf_dir), "case_id")
+
+
 def contributions(spark, sf_dir):
     """H7: per case and feature path contributions (bias + sum = probability)."""
     df = model_cases(spark, sf_dir)
@@ -135,8 +152,10 @@ def contributions(spark, sf_dir):
 def batch(spark, sf_dir):
     """Score -> explain -> retrieve -> prompt -> (reply table) -> parse ->
     difficulty -> one case table.  Replies come from a reply table; here the
-    stand-in answers follow the score (the remote model is not called)."""
+    stand-in answers follow the score (the remote model is not called).  The
+    guideline a prompt points at is the longest document."""
     df = model_cases(spark, sf_dir)
+    guide = Tables(spark, sf_dir).documents.select(F.max_by("doc_id", F.struct("n_chars", "doc_id"))).scalar()
     m = models.forest_pipeline(INPUTS, "y", 20, 5, leaf=True).fit(df)
     sc = models.score_reject(m, df)
     con = models.forest_contributions(m, df, "case_id", INPUTS)
@@ -156,10 +175,10 @@ def batch(spark, sf_dir):
                   "example_id").groupBy("case_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", text.example_block("ex_text", F.lit(True)).alias("b"))))
         .alias("_e")).select("case_id", F.transform("_e", lambda x: x["b"]).alias("examples"))
-    pr = ct.join(expl, "case_id", "left").join(ex, "case_id", "left").select(
+    pr = ct.withColumn("guideline_id", guide).join(expl, "case_id", "left").join(ex, "case_id", "left").select(
         "case_id", text.build_prompt("explanation", "case_text",
                                      F.coalesce("examples", F.array().cast("array<string>")),
-                                     F.lit(0), "reject_examples").alias("prompt"))
+                                     "guideline_id", "reject_examples").alias("prompt"))
     replies = sc.select("case_id", F.when(F.col("p_reject") < 0.5,
                                           F.lit('{"approve": true, "reason": "lav risiko"}'))
                         .otherwise(F.lit('```json\n{"approve": false}\n```')).alias("reply"))
@@ -167,12 +186,25 @@ def batch(spark, sf_dir):
     out = (sc.select("case_id", "y", "p_reject", "percent", "band")
            .join(pr, "case_id").join(replies.select("case_id", dec.alias("decision"),
                                                     reason.alias("reason")), "case_id"))
-    return out
+    hard, _, thr, reject = _difficulty(spark, sf_dir, rounds=10)
+    level = models.score_difficulty(hard, _difficulty_inputs(df, reject), DIFFICULTY_INPUTS, thr)
+    # decisions that are neither approved nor rejected do not count when the batch is evaluated
+    return (out.join(level.select("case_id", "p_difficult", "difficulty_pred"), "case_id")
+            .withColumn("valid", text.valid_prediction("decision")))
+
+
+def batch_report(spark, sf_dir):
+    """H14 + D20: class report of the batch's valid decisions."""
+    b = batch(spark, sf_dir).where("valid").withColumn(
+        "truth", F.when(F.col("y") == 1, F.lit(clean.REJECT)).otherwise(F.lit(clean.APPROVE)))
+    return evaluate.class_report(b, "truth", "decision")
 
 
-def two_stage_job(spark, sf_dir):
+def two_stage_job(spark, sf_dir, out_dir=None):
     """Split, stage-1 reject forest + t1 on validation, stage-2 class
-    forest on the permit pool + per-class t2, policy on the test part."""
+    forest on the permit pool + per-class t2 on its own validation part, both
+    refitted on all training rows, policy on the test part.  Models, thresholds
+    and the run record go below ``out_dir`` (default: the checkpoint folder)."""
     from casework.operators import features
     df = model_cases(spark, sf_dir)
     df = df.withColumn("stage1", F.when(F.col("y") == 1, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT)))
@@ -182,18 +214,25 @@ def two_stage_job(spark, sf_dir):
     inner = sample.stratified_split(train.drop("split"), "case_id", ["stage1"], 0.2, seed=2,
                                     names=("fit", "val"))
     fit1 = models.class_weights(inner.where(F.col("split") == "fit"), "y")
-    m1 = models.preprocessed_forest(INPUTS, ["purpose"], "y", 20, 6, weight="weight").fit(fit1)
-    v1 = models.score_reject(m1, inner.where(F.col("split") == "val"))
+    m1v = models.preprocessed_forest(INPUTS, ["purpose"], "y", 20, 6, weight="weight").fit(fit1)
+    v1 = models.score_reject(m1v, inner.where(F.col("split") == "val"))
     v1 = v1.withColumn("pred1", F.col("prediction") == 1).withColumn("hit", F.col("y").cast("int"))
     t1 = evaluate.precision_threshold(v1, "p_reject", "hit", predicted="pred1", target=0.7).first()["threshold"]
     classes = features.vocabulary(df, "policy_class")
     pool = sample.stage2_pool(train.withColumnRenamed("split", "s"), "s", "stage1", train="train")
     pool = features.label_encode(pool, ["policy_class"], vocab={"policy_class": classes}) \
         .withColumn("cls", F.col("policy_class_code").cast("double"))
+    pool = materialize(pool)
+    inner2 = sample.stratified_split(pool.drop("s"), "case_id", ["cls"], 0.2, seed=3, names=("fit", "val"))
+    m2v = models.preprocessed_forest(INPUTS, ["purpose"], "cls", 20, 5, weight="weight") \
+        .fit(models.class_weights(inner2.where(F.col("split") == "fit"), "cls"))
+    # thresholds come from the validation parts; the models that decide are refitted on all training rows
+    m1 = models.preprocessed_forest(INPUTS, ["purpose"], "y", 20, 6, weight="weight") \
+        .fit(models.class_weights(train.drop("split"), "y"))
     m2 = models.preprocessed_forest(INPUTS, ["purpose"], "cls", 20, 5, weight="weight") \
         .fit(models.class_weights(pool, "cls"))
     th = [(1, clean.REJECT, t1, 0.7)]
-    pv = m2.transform(pool.drop("weight"))
+    pv = m2v.transform(inner2.where(F.col("split") == "val"))
     cls2, p2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
     pv = pv.withColumn("c2", cls2).withColumn("p2", p2).withColumn("hit2", (F.col("c2") == F.col("policy_class")).cast("int"))
     t2 = evaluate.precision_threshold(pv, "p2", "hit2", by="c2", target=0.7,
@@ -207,20 +246,22 @@ def two_stage_job(spark, sf_dir):
     c2, q2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
     s2 = s2.withColumn("stage2_class", c2).withColumn("stage2_p", q2)
     dec = policy.two_stage_decide(s2, thr)
-    _store_artifacts(spark, m1, m2, thr, policy.policy_metrics(dec, "auto_decision", "truth"))
+    _store_artifacts(spark, m1, m2, thr, policy.policy_metrics(dec, "auto_decision", "truth"), out_dir)
     # Id, truth, decision, confidence, stage-1 output, then the features
     return export_ordered(dec.select("case_id", "truth", "auto_decision", "decision_conf", "stage1_pred",
                                      "p_reject", "stage2_class", "stage2_p", *INPUTS),
                           ["case_id", "truth", "auto_decision", "decision_conf", "stage1_pred"])
 
 
-def _store_artifacts(spark, m1, m2, thresholds, metrics) -> str:
+def _store_artifacts(spark, m1, m2, thresholds, metrics, out_dir=None) -> str:
     """H15 store step: models (A11), thresholds (A9) and a run record (A10)
-    under one run folder in the session's checkpoint folder."""
+    in one run folder below ``out_dir``."""
     import uuid
     from casework.session import checkpoint_dir
-    materialize(spark.range(1))  # ensures a checkpoint folder is named
-    run = f"{checkpoint_dir(spark).rstrip('/')}/runs/two_stage-{uuid.uuid4().hex[:12]}"
+    if out_dir is None:
+        materialize(spark.range(1))  # ensures a checkpoint folder is named
+        out_dir = f"{checkpoint_dir(spark).rstrip('/')}/runs"
+    run = f"{out_dir.rstrip('/')}/two_stage-{uuid.uuid4().hex[:12]}"
     m1.write().overwrite().save(f"{run}/stage1")
     m2.write().overwrite().save(f"{run}/stage2")
     write_thresholds(thresholds, f"{run}/thresholds")
@@ -250,5 +291,5 @@ MODEL_QUERIES = {
     "reject_model": reject_model, "reject_report": reject_report, "importances": importances,
     "adasyn_rows": adasyn_rows, "weighted_forest": weighted_forest,
     "multiclass_forest": multiclass_forest, "difficulty_model": difficulty_model,
-    "contributions": contributions, "batch": batch, "two_stage_job": two_stage_job, "stream": stream,
+    "contributions": contributions, "served_rejects": served_rejects, "batch": batch, "batch_report": batch_report, "two_stage_job": two_stage_job, "stream": stream,
 }

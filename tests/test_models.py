@@ -21,13 +21,13 @@ def test_contributions_sum_to_probability(spark):
 
 
 def test_stream_equals_batch(spark):
-    st = jobs.stream(spark, SF).select("case_id", "p_reject")
+    st = jobs.stream(spark, SF).select("case_id", "p_reject", "band")
     df = jobs.model_cases(spark, SF)
     m = models.forest_pipeline(jobs.INPUTS, "y", 20, 5).fit(df)
-    b = models.score_reject(m, df).select("case_id", "p_reject")
-    a = dict((r.case_id, r.p_reject) for r in st.collect())
-    bb = dict((r.case_id, r.p_reject) for r in b.collect())
-    assert a.keys() == bb.keys() and all(math.isclose(a[k], bb[k]) for k in a)
+    b = models.score_reject(m, df).select("case_id", "p_reject", "band")
+    a = {r.case_id: (r.p_reject, r.band) for r in st.collect()}
+    bb = {r.case_id: (r.p_reject, r.band) for r in b.collect()}
+    assert a.keys() == bb.keys() and all(math.isclose(a[k][0], bb[k][0]) and a[k][1] == bb[k][1] for k in a)
 
 
 def test_adasyn_quota_and_range(spark):
@@ -45,16 +45,37 @@ def test_reject_model_outputs_consistent(spark):
     assert sc and all(0.0 <= r.p_reject <= 1.0 for r in sc)
     assert all(r.percent == round(r.p_reject * 100 + 1e-12, 1) or abs(r.percent - r.p_reject * 100) <= 0.05
                for r in sc)
-    bands = {"lav sannsynlighet for avslag": (0, 5), "medium sannsynlighet for avslag": (5, 50),
-             "høy sannsynlighet for avslag": (50, 101)}
-    assert all(bands[r.band][0] <= r.percent < bands[r.band][1] for r in sc)
+    bands = {"lav sannsynlighet for avslag": (0, 0.05), "medium sannsynlighet for avslag": (0.05, 0.5),
+             "høy sannsynlighet for avslag": (0.5, 1.01)}
+    assert all(bands[r.band][0] <= r.p_reject < bands[r.band][1] for r in sc)  # the probability, not the rounded percent
     imp = jobs.importances(spark, SF).collect()
     assert len(imp) == 10 and [r.rank for r in imp] == list(range(1, 11))
     assert all(imp[i].importance >= imp[i + 1].importance for i in range(9))
 
 
 def test_difficulty_threshold_rule(spark):
-    m, test, thr = jobs._difficulty(spark, SF, rounds=5)
+    m, test, thr, _ = jobs._difficulty(spark, SF, rounds=5)
     assert 0.1 <= thr <= 0.9
-    out = models.score_difficulty(m, test, jobs.INPUTS, thr).collect()
+    out = models.score_difficulty(m, test, jobs.DIFFICULTY_INPUTS, thr).collect()
     assert all((r.difficulty_pred == "Vanskelig") == (r.p_difficult >= thr) for r in out)
+
+
+def test_served_cases_score_as_in_the_hold_out(spark):
+    fit = jobs._reject_fit(spark, SF)
+    served = {r.case_id: r for r in models.serve_reject(fit, jobs.model_cases(spark, SF), "case_id").collect()}
+    for r in models.score_reject(fit["model"], fit["test"]).collect():
+        assert math.isclose(served[r.case_id].p_reject, r.p_reject) and served[r.case_id].band == r.band
+
+
+def test_more_than_fifteen_inputs(spark):
+    """The products keep their names and the fit works, however many inputs there are."""
+    df = jobs.model_cases(spark, SF).limit(400)
+    wide = [f"x{i}" for i in range(12)]
+    df = df.select("case_id", "y", *jobs.INPUTS, *[(F.col("price_k") * (i + 1) % 7).alias(c) for i, c in enumerate(wide)])
+    fit = models.fit_reject_model(df, "case_id", [*jobs.INPUTS, *wide], "y", 3, 3, depth=2, top=3)
+    assert len(fit["names"]) == 3
+
+
+def test_synthetic_ids_do_not_collide(spark):
+    syn = models.adasyn(jobs.model_cases(spark, SF), "case_id", jobs.INPUTS, "y", 1.0, 5, 0.9, 1)
+    assert syn.count() == syn.select("case_id").distinct().count()
