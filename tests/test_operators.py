@@ -183,3 +183,18 @@ def test_similar_cases_with_hot_copies(spark):
     # the copies never reach the pairing step in bulk
     kept = similar.limit_copies(df.select(F.col("id").alias("nid"), "a", "b", "c"), ["a", "b", "c"], "nid", 3)
     assert kept.where("a = 0 AND b = 0 AND c = 0").count() == 3
+
+
+def test_knn_with_constant_and_skewed_features(spark):
+    """A constant feature, one that is nearly always 0, and far outliers: exact without scanning segments."""
+    rnd = random.Random(4)
+    rows = [(i, f"s{i % 2}", 7.0, 0.0 if rnd.random() < 0.95 else rnd.random() * 1e6, rnd.gauss(0, 1), rnd.gauss(0, 3)) for i in range(300)]
+    rows += [(300, "s0", 7.0, 0.0, 1e5, 0.0), (301, "s1", 7.0, 0.0, 0.0, -1e5), (302, "s0", 7.0, 3.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, seg string, a double, b double, c double, d double")
+    f = ["a", "b", "c", "d"]
+    q = df.select(F.col("id").alias("qid"), "seg", *[F.col(x).alias("q_" + x) for x in f])
+    p = df.select(F.col("id").alias("nid"), "seg", *[F.col(x).alias("p_" + x) for x in f])
+    got = {(r.qid, r["rank"]): r.nid for r in similar.knn(q, p, f, 2, max_brute=10).collect()}
+    for r in rows:
+        near = sorted((sum((r[j] - o[j]) ** 2 for j in range(2, 6)), o[0]) for o in rows if o[1] == r[1] and o[0] != r[0])
+        assert [got[r[0], 1], got[r[0], 2]] == [n for _, n in near[:2]]
