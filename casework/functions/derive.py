@@ -29,13 +29,19 @@ def _num_text(c: Column) -> Column:
     return c.cast("double").cast("string")
 
 
+def _with_radius(label: str, radius: Column) -> Column:
+    """A label with its radius; NULL without one."""
+    before, after = label.split("{r}")
+    return F.concat(F.lit(before), radius, F.lit(after))
+
+
 def curve_category(radius) -> Column:
     """Category of a horizontal curve from |radius|; NULL -> unknown."""
     r = F.abs(_c(radius).cast("double"))
     txt = _num_text(r)
     return (F.when(r >= 3000, F.lit(CURVE_STRAIGHT))
-            .when(r >= 1000, F.concat(F.lit("Veldig slak sving (svingradius "), txt, F.lit("m)")))
-            .when(r >= 500, F.concat(F.lit("Slak sving (svingradius "), txt, F.lit("m)")))
+            .when(r >= 1000, _with_radius(CURVE_VERY_GENTLE, txt))
+            .when(r >= 500, _with_radius(CURVE_GENTLE, txt))
             .when(r >= 0, F.lit(CURVE_SHARP))
             .otherwise(F.lit(CURVE_UNKNOWN)))
 
@@ -44,7 +50,7 @@ def turn_label(category, radius) -> Column:
     """A sharp curve is shown with its absolute radius, others as they are."""
     txt = _num_text(F.abs(_c(radius).cast("double")))
     return F.when(_c(category) == F.lit(CURVE_SHARP),
-                  F.concat(F.lit("Sving (svingradius "), txt, F.lit("m)"))).otherwise(_c(category))
+                  _with_radius(TURN_LABEL, txt)).otherwise(_c(category))
 
 
 def risk_band(p, scale: float = 1.0) -> Column:

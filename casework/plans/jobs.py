@@ -271,7 +271,9 @@ def _store_artifacts(spark, m1, m2, thresholds, metrics, out_dir=None) -> str:
 
 
 def stream(spark, sf_dir):
-    """The scoring stream over the case files (runs to completion)."""
+    """The scoring stream over the case files (runs to completion): reject
+    score, difficulty (H6), auto-approval (H9) and the two-stage decision (H11)
+    by the functions of the batch path."""
     import uuid
     from casework.session import checkpoint_dir
     from casework.streaming.score_stream import score_stream
@@ -282,6 +284,17 @@ def stream(spark, sf_dir):
     # the order files are the arriving cases; customers are a static table
     # (stream-static join), so nothing is copied before scoring
     customer = t.customer
+    hard, _, thr, reject = _difficulty(spark, sf_dir, rounds=10)
+
+    def extend(s):
+        s = models.score_difficulty(hard, _difficulty_inputs(s.drop("prediction"), reject, score=False), DIFFICULTY_INPUTS, thr)
+        kind = F.when(F.col("p_reject") < 0.5, F.lit("Varig tillatelse")).otherwise(F.lit(clean.REJECT))
+        s = s.withColumn("route", policy.auto_approve(kind, 1 - F.col("p_reject")))
+        first = F.when(F.col("p_reject") >= 0.5, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT))
+        return s.withColumn("stage1_pred", first).withColumn(
+            "auto_decision", F.when((first == clean.REJECT) & (F.col("p_reject") >= 0.7), F.lit(clean.REJECT))
+            .otherwise(F.lit(policy.MANUAL)))
+
     return score_stream(spark, sf_dir, t.orders.schema, m, f"{base}/out", f"{base}/ckpt",
                         prepare=lambda s: cases_from(s, customer), keep=["case_id", "y"],
                         file_filter="orders.parquet")

@@ -328,8 +328,8 @@ FROM classes LEFT JOIN best ON classes.class = best.class
 
 
 def _grid_sql() -> str:
-    from casework.operators.evaluate import GRID_THRESHOLDS
-    vals = ", ".join(f"(CAST('{t!r}' AS DOUBLE))" for t in GRID_THRESHOLDS)
+    # seventeen thresholds from 0.1 to 0.9
+    vals = ", ".join([f"(CAST(0.1 AS DOUBLE) + {i} * CAST(0.05 AS DOUBLE))" for i in range(16)] + ["(CAST(0.9 AS DOUBLE))"])
     return f"""
 WITH d AS (SELECT l_discount * 10 AS p,
                   CASE WHEN (l_discount >= 0.05 AND l_quantity > 10) OR l_quantity < 3 THEN 1 ELSE 0 END AS y
@@ -525,13 +525,25 @@ FROM p GROUP BY ALL
 
 
 def _derived_sql() -> str:
-    from casework.functions.derive import SERVING_FEATURES
+    # the ten products a served case is scored on
+    products = {
+        "aadt_x_access_x_gradient": "aadt accesses gradient",
+        "aadt_x_access": "aadt accesses",
+        "aadt_x_long": "aadt long",
+        "share_x_access_x_long": "share accesses long",
+        "access_x_gradient_x_long": "accesses gradient long",
+        "aadt_x_access_x_long": "aadt accesses long",
+        "access_x_long": "accesses long",
+        "aadt_x_gradient": "aadt gradient",
+        "aadt_x_share": "aadt share",
+        "aadt_x_speed_x_access": "aadt speed accesses",
+    }
     base = {"aadt": "(l_extendedprice / 1000)", "accesses": "l_quantity", "share": "(l_discount * 100)",
             "speed": "(l_tax * 1000)", "gradient": "abs(l_discount - 0.05)",
             "long": "((l_extendedprice / 1000) * (l_discount * 100) / 100)"}
     feats = []
-    for name, parts, _ in SERVING_FEATURES:
-        feats.append(f"CAST({' * '.join(base[p] for p in parts)} AS DOUBLE) AS {name}")
+    for name, parts in products.items():
+        feats.append(f"CAST({' * '.join(base[p] for p in parts.split())} AS DOUBLE) AS {name}")
     return f"""
 SELECT l_orderkey, l_linenumber,
   (l_extendedprice / 1000) / (l_quantity + 1) AS per_access,
@@ -589,14 +601,13 @@ SELECT flag, status, line, sha256({_key_sql(["flag", "status", "line", "i"])}) A
 
 
 def _h(key: str, seed: int) -> str:
-    from casework.operators.sample import HASH_MOD, hash_params
-    a, b = hash_params(seed)
-    return f"((({key}) % {HASH_MOD}) * {a} + {b}) % {HASH_MOD}"
+    # an affine hash modulo a prime; the seed moves both factors
+    a, b = (2654435761 + seed * 7919) % 1000003 or 1, (seed * 104729) % 1000003
+    return f"((({key}) % 1000003) * {a} + {b}) % 1000003"
 
 
 def _u(key: str, seed: int) -> str:
-    from casework.operators.sample import HASH_MOD
-    return f"{_h(key, seed)} / {float(HASH_MOD)!r}"
+    return f"{_h(key, seed)} / 1000003.0"
 
 
 _OL = """
@@ -704,10 +715,13 @@ FROM li, st
 
 
 def _inter_sql() -> str:
-    from casework.operators.features import interaction_names
-    cols = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
-    sel = [f'CAST({" * ".join(f"CAST({c} AS DOUBLE)" for c in combo)} AS DOUBLE) AS "{name}"'
-           for name, combo in interaction_names(cols, 3)]
+    # every product of one to three of four columns
+    names = ["l_quantity", "l_discount", "l_tax", "l_linenumber",
+             "l_quantity l_discount", "l_quantity l_tax", "l_quantity l_linenumber", "l_discount l_tax",
+             "l_discount l_linenumber", "l_tax l_linenumber",
+             "l_quantity l_discount l_tax", "l_quantity l_discount l_linenumber", "l_quantity l_tax l_linenumber",
+             "l_discount l_tax l_linenumber"]
+    sel = [f'CAST({" * ".join(f"CAST({c} AS DOUBLE)" for c in name.split())} AS DOUBLE) AS "{name}"' for name in names]
     return "SELECT l_orderkey, " + ", ".join(sel) + " FROM lineitem"
 
 

@@ -15,24 +15,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework.functions.derive import risk_band
-from casework.ml_helpers import p_reject_column
+from casework.operators.models import p_positive
 
 
 def score_stream(spark: SparkSession, in_dir: str, schema: T.StructType, model: PipelineModel,
                  out_dir: str, checkpoint: str, prepare=None, keep: list[str] | None = None,
-                 file_filter: str | None = None) -> DataFrame:
+                 file_filter: str | None = None, extend=None) -> DataFrame:
     """Run the scoring stream to completion; return the written result.
     ``in_dir`` is the folder cases arrive in; ``file_filter`` (a glob) picks
-    the case files inside it."""
+    the case files inside it.  ``extend`` adds columns to the scored rows with
+    the row-wise functions of the batch path (difficulty, policies)."""
     reader = spark.readStream.schema(schema)
     if file_filter:
         reader = reader.option("pathGlobFilter", file_filter)
     src = reader.parquet(in_dir)
     df = prepare(src) if prepare else src
     scored = model.transform(df)
-    p = p_reject_column(scored)
-    out = scored.select(*(keep or []), p.alias("p_reject"), F.round(p * 100, 1).alias("percent"),
-                        risk_band(p).alias("band"))
+    p = p_positive(scored)
+    out = scored.withColumn("p_reject", p).withColumn("percent", F.round(p * 100, 1)).withColumn("band", risk_band(p))
+    more = []
+    if extend:
+        before = out.columns
+        out = extend(out.drop("features", "rawPrediction", "probability"))
+        more = [c for c in out.columns if c not in before]
+    out = out.select(*(keep or []), "p_reject", "percent", "band", *more)
     q = (out.writeStream.format("parquet").option("path", out_dir)
          .option("checkpointLocation", checkpoint).outputMode("append")
          .trigger(availableNow=True).start())
