@@ -5,7 +5,9 @@ place, so the texts are cut into overlapping contexts that are dealt by
 content: every string of that length has a smallest hash among its 16-byte
 grams, and neighbouring strings with the same smallest gram make one context.
 Blocks first compare these grams; only contexts whose gram occurs in two
-documents travel to the task that owns the gram.
+documents travel to the task that owns the gram.  A gram with very many
+contexts is cut up: there every string is a context of its own, dealt by its
+own name, so that no task gathers what shares a frequent gram.
 
 There equal contexts are merged, the others laid end to end and suffix sorted,
 and the borders between suffixes found breadth first by increasing common
@@ -37,47 +39,41 @@ from casework.llm.recompress import _distinct, _is_shared
 LENGTH = 50
 GRAM = 16
 #: bytes of contexts sorted at once; one gram's contexts stay together
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: a gram in more contexts is cut up: each string goes by its own name instead
+HOT_CONTEXTS = 30_000
+_HOT = 2
 _MARK = 0xFF  # in no UTF-8 text
 U = np.uint64
 
 
-class Strings:
-    """The strings of ``length`` bytes of some texts: where they start, and runs of equal smallest gram."""
+def _rolling(data: np.ndarray, seed: int) -> Rolling:
+    return Rolling(numbers(seed, 256)[data])
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-        n = len(data)
-        sizes = np.diff(offsets)
-        self.data, self.length = data, length
-        empty = np.zeros(0, np.int64)
-        if n < length:
-            self.key, self.start, self.count, self.text = np.zeros(0, U), empty, empty, empty
-            self.roll = None
-            return
-        self.roll = Rolling(numbers(9, 256)[data])
-        low = mix64((self.roll.sums[gram:] - self.roll.sums[:-gram]) * self.roll.down[:n - gram + 1])
-        width, span = length - gram + 1, 1
-        while 2 * span <= width:
-            low = np.minimum(low[:-span], low[span:])
-            span *= 2
-        if width > span:
-            low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
-        text = np.repeat(np.arange(len(sizes)), sizes)[:len(low)]
-        start = np.flatnonzero(offsets[1:][text] - np.arange(len(low)) >= length)
-        key, text = low[start], text[start]
-        new = np.ones(len(start), bool)
-        new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-        first = np.flatnonzero(new)
-        self.key, self.start, self.text = key[first], start[first], text[first]
-        self.count = np.diff(np.append(first, len(start)))
 
-    def names(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128-bit names of the contexts of some runs."""
-        s, e = self.start[which], self.start[which] + self.count[which] + self.length - 1
-        if self.roll is None:
-            return np.zeros(0, U), np.zeros(0, U)
-        other = Rolling(numbers(10, 256)[self.data])
-        return self.roll.of(s, e), other.of(s, e)
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The strings of ``length`` bytes of some texts as runs of equal smallest
+    gram: gram, first byte, how many strings, text."""
+    n, sizes = len(data), np.diff(offsets)
+    if n < length:
+        empty = np.zeros(0, np.int64)
+        return np.zeros(0, U), empty, empty, empty
+    roll = _rolling(data, 9)
+    low = mix64((roll.sums[gram:] - roll.sums[:-gram]) * roll.down[:n - gram + 1])
+    width, span = length - gram + 1, 1
+    while 2 * span <= width:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if width > span:
+        low = np.minimum(low[:len(low) - (width - span)], low[width - span:])
+    text = np.repeat(np.arange(len(sizes)), sizes)[:len(low)]
+    start = np.flatnonzero(offsets[1:][text] - np.arange(len(low)) >= length)
+    key, text = low[start], text[start]
+    new = np.ones(len(start), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    # scrambled, for smallest hashes crowd at one end of their range
+    return mix64(key[first] + U(1)), start[first], np.diff(np.append(first, len(start))), text[first]
 
 
 def _expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -91,22 +87,27 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes sorted by at least their first ``depth`` bytes: eight at first,
     then the known order of what follows doubles the depth where rows still tie."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U)
+    if n >= 1 << 31:
+        raise ValueError("a shard of contexts must stay below 2 GB")
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
     key = np.zeros(n, U)
     for j in range(8):
-        key = (key << U(8)) | padded[j:j + n]
-    order = np.argsort(key)
+        key <<= U(8)
+        key |= padded[j:j + n]
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     first = groups(key)
     size = np.diff(np.append(first, n))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.repeat(first, size)
-    rows = np.flatnonzero(np.repeat(size > 1, size))
+    del key, padded
+    rank = np.empty(n, np.int32)
+    rank[order] = np.repeat(first.astype(np.int32), size)
+    rows = np.flatnonzero(np.repeat(size > 1, size)).astype(np.int32)
     done = 8
     while done < depth and len(rows):
         at = order[rows]
         after = at + done
-        key = rank[at] << 32 | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        key = rank[at].astype(np.int64) << 32
+        key |= np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[rows] = at
@@ -121,8 +122,8 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
 def interval_borders(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """True where a row shares fewer than ``length`` bytes with the row above."""
     n = len(text)
-    row = np.empty(n, np.int64)
-    row[order] = np.arange(n)
+    row = np.empty(n, np.int32)
+    row[order] = np.arange(n, dtype=np.int32)
     letter = text[order]
     border = np.ones(n, bool)
     border[1:] = letter[1:] != letter[:-1]
@@ -130,9 +131,11 @@ def interval_borders(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     right = row[np.minimum(order + 1, n - 1)]
     end = row[n - 1]
     border[end:end + 2] = True
-    open_ = np.flatnonzero(~border)
-    a, b = right[open_ - 1], right[open_]
-    low, high = np.minimum(a, b), np.maximum(a, b)
+    del row, letter
+    open_ = np.flatnonzero(~border).astype(np.int32)
+    low, high = right[open_ - 1], right[open_]
+    del right
+    low, high = np.minimum(low, high), np.maximum(low, high)
     for _ in range(1, length):  # rows whose common prefix is this value, for 1, 2, ..
         seen = np.cumsum(border, dtype=np.int32)
         hit = seen[low] != seen[high]
@@ -144,22 +147,19 @@ def interval_borders(text: np.ndarray, order: np.ndarray, length: int) -> np.nda
     return border
 
 
-def smallest_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For every string of each context the smallest owner of a context that has it."""
+def smallest_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> np.ndarray:
+    """For every string of each context, end to end, the smallest owner of a context that has it."""
     sizes = np.fromiter(map(len, contexts), np.int64, len(contexts))
-    text = np.frombuffer(b"".join(x + b"\xff" for x in contexts), np.uint8)
+    text = np.frombuffer(b"\xff".join(contexts) + b"\xff", np.uint8)
     order = suffix_order(text, length)
-    border = interval_borders(text, order, length)
-    start = np.cumsum(sizes + 1) - (sizes + 1)
+    first = np.flatnonzero(interval_borders(text, order, length))
     strings = sizes - length + 1
-    at = _expand(start, strings)
+    at = _expand(np.cumsum(sizes + 1) - (sizes + 1), strings)
     whose = np.full(len(text), np.iinfo(np.int64).max)
     whose[at] = np.repeat(owner, strings)
-    first = np.flatnonzero(border)
     least = np.minimum.reduceat(whose[order], first)
-    found = np.empty(len(text), np.int64)
-    found[order] = np.repeat(least, np.diff(np.append(first, len(text))))
-    return np.split(found[at], np.cumsum(strings)[:-1])
+    whose[order] = np.repeat(least, np.diff(np.append(first, len(text))))
+    return whose[at]
 
 
 def _load(key: np.ndarray, size: np.ndarray, low: np.ndarray, body: bytes) -> bytes:
@@ -181,24 +181,45 @@ class _Block:
         self.length, self.gram, self.n_buckets = length, gram, n_buckets
 
     def parts(self):
+        """Pieces of the block: first row, first byte, bytes, runs."""
         for i, j in pieces(self.offsets):
-            yield i, j, Strings(self.data[self.offsets[i]:self.offsets[j]], self.offsets[i:j + 1] - self.offsets[i], self.length, self.gram)
+            at = self.offsets[i]
+            data = self.data[at:self.offsets[j]]
+            yield i, at, data, runs(data, self.offsets[i:j + 1] - at, self.length, self.gram)
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = [(s.key, self.ids[i:j][s.text]) for i, j, s in self.parts()]
-        return _distinct(np.concatenate([np.zeros(0, U), *(k for k, _ in found)]),
-                         np.concatenate([np.zeros(0, np.int64), *(i for _, i in found)]))
+    def _grams(self, parts) -> tuple[np.ndarray, ...]:
+        """Distinct grams: smallest id, whether there are several ids, and how many contexts."""
+        key = np.concatenate([np.zeros(0, U), *(k for _, k, *_ in parts)])
+        ids = np.concatenate([np.zeros(0, np.int64), *(self.ids[i:][text] for i, _, _, _, text in parts)])
+        return *_distinct(key, ids), np.unique(key, return_counts=True)[1].astype(np.uint32)
+
+    def grams(self) -> tuple[np.ndarray, ...]:
+        return self._grams([(i, *r) for i, _, _, r in self.parts()])
 
     def contexts(self, answers: dict[int, bytes]):
         """Runs with a shared gram (start in the block, strings, text), and the distinct
         contexts: which one each run has; key, a place, size and smallest id of each."""
-        key, _, _ = self.grams()
-        shared = key[told(key, self.n_buckets, answers, bool)]
+        kept = [(i, at, len(data), r) for i, at, data, r in self.parts()]
+        key, *_ = self._grams([(i, *r) for i, _, _, r in kept])
+        state = told(key, self.n_buckets, answers, np.uint8)
+        key, hot = key[state > 0], state[state > 0] == _HOT
         found = []
-        for i, j, s in self.parts():
-            at = np.minimum(np.searchsorted(shared, s.key), max(0, len(shared) - 1))
-            which = np.flatnonzero(shared[at] == s.key) if len(shared) else np.zeros(0, np.int64)
-            found.append((s.key[which], *s.names(which), s.start[which] + self.offsets[i], s.count[which], s.text[which] + i))
+        for i, begin, n, (gram, start, count, text) in kept:
+            at = np.minimum(np.searchsorted(key, gram), max(0, len(key) - 1))
+            which = np.flatnonzero(key[at] == gram) if len(key) else np.zeros(0, np.int64)
+            if not len(which):
+                continue
+            data = self.data[begin:begin + n]
+            one, other = _rolling(data, 9), _rolling(data, 10)
+            apart = hot[at[which]]
+            for some, alone in ((which[~apart], False), (which[apart], True)):
+                first, many, row, own = start[some], count[some], text[some], gram[some]
+                if alone:  # each string of a frequent gram is a context that goes by its own name
+                    row, first = np.repeat(row, many), _expand(first, many)
+                    many = np.ones(len(first), np.int64)
+                end = first + many + self.length - 1
+                x, y = one.of(first, end), other.of(first, end)
+                found.append((mix64(x) if alone else own, x, y, first + begin, many, row + i))
         kinds = (U, U, U, np.int64, np.int64, np.int64)
         key, x, y, start, count, text = (np.concatenate([np.zeros(0, t), *(f[c] for f in found)]) for c, t in enumerate(kinds))
         order = np.lexsort((y, x, key))
@@ -212,17 +233,31 @@ class _Block:
         return start, count, text, which, key[one], start[one], count[one] + self.length - 1, low
 
 
+def _gram_state(columns, hot: int) -> np.ndarray:
+    """0: a gram of one id; 1: of several; ``_HOT``: of several, in over ``hot`` contexts."""
+    key, low, several, n = columns
+    order = np.argsort(key, kind="stable")
+    first = groups(key[order])
+    total = np.add.reduceat(n[order].astype(np.int64), first) > hot
+    out = _is_shared((key, low, several), None).astype(np.uint8)
+    out[order] += out[order] * np.repeat(total, np.diff(np.append(first, len(key)))).astype(np.uint8)
+    return out
+
+
 def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
+                     text_col: str = "text", hot: int = HOT_CONTEXTS) -> DataFrame:
     """(id, no_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs``."""
     n = n_blocks(docs)
-    n_buckets = max(4, n)
+    n_buckets = max(4, 2 * n)
     blocks = in_blocks(docs, n, id_col, text_col)
 
     def ask_grams(block: int, rows: pa.Table) -> pa.Table:
         return ask_rows(block, n_buckets, *_Block(rows, length, gram, n_buckets).grams())
 
-    grams = answer(for_blocks(blocks, ask_grams, ASK), [U, np.int64, bool], _is_shared)
+    def state(columns, owner):
+        return _gram_state(columns, hot)
+
+    grams = answer(for_blocks(blocks, ask_grams, ASK), [U, np.int64, bool, np.uint32], state)
 
     def ask_contexts(block: int, rows: pa.Table, loads: dict[int, bytes]) -> pa.Table:
         b = _Block(rows, length, gram, n_buckets)
@@ -251,13 +286,17 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
             asked.append((own, ids))
         contexts, low = list(index), np.array(low, np.int64)
         by = np.argsort(np.array(key, U), kind="stable")
-        least: list = [None] * len(contexts)
-        for shard in _shards(by, np.array(key, U), contexts):
-            for c, found in zip(shard.tolist(), smallest_owner([contexts[c] for c in shard], low[shard], length), strict=True):
-                least[c] = found
-        flat = np.concatenate(least)
-        strings = np.fromiter(map(len, least), np.int64, len(least))
-        start = np.cumsum(strings) - strings
+        strings = np.fromiter(map(len, contexts), np.int64, len(contexts)) - length + 1
+        start = np.empty(len(contexts), np.int64)
+        start[by] = np.cumsum(strings[by]) - strings[by]
+        # strings only equal strings of their own gram: a gram's only context has nothing to meet
+        key = np.array(key, U)
+        alone = _only(key[by])
+        flat = np.repeat(low[by], strings[by])
+        met = by[~alone]
+        if len(met):
+            flat[np.repeat(~alone, strings[by])] = np.concatenate(
+                [smallest_owner([contexts[c] for c in shard], low[shard], length) for shard in _shards(met, key, contexts)])
         back = [np.packbits(flat[_expand(start[own], strings[own])] < np.repeat(ids, strings[own])).tobytes() for own, ids in asked]
         return pa.table({"block": table.column("block").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()),
                          "load": pa.array(back, pa.binary())})
@@ -297,6 +336,11 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id
     return with_answers(blocks, both, remove, "id long, no_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def _only(keys: np.ndarray) -> np.ndarray:
+    """Of sorted keys, those that occur once."""
+    return (np.concatenate([[True], keys[1:] != keys[:-1]]) & np.concatenate([keys[1:] != keys[:-1], [True]]))
+
+
 def _shards(by: np.ndarray, key: np.ndarray, contexts: list[bytes]):
     """Contexts in the order of their grams, cut between grams at about ``SHARD_BYTES``."""
     begin, held = 0, 0

@@ -65,11 +65,11 @@ def test_word_windows_of_no_rows(spark):
     assert recompress.repeated_windows(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_byte_strings(spark, seed):
+@pytest.mark.parametrize("seed,hot", [(0, bwt_repeats.HOT_CONTEXTS), (1, 3)])
+def test_byte_strings(spark, seed, hot):
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "load").withColumn("no_id", F.lit(1)).repartition(5)
-    got = Counter(tuple(r) for r in _ids(bwt_repeats.repeated_strings(docs)).collect())
+    got = Counter(tuple(r) for r in _ids(bwt_repeats.repeated_strings(docs, hot=hot)).collect())
     assert got == byte_brute(rows, bwt_repeats.LENGTH)
 
 
@@ -97,6 +97,5 @@ def test_interval_expansion(contexts):
     contexts = [c.encode() for c in contexts]
     owner = np.arange(len(contexts))[::-1].copy()
     found = bwt_repeats.smallest_owner(contexts, owner, 4)
-    for c, f in zip(contexts, found, strict=True):
-        for i, x in enumerate(f):
-            assert x == min(o for o, d in zip(owner, contexts, strict=True) if c[i:i + 4] in d)
+    strings = [c[i:i + 4] for c in contexts for i in range(len(c) - 3)]
+    assert found.tolist() == [min(o for o, d in zip(owner, contexts, strict=True) if s in d) for s in strings]
