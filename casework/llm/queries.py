@@ -146,6 +146,24 @@ taken as (select *, full_n + case when rest > 0 and upto <= rest then 1 else 0 e
 select doc_id, d as domain, lang, source, unnest(range(times))::int as epoch from taken where times > 0
 """
 
+OP1_SQL = """
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+windows as (
+  select doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') as k
+  from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from docs)),
+least as (select k, min(doc_id) as m from windows group by k),
+gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as p from windows join least using (k) where m < doc_id),
+places as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as w from docs),
+kept as (
+  select places.doc_id, string_agg(w, ' ' order by places.p) as t, count(*) as n
+  from places left join gone on places.doc_id = gone.doc_id and places.p = gone.p where gone.p is null group by places.doc_id)
+select docs.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed,
+       sha256(coalesce(t, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
 OP4_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
@@ -159,6 +177,7 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
 ORACLE = {
+    "op1_word_repeats": OP1_SQL,
     "op4_topk": OP4_SQL,
     "op9_mix_sources": OP9_SQL,
 }
