@@ -170,16 +170,21 @@ ANSWER = "block int, bucket int, load binary"
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length, end to end (the reader knows their types)."""
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def unpacked(load: bytes, *types) -> list[np.ndarray]:
-    width = sum(np.dtype(t).itemsize for t in types)
-    n, at, out = len(load) // width, 0, []
-    for t in types:
-        out.append(np.frombuffer(load, t, n, at))
-        at += n * np.dtype(t).itemsize
+    """Arrays of one length, end to end (the reader knows their types).  Each is
+    laid out by byte place: first the lowest byte of all numbers, and so on, for
+    the high bytes of ids and counts are mostly equal and then take no room."""
+    return b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+
+
+def unpacked(load: bytes, *types, n: int | None = None, at: int = 0) -> list[np.ndarray]:
+    """The arrays of ``packed``; ``n`` is their length if other bytes follow."""
+    sizes = [np.dtype(t).itemsize for t in types]
+    n = (len(load) - at) // sum(sizes) if n is None else n
+    out = []
+    for t, size in zip(types, sizes, strict=True):
+        planes = np.frombuffer(load, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(t))
+        at += n * size
     return out
 
 

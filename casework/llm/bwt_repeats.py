@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.llm.blocks import (ANSWER, ASK, Rolling, answer, ask_rows, bucket_bounds, byte_views, for_blocks, groups,
-                                 in_blocks, mix64, n_blocks, numbers, pieces, told, with_answers)
+                                 in_blocks, mix64, n_blocks, numbers, packed, pieces, told, unpacked, with_answers)
 from casework.llm.recompress import _distinct, _is_shared
 
 LENGTH = 50
@@ -163,13 +163,13 @@ def smallest_owner(contexts: list[bytes], owner: np.ndarray, length: int) -> np.
 
 
 def _load(key: np.ndarray, size: np.ndarray, low: np.ndarray, body: bytes) -> bytes:
-    return b"".join([np.int64(len(key)).tobytes(), key.tobytes(), size.astype(np.int64).tobytes(), low.tobytes(), body])
+    return np.int64(len(key)).tobytes() + packed(key, size.astype(np.int32), low) + body
 
 
 def _unload(load: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     n = int(np.frombuffer(load, np.int64, 1)[0])
-    return (np.frombuffer(load, U, n, 8), np.frombuffer(load, np.int64, n, 8 + 8 * n),
-            np.frombuffer(load, np.int64, n, 8 + 16 * n), load[8 + 24 * n:])
+    key, size, low = unpacked(load, U, np.int32, np.int64, n=n, at=8)
+    return key, size, low, load[8 + 20 * n:]
 
 
 class _Block:
