@@ -41,6 +41,7 @@ SEED = 42
 #: a bucket with more fingerprints is cut again; its pairs are otherwise compared
 _DENSE = 512
 _RUN = 1 << 16
+_SALTS = 32
 U = np.uint64
 
 
@@ -190,11 +191,15 @@ def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE, segments: in
 
 def component_names(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(fp, component, root) of ``nodes`` (fp, low: the smallest id with it)."""
-    roots = connected_components(linked_fingerprints(nodes, distance, segments))
-    tagged = (nodes.join(roots, nodes.fp == roots.node, "left")
-              .select("fp", "low", F.coalesce("root", "fp").alias("root")))
-    lows = tagged.groupBy("root").agg(F.min("low").alias("component"))
-    return tagged.join(lows, "root").select("fp", "component", "root")
+    roots = materialize(connected_components(linked_fingerprints(nodes, distance, segments)))
+    alone = (nodes.join(roots, nodes.fp == roots.node, "left_anti")
+             .select("fp", F.col("low").alias("component"), F.col("fp").alias("root")))
+    linked = nodes.join(roots, nodes.fp == roots.node).select("fp", "low", "root")
+    lows = linked.groupBy("root").agg(F.min("low").alias("component"))
+    # one component may hold very many fingerprints: its name is laid out once for each of _SALTS parts
+    parts = lows.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = linked.withColumn("_part", F.pmod(F.xxhash64("fp"), F.lit(_SALTS)).cast("int"))
+    return alone.unionByName(dealt.join(parts, ["root", "_part"]).select("fp", "component", "root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS,
