@@ -7,9 +7,10 @@ that probing level after level until one is absent gives q back: never less
 than the stored level, and more only by a false positive of the filter.
 
 The filter is cut by key into slices, each filled by the task that owns that
-key range.  It takes ``bits`` for each stored level but at most ``max_bytes``
-together, which bounds what is broadcast; past that bound it only gets denser
-(more false positives), nothing is left out.
+key range, with ``bits`` for each stored level at any size of the corpus.  The
+slices stay a table: a block of documents sends its distinct pairs to the slices
+that own them and gets a level back for each, so no task and not the driver ever
+holds more than its slice.
 
 A pair's probability is interpolated with the exact add-one unigram estimate:
 lam 2^(q-1) / c(v) + (1 - lam) (c(w) + 1) / (N + V + 1), where lam =
@@ -35,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casework.llm.blocks import (ASK, Words, answer, ask_rows, bucket_bounds, byte_views, for_blocks, groups, in_blocks,
-                                 mix64, n_blocks, packed, pieces, told, unpacked, with_answers)
+from casework.llm.blocks import (ANSWER, ASK, Words, answer, ask_rows, bucket_bounds, byte_views, for_blocks, groups,
+                                 in_blocks, mix64, n_blocks, packed, pieces, told, unpacked, with_answers)
+from casework.session import materialize
 
 U = np.uint64
 END = U(0x5851F42D4C957F2D)
 BITS = 8
 PROBES = 4
-MAX_BYTES = 128 << 20
+#: above the level of any count
+MOST = 63
 #: distinct pairs a task holds before it sends them
 _HELD = 1 << 20
 
@@ -99,10 +102,12 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return keys & U(0xFFFFFFFFFFFF0000)
 
 
-def fill(keys: np.ndarray, counts: np.ndarray, bits: float, probes: int, max_bytes: int) -> np.ndarray:
-    """A filter slice, as bytes, that holds each key at every level up to its own."""
+def fill(keys: np.ndarray, counts: np.ndarray, bits: float, probes: int, max_bytes: int | None = None) -> np.ndarray:
+    """A filter slice, as bytes, that holds each key at every level up to its
+    own; it grows with the keys unless a caller bounds it."""
     q = levels(counts)
-    size = int(min(max(64, q.sum() * bits), 8 * max_bytes)) // 64 * 64
+    size = max(64, q.sum() * bits)
+    size = int(size if max_bytes is None else min(size, 8 * max_bytes)) // 64 * 64
     out = np.zeros(size, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         own = keys[q >= level]
@@ -112,7 +117,7 @@ def fill(keys: np.ndarray, counts: np.ndarray, bits: float, probes: int, max_byt
 
 
 class CountFilter:
-    """All slices, end to end."""
+    """Some slices, end to end."""
 
     def __init__(self, slices: list[bytes], probes: int, once: float):
         self.probes, self.once = probes, once
@@ -139,9 +144,10 @@ class CountFilter:
         return out
 
 
-def train_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, probes: int = PROBES,
-                 max_bytes: int = MAX_BYTES) -> CountFilter:
-    """The filter of all pairs in training rows."""
+def train_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS,
+                 probes: int = PROBES) -> DataFrame:
+    """The filter of all pairs in training rows: (bucket, part, once, n), a row
+    for each slice with any pair, its pairs seen once and all it counted."""
     n_buckets = max(4, n_blocks(docs) // 3)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,16 +176,12 @@ def train_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         loads = [unpacked(x.as_py(), np.uint32, np.uint16, np.uint32) for x in table.column("load")]
         keys = np.concatenate([(h.astype(U) << U(32)) | (m.astype(U) << U(16)) for h, m, _ in loads])
         keys, counts = _counted(keys, np.concatenate([c for *_, c in loads]).astype(np.int64))
-        part = fill(keys, counts, bits, probes, max_bytes // n_buckets)
+        part = fill(keys, counts, bits, probes)
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()).combine_chunks(), "part": pa.array([part.tobytes()], pa.binary()),
                          "once": pa.array([int((counts == 1).sum())], pa.int64()), "n": pa.array([int(counts.sum())], pa.int64())})
 
     texts = docs.where(~held_out(id_col)).select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    # at most max_bytes together
-    got = texts.mapInArrow(count, "bucket int, load binary").groupBy("bucket").applyInArrow(build, "bucket int, part binary, once long, n long").collect()
-    by = {r["bucket"]: bytes(r["part"]) for r in got}
-    once = sum(r["once"] for r in got) / max(1, sum(r["n"] for r in got))
-    return CountFilter([by.get(b, bytes(8)) for b in range(n_buckets)], probes, once)
+    return texts.mapInArrow(count, "bucket int, load binary").groupBy("bucket").applyInArrow(build, "bucket int, part binary, once long, n long")
 
 
 _SCORES = ("id long, no_id boolean, held_out boolean, n_tokens long, n_known long, train_tokens long, "
@@ -197,10 +199,25 @@ def _sum_counts(columns, owner) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, probes: int = PROBES,
-          max_bytes: int = MAX_BYTES) -> DataFrame:
+def probe(asked: DataFrame, slices: DataFrame, probes: int) -> DataFrame:
+    """Ask the slices: one level (a byte) for each pair of a block's question."""
+    def run(asked: pa.Table, mine: pa.Table) -> pa.Table:
+        part = mine.column("part")[0].as_py() if mine.num_rows else bytes(8)
+        own = CountFilter([part], probes, 0)
+        back = []
+        for x in asked.column("load"):
+            keys = unpacked(x.as_py(), U)[0]
+            back.append(own.level(keys, np.full(len(keys), MOST)).astype(np.uint8).tobytes())
+        return pa.table({"block": asked.column("block").cast(pa.int32()), "bucket": asked.column("bucket").cast(pa.int32()),
+                         "load": pa.array(back, pa.binary())})
+    return asked.groupBy("bucket").cogroup(slices.groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, probes: int = PROBES) -> DataFrame:
     """Every row's token figures, its unigram score and its model score (log10)."""
-    sent = docs.sparkSession.sparkContext.broadcast(train_filter(docs, id_col, text_col, bits, probes, max_bytes))
+    slices = materialize(train_filter(docs, id_col, text_col, bits, probes))
+    seen = slices.agg(F.sum("once").alias("once"), F.sum("n").alias("n")).first()
+    once = (seen["once"] or 0) / max(1, seen["n"] or 0)
     n = n_blocks(docs)
     n_buckets = max(4, n // 3)
     blocks = in_blocks(docs.withColumn("_held", held_out(id_col)), n, id_col, text_col, F.col("_held").alias("held"))
@@ -223,8 +240,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
         keys, counts = words_of(rows)
         return ask_rows(block, n_buckets, keys, counts.astype(np.uint32))
 
+    def pairs_of(rows: pa.Table) -> np.ndarray:
+        """The block's distinct pairs, as the filter knows them."""
+        found = [np.unique(_short(t.pairs())) for *_, t in parts(rows)]
+        return np.unique(np.concatenate([np.zeros(0, U), *found]))
+
+    def ask_pairs(block: int, rows: pa.Table) -> pa.Table:
+        return ask_rows(block, n_buckets, pairs_of(rows))
+
     asked = for_blocks(blocks, ask, ASK)
     counts = answer(asked, [U, np.uint32], _sum_counts)
+    # the buckets of pairs are numbered after those of words
+    held_at = probe(for_blocks(blocks, ask_pairs, ASK), slices.select("bucket", "part"), probes).withColumn("bucket", F.col("bucket") + n_buckets)
 
     def size(table: pa.Table) -> pa.Table:
         loads = [unpacked(x.as_py(), U, np.uint32) for x in table.column("load")]
@@ -237,19 +264,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                       F.concat(F.lit("N "), "n", F.lit(" "), "v").cast("binary").alias("load")))
 
     def rate(block: int, rows: pa.Table, loads: dict[int, bytes]) -> pa.Table:
-        known = sent.value
         total, distinct = map(int, loads.pop(-1).decode().split()[1:])
         out = [[] for _ in range(4)]
         keys, _ = words_of(rows)
         counts = told(keys, n_buckets, loads, np.int64) if rows.num_rows else np.zeros(len(keys), np.int64)
         end = int(counts[np.searchsorted(keys, END)])
+        pairs = pairs_of(rows)
+        held_level = told(pairs, n_buckets, {b - n_buckets: x for b, x in loads.items()}, np.uint8)
         for _, _, _, t in parts(rows):
             c = counts[np.searchsorted(keys, t.name)]
             before = np.concatenate([[0], c[:-1]])
             before[t.first[:-1]] = end
             one = (c + 1) / (total + distinct + 1)
-            q = known.level(t.pairs(), levels(np.minimum(c, before)) * ((c > 0) & (before > 0)))
-            lam = (1 - known.once) * before / (before + 1)
+            q = held_level[np.searchsorted(pairs, _short(t.pairs()))].astype(np.int64)
+            q = np.minimum(q, levels(np.minimum(c, before)) * ((c > 0) & (before > 0)))
+            lam = (1 - once) * before / (before + 1)
             two = np.where(q > 0, np.exp2(q - 1.0) / np.maximum(before, 1), 0)
             both = lam * np.minimum(two, 1) + (1 - lam) * one
             first = t.first[:-1]
@@ -263,4 +292,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
                          "train_tokens": pa.array(np.full(rows.num_rows, total), pa.int64()),
                          "base_score": pa.array(base, pa.float64()), "score": pa.array(model, pa.float64())})
 
-    return with_answers(blocks, counts.unionByName(totals), rate, _SCORES)
+    return with_answers(blocks, counts.unionByName(held_at).unionByName(totals), rate, _SCORES)

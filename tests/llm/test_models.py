@@ -174,5 +174,26 @@ def test_filter_never_forgets_and_rarely_invents():
     assert len(ngram_lm.fill(keys, counts, 8, 4, 1000)) <= 1000
 
 
+def test_filter_grows_with_the_corpus_and_is_never_gathered(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(_say(rng, 200)) for _ in range(60)]
+    pairs = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [*t.split(), None]
+            pairs.update(zip([None, *w[:-1]], w, strict=True))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    slices = ngram_lm.train_filter(docs)
+    held = sum(c.bit_length() for c in pairs.values())
+    size = slices.select(F.sum(8 * F.length("part")).alias("b")).first()["b"]
+    assert 8 * held - 64 * slices.count() <= size <= 8 * held + 64 * slices.count()
+    # scoring sends no filter to every task
+    sent = []
+    keep = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or keep(self, x))
+    assert ngram_lm.score(docs).count() == len(texts)
+    assert not any(isinstance(x, ngram_lm.CountFilter) for x in sent)
+
+
 def test_no_rows_to_score(spark):
     assert ngram_lm.score(spark.createDataFrame([], SCHEMA)).count() == 0
