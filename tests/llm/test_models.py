@@ -120,6 +120,33 @@ def test_parts_of_a_large_benchmark_agree(spark):
     assert {(r.id, r.item_id) for r in found.collect()} == planted
 
 
+def test_items_without_their_rarest_words_are_found(spark):
+    rng = random.Random(4)
+    common = sorted({"".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)})
+    items = []
+    for i in range(20):
+        w = [rng.choice(common) for _ in range(38)]
+        for j in range(0, 36, 3):
+            w[j] = f"rare{i}x{j}"
+        items.append((i, " ".join(w)))
+    texts, planted = [[rng.choice(common) for _ in range(100)] for _ in range(400)], set()
+    for i in range(0, 400, 20):
+        k = i // 20
+        texts[i][30:30] = [f"new{j}" if x.startswith("rare") else x for j, x in enumerate(items[k][1].split())]
+        planted.add((i, k))
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in enumerate(texts)], SCHEMA).repartition(3)
+    found = decontaminate.hits(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.id, r.item_id) for r in found} == planted
+
+
+def test_items_of_few_words_are_found_in_a_row(spark):
+    docs = spark.createDataFrame([(0, "say Open, sesame now", "en", "s", 0), (1, "sesame open", "en", "s", 0), (2, "open", "en", "s", 0),
+                                  (3, "sesame", "en", "s", 0), (None, "open sesame", "en", "s", 0)], SCHEMA).coalesce(1)
+    items = spark.createDataFrame([(7, "Open sesame!"), (8, None), (9, "")], "item_id long, text string")
+    found = decontaminate.hits(docs, items).collect()
+    assert {(r.id, r.item_id, r.first_word, r.overlap) for r in found} == {(0, 7, 1, 1.0), (None, 7, 0, 1.0)}
+
+
 def test_nothing_to_compare_with(spark):
     docs, benchmark, rows, _ = _benchmark(spark)
     assert decontaminate.hits(docs, benchmark.limit(0)).count() == 0
