@@ -172,19 +172,54 @@ def _spelled(run: str) -> tuple[str, int]:
     return "".join(out), words
 
 
-def spelled_digits(a: Aligned) -> list[Span]:
+def _figures(run: str, apart: bool) -> Aligned:
+    """A run with figures for its words.  Spelled digits in a row become one
+    number; next to figures they keep what stands between (``apart``) or not."""
+    a, edits, times, last = Aligned(run), [], 1, None
+    for m in _SPELLED_PART.finditer(run):
+        w = m.group().lower()
+        if w in REPEATS:
+            kind, new = "spelled", ""
+        else:
+            kind = "spelled" if w in SPELLED else "mark" if w in MARKS or w == "+" else "figures"
+            new = SPELLED[w] * times if w in SPELLED else MARKS.get(w, w)
+        if last and m.start() > last[1]:
+            between = run[last[1]:m.start()]
+            shut = "mark" in (kind, last[0]) or not apart or (kind == last[0] == "spelled" and "." not in between)
+            edits.append((last[1], m.start(), "" if shut else re.sub(r"\s*-\s*", "-", re.sub(r"\s+", " ", between))))
+        edits.append((*m.span(), new))
+        times, last = REPEATS.get(w, 1), (kind, m.end())
+    a.rewrite(edits)
+    return a
+
+
+def partly_spelled(run: str) -> list[Span]:
+    """Identifiers in a run, however few of its digits are spelled: what the
+    detectors find beside figures kept apart, and addresses with figures joined."""
+    out = []
+    for apart in (True, False):
+        a = _figures(run, apart)
+        out += [(k, *a.source(i, j)) for k, i, j in plain_spans(a.text) if apart or k == "ip"]
+    return out
+
+
+def spelled_digits(a: Aligned) -> tuple[list[Span], list[Span]]:
     """Rewrite runs of at least five spelled digits; also phone numbers spelled
-    without a plus: 10 to 15 digits, all or nearly all of them words."""
-    edits, phones = [], []
+    without a plus: 10 to 15 digits, all or nearly all of them words.  Second,
+    what the detectors find in each run by itself."""
+    edits, phones, partly = [], [], []
     for m in _SPELLED_RUN.finditer(a.text):
         digits, words = _spelled(m.group())
+        # no identifier has fewer than four digits
+        if words and sum(map(str.isdigit, digits)) >= 4:
+            partly += [(k, *a.source(m.start() + i, m.start() + j)) for k, i, j in partly_spelled(m.group())]
         if words < 5:
             continue
         edits.append((*m.span(), digits))
         if digits.isdigit() and 10 <= len(digits) <= 15 and len(set(digits)) > 2 and words >= len(digits) - 3 and not (len(digits) >= 12 and luhn(digits)):
             phones.append(("phone", *a.source(*m.span())))
     a.rewrite(edits)
-    return phones
+    return phones, partly
 
 
 _NAME = r"[A-Za-z0-9][A-Za-z0-9_%+-]{0,63}"
@@ -227,7 +262,7 @@ def _may_hide(text: str) -> tuple[bool, bool, bool]:
     """Could look-alikes, spelled digits, at/dot disguises be there?  Never a wrong no."""
     odd = not text.isascii() and _ODD.search(text) is not None
     low = text.lower()
-    spelled = sum(map(SPELLED.__contains__, re.split(r"[\s,.;()/+-]+", low))) >= 2
+    spelled = not SPELLED.keys().isdisjoint(re.split(r"\W+", low))
     return odd, spelled, any(h in low for h in _HINTS)
 
 
@@ -236,19 +271,20 @@ def added_spans(text: str, plain: list[Span]) -> list[Span]:
     odd, spelled, at_dot = _may_hide(text)
     if not (odd or spelled or at_dot):
         return []
-    a, found = Aligned(text), []
+    a, found, partly = Aligned(text), [], []
     if odd:
         plain_letters(a)
         odd, spelled, at_dot = True, True, True
     if spelled:
-        found += spelled_digits(a)
+        found, partly = spelled_digits(a)
     if at_dot:
         at_and_dot(a)
     if a.text != text:
         found += [(k, *a.source(i, j)) for k, i, j in plain_spans(a.text)]
     taken: dict[str, list[tuple[int, int]]] = {k: sorted((i, j) for kk, i, j in plain if kk == k) for k in KINDS}
     out = []
-    for kind, i, j in sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), -s[2])):
+    order = lambda s: (s[1], KINDS.index(s[0]), -s[2])
+    for kind, i, j in sorted(found, key=order) + sorted(partly, key=order):
         if not any(x < j and i < y for x, y in taken[kind]):
             taken[kind].append((i, j))
             out.append((kind, i, j))

@@ -106,6 +106,36 @@ def test_clean_text_stays_clean(text):
     assert pii.added_spans(text, pii.plain_spans(text)) == []
 
 
+PARTLY = [
+    ("at {} now", "one dot two dot three dot four", "ip"),
+    ("at {}!", "192 dot 168 dot one dot one", "ip"),
+    ("host '{}'", "192 dot 168 dot 1 dot one", "ip"),
+    ("host {} up", "192.168.one.one", "ip"),
+    ("host {} up", "10 dot 16 eight dot 0 dot 1", "ip"),
+    ("pay {} today", "4111 1111 1111 one one one one", "card"),
+    ("pay {} today", "4111-1111-1111-111-one", "card"),
+    ("call {} ok", "plus one 988 555 2485", "phone"),
+    ("call {} ok", "+1 988 555 two four eight five", "phone"),
+]
+
+
+@pytest.mark.parametrize("frame,secret,kind", PARTLY)
+def test_partly_spelled_ones_are_found(frame, secret, kind):
+    text = frame.format(secret)
+    assert [(k, text[i:j]) for k, i, j in pii.added_spans(text, pii.plain_spans(text))] == [(kind, secret)]
+
+
+@pytest.mark.parametrize("text", ["see 1.2.3. One of two", "one 2.5.1 two", "4111 1111 1111 one one one two", "one, 10, 15, 20, 25, 30, 40",
+                                  "one dot two dot three", "300 dot one dot one dot one", "it is one point five, plus two"])
+def test_partly_spelled_figures_that_are_none_stay_clean(text):
+    assert pii.added_spans(text, pii.plain_spans(text)) == []
+
+
+def test_a_digit_before_a_spelled_address_costs_nothing():
+    text = "one 192 dot 168 dot 1 dot 77"
+    assert [(k, text[i:j]) for k, i, j in pii.added_spans(text, [])] == [("ip", "192 dot 168 dot 1 dot 77")]
+
+
 def test_plain_ones_stay(spark):
     rng = random.Random(3)
     mail = "bob@example.com"
