@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import (bwt_repeats, decontaminate, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
+from casework.llm import (bwt_repeats, decontaminate, langid, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
                           topk)
 from casework.sources.tables import table
 
@@ -86,6 +86,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "train_tokens", "base_score", "score")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs)).withColumnsRenamed({"id": "doc_id", "lang": "lang_pred"})
+
+
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
     "op2_byte_repeats": op2_byte_repeats,
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_shard": op8_shard,
     "op9_mix_sources": op9_mix_sources,
     "op10_lm_score": op10_lm_score,
+    "op11_language": op11_language,
 }
 
 
