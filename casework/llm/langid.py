@@ -33,8 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.session import materialize
+
 UNKNOWN = "und"
-_BETWEEN = re.compile(r"[\W\d_]+")
+#: the languages' sizes are broadcast up to so many rows
+BROADCAST_ROWS = 10_000
+_LETTERS = re.compile(r"[^\W\d_]+")
 #: between passages; no normalised text has it
 _CUT = "\n"
 
@@ -43,15 +47,15 @@ _CUT = "\n"
 class Sample:
     """Bounds of the text that the automata are built from."""
 
-    lang_chars: int = 1 << 16
+    lang_chars: int = 1 << 15
     total_chars: int = 1 << 20
     passage_chars: int = 512
 
 
 def normalise(text: str | None) -> str:
     """Letters in lower case with one space between words; empty if there is no letter."""
-    text = _BETWEEN.sub(" ", (text or "").lower()).strip()
-    return text if any(c.isalpha() for c in set(text)) else ""
+    text = " ".join(_LETTERS.findall((text or "").lower()))
+    return text if any(map(str.isalpha, text)) else ""
 
 
 def automaton(text: str) -> dict:
@@ -113,20 +117,24 @@ class Languages:
     def __setstate__(self, texts):
         self.texts, self._roots = texts, None
 
-    def rates(self, text: str) -> dict[str, float]:
-        """Bits for each letter of a normalised text, by language."""
+    def rates(self, texts: list[str]) -> dict[str, list[float]]:
+        """Bits for each letter of normalised texts, by language."""
         if self._roots is None:
             self._roots = {lang: (automaton(t), math.log2(len(t) + 1)) for lang, t in self.texts.items()}
-        return {lang: phrases(root, text) * bits / len(text) for lang, (root, bits) in self._roots.items()}
-
-    def identify(self, text: str | None) -> tuple[str, float]:
-        text = normalise(text)
-        if not text or not self.texts:
-            return UNKNOWN, 0.0
-        order = sorted((rate, lang) for lang, rate in self.rates(text).items())
-        if len(order) == 1:
-            return order[0][1], 1.0
-        return order[0][1], order[1][0] / (order[0][0] + order[1][0])
+        # language by language: an automaton stays near while all texts pass it
+        return {lang: [phrases(root, t) * bits / max(1, len(t)) for t in texts] for lang, (root, bits) in self._roots.items()}
+
+    def identify(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        texts = [normalise(t) for t in texts]
+        rates = self.rates(texts)
+        found = []
+        for i, text in enumerate(texts):
+            order = sorted((rate[i], lang) for lang, rate in rates.items()) if text else []
+            if not order:
+                found.append((UNKNOWN, 0.0))
+            else:
+                found.append((order[0][1], order[1][0] / (order[0][0] + order[1][0]) if len(order) > 1 else 1.0))
+        return found
 
 
 def held_out(id_col: str, folds: int = 3, fold: int = 1):
@@ -141,15 +149,16 @@ def learn(docs: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", te
             .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.trim("text") != "")
             .withColumn("h", F.xxhash64("text")))
     size = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"))
-    size = size.withColumn("share", F.least(F.lit(sample.lang_chars), F.floor(
-        sample.total_chars / size.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("k")).scalar())))
+    size = materialize(size)
+    langs = size.count()
+    size = size.withColumn("share", F.least(F.lit(sample.lang_chars), F.lit(sample.total_chars // max(1, langs))))
     size = (size.withColumn("take", F.greatest(F.lit(1), F.floor(F.col("share") / sample.passage_chars)))
             # fewer texts give longer passages
             .withColumn("chars", F.greatest(F.lit(sample.passage_chars), F.floor(F.col("share") / F.col("n"))).cast("int")))
     near = F.col("h").cast("double") < (4.0 * F.col("take") / F.col("n")) * 2.0**64 - 2.0**63
     first = Window.partitionBy("lang").orderBy("h")     # about four times ``take`` texts
     begin = F.pmod(F.xxhash64("h", F.lit(1)), F.greatest(F.lit(1), F.length("text") - F.col("chars") + 1)).cast("int") + 1
-    taken = (rows.join(size, "lang").where(near).dropDuplicates(["lang", "h"])
+    taken = (rows.join(F.broadcast(size) if langs <= BROADCAST_ROWS else size, "lang").where(near).dropDuplicates(["lang", "h"])
              .withColumn("i", F.row_number().over(first)).where("i <= take")
              .select("lang", "h", F.substring("text", begin, F.col("chars")).alias("t")))
     texts: dict[str, list[str]] = {}
@@ -164,7 +173,7 @@ def identify(docs: DataFrame, languages: Languages, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sent.value.identify(t.as_py()) for t in b.column(2)]
+            found = sent.value.identify(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()),
                  pa.array([f[1] for f in found], pa.float64())], ["id", "held_out", "lang", "score"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import (bwt_repeats, decontaminate, langid, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
+from casework.llm import (bwt_repeats, decontaminate, hard_negatives, langid, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
                           topk)
 from casework.sources.tables import table
 
@@ -92,6 +92,12 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs)).withColumnsRenamed({"id": "doc_id", "lang": "lang_pred"})
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector; the label of every 7th is the next one."""
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", turned))
+
+
 QUERIES = {
     "op1_word_repeats": op1_word_repeats,
     "op2_byte_repeats": op2_byte_repeats,
@@ -104,6 +110,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_lm_score": op10_lm_score,
     "op11_language": op11_language,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 
@@ -183,8 +190,31 @@ ranked as (select *, row_number() over (partition by query_id order by score des
 select query_id, rank, vec_id, score from ranked where rank <= 20
 """
 
+OP13_SQL = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.r, a.vec_id as anchor_id, v.vec_id, a.label = v.label as same,
+         list_sum(list_transform(list_zip(a.e, v.e), lambda p: p[1] * p[2]))::bigint as score
+  from v as a join v on a.r != v.r and len(a.e) = len(v.e) where a.vec_id % 50 = 0),
+best as (
+  select *, row_number() over (partition by r order by score desc, vec_id) as slot from scored where same qualify slot <= 5),
+ranked as (
+  select best.anchor_id, best.vec_id as positive_id, scored.vec_id as negative_id, best.score as positive_score,
+         scored.score as negative_score,
+         row_number() over (partition by best.r, slot order by scored.score desc, scored.vec_id)::int as rank
+  from best join scored on best.r = scored.r and not scored.same
+   and 50 * best.score <= 100 * scored.score and 100 * scored.score <= 95 * best.score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 3
+"""
+
 ORACLE = {
     "op1_word_repeats": OP1_SQL,
     "op4_topk": OP4_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }

@@ -1,21 +1,23 @@
 """Exact top-k inner products with KD-trees per shard (operator 4).
 
-Vectors become whole numbers, floor(64 x), and are dealt into shards by a hash
-of their id.  A shard is a KD-tree: median splits along the widest side, tight
+Vectors become whole numbers, floor(64 x), and are dealt into shards by place
+(``vector_shards``).  A shard is a KD-tree: median splits along the widest side, tight
 boxes at every node.  The largest inner product a query can have within a box
-is the sum over components of max(q lo, q hi).  A block of queries descends
+is the sum over components of max(q lo, q hi).  A batch of queries descends
 with all boxes whose bound still reaches its kth score, visits the remaining
 leaves best bound first and raises the kth score as it goes.
 
 First every query is searched in its own shard; its kth score there is a lower
-bound that goes with it to all other shards, in blocks, so most of their boxes
-are closed from the start.  Nothing is sampled and no box is skipped whose
-bound equals the kth score, so ties are exact.
+bound that goes with it to the other shards whose whole box reaches it.  A
+shard's rows are moved once and its tree is built once, whatever the number of
+queries.  Nothing is sampled and no box is skipped whose bound equals the kth
+score, so ties are exact.
 
 Defined results: vectors that are null or hold null or non-finite components,
-and rows without id, take no part; rows of equal id count once (the smallest
-vector); vectors of another length than the query's are not comparable; an
-empty table, or a query without other vectors, gives no rows.
+and rows without id, take no part; every other row counts, also where ids
+repeat: a query's candidates are the rows of other ids, and query rows of one
+id share one ranking; vectors of another length than the query's are not
+comparable; an empty table, or a query without other vectors, gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.llm.vector_shards import (BATCH, SHARD_ROWS, arrow, at_home, dealt, matrix, products, routed, streamed,
+                                        summaries, whole_rows)
 from casework.session import materialize
 
-SHARD_ROWS = 8192
-QUERY_ROWS = 1024
 LEAF = 128
 NONE = np.iinfo(np.int64).min
 
@@ -79,8 +81,8 @@ class Tree:
             bound = np.empty(len(nodes), np.int64)
             for node in np.unique(nodes):
                 at = nodes == node
-                bound[at] = (_products(plus[who[at]], self.high[node][None])
-                             + _products(minus[who[at]], self.low[node][None]))[:, 0]
+                bound[at] = (products(plus[who[at]], self.high[node][None])
+                             + products(minus[who[at]], self.low[node][None]))[:, 0]
             open_ = bound >= kth[who]
             nodes, who, bound = nodes[open_], who[open_], bound[open_]
             is_leaf = self.left[nodes] == 0
@@ -105,7 +107,7 @@ class Tree:
             for node in np.unique(leaf):
                 q = mine[leaf == node]
                 i, j = self.start[node], self.end[node]
-                score = _products(queries[q], self.points[i:j])
+                score = products(queries[q], self.points[i:j])
                 good = (score >= kth[q][:, None]) & (self.ids[None, i:j] != qids[q][:, None])
                 x, y = np.nonzero(good)
                 found.append((q[x], self.ids[i + y], score[x, y]))
@@ -114,16 +116,6 @@ class Tree:
             turn += 1
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of whole numbers, exactly: in doubles while they fit 53 bits."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if most < 2**63:
-        return a.astype(np.int64) @ b.T.astype(np.int64)
-    raise OverflowError("an inner product does not fit 64 bits")
-
-
 def _best(who, ids, score, kth, k):
     """The k best of each query, and the raised kth scores."""
     order = np.lexsort((ids, -score, who))
@@ -136,76 +128,52 @@ def _best(who, ids, score, kth, k):
     return (who[keep], ids[keep], score[keep]), kth
 
 
-def whole_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, dim, vec): floor(scale x) of every usable vector, as packed 64-bit numbers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, dims, vecs = [], [], []
-            for i, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if i is None or not v.is_valid or v.values.null_count:
-                    continue
-                x = np.asarray(v.values, np.float64)
-                if not len(x) or not np.isfinite(x).all():
-                    continue
-                x = np.floor(scale * x)
-                if np.abs(x).max() >= 2**62:
-                    raise OverflowError(f"vector {i} does not fit whole numbers")
-                ids.append(i)
-                dims.append(len(x))
-                vecs.append(x.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], ["id", "dim", "vec"])
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).mapInArrow(run, "id long, dim int, vec binary")
-    return rows.groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("id", "v.dim", "v.vec")
-
+_FOUND = {"row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+FOUND = "row long, query_id long, vec_id long, score long"
 
-_FOUND = "query_id long, vec_id long, score long"
 
+def _tree(rows: pa.Table) -> Tree:
+    return Tree.build(rows.column("id").to_numpy(), matrix(rows.column("vec").to_pylist()))
 
-def _found(qids, who, ids, score) -> pa.Table:
-    return pa.table({"query_id": pa.array(qids[who], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.int64())})
 
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("id").to_numpy()
-    return ids, np.frombuffer(b"".join(table.column("vec").to_pylist()), np.int64).reshape(len(ids), -1)
+def _search(tree: Tree, queries: pa.Table, kth: np.ndarray, k: int) -> pa.RecordBatch:
+    ids = queries.column("id").to_numpy()
+    who, found, score = tree.search(ids, matrix(queries.column("vec").to_pylist()), kth, k)
+    return arrow(_FOUND, {"row": queries.column("row").to_numpy()[who], "query_id": ids[who], "vec_id": found, "score": score})
 
 
 def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
-          shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+          shard_rows: int = SHARD_ROWS, query_rows: int = BATCH) -> DataFrame:
     """(query_id, rank, vec_id, score) of every vector whose id is divisible by ``query_every``."""
-    vectors = materialize(whole_vectors(df, id_col, vec_col))
-    n_shards = max(1, -(-vectors.count() // shard_rows))
-    n_parts = max(1, -(-vectors.where(F.col("id") % query_every == 0).count() // query_rows))
-    shards = vectors.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int"))
-
-    def at_home(table: pa.Table) -> pa.Table:
-        ids, points = _matrix(table)
-        mine = np.flatnonzero(ids % query_every == 0)
-        tree = Tree.build(ids, points)
-        parts = [_found(ids[m], *tree.search(ids[m], points[m], np.full(len(m), NONE), k))
-                 for m in np.array_split(mine, max(1, -(-len(mine) // 512))) if len(m)]
-        return pa.concat_tables(parts) if parts else _found(ids[:0], *[np.zeros(0, np.int64)] * 3)
-
-    first = materialize(shards.groupBy("dim", "shard").applyInArrow(at_home, _FOUND))
-    kth = (first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
-           .select("query_id", F.when(F.col("n") >= k, F.col("low")).otherwise(F.lit(int(NONE))).alias("kth")))
-    queries = (shards.where(F.col("id") % query_every == 0).join(kth, F.col("id") == F.col("query_id"), "left")
-               .select(*[F.col(c).alias(c) for c in ("id", "dim", "vec")], F.col("shard").alias("home"), F.coalesce("kth", F.lit(int(NONE))).alias("kth"),
-                       F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_parts)).cast("int").alias("part")))
-    # every block of queries meets every shard once
-    at = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    asked = queries.withColumn("shard", at).where("shard != home")
-    held = shards.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-
-    def elsewhere(points: pa.Table, asking: pa.Table) -> pa.Table:
-        if not points.num_rows or not asking.num_rows:
-            return _found(np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3)
-        tree = Tree.build(*_matrix(points))
-        qids, qs = _matrix(asking)
-        return _found(qids, *tree.search(qids, qs, asking.column("kth").to_numpy(), k))
-
-    key = ["dim", "shard", "part"]
-    second = held.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(elsewhere, _FOUND)
+    shards = dealt(whole_rows(df, 64, id_col, vec_col), shard_rows)
+
+    def home(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        tree = _tree(rows)
+        mine = rows.filter(pa.array(rows.column("id").to_numpy() % query_every == 0))
+        for at in range(0, mine.num_rows, query_rows):
+            part = mine.slice(at, query_rows)
+            yield _search(tree, part, np.full(part.num_rows, NONE), k)
+
+    def may(queries: pa.Table, x: np.ndarray, held: pa.Table, loads: np.ndarray) -> np.ndarray:
+        low, high = np.split(loads.astype(np.int64), 2, axis=1)
+        bound = products(np.maximum(x, 0), high) + products(np.minimum(x, 0), low)
+        away = queries.column("home").to_numpy()[:, None] != held.column("shard").to_numpy()[None]
+        return (bound >= queries.column("kth").to_numpy()[:, None]) & away
+
+    first = materialize(at_home(shards, home, FOUND))
+    kth = (first.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
+           .select("row", F.when(F.col("n") >= k, F.col("low")).alias("kth")))
+    queries = materialize(
+        shards.where(F.col("id") % query_every == 0).join(kth, "row", "left")
+        .select("row", "id", "label", "dim", "vec", F.col("shard").alias("home"), F.coalesce("kth", F.lit(int(NONE))).alias("kth")))
+    boxes = materialize(summaries(shards, lambda x: np.concatenate([x.min(axis=0), x.max(axis=0)]), _join_boxes))
+    second = streamed(shards, routed(queries, boxes, may), _tree,
+                      lambda tree, asked: _search(tree, asked, asked.column("kth").to_numpy(), k), FOUND, query_rows)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (first.unionByName(second).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
+
+
+def _join_boxes(loads: np.ndarray) -> np.ndarray:
+    low, high = np.split(loads, 2, axis=1)
+    return np.concatenate([low.min(axis=0), high.max(axis=0)])
