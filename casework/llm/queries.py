@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import (bwt_repeats, decontaminate, hard_negatives, langid, mixing, ngram_lm, pii, quality, recompress, sharding, simhash,
-                          topk)
+from casework.llm import (bwt_repeats, decontaminate, hard_negatives, langid, mixing, ngram_lm, pii, prefix_trie,
+                          quality, recompress, sharding, simhash, topk)
 from casework.sources.tables import table
 
 SHARDS = 24
@@ -92,6 +92,11 @@ def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs)).withColumnsRenamed({"id": "doc_id", "lang": "lang_pred"})
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct sequence of first turns of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every 50th vector; the label of every 7th is the next one."""
     turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -110,6 +115,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_lm_score": op10_lm_score,
     "op11_language": op11_language,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
@@ -212,9 +218,48 @@ ranked as (
 select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from ranked where rank <= 3
 """
 
+OP12_SQL = """
+with recursive steps(i, c, k) as (
+  select i::bigint, i::bigint, 0 from range(256) as t(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc as (select list(c order by i) as t from steps where k = 8),
+turns as (
+  select conv_id, md5(concat(len(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as id,
+         len(coalesce(text, '')) as chars, turn from conversations where conv_id is not null),
+own as (
+  select conv_id, list(id order by turn nulls first, id) as ids, list(chars order by turn nulls first, id) as chars
+  from turns group by conv_id),
+cut as (
+  select own.*, xor(4294967295, list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint)) % 6 as h from own, crc),
+rebuilt as (
+  select cut.conv_id, coalesce(base.ids[:h], []) || cut.ids[h + 1:] as ids,
+         coalesce(base.chars[:h], []) || cut.chars[h + 1:] as chars
+  from cut left join own as base on base.conv_id = cut.conv_id - cut.conv_id % 100),
+spread as (select *, unnest(range(0, len(ids) + 1)) as depth from rebuilt),
+placed as (
+  select conv_id, depth, len(ids) = depth as last, md5(array_to_string(ids[:depth], ',')) as node,
+         case when depth > 0 then md5(array_to_string(ids[:depth - 1], ',')) end as parent,
+         case when depth > 0 then chars[depth] else 0 end as chars from spread),
+nodes as (
+  select node, depth, any_value(parent) as parent, any_value(chars) as chars, min(conv_id) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where last), '')) as ends_sha256
+  from placed group by node, depth),
+kids as (select parent as node, depth - 1 as depth, count(*) as n from nodes where parent is not null group by all),
+full_nodes as (select nodes.*, coalesce(kids.n, 0) as n_children from nodes left join kids on nodes.node = kids.node and nodes.depth = kids.depth),
+below as (
+  select up.node, up.depth, sum((f.n_children = 0)::int) as n_leaves, sum((f.n_convs - 1) * f.chars) as saved_tokens
+  from full_nodes as f join placed as up on f.conv_id = up.conv_id and up.depth <= f.depth group by up.node, up.depth)
+select f.conv_id, f.depth::bigint as depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves::bigint as n_leaves,
+       saved_tokens::bigint as saved_tokens, f.ends_sha256
+from full_nodes as f join below on f.node = below.node and f.depth = below.depth
+left join nodes as p on f.parent = p.node and p.depth = f.depth - 1
+"""
+
 ORACLE = {
     "op1_word_repeats": OP1_SQL,
     "op4_topk": OP4_SQL,
     "op9_mix_sources": OP9_SQL,
+    "op12_prefix_trie": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
