@@ -13,7 +13,7 @@ then with more, and only the pairs that may still matter are scored exactly.  A
 shard has such a summary too (the range of its means, its largest deviations),
 so that an anchor goes only to shards that may hold a row it needs: for
 positives those that reach the scores found in its own shard, for negatives
-those that reach the positives' intervals.
+those that reach the positives' intervals and what the most promising ones gave.
 
 Defined results: rows with a null id or label, or a vector that is null, empty
 or holds null or non-finite components, take no part.  Every other row counts
@@ -36,6 +36,8 @@ from casework.llm.vector_shards import SHARD_ROWS, arrow, at_home, dealt, matrix
 from casework.session import materialize
 
 LEVELS = (4, 16)
+#: shards of highest bound that an anchor sees first, for each group of summaries
+FIRST_SHARDS = 2
 NONE = np.iinfo(np.int64).min
 #: share of the vectors' lengths that covers the rounding of the bounds
 _SLACK = 1e-9
@@ -119,15 +121,29 @@ def shard_bounds(x: np.ndarray, loads: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 _POSITIVE = {"row": pa.int64(), "other": pa.int64(), "score": pa.int64()}
 _NEGATIVE = {"row": pa.int64(), "slot": pa.int32(), "other": pa.int64(), "score": pa.int64()}
+_ANY = np.iinfo(np.int64).max
+
+
+def _column(table: pa.Table, name: str, default: int) -> np.ndarray:
+    return table.column(name).to_numpy() if name in table.column_names else np.full(table.num_rows, default, np.int64)
+
+
+def _worst(found: DataFrame, key: list[str], n: int) -> DataFrame:
+    """Of each group that has ``n`` rows: the score and the id that another row must beat."""
+    order = Window.partitionBy(*key).orderBy(F.col("score").desc(), "other")
+    return (found.withColumn("_i", F.row_number().over(order)).where(F.col("_i") == n)
+            .select(*key, F.col("score").alias("low"), F.col("other").alias("last")))
 
 
 def positives(shards: DataFrame, bounds: DataFrame, anchor_every: int, n: int) -> DataFrame:
     """(row, slot, positive_id, positive_score): the ``n`` best other rows of each anchor's label."""
     def search(rows: Segments, asked: pa.Table) -> pa.RecordBatch:
         own = Segments(asked)
-        kth = asked.column("kth").to_numpy() if "kth" in asked.column_names else np.full(len(own.row), NONE)
+        low, last = _column(asked, "low", NONE), _column(asked, "last", _ANY)
         same = (own.label[:, None] == rows.label[None]) & (own.row[:, None] != rows.row[None])
-        who, at, score = rows.scored(own, same, kth, None, best=n)
+        who, at, score = rows.scored(own, same, low, None, best=n)
+        better = (score > low[who]) | (rows.id[at] < last[who])
+        who, at, score = who[better], at[better], score[better]
         pick = _first(who, score, rows.id[at], n)
         return arrow(_POSITIVE, {"row": own.row[who[pick]], "other": rows.id[at[pick]], "score": score[pick]})
 
@@ -138,55 +154,79 @@ def positives(shards: DataFrame, bounds: DataFrame, anchor_every: int, n: int) -
 
     def may(asked: pa.Table, x: np.ndarray, held: pa.Table, loads: np.ndarray) -> np.ndarray:
         label = asked.column("label").to_numpy()[:, None]
-        reach = shard_bounds(x, loads)[1] >= asked.column("kth").to_numpy()[:, None]
+        reach = shard_bounds(x, loads)[1] >= asked.column("low").to_numpy()[:, None]
         away = asked.column("home").to_numpy()[:, None] != held.column("shard").to_numpy()[None]
         return reach & away & (label >= held.column("low").to_numpy()[None]) & (label <= held.column("high").to_numpy()[None])
 
     schema = "row long, other long, score long"
     first = materialize(at_home(shards, home, schema))
-    kth = first.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low")).where(F.col("n") >= n)
-    asked = materialize(shards.where(F.col("id") % anchor_every == 0).join(kth, "row", "left").select(
-        "row", "id", "label", "dim", "vec", F.col("shard").alias("home"), F.coalesce("low", F.lit(int(NONE))).alias("kth")))
+    asked = materialize(shards.where(F.col("id") % anchor_every == 0).join(_worst(first, ["row"], n), "row", "left").select(
+        "row", "id", "label", "dim", "vec", F.col("shard").alias("home"), F.coalesce("low", F.lit(int(NONE))).alias("low"),
+        F.coalesce("last", F.lit(int(_ANY))).alias("last")))
     found = first.unionByName(streamed(shards, routed(asked, bounds, may), Segments, search, schema))
     by = Window.partitionBy("row").orderBy(F.col("score").desc(), "other")
     return (found.withColumn("slot", F.row_number().over(by)).where(F.col("slot") <= n)
             .select("row", "slot", F.col("other").alias("positive_id"), F.col("score").alias("positive_score")))
 
 
-def negatives(shards: DataFrame, bounds: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """(row, slot, other, score): the ``n`` best rows of other labels in each of an
-    anchor's intervals (arrays ``slots``, ``lows``, ``highs``)."""
+def negatives(shards: DataFrame, bounds: DataFrame, spans: DataFrame, n: int) -> DataFrame:
+    """(row, slot, rank, other, score): the ``n`` best rows of other labels in each of an
+    anchor's intervals (row, slot, low, high).
+
+    An anchor is sent to the shards with its highest bounds first; the ``n``-th
+    best rows found there are what the rows of the other shards must beat."""
     def ends(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         return (np.array([min(v) for v in table.column("lows").to_pylist()], np.int64),
                 np.array([max(v) for v in table.column("highs").to_pylist()], np.int64))
 
-    def may(asked: pa.Table, x: np.ndarray, held: pa.Table, loads: np.ndarray) -> np.ndarray:
-        low, high = ends(asked)
-        least, most = shard_bounds(x, loads)
-        label = asked.column("label").to_numpy()[:, None]
-        other = (held.column("low").to_numpy()[None] != label) | (held.column("high").to_numpy()[None] != label)
-        return other & (most >= low[:, None]) & (least <= high[:, None])
+    def may(first: bool):
+        def pairs(asked: pa.Table, x: np.ndarray, held: pa.Table, loads: np.ndarray) -> np.ndarray:
+            low, high = ends(asked)
+            least, most = shard_bounds(x, loads)
+            label, shard = asked.column("label").to_numpy()[:, None], held.column("shard").to_numpy()
+            other = (held.column("low").to_numpy()[None] != label) | (held.column("high").to_numpy()[None] != label)
+            fit = other & (most >= low[:, None]) & (least <= high[:, None])
+            if first:
+                place = np.argsort(np.argsort(np.where(fit, -most, np.inf), axis=1), axis=1)
+                return fit & (place < FIRST_SHARDS)
+            for i, seen in enumerate(asked.column("seen").to_pylist()):
+                fit[i, np.isin(shard, seen)] = False
+            return fit
+        return pairs
 
     def search(rows: Segments, asked: pa.Table) -> pa.RecordBatch:
         own = Segments(asked)
         who, at, score = rows.scored(own, own.label[:, None] != rows.label[None], *ends(asked))
         ids = rows.id[at]
-        slots, lows, highs = (asked.column(c).to_pylist() for c in ("slots", "lows", "highs"))
-        out = {k: [] for k in _NEGATIVE}
-        for turn in range(max(map(len, slots))):         # the turn-th interval of every anchor
-            low, high = (np.array([v[turn] if turn < len(v) else none for v in side], np.int64)
-                         for side, none in ((lows, 1), (highs, 0)))
-            mine = np.flatnonzero((score >= low[who]) & (score <= high[who]) & (low <= high)[who])
+        spans = {c: asked.column(c).to_pylist() for c in ("slots", "lows", "lasts", "highs")}
+        out = {k: [np.zeros(0, np.int64)] for k in _NEGATIVE}
+        for turn in range(max(map(len, spans["slots"]))):  # the turn-th interval of every anchor
+            slot, low, last, high = (np.array([v[turn] if turn < len(v) else none for v in spans[c]], np.int64)
+                                     for c, none in (("slots", 0), ("lows", _ANY), ("lasts", NONE), ("highs", NONE)))
+            better = (score > low[who]) | (score == low[who]) & (ids < last[who])
+            mine = np.flatnonzero(better & (score <= high[who]))
             pick = mine[_first(who[mine], score[mine], ids[mine], n)]
-            out["row"].append(own.row[who[pick]])
-            out["slot"].append(np.array([s[turn] if turn < len(s) else 0 for s in slots], np.int32)[who[pick]])
-            out["other"].append(ids[pick])
-            out["score"].append(score[pick])
+            for k, v in (("row", own.row[who[pick]]), ("slot", slot[who[pick]]), ("other", ids[pick]), ("score", score[pick])):
+                out[k].append(v)
         return arrow(_NEGATIVE, {k: np.concatenate(v) for k, v in out.items()})
 
-    found = streamed(shards, routed(asked, bounds, may), Segments, search, "row long, slot int, other long, score long")
+    def asking(spans: DataFrame) -> DataFrame:
+        # as many intervals as positives
+        one = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("slot", "low", "last", "high"))).alias("v"))
+        return shards.join(one, "row").select(
+            "row", "id", "label", "dim", "vec", *[F.col(f"v.{c}").alias(f"{c}s") for c in ("slot", "low", "last", "high")])
+
+    schema = "row long, slot int, other long, score long"
+    begin = materialize(routed(asking(spans.withColumn("last", F.lit(int(_ANY)))), bounds, may(True)))
+    first = materialize(streamed(shards, begin, Segments, search, schema))
+    raised = (spans.join(_worst(first, ["row", "slot"], n).withColumnRenamed("low", "beat"), ["row", "slot"], "left")
+              .select("row", "slot", F.coalesce("beat", "low").alias("low"), F.coalesce("last", F.lit(int(_ANY))).alias("last"), "high"))
+    # a few for each group of summaries
+    seen = begin.groupBy("row").agg(F.collect_list("to").alias("seen"))
+    again = asking(raised).join(seen, "row", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<int>")))
+    second = streamed(shards, routed(materialize(again), bounds, may(False)), Segments, search, schema)
     by = Window.partitionBy("row", "slot").orderBy(F.col("score").desc(), "other")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
+    return first.unionByName(second).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= n)
 
 
 def mine(df: DataFrame, anchor_every: int = 50, n_positives: int = 5, n_negatives: int = 3, low: int = 50, high: int = 95,
@@ -200,12 +240,10 @@ def mine(df: DataFrame, anchor_every: int = 50, n_positives: int = 5, n_negative
     span = found.select("row", "slot", F.expr(f"-((-{int(low)} * positive_score) div 100)").alias("l0"),
                         F.expr(f"({int(high)} * positive_score) div 100").alias("h0"), "positive_score")
     # div cuts towards zero: bring both ends inside
-    span = span.select("row", "slot", F.expr(f"l0 + cast(l0 * 100 < {int(low)} * positive_score as int)").alias("lo"),
-                       F.expr(f"h0 - cast(h0 * 100 > {int(high)} * positive_score as int)").alias("hi")).where("lo <= hi")
-    spans = span.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("slot", "lo", "hi"))).alias("v"))  # n_positives at most
-    asked = materialize(shards.join(spans, "row").select(
-        "row", "id", "label", "dim", "vec", F.col("v.slot").alias("slots"), F.col("v.lo").alias("lows"), F.col("v.hi").alias("highs")))
-    held = negatives(shards, bounds, asked, n_negatives)
-    return (held.join(found, ["row", "slot"]).join(asked.select("row", F.col("id").alias("anchor_id")), "row")
+    span = span.select("row", "slot", F.expr(f"l0 + cast(l0 * 100 < {int(low)} * positive_score as int)").alias("low"),
+                       F.expr(f"h0 - cast(h0 * 100 > {int(high)} * positive_score as int)").alias("high")).where("low <= high")
+    held = negatives(shards, bounds, span, n_negatives)
+    anchors = shards.select("row", F.col("id").alias("anchor_id")).where(F.col("anchor_id") % anchor_every == 0)
+    return (held.join(found, ["row", "slot"]).join(anchors, "row")
             .select("anchor_id", "positive_id", "rank", F.col("other").alias("negative_id"), "positive_score",
                     F.col("score").alias("negative_score")))
