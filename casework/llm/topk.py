@@ -157,18 +157,28 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_
     def may(queries: pa.Table, x: np.ndarray, held: pa.Table, loads: np.ndarray) -> np.ndarray:
         low, high = np.split(loads.astype(np.int64), 2, axis=1)
         bound = products(np.maximum(x, 0), high) + products(np.minimum(x, 0), low)
-        away = queries.column("home").to_numpy()[:, None] != held.column("shard").to_numpy()[None]
-        return (bound >= queries.column("kth").to_numpy()[:, None]) & away
+        elsewhere = queries.column("home").to_numpy()[:, None] != held.column("shard").to_numpy()[None]
+        return (bound >= queries.column("kth").to_numpy()[:, None]) & elsewhere
+
+    def away(tree: Tree, asked: pa.Table) -> pa.RecordBatch:
+        found = _search(tree, asked, asked.column("kth").to_numpy(), k)
+        # a score equal to the kth needs a smaller id
+        rows = asked.column("row").to_numpy()
+        order = np.argsort(rows)
+        at = order[np.searchsorted(rows, found.column("row").to_numpy(), sorter=order)]
+        score, ids = found.column("score").to_numpy(), found.column("vec_id").to_numpy()
+        return found.filter(pa.array((score > asked.column("kth").to_numpy()[at]) | (ids < asked.column("last").to_numpy()[at])))
 
     first = materialize(at_home(shards, home, FOUND))
-    kth = (first.groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
-           .select("row", F.when(F.col("n") >= k, F.col("low")).alias("kth")))
+    order = Window.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
+    kth = (first.withColumn("i", F.row_number().over(order)).where(F.col("i") == k)
+           .select("row", F.col("score").alias("kth"), F.col("vec_id").alias("last")))
     queries = materialize(
         shards.where(F.col("id") % query_every == 0).join(kth, "row", "left")
-        .select("row", "id", "label", "dim", "vec", F.col("shard").alias("home"), F.coalesce("kth", F.lit(int(NONE))).alias("kth")))
+        .select("row", "id", "label", "dim", "vec", F.col("shard").alias("home"), F.coalesce("kth", F.lit(int(NONE))).alias("kth"),
+                F.coalesce("last", F.lit(-int(NONE) - 1)).alias("last")))
     boxes = materialize(summaries(shards, lambda x: np.concatenate([x.min(axis=0), x.max(axis=0)]), _join_boxes))
-    second = streamed(shards, routed(queries, boxes, may), _tree,
-                      lambda tree, asked: _search(tree, asked, asked.column("kth").to_numpy(), k), FOUND, query_rows)
+    second = streamed(shards, routed(queries, boxes, may), _tree, away, FOUND, query_rows)
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return (first.unionByName(second).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
