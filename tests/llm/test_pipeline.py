@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     want = con.sql(queries.ORACLE[name])
     got = queries.QUERIES[name](spark, SF).select(*want.columns)
