@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework.operators.quantile import exact_quantiles
+from casework.session import materialize
 
 
 def _q(c: str) -> Column:
@@ -28,9 +29,17 @@ def vocabulary(df: DataFrame, col: str) -> list[str]:
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): the distinct values of ``col`` as text, ranked from 0."""
+    """(value, code): the distinct values of ``col`` as text, ranked from 0.
+
+    A range exchange gives every partition a stretch of the sorted values; the
+    partitions' counts (one row each) give their first code."""
     vals = df.select(_q(col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
-    return vals.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    ranged = materialize(vals.repartitionByRange("value").withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy("value")) - 1
+    return ranged.withColumn("_i", within).join(F.broadcast(first), "_part").select(
+        "value", (F.col("_first") + F.col("_i")).cast("int").alias("code"))
 
 
 def label_encode(df: DataFrame, cols: list[str], suffix: str = "_code", vocab: dict | None = None,

@@ -22,6 +22,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from casework.functions.derive import risk_band
 from casework.operators import features as feat_ops
@@ -144,7 +145,7 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
     G = ratio * n_maj - n_min; each synthetic row interpolates towards one of
     the k nearest minority neighbours with a hash-driven lambda in [0, 1).
     Neighbour search is the exact grid-pruned ``knn``.  Output: synthetic rows
-    (id, feats..., label) with ids negative and unique."""
+    (id, feats..., label) with unique ids: negative ones, or ``id#i`` where ids are texts."""
     base = df.select(_q(id_col).alias("_id"), *[_q(f).cast("double").alias(f) for f in feats],
                      _q(label).alias("_y"))
     mino = base.where(F.col("_y") == F.lit(minority))
@@ -170,15 +171,18 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
                      *[F.col(f).alias("p_" + f) for f in feats])
     nn_min = materialize(knn(qs, pm, feats, k))
     reps = g.select("qid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("gi"))).alias("j"))
-    pick = F.pmod(sample.hash_bucket(F.col("qid") * 7919 + F.col("j"), seed), F.lit(k)) + 1
+    number = sample.key_number("qid") % sample.HASH_MOD
+    pick = F.pmod(sample.hash_bucket(number * 7919 + F.col("j"), seed), F.lit(k)) + 1
     reps = reps.withColumn("rank", pick.cast("int"))
-    lam = sample.hash_bucket(F.col("qid") * 104729 + F.col("j"), seed + 1) / F.lit(float(sample.HASH_MOD))
+    lam = sample.hash_bucket(number * 104729 + F.col("j"), seed + 1) / F.lit(float(sample.HASH_MOD))
     # ids below zero, one block of them for each source row
     block = g.select(F.max("gi") + 1).scalar()
     j = reps.withColumn("_block", block).join(nn_min.select("qid", "nid", "rank"), ["qid", "rank"]) \
             .join(mino.select(F.col("_id").alias("qid"), *[F.col(f).alias("x_" + f) for f in feats]), "qid") \
             .join(mino.select(F.col("_id").alias("nid"), *[F.col(f).alias("z_" + f) for f in feats]), "nid")
-    out = j.select((-(F.col("qid") * F.col("_block") + F.col("j"))).alias(id_col),
+    is_text = isinstance(df.schema[id_col].dataType, StringType)
+    new_id = F.concat_ws("#", "qid", "j") if is_text else -(F.col("qid") * F.col("_block") + F.col("j"))
+    out = j.select(new_id.alias(id_col),
                    *[(F.col("x_" + f) + lam * (F.col("z_" + f) - F.col("x_" + f))).alias(f) for f in feats],
                    F.lit(minority).alias(label))
     return out

@@ -1,7 +1,7 @@
 """Sampling and splitting.
 
 Everything is deterministic and repeatable in SQL: rows are ordered by an
-integer arithmetic hash of their key (no ``rand()``, no
+integer arithmetic hash of their key, a number or a text (no ``rand()``, no
 ``monotonically_increasing_id``), so retries and different partitionings give
 the same rows.
 
@@ -38,12 +38,19 @@ def hash_params(seed: int) -> tuple[int, int]:
     return a, b
 
 
+def key_number(key) -> Column:
+    """A whole number for a key: itself if it is one, else the first 52 bits of
+    its text's md5 (DuckDB has both).  NULL stays NULL."""
+    k = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(k.try_cast("long"), F.conv(F.substring(F.md5(k.cast("string")), 1, 13), 16, 10).cast("long"))
+
+
 def hash_bucket(key, seed: int = 0) -> Column:
     """Integer hash in [0, HASH_MOD): ((key mod P) * a_seed + b_seed) mod P.
-    Overflow-free for any bigint key; DuckDB computes the same value."""
-    k = F.col(key) if isinstance(key, str) else key
+    Overflow-free for any key, a number or a text such as the ids of
+    ``browse.with_row_id``; DuckDB computes the same value."""
     a, b = hash_params(seed)
-    return F.pmod(F.pmod(k.cast("long"), F.lit(HASH_MOD)) * F.lit(a) + F.lit(b), F.lit(HASH_MOD))
+    return F.pmod(F.pmod(key_number(key), F.lit(HASH_MOD)) * F.lit(a) + F.lit(b), F.lit(HASH_MOD))
 
 
 def hash_split(df: DataFrame, key: str, fractions=(0.6, 0.4), names=("train", "test"),
@@ -65,7 +72,7 @@ def _same(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
 
 
 def rank_select(df: DataFrame, strata: list[str], key: str, quotas: DataFrame,
-                seed: int = 0, out: str = "selected", quota_col: str = "quota") -> DataFrame:
+                seed: int = 0, out: str = "selected", quota_col: str = "quota", tie: str | None = None) -> DataFrame:
     """Mark the first ``quota`` rows of every stratum in (hash(key), key) order.
 
     ``quotas``: (strata..., quota).  Strata without a quota select nothing; a
@@ -88,7 +95,7 @@ def rank_select(df: DataFrame, strata: list[str], key: str, quotas: DataFrame,
     j = h.join(edge, _same(h, edge, strata), "left").select(*[h[f"`{c}`"] for c in h.columns], "_quota", "_at", "_start")
     clear = j.where("_at is null or _h != _at").withColumn(out, F.expr("_at is null or _h < _at"))
     tied = j.where("_h = _at")
-    wr = Window.partitionBy(*[_q(c) for c in strata], "_h").orderBy(_q(key))
+    wr = Window.partitionBy(*[_q(c) for c in strata], "_h").orderBy(_q(key), *([_q(tie)] if tie else []))
     tied = tied.withColumn(out, F.col("_start") + F.row_number().over(wr) <= F.col("_quota"))
     return clear.unionByName(tied).drop("_h", "_at", "_start", "_quota")
 
@@ -151,10 +158,10 @@ def balanced_bags(df: DataFrame, key: str, label: str, minority, bags: int = 3,
     ids = F.sequence(F.lit(1), F.lit(bags))
     maj = df.where(~(_q(label) == F.lit(minority))).withColumn("bag", F.explode(ids))
     # per-bag ordering: hash of (key, bag), so every bag draws its own rows
-    maj = maj.withColumn("_bk", _q(key).cast("long") * F.lit(BAG_STRIDE) + F.col("bag"))
+    maj = maj.withColumn("_bk", key_number(_q(key)) * F.lit(BAG_STRIDE) + F.col("bag"))
     q = spark.range(1, bags + 1).select(F.col("id").cast("int").alias("bag"),
                                         F.floor(n_min * F.lit(ratio)).cast("long").alias("quota"))
-    sel = rank_select(maj, ["bag"], "_bk", q, seed, "_sel").where(F.col("_sel")).drop("_sel", "_bk")
+    sel = rank_select(maj, ["bag"], "_bk", q, seed, "_sel", tie=key).where(F.col("_sel")).drop("_sel", "_bk")
     mins = df.where(_q(label) == F.lit(minority)).withColumn("bag", F.explode(ids))
     return sel.unionByName(mins)
 

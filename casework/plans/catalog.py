@@ -938,6 +938,72 @@ def label_encode_many(spark, sf_dir):
     return features.label_encode(o, ["customer"])
 
 
+def _orders_by_text(t: Tables) -> DataFrame:
+    """Orders under the text ids that the library gives rows."""
+    from casework.operators import browse
+    o = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return browse.with_row_id(o, _ROW_KEY).withColumn(
+        "label", F.when(F.col("o_orderpriority") == "1-URGENT", F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT)))
+
+
+def split_text_keys(spark, sf_dir):
+    """G1 + G2 on text keys: a hash split and a stratified split by row id."""
+    from casework.operators import sample
+    o = sample.hash_split(_orders_by_text(Tables(spark, sf_dir)), "row_id", (0.6, 0.4), seed=42, out="part")
+    return sample.stratified_split(o, "row_id", ["o_orderstatus"], 0.2, seed=7).select("o_orderkey", "part", "split")
+
+
+def samples_text_keys(spark, sf_dir):
+    """G3, G4 and G6 on text keys: how often each order is drawn by each."""
+    from casework.operators import sample
+    o = _orders_by_text(Tables(spark, sf_dir)).select("row_id", "o_orderkey", "label")
+    drawn = (sample.balanced_sample(o, "row_id", "label", clean.REJECT, 2.0, seed=5).select("o_orderkey", F.lit("sample").alias("way"))
+             .unionByName(sample.oversample(o, "row_id", "label", seed=9).select("o_orderkey", F.lit("copies").alias("way")))
+             .unionByName(sample.balanced_bags(o, "row_id", "label", clean.REJECT, bags=3, seed=100)
+                          .select("o_orderkey", F.concat(F.lit("bag"), F.col("bag")).alias("way"))))
+    return drawn.groupBy("o_orderkey", "way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _files(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+    from casework.session import scratch_dir
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def csv_round_trip(spark, sf_dir):
+    """The documents as a case file (texts with line breaks,
+    quotes and separators; strings quoted), written and read again."""
+    from casework.sources import cases as files
+    d = Tables(spark, sf_dir).documents
+    rows = d.select(F.col("doc_id").alias("case_id"), F.col("text").alias("extra_info"), F.col("lang").alias("purpose"),
+                    (F.col("n_chars") / 4).alias("aadt_total"), F.concat(F.lit('a;"b" '), F.col("source")).alias("policy_class"))
+    out = []
+    for quoted in (False, True):
+        path = _files(spark, "cases")
+        files.write_cases(rows, path, quote_strings=quoted)
+        out.append(files.read_cases(spark, path).select(
+            "case_id", F.lit(quoted).alias("quoted"), F.md5("extra_info").alias("text_md5"), "purpose", "aadt_total", "policy_class"))
+    return out[0].unionByName(out[1])
+
+
+def csv_bad_rows(spark, sf_dir):
+    """A1 + A3: customer lines with a cell too few (nation 3) or too many
+    (nation 5) are reported with their reason; the rest is read."""
+    from casework.sources import cases as files
+    c = Tables(spark, sf_dir).customer
+    cells = [F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")]
+    line = (F.when(F.col("c_nationkey") == 3, F.concat_ws(";", *cells[:2])).when(F.col("c_nationkey") == 5, F.concat_ws(";", *cells, F.lit('"x;y"')))
+            .otherwise(F.concat_ws(";", *cells)))
+    path = _files(spark, "lines")
+    c.select(line.alias("OBJ.VEGOBJEKT-ID; EGS.VEDTAK.10670 ;nation")).write.option("header", True).option(
+        "quote", "\u0000").option("sep", "\u0001").csv(path)
+    rows = files.scan(spark, path)
+    bad = files.bad_rows(rows).select(F.split("record", ";")[0].cast("long").alias("case_id"), "reason")
+    good = files.read_cases(spark, path).select("case_id", "decision", F.col("nation").cast("double").alias("nation"))
+    return good.join(bad, "case_id", "full").select("case_id", "decision", "nation", "reason")
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -959,6 +1025,7 @@ def _registry() -> dict:
         "annotated_counts", "reject_rate", "count_within_ref",
         "lookup_by_reference", "duplicate_annotations", "row_ids_repeated",
         "stratified_split_missing", "oversample_missing", "label_encode_many",
+        "split_text_keys", "samples_text_keys", "csv_round_trip", "csv_bad_rows",
     ]
     g = globals()
     return {n: g[n] for n in names}

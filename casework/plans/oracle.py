@@ -993,3 +993,49 @@ ORACLE["label_encode_many"] = """
 SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer,
        CAST(dense_rank() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) - 1 AS INTEGER) AS customer_code FROM orders
 """
+
+
+def _n(text: str) -> str:
+    """The number of a text key: the first 52 bits of its md5."""
+    return f"CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT)"
+
+
+_OT = f"""
+ot AS (SELECT *, {_n('row_id')} AS k FROM (
+  SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Avslag' ELSE 'Tillatelse' END AS label,
+         sha256({_key_sql(_ORDER_KEY)}) AS row_id FROM orders) x)"""
+
+ORACLE["split_text_keys"] = f"""
+WITH {_OT}
+SELECT o_orderkey, CASE WHEN {_u('k', 42)} < 0.6 THEN 'train' ELSE 'test' END AS part,
+       CASE WHEN row_number() OVER (PARTITION BY o_orderstatus ORDER BY {_h('k', 7)}, row_id)
+            <= floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.2 + 0.5) THEN 'test' ELSE 'train' END AS split FROM ot
+"""
+
+ORACLE["samples_text_keys"] = f"""
+WITH {_OT}, c AS (SELECT label, count(*) AS n FROM ot GROUP BY label),
+mi AS (SELECT count(*) AS n_min FROM ot WHERE label = 'Avslag'),
+s AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_h('k', 5)}, row_id) AS rs,
+             row_number() OVER (PARTITION BY label ORDER BY {_h('k', 9)}, row_id) AS ro FROM ot),
+bags AS (SELECT ot.*, b.bag, row_number() OVER (PARTITION BY b.bag, label ORDER BY {_h('(k * 1009 + b.bag)', 100)}, k * 1009 + b.bag, row_id) AS rb
+         FROM ot, (SELECT unnest(range(1, 4)) AS bag) b)
+SELECT o_orderkey, 'sample' AS way, CAST(1 AS BIGINT) AS n FROM s, mi WHERE label = 'Avslag' OR rs <= 2 * n_min
+UNION ALL
+SELECT o_orderkey, 'copies', CAST(mx // n + CASE WHEN ro <= mx % n THEN 1 ELSE 0 END AS BIGINT)
+FROM s JOIN c USING (label), (SELECT max(n) AS mx FROM c) z
+UNION ALL
+SELECT o_orderkey, 'bag' || bag, CAST(1 AS BIGINT) FROM bags, mi WHERE label = 'Avslag' OR rb <= n_min
+"""
+
+ORACLE["csv_round_trip"] = """
+SELECT doc_id AS case_id, q.quoted, md5(nullif(text, '')) AS text_md5, lang AS purpose, n_chars / 4.0 AS aadt_total,
+       'a;"b" ' || source AS policy_class
+FROM documents, (SELECT unnest([false, true]) AS quoted) q
+"""
+
+ORACLE["csv_bad_rows"] = """
+SELECT c_custkey AS case_id, CASE WHEN c_nationkey <> 5 THEN c_mktsegment END AS decision,
+       CASE WHEN c_nationkey NOT IN (3, 5) THEN CAST(c_nationkey AS DOUBLE) END AS nation,
+       CASE c_nationkey WHEN 3 THEN 'too few cells' WHEN 5 THEN 'too many cells' END AS reason
+FROM customer
+"""

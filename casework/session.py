@@ -79,6 +79,18 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
     return d
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for files between steps: ``spark.checkpoint.dir``.
+    Only a local session that names none (tests, benches) gets a scratch folder."""
+    d = checkpoint_dir(spark)
+    if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
+        import tempfile
+        d = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="casework-ckpt-"))
+    return d.rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint for iterative / multi-pass operators.
 
@@ -86,10 +98,5 @@ def materialize(df: DataFrame) -> DataFrame:
     session names none (local runs and tests) a scratch folder is set up,
     as the session contract allows; on a cluster the setting is always given.
     """
-    spark = df.sparkSession
-    if not checkpoint_dir(spark):
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder on a cluster")
-        import tempfile
-        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="casework-ckpt-"))
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -151,17 +151,59 @@ def failed_cells(df: DataFrame, schema: T.StructType = CASE_SCHEMA) -> DataFrame
     return counts.unpivot([], [n for n, *_ in typed], "column_name", "failed")
 
 
-def read_cases(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A1/A3: delimited scan with header; typed through ``conform``."""
-    raw = read_raw(spark, path, sep)
-    return conform(to_snake(raw))
+#: text of a row whose cells do not match the header
+BAD_RECORD = "_bad_record"
+# Reasons given for such rows.
+TOO_FEW, TOO_MANY, OPEN_QUOTE = "too few cells", "too many cells", "open quote"
+
+
+def _csv(spark: SparkSession, sep: str):
+    """Quotes are doubled inside quotes, which may also hold line breaks."""
+    return (spark.read.option("header", True).option("sep", sep).option("encoding", "UTF-8").option("multiLine", True)
+            .option("quote", '"').option("escape", '"').option("inferSchema", False))
+
+
+def scan(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """Every row as it is in the files: all columns as text (headers trimmed),
+    ``_bad_record`` (the row's text where its cells do not match the header,
+    else NULL) and ``_file``.  A quoted cell may hold line breaks, so a file is
+    read by one task: large tables come as many files."""
+    names = _csv(spark, sep).csv(path).columns
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in names], T.StructField(BAD_RECORD, T.StringType())])
+    rows = _csv(spark, sep).schema(schema).option("enforceSchema", True).option("columnPruning", False).option(
+        "mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD_RECORD).csv(path)
+    # Spark does not scan the record's text alone: it comes with the row's first cell
+    record = F.when(F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0, F.col(BAD_RECORD)).alias(BAD_RECORD)
+    return rows.select(*[F.col(f"`{c}`").alias(c.strip()) for c in names], record, F.col("_metadata.file_path").alias("_file"))
+
+
+def _reason(record: Column, n_cells: int, sep: str) -> Column:
+    """Why a row's cells do not match; NULL for a row that does."""
+    plain = F.regexp_replace(record, r'"([^"]|"")*"', "")
+    cells = F.length(plain) - F.length(F.replace(plain, F.lit(sep), F.lit(""))) + 1
+    return (F.when(record.isNull(), F.lit(None)).when(plain.contains('"'), F.lit(OPEN_QUOTE))
+            .when(cells < n_cells, F.lit(TOO_FEW)).when(cells > n_cells, F.lit(TOO_MANY)))
+
+
+def bad_rows(rows: DataFrame, sep: str = ";") -> DataFrame:
+    """(file, reason, record): the rows of ``scan`` whose cells do not match the header."""
+    n = len(rows.columns) - 2
+    return rows.withColumn("reason", _reason(F.col(BAD_RECORD), n, sep)).where("reason is not null").select(
+        F.col("_file").alias("file"), "reason", F.col(BAD_RECORD).alias("record"))
 
 
 def read_raw(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """A2/A4: every column as text; headers trimmed."""
-    df = (spark.read.option("header", True).option("sep", sep)
-          .option("inferSchema", False).option("encoding", "UTF-8").csv(path))
-    return clean_names(df)
+    """A2/A4: every column as text; headers trimmed.  A row with too few cells
+    has NULL in the others; one with too many cells or an open quote cannot be
+    told apart into columns and is left to ``bad_rows``, which lists all three."""
+    rows = scan(spark, path, sep)
+    reason = _reason(F.col(BAD_RECORD), len(rows.columns) - 2, sep)
+    return rows.where(reason.isNull() | (reason == TOO_FEW)).drop(BAD_RECORD, "_file")
+
+
+def read_cases(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """A1/A3: delimited scan with header; typed through ``conform``."""
+    return conform(to_snake(read_raw(spark, path, sep)))
 
 
 def export_names(df: DataFrame) -> DataFrame:
@@ -171,10 +213,26 @@ def export_names(df: DataFrame) -> DataFrame:
 
 def write_cases(df: DataFrame, path: str, sep: str = ";",
                 quote_strings: bool = False, source_names: bool = True) -> None:
-    """Delimited sink (`;` or `,`), optionally quoting every field."""
+    """Delimited sink.  Quotes inside quotes are doubled; white space stays.
+    With ``quote_strings`` all cells but numbers (and NULLs) are quoted, as are
+    the headers; every file has them."""
     out = export_names(df) if source_names else df
-    (out.write.mode("overwrite").option("header", True).option("sep", sep)
-     .option("quoteAll", quote_strings).csv(path))
+    if not quote_strings:
+        (out.write.mode("overwrite").option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+        return
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.coalesce(F.col(f"`{f.name}`").cast("string") if isinstance(f.dataType, T.NumericType) else quoted(F.col(f"`{f.name}`").cast("string")),
+                        F.lit("")) for f in out.schema.fields]
+    header = sep.join('"' + c.replace('"', '""') + '"' for c in out.columns)
+
+    def with_header(batches):
+        import pyarrow as pa
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    out.select(F.concat_ws(sep, *cells).alias("value")).mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
 
 
 def export_ordered(df: DataFrame, first: list[str]) -> DataFrame:

@@ -79,3 +79,10 @@ def test_more_than_fifteen_inputs(spark):
 def test_synthetic_ids_do_not_collide(spark):
     syn = models.adasyn(jobs.model_cases(spark, SF), "case_id", jobs.INPUTS, "y", 1.0, 5, 0.9, 1)
     assert syn.count() == syn.select("case_id").distinct().count()
+
+
+def test_adasyn_of_text_ids(spark):
+    rows = [(f"case-{i}", float(i % 7), float(i % 5), 1.0 if i % 9 == 0 else 0.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, a double, b double, y double")
+    out = models.adasyn(df, "id", ["a", "b"], "y", 1.0, 3, 0.5, 1).collect()
+    assert out and len({r.id for r in out}) == len(out) and all(r.id.startswith("case-") and "#" in r.id for r in out)

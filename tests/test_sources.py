@@ -123,3 +123,45 @@ def test_readme_quick_start(spark):
     assert [(r.accesses_500m, r.aadt_text) for r in cases.orderBy("case_id").collect()] == [(1, "1500")] * 3
     assert ct.count() == 4
     assert {r.case_id: r.example_id for r in ex.collect()} == {1: 3, 2: 3, 3: 2}
+
+
+ODD = [(1, "a\nb;c", 1.5), (2, 'said "no"; then left', 2.0), (3, None, None), (4, " kept \r\n blank ", 0.25)]
+
+
+def _frame():
+    import pandas as pd
+    return pd.DataFrame({"OBJ.VEGOBJEKT-ID": [r[0] for r in ODD], "EGS.TILLEGGSINFORMASJON.11566": [r[1] for r in ODD],
+                         "ÅDT, total": [r[2] for r in ODD]})
+
+
+def test_files_written_by_pandas_are_read(spark, tmp_path):
+    import csv
+    _frame().to_csv(tmp_path / "a.csv", sep=";", index=False)
+    _frame().to_csv(tmp_path / "b.csv", sep=";", index=False, quoting=csv.QUOTE_NONNUMERIC)
+    got = C.read_cases(spark, str(tmp_path)).select("case_id", "extra_info", "aadt_total").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == sorted(ODD + ODD, key=lambda r: r[0])
+
+
+def test_pandas_reads_what_is_written(spark, tmp_path):
+    import pandas as pd
+    df = spark.createDataFrame(ODD, "case_id long, extra_info string, aadt_total double").coalesce(1)
+    for quoted in (False, True):
+        path = tmp_path / str(quoted)
+        C.write_cases(df, str(path), quote_strings=quoted)
+        part = next(path.glob("part*"))
+        back = pd.read_csv(part, sep=";")
+        assert back.astype(object).where(back.notna(), None).values.tolist() == [list(r) for r in ODD]
+        line = part.read_text().splitlines()[0]
+        assert line == ('"OBJ.VEGOBJEKT-ID";"EGS.TILLEGGSINFORMASJON.11566";"ÅDT, total"' if quoted
+                        else "OBJ.VEGOBJEKT-ID;EGS.TILLEGGSINFORMASJON.11566;ÅDT, total")
+        assert sorted(map(tuple, C.read_cases(spark, str(path)).select("case_id", "extra_info", "aadt_total").collect())) == ODD
+
+
+def test_rows_that_do_not_match_the_header_are_reported(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('OBJ.VEGOBJEKT-ID;EGS.TILLEGGSINFORMASJON.11566;ÅDT, total\n7;short\n8;too;1,5;cells\n9;"fine;""x""";2\n10;"open;k\n')
+    rows = C.scan(spark, str(tmp_path))
+    bad = {(r.file.rsplit("/", 1)[-1], r.reason, r.record.split(";")[0]) for r in C.bad_rows(rows).collect()}
+    assert bad == {("c.csv", C.TOO_FEW, "7"), ("c.csv", C.TOO_MANY, "8"), ("c.csv", C.OPEN_QUOTE, "10")}
+    assert C.bad_rows(rows).count() == 3
+    got = C.read_cases(spark, str(tmp_path)).select("case_id", "extra_info", "aadt_total").collect()
+    assert {tuple(r) for r in got} == {(7, "short", None), (9, 'fine;"x"', 2.0)}
