@@ -8,14 +8,20 @@ These queries are checked rows-only plus invariants in tests/.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions import clean, text
-from casework.operators import evaluate, models, policy, sample, similar
-from casework.session import materialize
-from casework.sources.cases import append_run, export_ordered, write_thresholds
+from casework.operators import evaluate, models, policy, replies, sample, similar
+from casework.session import materialize, scratch_dir
+from casework.sources import registry
+from casework.sources.cases import THRESHOLD_SCHEMA, export_ordered
 from casework.sources.tables import Tables
+from casework.streaming.score_stream import score_stream
 
 INPUTS = ["price_k", "acctbal_k", "days_h", "nation"]
 
@@ -121,7 +127,7 @@ def _difficulty(spark, sf_dir, rounds=30):
     counts = fit.agg(F.count_if(F.col("difficult") == 0).alias("easy"), F.count_if(F.col("difficult") == 1).alias("hard"))
     ratio = counts.select(F.col("easy") / F.greatest("hard", F.lit(1))).scalar()
     over = sample.oversample(_difficulty_inputs(fit, reject), "case_id", "difficult", seed=1).drop("copy")
-    over = over.withColumn("weight", F.when(F.col("difficult") == 1, ratio).otherwise(F.lit(1.0)))
+    over = materialize(over.withColumn("weight", F.when(F.col("difficult") == 1, ratio).otherwise(F.lit(1.0))))
     m = models.gbt_pipeline(DIFFICULTY_INPUTS, "difficult", rounds=rounds, weight="weight").fit(over)
     val = _difficulty_inputs(inner.where(F.col("split") == "val").drop("split"), reject)
     val = models.score_difficulty(m, val, DIFFICULTY_INPUTS, 0.5)
@@ -150,10 +156,11 @@ def contributions(spark, sf_dir):
 
 
 def batch(spark, sf_dir):
-    """Score -> explain -> retrieve -> prompt -> (reply table) -> parse ->
-    difficulty -> one case table.  Replies come from a reply table; here the
-    stand-in answers follow the score (the remote model is not called).  The
-    guideline a prompt points at is the longest document."""
+    """Score -> explain -> retrieve -> prompt -> outbox, inbox -> parse ->
+    difficulty -> one case table.  The first round asks all prompts; replies
+    come to the inbox (here from the conversations); the second round asks only
+    what is open and stores what is settled.  The guideline a prompt points at
+    is the longest document."""
     df = model_cases(spark, sf_dir)
     guide = Tables(spark, sf_dir).documents.select(F.max_by("doc_id", F.struct("n_chars", "doc_id"))).scalar()
     m = models.forest_pipeline(INPUTS, "y", 20, 5, leaf=True).fit(df)
@@ -179,18 +186,53 @@ def batch(spark, sf_dir):
         "case_id", text.build_prompt("explanation", "case_text",
                                      F.coalesce("examples", F.array().cast("array<string>")),
                                      "guideline_id", "reject_examples").alias("prompt"))
-    replies = sc.select("case_id", F.when(F.col("p_reject") < 0.5,
-                                          F.lit('{"approve": true, "reason": "lav risiko"}'))
-                        .otherwise(F.lit('```json\n{"approve": false}\n```')).alias("reply"))
-    dec, reason = text.parse_reply_strict("reply")
-    out = (sc.select("case_id", "y", "p_reject", "percent", "band")
-           .join(pr, "case_id").join(replies.select("case_id", dec.alias("decision"),
-                                                    reason.alias("reason")), "case_id"))
+    pr = materialize(pr)
+    folder = f"{scratch_dir(spark)}/batch-{uuid.uuid4().hex}"
+    replies.run(pr, folder)
+    conversation_replies(pr, Tables(spark, sf_dir).conversations).write.mode("append").parquet(f"{folder}/inbox")
+    settled = replies.run(pr, folder)
+    out = (sc.select("case_id", "y", "p_reject", "percent", "band").join(pr, "case_id")
+           .join(settled.select("case_id", "status", "decision", "reason", "valid"), "case_id"))
     hard, _, thr, reject = _difficulty(spark, sf_dir, rounds=10)
     level = models.score_difficulty(hard, _difficulty_inputs(df, reject), DIFFICULTY_INPUTS, thr)
-    # decisions that are neither approved nor rejected do not count when the batch is evaluated
-    return (out.join(level.select("case_id", "p_difficult", "difficulty_pred"), "case_id")
-            .withColumn("valid", text.valid_prediction("decision")))
+    return out.join(level.select("case_id", "p_difficult", "difficulty_pred"), "case_id")
+
+
+def conversation_replies(prompts: DataFrame, conversations: DataFrame) -> DataFrame:
+    """Stand-in inbox: what the assistant says in a conversation answers the
+    prompt of the case whose number, in turn, is the conversation's.  Some
+    replies are JSON, some plain text, some transport errors; a prompt may have
+    several replies or none."""
+    n = conversations.select(F.greatest(F.max("conv_id") + 1, F.lit(1))).scalar()
+    keyed = prompts.select(F.pmod("case_id", n).alias("conv_id"), replies.prompt_key("prompt").alias("prompt_key"))
+    said = conversations.where("role = 'assistant' and conv_id % 11 != 0")
+    body = F.to_json(F.struct((F.length("text") % 2 == 0).alias("approve"), F.substring("text", 1, 40).alias("reason")))
+    failed = (F.col("conv_id") % 5 == 0) & (F.col("turn") == 1)
+    reply = F.when(~failed, F.when(F.col("conv_id") % 7 == 0, F.col("text")).otherwise(body))
+    return said.join(keyed, "conv_id").select(
+        "prompt_key", F.timestamp_seconds(F.lit(1704067200) + 60 * F.col("turn")).alias("received_at"), reply.alias("reply"),
+        F.when(failed, F.lit("timeout")).alias("error"))
+
+
+def reply_intake(spark, sf_dir):
+    """H14 intake: prompts of all customers (equal ones are asked once),
+    replies from the conversations, those after four minutes too late."""
+    import datetime
+    t = Tables(spark, sf_dir)
+    prompts = t.customer.select(F.col("c_custkey").alias("case_id"),
+                                text.format_case(t.customer.select("c_mktsegment", "c_nationkey")).alias("prompt"))
+    inbox = conversation_replies(prompts, t.conversations)
+    late = datetime.datetime(2024, 1, 1, 0, 4, tzinfo=datetime.timezone.utc)
+    return replies.settle(prompts, inbox, as_of=late).drop("prompt_key")
+
+
+def reply_outbox(spark, sf_dir):
+    """H14 outbox: the prompts that are still to be asked when those of the
+    building segment were asked before."""
+    t = Tables(spark, sf_dir)
+    prompts = t.customer.select("c_mktsegment", text.format_case(t.customer.select("c_mktsegment", "c_nationkey")).alias("prompt"))
+    asked = prompts.where("c_mktsegment = 'BUILDING'").select(replies.prompt_key("prompt").alias("prompt_key"))
+    return replies.open_prompts(prompts, asked)
 
 
 def batch_report(spark, sf_dir):
@@ -200,19 +242,28 @@ def batch_report(spark, sf_dir):
     return evaluate.class_report(b, "truth", "decision")
 
 
-def two_stage_job(spark, sf_dir, out_dir=None):
-    """Split, stage-1 reject forest + t1 on validation, stage-2 class
-    forest on the permit pool + per-class t2 on its own validation part, both
-    refitted on all training rows, policy on the test part.  Models, thresholds
-    and the run record go below ``out_dir`` (default: the checkpoint folder)."""
+@dataclass(frozen=True)
+class TwoStage:
+    """The two-stage policy's models, class names and threshold table."""
+
+    stage1: PipelineModel
+    stage2: PipelineModel
+    classes: list
+    thresholds: DataFrame
+
+
+def fit_two_stage(df: DataFrame) -> tuple[TwoStage, DataFrame]:
+    """H15's fit: stage-1 reject forest and its threshold on a validation part,
+    stage-2 class forest on the permit pool and per-class thresholds on its own
+    validation part, both refitted on all training rows.  Also the test part."""
     from casework.operators import features
-    df = model_cases(spark, sf_dir)
+    spark = df.sparkSession
     df = df.withColumn("stage1", F.when(F.col("y") == 1, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT)))
     df = df.withColumn("truth", F.when(F.col("y") == 1, F.lit(clean.REJECT)).otherwise(F.col("policy_class")))
-    sp = sample.stratified_split(df, "case_id", ["stage1"], 0.2, seed=1)
+    sp = materialize(sample.stratified_split(df, "case_id", ["stage1"], 0.2, seed=1))
     train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-    inner = sample.stratified_split(train.drop("split"), "case_id", ["stage1"], 0.2, seed=2,
-                                    names=("fit", "val"))
+    inner = materialize(sample.stratified_split(train.drop("split"), "case_id", ["stage1"], 0.2, seed=2,
+                                                names=("fit", "val")))
     fit1 = models.class_weights(inner.where(F.col("split") == "fit"), "y")
     m1v = models.preprocessed_forest(INPUTS, ["purpose"], "y", 20, 6, weight="weight").fit(fit1)
     v1 = models.score_reject(m1v, inner.where(F.col("split") == "val"))
@@ -223,7 +274,7 @@ def two_stage_job(spark, sf_dir, out_dir=None):
     pool = features.label_encode(pool, ["policy_class"], vocab={"policy_class": classes}) \
         .withColumn("cls", F.col("policy_class_code").cast("double"))
     pool = materialize(pool)
-    inner2 = sample.stratified_split(pool.drop("s"), "case_id", ["cls"], 0.2, seed=3, names=("fit", "val"))
+    inner2 = materialize(sample.stratified_split(pool.drop("s"), "case_id", ["cls"], 0.2, seed=3, names=("fit", "val")))
     m2v = models.preprocessed_forest(INPUTS, ["purpose"], "cls", 20, 5, weight="weight") \
         .fit(models.class_weights(inner2.where(F.col("split") == "fit"), "cls"))
     # thresholds come from the validation parts; the models that decide are refitted on all training rows
@@ -238,66 +289,92 @@ def two_stage_job(spark, sf_dir, out_dir=None):
     t2 = evaluate.precision_threshold(pv, "p2", "hit2", by="c2", target=0.7,
                                       classes=spark.createDataFrame([(c,) for c in classes], "class string"))
     th += [(2, r["class"], r["threshold"], 0.7) for r in t2.collect()]  # one row per class
-    from casework.sources.cases import THRESHOLD_SCHEMA
-    thr = spark.createDataFrame(th, THRESHOLD_SCHEMA)
-    s1 = models.score_reject(m1, test).withColumn(
+    return TwoStage(m1, m2, classes, spark.createDataFrame(th, THRESHOLD_SCHEMA)), test
+
+
+def decide_two_stage(cases: DataFrame, m: TwoStage) -> DataFrame:
+    """Cases with stage1_pred, stage1_p, stage2_class, stage2_p, auto_decision and decision_conf."""
+    s = models.score_reject(m.stage1, cases).withColumnRenamed("p_reject", "stage1_p").withColumn(
         "stage1_pred", F.when(F.col("prediction") == 1, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT)))
-    s2 = m2.transform(s1.drop("prediction", "purpose__idx", "purpose__vec"))
-    c2, q2 = evaluate.argmax_class(models.vector_to_array("probability"), classes)
-    s2 = s2.withColumn("stage2_class", c2).withColumn("stage2_p", q2)
-    dec = policy.two_stage_decide(s2, thr)
-    _store_artifacts(spark, m1, m2, thr, policy.policy_metrics(dec, "auto_decision", "truth"), out_dir)
+    s = m.stage2.transform(s.drop("prediction", "percent", "band", "purpose__idx", "purpose__vec"))
+    c2, q2 = evaluate.argmax_class(models.vector_to_array("probability"), m.classes)
+    s = s.withColumn("stage2_class", c2).withColumn("stage2_p", q2).drop(
+        "features", "rawPrediction", "probability", "prediction", "purpose__idx", "purpose__vec")
+    return policy.two_stage_decide(s, m.thresholds, p1="stage1_p")
+
+
+def two_stage_job(spark, sf_dir, out_dir=None):
+    """Split, fit both stages (``fit_two_stage``), policy on the test part.
+    Models (A11), thresholds (A9) and the run record (A10) are stored as one
+    run below ``out_dir`` (default: the checkpoint folder)."""
+    m, test = fit_two_stage(model_cases(spark, sf_dir))
+    dec = decide_two_stage(test, m)
+    numbers = policy.policy_metrics(dec, "auto_decision", "truth").first().asDict()  # one row
+    registry.save(spark, out_dir or f"{scratch_dir(spark)}/registry", "two_stage",
+                  {"stage1": m.stage1, "stage2": m.stage2}, {"thresholds": m.thresholds}, numbers | {"classes": m.classes})
     # Id, truth, decision, confidence, stage-1 output, then the features
-    return export_ordered(dec.select("case_id", "truth", "auto_decision", "decision_conf", "stage1_pred",
+    out = dec.withColumnRenamed("stage1_p", "p_reject")
+    return export_ordered(out.select("case_id", "truth", "auto_decision", "decision_conf", "stage1_pred",
                                      "p_reject", "stage2_class", "stage2_p", *INPUTS),
                           ["case_id", "truth", "auto_decision", "decision_conf", "stage1_pred"])
 
 
-def _store_artifacts(spark, m1, m2, thresholds, metrics, out_dir=None) -> str:
-    """H15 store step: models (A11), thresholds (A9) and a run record (A10)
-    in one run folder below ``out_dir``."""
-    import uuid
-    from casework.session import checkpoint_dir
-    if out_dir is None:
-        materialize(spark.range(1))  # ensures a checkpoint folder is named
-        out_dir = f"{checkpoint_dir(spark).rstrip('/')}/runs"
-    run = f"{out_dir.rstrip('/')}/two_stage-{uuid.uuid4().hex[:12]}"
-    m1.write().overwrite().save(f"{run}/stage1")
-    m2.write().overwrite().save(f"{run}/stage2")
-    write_thresholds(thresholds, f"{run}/thresholds")
-    rec = metrics.first().asDict()          # one row of policy numbers
-    append_run(spark, f"{run}/../log", run.rsplit("/", 1)[-1], rec)
-    return run
+@dataclass(frozen=True)
+class CaseModels:
+    """All that scoring a case needs: H5, H6 and H11 models with their thresholds."""
 
+    reject: PipelineModel
+    hard: PipelineModel
+    hard_reject: PipelineModel
+    hard_threshold: float
+    two_stage: TwoStage
+
+
+def fit_case_models(spark, sf_dir, root: str) -> registry.Run:
+    """Fit the models on the case table and store them as a run below ``root``."""
+    df = model_cases(spark, sf_dir)
+    reject = models.forest_pipeline(INPUTS, "y", 20, 5).fit(df)
+    hard, _, threshold, hard_reject = _difficulty(spark, sf_dir, rounds=10)
+    two, _ = fit_two_stage(df)
+    return registry.save(spark, root, "case_models",
+                         {"reject": reject, "hard": hard, "hard_reject": hard_reject, "stage1": two.stage1, "stage2": two.stage2},
+                         {"thresholds": two.thresholds}, {"hard_threshold": threshold, "classes": two.classes})
 
-def stream(spark, sf_dir):
-    """The scoring stream over the case files (runs to completion): reject
-    score, difficulty (H6), auto-approval (H9) and the two-stage decision (H11)
-    by the functions of the batch path."""
-    import uuid
-    from casework.session import checkpoint_dir
-    from casework.streaming.score_stream import score_stream
-    t = Tables(spark, sf_dir)
-    m = models.forest_pipeline(INPUTS, "y", 20, 5).fit(model_cases(spark, sf_dir))
-    materialize(spark.range(1))  # ensures a checkpoint folder exists
-    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    # the order files are the arriving cases; customers are a static table
-    # (stream-static join), so nothing is copied before scoring
-    customer = t.customer
-    hard, _, thr, reject = _difficulty(spark, sf_dir, rounds=10)
 
-    def extend(s):
-        s = models.score_difficulty(hard, _difficulty_inputs(s.drop("prediction"), reject, score=False), DIFFICULTY_INPUTS, thr)
-        kind = F.when(F.col("p_reject") < 0.5, F.lit("Varig tillatelse")).otherwise(F.lit(clean.REJECT))
-        s = s.withColumn("route", policy.auto_approve(kind, 1 - F.col("p_reject")))
-        first = F.when(F.col("p_reject") >= 0.5, F.lit(clean.REJECT)).otherwise(F.lit(clean.PERMIT))
-        return s.withColumn("stage1_pred", first).withColumn(
-            "auto_decision", F.when((first == clean.REJECT) & (F.col("p_reject") >= 0.7), F.lit(clean.REJECT))
-            .otherwise(F.lit(policy.MANUAL)))
+def stored_models(run: registry.Run) -> CaseModels:
+    """The models of a stored run."""
+    two = TwoStage(run.model("stage1"), run.model("stage2"), run.record["classes"], run.table("thresholds"))
+    return CaseModels(run.model("reject"), run.model("hard"), run.model("hard_reject"), run.record["hard_threshold"], two)
 
-    return score_stream(spark, sf_dir, t.orders.schema, m, f"{base}/out", f"{base}/ckpt",
-                        prepare=lambda s: cases_from(s, customer), keep=["case_id", "y"],
-                        file_filter="orders.parquet")
+
+def score_cases(cases: DataFrame, m: CaseModels) -> DataFrame:
+    """Scored cases: H5 (p_reject, percent, band), H6 (p_difficult,
+    difficulty_pred), H9 (route) and H11 (stage1_pred to decision_conf), row by
+    row.  The batch path, and what the stream does with each of its batches."""
+    s = models.score_difficulty(m.hard, _difficulty_inputs(cases, m.hard_reject), DIFFICULTY_INPUTS, m.hard_threshold)
+    s = decide_two_stage(s.drop("p_reject", "reject_bit", "price_per_nation", "log_price"), m.two_stage)
+    s = s.withColumn("route", policy.auto_approve("stage2_class", "stage2_p", favourable=("1-URGENT", "2-HIGH")))
+    return models.score_reject(m.reject, s).select(
+        "case_id", "y", "p_reject", "percent", "band", "p_difficult", "difficulty_pred", "route", "stage1_pred", "stage1_p",
+        "stage2_class", "stage2_p", "auto_decision", "decision_conf")
+
+
+def scored_cases(spark, sf_dir):
+    """All cases scored by the latest stored models."""
+    root = f"{scratch_dir(spark)}/registry-{uuid.uuid4().hex}"
+    fit_case_models(spark, sf_dir, root)
+    return score_cases(model_cases(spark, sf_dir), stored_models(registry.latest(spark, root, "case_models")))
+
+
+def stream(spark, sf_dir):
+    """The scoring stream over the order files, run until all that has
+    arrived is scored; the columns are those of ``scored_cases``, by the same
+    function and from stored models.  Customers are a static table."""
+    t = Tables(spark, sf_dir)
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    m = stored_models(fit_case_models(spark, sf_dir, f"{base}/registry"))
+    return score_stream(spark, sf_dir, t.orders.schema, f"{base}/out", f"{base}/ckpt",
+                        lambda batch: score_cases(cases_from(batch, t.customer), m), file_filter="orders.parquet").drop("batch_id")
 
 
 MODEL_QUERIES = {
@@ -305,4 +382,5 @@ MODEL_QUERIES = {
     "adasyn_rows": adasyn_rows, "weighted_forest": weighted_forest,
     "multiclass_forest": multiclass_forest, "difficulty_model": difficulty_model,
     "contributions": contributions, "served_rejects": served_rejects, "batch": batch, "batch_report": batch_report, "two_stage_job": two_stage_job, "stream": stream,
+    "scored_cases": scored_cases, "reply_intake": reply_intake, "reply_outbox": reply_outbox,
 }

@@ -1039,3 +1039,28 @@ SELECT c_custkey AS case_id, CASE WHEN c_nationkey <> 5 THEN c_mktsegment END AS
        CASE c_nationkey WHEN 3 THEN 'too few cells' WHEN 5 THEN 'too many cells' END AS reason
 FROM customer
 """
+
+_PROMPTS = """
+p AS (SELECT c_custkey AS case_id, c_mktsegment, 'c_mktsegment: ' || c_mktsegment || chr(10) || 'c_nationkey: ' || c_nationkey AS prompt
+      FROM customer)"""
+
+ORACLE["reply_intake"] = f"""
+WITH {_PROMPTS}, m AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+inbox AS (
+  SELECT sha256(prompt) AS k, turn, conv_id % 5 = 0 AND turn = 1 AS failed, conv_id % 7 = 0 AS plain, text
+  FROM conversations, m JOIN p ON p.case_id % m.n = conv_id WHERE role = 'assistant' AND conv_id % 11 <> 0 AND turn <= 4),
+ranked AS (
+  SELECT *, CASE WHEN failed THEN NULL WHEN plain THEN text
+                 ELSE '{{"approve":' || (len(text) % 2 = 0) || ',"reason":' || to_json(substr(text, 1, 40)) || '}}' END AS reply FROM inbox),
+best AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY failed, turn, reply) AS i FROM ranked)
+SELECT case_id, CASE WHEN k IS NULL THEN 'open' WHEN failed THEN 'failed' ELSE 'answered' END AS status,
+       CASE WHEN k IS NULL THEN NULL WHEN failed OR plain THEN 'Feil' WHEN len(text) % 2 = 0 THEN 'Godkjent' ELSE 'Avslag' END AS decision,
+       CASE WHEN k IS NULL THEN NULL WHEN failed THEN 'timeout' WHEN plain THEN 'Ugyldig svar' ELSE substr(text, 1, 40) END AS reason,
+       k IS NOT NULL AND NOT failed AND NOT plain AS valid
+FROM p LEFT JOIN best ON sha256(prompt) = k AND i = 1
+"""
+
+ORACLE["reply_outbox"] = f"""
+WITH {_PROMPTS}
+SELECT DISTINCT sha256(prompt) AS prompt_key, prompt FROM p WHERE c_mktsegment <> 'BUILDING'
+"""
