@@ -6,8 +6,9 @@
 * Tree contributions (H7) come from the model's own node table (the saved
   model is Parquet of nodes) and ``leafCol`` (the leaf each row reaches in each
   tree): per-leaf contributions are derived once per tree with
-  ``applyInPandas`` (one small group per tree), then rows join them on
-  (tree, leaf) and average - no per-row Python.
+  ``applyInPandas`` (one small group per tree).  Up to a checked size they go
+  to the workers, which add a batch's leaf vectors where the rows lie
+  (``forests.row_contributions``); beyond it rows join them on (tree, leaf).
 * Models are loaded once per job and applied with ``transform``.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import StringType
 
 from casework.functions.derive import risk_band
 from casework.operators import features as feat_ops
-from casework.operators import sample
+from casework.operators import forests, sample
 from casework.operators.similar import global_segment, knn
 from casework.session import checkpoint_dir, materialize
 
@@ -188,40 +189,59 @@ def adasyn(df: DataFrame, id_col: str, feats: list[str], label: str, minority=1,
     return out
 
 
+def reject_inputs(df: DataFrame, keep: list[str], numeric: list[str], classes: dict[str, list[str]] | None = None,
+                  derived: dict[str, Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """The raw inputs of the reject model and their names: numbers, derived
+    numbers (bends, hills, long vehicles: B21) and an indicator for every class
+    of the text columns.  Missing numbers count as 0, missing and unseen classes as none."""
+    classes, derived = classes or {}, derived or {}
+    number = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    cols = [number(_q(c)).alias(c) for c in numeric] + [number(e).alias(n) for n, e in derived.items()]
+    cols += [F.coalesce((_q(c).cast("string") == F.lit(x)).cast("double"), F.lit(0.0)).alias(f"{c}_{x}") for c, xs in classes.items() for x in xs]
+    names = [*numeric, *derived, *[f"{c}_{x}" for c, xs in classes.items() for x in xs]]
+    return df.select(*[_q(k) for k in keep], *cols), names
+
+
 def fit_reject_model(df: DataFrame, id_col: str, inputs: list[str], label: str,
                      screen_trees: int = 50, final_trees: int = 100, depth: int = 8, top: int = 10,
-                     test_frac: float = 0.4, seed: int = 43) -> dict:
-    """H1: split first, screen all 1-3-way interactions with a forest on
-    balanced bags of the training part (two majority rows for each minority
-    row), keep the top ``top`` by importance, oversample the minority with ADASYN
-    (ratio 0.5) and fit the final forest with balanced weights.
-    Returns {model, inputs, features, names, test, importances}; ``serve_reject``
-    scores raw cases with it."""
-    inter = feat_ops.interactions(df, inputs, 3, keep=[id_col, label])
-    names = [c for c in inter.columns if c not in (id_col, label)]
-    safe = {n: f"x{i}" for i, n in enumerate(names)}
-    inter = inter.select(id_col, label, *[F.col(f"`{n}`").alias(safe[n]) for n in names])
+                     test_frac: float = 0.4, seed: int = 43, class_cols: list[str] | None = None,
+                     derived: dict[str, Column] | None = None, bags: int = 5) -> dict:
+    """H1: split first; screen all 1-3-way interactions of the raw inputs (with
+    class indicators of ``class_cols`` and ``derived`` numbers) by a forest on
+    ``bags`` balanced bags of the training part (two majority rows for each
+    minority row); keep the top ``top`` by importance, add minority rows with
+    ADASYN (ratio 0.5) and fit the final forest on bags with as many majority as
+    minority rows.  Every bag is a learner call of its own (``forests.fit_bags``).
+    Returns {model, inputs, classes, derived, features, names, test,
+    importances, bags}; ``serve_reject`` scores raw cases with it."""
+    classes = {c: feat_ops.vocabulary(df, c) for c in class_cols or []}
+    raw, raw_names = reject_inputs(df, [id_col, label], inputs, classes, derived)
+    terms = [name for name, _ in feat_ops.interaction_names(raw_names, 3)]
+    inter = feat_ops.interactions(raw, raw_names, 3, keep=[id_col, label], as_array=True)
     split = materialize(sample.hash_split(inter, id_col, (1 - test_frac, test_frac), seed=seed))
     train = split.where(F.col("split") == "train").drop("split")
-    test = split.where(F.col("split") == "test").drop("split")
-    bags = sample.balanced_bags(train, id_col, label, 1.0, bags=5, ratio=2.0, seed=seed)
-    screen = forest_pipeline(list(safe.values()), label, screen_trees, depth, seed=seed).fit(bags.drop("bag"))
-    imp = importances(screen, list(safe.values()), top)
+    drawn = sample.balanced_bags(train, id_col, label, 1.0, bags=bags, ratio=2.0, seed=seed)
+    screen = forests.fit_bags(drawn, "interactions", label, bags, max(1, screen_trees // bags), depth, seed=seed)
+    safe = [f"x{i}" for i in range(len(terms))]
+    imp = importances(screen, safe, top)
     keep = [r["feature"] for r in imp.collect()]  # top-k names: bounded by ``top``
-    syn = adasyn(train.select(id_col, label, *keep), id_col, keep, label, 1.0, 5, 0.5, seed)
-    aug = train.select(id_col, label, *keep).unionByName(syn.select(id_col, label, *keep))
-    aug = class_weights(aug, label)
-    model = forest_pipeline(keep, label, final_trees, depth, weight="weight", seed=seed).fit(aug)
-    back = {v: k for k, v in safe.items()}
-    return {"model": model, "inputs": inputs, "features": keep, "names": [back[c] for c in keep],
-            "test": test, "importances": imp}
+    chosen = [F.col("interactions")[int(c[1:])].alias(c) for c in keep]
+    train, test = (split.where(F.col("split") == part).select(id_col, label, *chosen) for part in ("train", "test"))
+    small = materialize(train.select(id_col, label, *keep))
+    syn = adasyn(small, id_col, keep, label, 1.0, 5, 0.5, seed)
+    aug = small.unionByName(syn.select(id_col, label, *keep))
+    even = sample.balanced_bags(aug, id_col, label, 1.0, bags=bags, ratio=1.0, seed=seed + 1)
+    model = forests.fit_bags(even, keep, label, bags, max(1, final_trees // bags), depth, seed=seed)
+    back = dict(zip(safe, terms, strict=True))
+    return {"model": model, "inputs": inputs, "classes": classes, "derived": derived, "features": keep, "names": [back[c] for c in keep],
+            "test": test, "importances": imp, "bags": even}
 
 
 def serve_reject(fit: dict, cases: DataFrame, id_col: str) -> DataFrame:
-    """H5 for raw cases: the same interactions as in the fit, then probability,
-    percent and band.  Missing inputs count as 0."""
-    raw = cases.select(_q(id_col), *[F.coalesce(_q(c).cast("double"), F.lit(0.0)).alias(c) for c in fit["inputs"]])
-    inter = feat_ops.interactions(raw, fit["inputs"], 3, keep=[id_col])
+    """H5 for raw cases: the same inputs and interactions as in the fit, then
+    probability, percent and band."""
+    raw, names = reject_inputs(cases, [id_col], fit["inputs"], fit["classes"], fit["derived"])
+    inter = feat_ops.interactions(raw, names, 3, keep=[id_col])
     x = inter.select(_q(id_col), *[_q(n).alias(f) for f, n in zip(fit["features"], fit["names"], strict=True)])
     return score_reject(fit["model"], x).select(_q(id_col), "p_reject", "percent", "band")
 
@@ -291,13 +311,16 @@ def forest_contributions(model: PipelineModel, df: DataFrame, id_col: str,
     ``model`` must be a forest pipeline fitted with ``leaf=True``."""
     rf = model.stages[-1]
     n_trees = rf.getNumTrees
-    lc = leaf_contributions(_tree_table(rf))
-    scored = model.transform(df).select(_q(id_col).alias("_rid"), vector_to_array("leaf").alias("_leaves"))
-    ex = scored.select("_rid", F.posexplode("_leaves").alias("treeID", "leaf")) \
-               .select("_rid", F.col("treeID").cast("int"), F.col("leaf").cast("int"))
-    j = ex.join(lc, ["treeID", "leaf"])
+    lc = materialize(leaf_contributions(_tree_table(rf)))
+    scored = model.transform(df)
+    width = lc.agg(F.count_distinct("treeID", "leaf")).first()[0] * (len(features) + 1) * 9
+    if width <= forests.LEAF_TABLE_BYTES:
+        return forests.row_contributions(scored, lc, n_trees, features, id_col)
+    # a forest too large for every worker: rows meet its leaves in a join
+    ex = (scored.select(_q(id_col).alias("_rid"), F.posexplode(vector_to_array("leaf")).alias("treeID", "leaf"))
+          .select("_rid", F.col("treeID").cast("int"), F.col("leaf").cast("int")))
     names = F.array(*[F.lit(f) for f in features])
-    agg = j.groupBy("_rid", "feature").agg((F.sum("contribution") / F.lit(float(n_trees))).alias("contribution"))
+    agg = ex.join(lc, ["treeID", "leaf"]).groupBy("_rid", "feature").agg((F.sum("contribution") / F.lit(float(n_trees))).alias("contribution"))
     return agg.select(F.col("_rid").alias(id_col),
                       F.when(F.col("feature") < 0, F.lit("bias"))
                       .otherwise(F.element_at(names, F.col("feature") + 1)).alias("feature"),

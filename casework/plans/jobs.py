@@ -15,8 +15,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.functions import clean, text
-from casework.operators import evaluate, models, policy, replies, sample, similar
+from casework.functions import clean, derive, text
+from casework.operators import evaluate, forests, models, policy, replies, sample, similar
 from casework.session import materialize, scratch_dir
 from casework.sources import registry
 from casework.sources.cases import THRESHOLD_SCHEMA, export_ordered
@@ -48,8 +48,12 @@ def cases_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
 
 
 def _reject_fit(spark, sf_dir, trees=(20, 40)):
+    """The two-pass forest; the price and nation stand for traffic and its long
+    vehicles, the days for a gradient, the balance for a bend's radius."""
+    derived = {"long_day": derive.long_vehicles("price_k", "nation"), "hill": derive.gradient_indicator("days_h"),
+               "bend": derive.curve_sigmoid(F.col("acctbal_k") * 1000)}
     return models.fit_reject_model(model_cases(spark, sf_dir), "case_id", INPUTS, "y", screen_trees=trees[0],
-                                   final_trees=trees[1], depth=6, top=10)
+                                   final_trees=trees[1], depth=6, top=10, class_cols=["purpose"], derived=derived)
 
 
 def reject_model(spark, sf_dir):
@@ -80,13 +84,28 @@ def adasyn_rows(spark, sf_dir):
 
 
 def weighted_forest(spark, sf_dir):
-    """H2: weighted forest, hold-out predictions."""
-    df = models.class_weights(model_cases(spark, sf_dir), "y")
-    sp = sample.hash_split(df, "case_id", (0.8, 0.2), seed=5)
-    m = models.forest_pipeline(INPUTS, "y", 30, 6, weight="weight").fit(sp.where(F.col("split") == "train"))
+    """H2: forest with class weights of each bootstrap, hold-out predictions."""
+    sp = sample.hash_split(model_cases(spark, sf_dir), "case_id", (0.8, 0.2), seed=5)
+    drawn = forests.bootstrap_weights(sp.where(F.col("split") == "train"), "case_id", "y", 10, seed=5)
+    m = forests.fit_bags(drawn, INPUTS, "y", 10, depth=6, weight="weight")
     return models.score_reject(m, sp.where(F.col("split") == "test")).select("case_id", "y", "p_reject", "band")
 
 
+def bootstrap_weights(spark, sf_dir):
+    """H2: the draws and weights of the rows in four bootstraps."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", "o_orderpriority")
+    return forests.bootstrap_weights(o, "o_orderkey", "o_orderpriority", 4, seed=3).select(
+        "bag", "o_orderkey", "draws", F.round("weight", 9).alias("weight"))
+
+
+def bag_ratios(spark, sf_dir):
+    """H1 + G6: rows of either class in each bag that the trees of a balanced
+    forest see (half a majority row for each minority row), on the orders' labels."""
+    o = Tables(spark, sf_dir).orders.select("o_orderkey", (F.col("o_orderpriority") == "1-URGENT").cast("double").alias("y"))
+    return sample.balanced_bags(o, "o_orderkey", "y", 1.0, bags=6, ratio=0.5, seed=43).groupBy("bag").agg(
+        F.count_if(F.col("y") == 1).alias("minority"), F.count_if(F.col("y") == 0).alias("majority"), F.sum("o_orderkey").alias("key_sum"))
+
+
 def multiclass_forest(spark, sf_dir):
     """H3 + E5: plain multi-class forest on the priority class; arg-max class."""
     from casework.operators import features
@@ -382,5 +401,5 @@ MODEL_QUERIES = {
     "adasyn_rows": adasyn_rows, "weighted_forest": weighted_forest,
     "multiclass_forest": multiclass_forest, "difficulty_model": difficulty_model,
     "contributions": contributions, "served_rejects": served_rejects, "batch": batch, "batch_report": batch_report, "two_stage_job": two_stage_job, "stream": stream,
-    "scored_cases": scored_cases, "reply_intake": reply_intake, "reply_outbox": reply_outbox,
+    "bootstrap_weights": bootstrap_weights, "bag_ratios": bag_ratios, "scored_cases": scored_cases, "reply_intake": reply_intake, "reply_outbox": reply_outbox,
 }

@@ -4,6 +4,8 @@ Tables are the pre-registered views of the benchmark parquet files.  Column
 names equal the Spark outputs.
 """
 
+import math
+
 ORACLE = {}
 
 ORACLE["outcome_crosstab_pct"] = """
@@ -1064,3 +1066,32 @@ ORACLE["reply_outbox"] = f"""
 WITH {_PROMPTS}
 SELECT DISTINCT sha256(prompt) AS prompt_key, prompt FROM p WHERE c_mktsegment <> 'BUILDING'
 """
+
+
+def _poisson(u: str) -> str:
+    """The count of thresholds of Poisson(1) at or below ``u``."""
+    upto, out = 0.0, []
+    for k in range(12):
+        upto += math.exp(-1) / math.factorial(k)
+        out.append(f"CAST({u} >= {upto!r} AS INTEGER)")
+    return " + ".join(out)
+
+
+ORACLE["bootstrap_weights"] = f"""
+WITH u AS (SELECT bag, o_orderkey, o_orderpriority AS c, {_u('(o_orderkey % 1000003) * 1009 + bag', 3)} AS u
+           FROM orders, (SELECT unnest(range(1, 5)) AS bag) b WHERE o_orderpriority IS NOT NULL),
+d AS (SELECT *, {_poisson('u')} AS draws FROM u),
+n AS (SELECT bag, c, sum(draws) AS nc FROM d WHERE draws > 0 GROUP BY bag, c),
+t AS (SELECT bag, sum(nc) AS n, count(*) AS k FROM n GROUP BY bag)
+SELECT CAST(bag AS INTEGER) AS bag, o_orderkey, draws, round(draws * (n / (k * nc)), 9) AS weight
+FROM d JOIN n USING (bag, c) JOIN t USING (bag) WHERE draws > 0
+"""
+
+ORACLE["bag_ratios"] = f"""
+WITH o AS (SELECT o_orderkey, o_orderpriority = '1-URGENT' AS y FROM orders WHERE o_orderpriority IS NOT NULL),
+m AS (SELECT count(*) AS n FROM o WHERE y),
+r AS (SELECT bag, o_orderkey, y, row_number() OVER (PARTITION BY bag, y ORDER BY {_h('(o_orderkey * 1009 + bag)', 43)}, o_orderkey * 1009 + bag) AS i
+      FROM o, (SELECT unnest(range(1, 7)) AS bag) b)
+SELECT CAST(bag AS INTEGER) AS bag, CAST(count_if(y) AS BIGINT) AS minority, CAST(count_if(NOT y) AS BIGINT) AS majority, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
+FROM r, m WHERE y OR i <= floor(n * 0.5) GROUP BY bag
+"""
