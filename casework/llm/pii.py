@@ -15,6 +15,7 @@ get equal results; other columns are not touched.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import unicodedata
@@ -255,7 +256,10 @@ def at_and_dot(a: Aligned) -> bool:
                              if re.search(r"\s(?:dot|punkt|punto|point)\s", m.group(), re.I)])
 
 
-_HINTS = ("dot", "punkt", "punto", "point", "arroba", " @ ", " at ", "[", "{", "(at", "(@", "( at", "(.", "<at", "<@", "<.")
+# what every pattern above needs at least: a dot word, an opened box, an at between blanks
+_DOT_WORDS = ("dot", "punkt", "punto", "point", "arroba")
+_DOT_WORD = re.compile("|".join(_DOT_WORDS), re.I)
+_BOX_OR_AT = re.compile(r"[\[({<]\s{0,2}(?:at|@|\.)|\s(?:at|@)\s", re.I)
 
 
 def _may_hide(text: str) -> tuple[bool, bool, bool]:
@@ -263,7 +267,8 @@ def _may_hide(text: str) -> tuple[bool, bool, bool]:
     odd = not text.isascii() and _ODD.search(text) is not None
     low = text.lower()
     spelled = not SPELLED.keys().isdisjoint(re.split(r"\W+", low))
-    return odd, spelled, any(h in low for h in _HINTS)
+    at_dot = any(w in low for w in _DOT_WORDS) or _BOX_OR_AT.search(text) or (not text.isascii() and _DOT_WORD.search(text))
+    return odd, spelled, bool(at_dot)
 
 
 def added_spans(text: str, plain: list[Span]) -> list[Span]:
@@ -285,8 +290,11 @@ def added_spans(text: str, plain: list[Span]) -> list[Span]:
     out = []
     order = lambda s: (s[1], KINDS.index(s[0]), -s[2])
     for kind, i, j in sorted(found, key=order) + sorted(partly, key=order):
-        if not any(x < j and i < y for x, y in taken[kind]):
-            taken[kind].append((i, j))
+        # spans of a kind do not overlap: only the neighbours can
+        held = taken[kind]
+        at = bisect.bisect_left(held, (i, j))
+        if not (at and held[at - 1][1] > i) and not (at < len(held) and held[at][0] < j):
+            held.insert(at, (i, j))
             out.append((kind, i, j))
     return out
 

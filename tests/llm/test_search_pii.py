@@ -153,3 +153,28 @@ def test_plain_ones_stay(spark):
         spans = r.spans.split(",") if r.spans else []
         assert {f"{k}:{i}:{j}" for k, i, j in base} <= set(spans) and len(spans) == len(base) + r.n_added
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["john(  at)host.com", "john(\tat)host.com", "john_doe\tat\thost.com", "a.b <  @> c.org",
+                                  "john [ at ] host [\tdot ] com", "John_1 AT\nHost.Org"])
+def test_white_space_hides_no_disguise(text):
+    assert [k for k, *_ in pii.added_spans(text, pii.plain_spans(text))] == ["email"]
+
+
+def test_no_hint_means_no_find():
+    rng = random.Random(8)
+    parts = ["john", "a.b", "x_1", " at ", "\tat\t", "@", "(at)", "[ AT ]", "{ @ }", "<\t.\t>", " dot ", " punkt ", ".", "host", "com", " ", "org",
+             "12", "\n", "(", "one "]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(2, 9)))
+        a = pii.Aligned(text)
+        changed = pii.at_and_dot(a) and a.text != text
+        assert not changed or pii._may_hide(text)[2], text
+
+
+def test_many_finds_take_linear_time():
+    import time
+    text = " ".join(f"user_{i} at host{i} dot com" for i in range(8000))
+    begin = time.process_time()
+    assert len(pii.added_spans(text, pii.plain_spans(text))) == 8000
+    assert time.process_time() - begin < 2
