@@ -101,17 +101,19 @@ def mix(docs: DataFrame, weights: dict, budget: tuple[int, int] = (3, 4), max_ep
     """``docs``, each row once for each epoch it is taken in.
 
     ``epoch_col`` and ``domain_col`` name added columns (None: not added); a
-    column of ``docs`` with that name is replaced.
+    column of ``docs`` with that name is replaced, all others stay whatever
+    their names.
     """
     drop = {epoch_col, domain_col} - {None}
     keep = [c for c in docs.columns if c not in drop]
     source = F.coalesce(F.col(source_col).cast("string"), F.lit("(none)"))
-    tagged = (docs.withColumn("_source", source)
-              .withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("(none)")))
-              .withColumn("_domain", domain_of(F.col("_source")))
-              .withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    narrow = materialize(tagged.select(
-        *LEVELS, "_id", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n")))
+    # a document travels as one column, so its names cannot meet ours
+    tagged = (docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), source.alias("_source"),
+                          F.coalesce(F.col(lang_col).cast("string"), F.lit("(none)")).alias("_lang"),
+                          F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_id"),
+                          F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n"))
+              .withColumn("_domain", domain_of(F.col("_source"))))
+    narrow = materialize(tagged.select(*LEVELS, "_id", "n"))
     quota = budgets(narrow.groupBy(*LEVELS).agg(F.sum("n").alias("tokens")), weights, budget, max_epochs)
     # one row for each leaf; small, so Spark broadcasts it by its size
     quota = materialize(quota.where("give > 0").select(
@@ -144,4 +146,4 @@ def mix(docs: DataFrame, weights: dict, budget: tuple[int, int] = (3, 4), max_ep
     out = taken.where("_times > 0").withColumn("_epoch", F.explode(F.expr("sequence(0, cast(_times as int) - 1)")))
     extra = [F.col("_epoch").alias(epoch_col)] if epoch_col else []
     extra += [F.col("_domain").alias(domain_col)] if domain_col else []
-    return out.select(*[F.col(c) for c in keep], *extra)
+    return out.select(*[F.col("_doc").getField(c).alias(c) for c in keep], *extra)

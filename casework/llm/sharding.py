@@ -80,14 +80,19 @@ def shard_documents(docs: DataFrame, n_shards: int, id_col: str = "doc_id",
     keep = [c for c in docs.columns if c not in ("shard", "slot")]
     pos = shard_positions(docs, n_shards, id_col, text_col)
     key = [k for k in _KEY if k != "_null_id"]
-    rows = docs.select(*keep, *_keyed(docs, id_col, text_col)[1:])
-    match = [rows[k].eqNullSafe(pos[k]) for k in key]
-    single = rows.join(pos.where("n = 1"), match, "inner").select(*[rows[c] for c in keep], "shard", "slot")
-    # only rows that occur more than once need to be told apart
+    # a document travels as one column, so its names cannot meet ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_doc"), *_keyed(docs, id_col, text_col)[1:])
+    whole = lambda df: df.select(*[F.col("_doc").getField(c).alias(c) for c in keep], "shard", "slot")
+    same = lambda a, b, cols: [a[k].eqNullSafe(b[k]) for k in cols]
+    single = whole(rows.join(pos.where("n = 1"), same(rows, pos, key), "inner"))
+    # only rows that occur more than once need to be told apart: they are numbered
+    # within the partitions they lie in, after those of the partitions before
     again = pos.where("n > 1")
-    which = rows.join(again.select(*key).distinct(), [rows[k].eqNullSafe(again[k]) for k in key], "left_semi")
-    numbered = which.withColumn(
-        "copy", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))).cast("long") - 1)
-    repeated = (numbered.join(again, [numbered[k].eqNullSafe(again[k]) for k in [*key, "copy"]], "inner")
-                .select(*[numbered[c] for c in keep], "shard", "slot"))
-    return single.unionByName(repeated)
+    which = materialize(rows.join(again.select(*key).distinct(), same(rows, again, key), "left_semi")
+                        .withColumn("_part", F.spark_partition_id()))
+    first = (which.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_before", F.sum("_n").over(Window.partitionBy(*key).orderBy("_part")) - F.col("_n")).drop("_n"))
+    own = which.withColumn("_i", F.row_number().over(Window.partitionBy(*key, "_part").orderBy(F.lit(0))) - 1)
+    numbered = own.join(first, same(own, first, [*key, "_part"]), "inner").select(
+        "_doc", *[own[k] for k in key], (F.col("_before") + F.col("_i")).cast("long").alias("copy"))
+    return single.unionByName(whole(numbered.join(again, same(numbered, again, [*key, "copy"]), "inner")))

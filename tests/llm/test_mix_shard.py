@@ -110,3 +110,33 @@ def test_shards(spark, seed, n):
     whole = sharding.shard_documents(docs, n)
     assert whole.columns == ["doc_id", "text", "n", "n_chars", "shard", "slot"]
     assert Counter((r.doc_id, size(r.text), crc(r.text), r.shard, r.slot) for r in whole.collect()) == want
+
+
+def test_columns_keep_their_names_and_values(spark):
+    names = ["copy", "_id", "_size", "_crc", "_lang", "_key", "_full", "_source", "_domain", "_range", "_times", "n", "row", "start",
+             "_part", "_doc", "_i", "_before"]
+    rows = corpus(3, 30)
+    rows += [rows[0]] * 40  # many equal rows
+    df = spark.createDataFrame(rows, SCHEMA)
+    for k, name in enumerate(names):
+        df = df.withColumn(name, F.lit(77 + k))
+    df = df.repartition(5)
+    cut = sharding.shard_documents(df, 3)
+    assert cut.columns == [*df.columns, "shard", "slot"]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.slot, r.shard) for r in cut.collect())
+    assert len(got) == len(rows) == len({(r[4], r[3]) for r in got})
+    weights = {"default": {"domain": 1, "lang": 1, "source": 1}}
+    mixed = mixing.mix(df, weights, (1, 1), 1, epoch_col=None)
+    plain = mixing.mix(df.select(*df.columns[:5]), weights, (1, 1), 1, epoch_col=None)
+    for part in (cut, mixed):
+        kept = part.select(names).distinct().collect()
+        assert [tuple(r) for r in kept] == [tuple(range(77, 77 + len(names)))]
+    assert sorted(map(str, mixed.select(*df.columns[:5]).collect())) == sorted(map(str, plain.collect()))
+
+
+def test_copies_are_numbered_where_they_lie(spark):
+    df = spark.range(0, 2000, numPartitions=8).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text", "id as mark")
+    got = sharding.shard_documents(df, 4).collect()
+    assert sorted(r.mark for r in got) == list(range(2000))
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(500))
