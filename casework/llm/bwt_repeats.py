@@ -39,7 +39,9 @@ from casework.llm.recompress import _distinct, _is_shared
 LENGTH = 50
 GRAM = 16
 #: bytes of contexts sorted at once; one gram's contexts stay together
-SHARD_BYTES = 1 << 19
+SHARD_BYTES = 1 << 17
+#: texts are cut into runs in pieces of about so many bytes, which stay in a core's cache
+RUN_BYTES = 1 << 17
 #: a gram in more contexts is cut up: each string goes by its own name instead
 HOT_CONTEXTS = 30_000
 _HOT = 2
@@ -182,7 +184,7 @@ class _Block:
 
     def parts(self):
         """Pieces of the block: first row, first byte, bytes, runs."""
-        for i, j in pieces(self.offsets):
+        for i, j in pieces(self.offsets, RUN_BYTES):
             at = self.offsets[i]
             data = self.data[at:self.offsets[j]]
             yield i, at, data, runs(data, self.offsets[i:j + 1] - at, self.length, self.gram)
