@@ -17,7 +17,9 @@ from casework.sources.tables import table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality ranker accepts."""
+    """Documents that the quality ranker accepts.  Null and empty texts are
+    scored like any other, repeated rows alike, and null ids stay; without usable
+    labels see ``quality.train``; an empty table stays empty."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -32,7 +34,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the source weights; one taken in two epochs has two rows."""
+    """Documents by the source weights; one taken in two epochs has two rows.
+    Null languages and sources are leaves of their own, null and empty texts
+    weigh nothing, rows of one id are taken together, null ids count as the
+    empty id; columns of any name stay; an empty table stays empty."""
     return mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_BUDGET, queries.MIX_EPOCHS, epoch_col=None)
 
 
