@@ -1004,6 +1004,17 @@ def csv_bad_rows(spark, sf_dir):
     return good.join(bad, "case_id", "full").select("case_id", "decision", "nation", "reason")
 
 
+def argmax_class(spark, sf_dir):
+    """E5: the order status that most of a customer's orders have, with its share;
+    the shares by status stand for class probabilities, ties go to the first class."""
+    from casework.operators import evaluate
+    classes = ["F", "O", "P"]
+    o = Tables(spark, sf_dir).orders
+    n = o.groupBy("o_custkey").agg(*[F.count_if(F.col("o_orderstatus") == c).alias(c) for c in classes], F.count(F.lit(1)).alias("n"))
+    cls, conf = evaluate.argmax_class(F.array(*[F.col(c) / F.col("n") for c in classes]), classes)
+    return n.select("o_custkey", cls.alias("pred_class"), F.round(conf, 9).alias("confidence"))
+
+
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
@@ -1025,7 +1036,7 @@ def _registry() -> dict:
         "annotated_counts", "reject_rate", "count_within_ref",
         "lookup_by_reference", "duplicate_annotations", "row_ids_repeated",
         "stratified_split_missing", "oversample_missing", "label_encode_many",
-        "split_text_keys", "samples_text_keys", "csv_round_trip", "csv_bad_rows",
+        "split_text_keys", "samples_text_keys", "csv_round_trip", "csv_bad_rows", "argmax_class",
     ]
     g = globals()
     return {n: g[n] for n in names}

@@ -1095,3 +1095,10 @@ r AS (SELECT bag, o_orderkey, y, row_number() OVER (PARTITION BY bag, y ORDER BY
 SELECT CAST(bag AS INTEGER) AS bag, CAST(count_if(y) AS BIGINT) AS minority, CAST(count_if(NOT y) AS BIGINT) AS majority, CAST(sum(o_orderkey) AS BIGINT) AS key_sum
 FROM r, m WHERE y OR i <= floor(n * 0.5) GROUP BY bag
 """
+
+ORACLE["argmax_class"] = """
+WITH n AS (SELECT o_custkey, count_if(o_orderstatus = 'F') AS f, count_if(o_orderstatus = 'O') AS o,
+                  count_if(o_orderstatus = 'P') AS p, count(*) AS n FROM orders GROUP BY o_custkey)
+SELECT o_custkey, CASE WHEN f >= o AND f >= p THEN 'F' WHEN o >= p THEN 'O' ELSE 'P' END AS pred_class,
+       round(greatest(f, o, p) / n, 9) AS confidence FROM n
+"""
