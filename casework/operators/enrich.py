@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from casework.functions.derive import first_property, road_meter, road_part
 from casework.operators.quantile import prefix_sums
+from casework.session import materialize
 
 
 def _q(c: str) -> Column:
@@ -108,36 +109,86 @@ def count_within_ref(cases: DataFrame, points: DataFrame, ref_col: str = "road_r
         "_road", "_meter")
 
 
-# Length of road (m) in one join bin of an object's extent.
-EXTENT_BIN = 500.0
+# Elementary intervals in one block, as a power of two: an extent is kept as
+# nodes of at most so many levels and as whole blocks.
+_BLOCK_LEVEL = 8
+
+
+def _places(positions: DataFrame, ends: DataFrame) -> DataFrame:
+    """(_road, _pos, _unit) for distinct positions: the number of ends below
+    plus the number at or below.  Ends get odd numbers in their order along
+    the road, positions between two ends the even number between theirs."""
+    asked = positions.select("_road", "_pos", F.explode(F.array(F.lit(True), F.lit(False))).alias("_strict")) \
+                     .withColumn("_qid", F.struct("_road", "_pos", "_strict"))
+    below = prefix_sums(ends.withColumn("_n", F.lit(1.0)), asked, ["_road"], "_pos", ["_n"], "_qid", strict="_strict")
+    return below.groupBy(F.col("_qid._road").alias("_road"), F.col("_qid._pos").alias("_pos")).agg(
+        F.sum("_n").cast("long").alias("_unit"))
+
+
+def first_extent(extents: DataFrame, positions: DataFrame) -> DataFrame:
+    """(_road, _m, _best): the smallest ``_best`` of the ``extents`` (_road,
+    _from, _to, _best) that hold a position (_road, _m), both ends included;
+    positions outside all extents have no row.
+
+    The ends of a road cut it into elementary intervals, numbered in order
+    (``_places``), so that an extent is a range of numbers however long it is.
+    The range is taken apart into aligned nodes of 1, 2, 4, ... numbers, at
+    most two of a size; equal nodes meet in a ``min``, and nodes above a block
+    (256 numbers) go to their blocks after that, so one key never holds more
+    than a block.  An interval finds its first object in its nodes up to the
+    block; each is looked up once, for all positions in it."""
+    spans = (extents.where("_road is not null and _from <= _to and not isnan(_from) and not isnan(_to)")
+             .select("_road", F.col("_from").cast("double").alias("_from"), F.col("_to").cast("double").alias("_to"), "_best")
+             .groupBy("_road", "_from", "_to").agg(F.min("_best").alias("_best")))
+    ends = spans.select("_road", F.explode(F.array("_from", "_to")).alias("_pos")).distinct()
+    at = (positions.where("_road is not null and _m is not null and not isnan(_m)")
+          .select("_road", F.col("_m").cast("double").alias("_pos")).distinct())
+    units = materialize(_places(ends.unionByName(at).distinct(), ends))
+    ranges = (spans.join(units.select("_road", F.col("_pos").alias("_from"), F.col("_unit").alias("_a")), ["_road", "_from"])
+              .join(units.select("_road", F.col("_pos").alias("_to"), F.col("_unit").alias("_z")), ["_road", "_to"]))
+    # size 2^l: the range holds the nodes [lo, hi); the outer ones of odd rank have no larger parent in it
+    sized = (ranges.withColumn("_l", F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.expr("_z - _a + 1D"))).cast("int"))))
+             .withColumn("_lo", F.expr("shiftright(_a + shiftleft(1L, _l) - 1, _l)"))
+             .withColumn("_hi", F.expr("shiftright(_z + 1, _l)")).where("_lo < _hi"))
+    nodes = (sized.select("_road", "_l", "_best", F.explode(F.expr(
+        "filter(array(if(_lo % 2 = 1, _lo, null), if(_hi % 2 = 1, _hi - 1, null)), x -> x is not null)")).alias("_k"))
+        .groupBy("_road", "_l", "_k").agg(F.min("_best").alias("_best")))
+    up = F.expr(f"greatest(_l - {_BLOCK_LEVEL}, 0)")
+    held = (nodes.withColumn("_up", up)
+            .select("_road", F.least("_l", F.lit(_BLOCK_LEVEL)).alias("_l"), "_best", F.explode(F.expr(
+                "sequence(shiftleft(_k, _up), shiftleft(_k + 1, _up) - 1)")).alias("_k"))
+            .groupBy("_road", "_l", "_k").agg(F.min("_best").alias("_best")))
+    mine = at.join(units, ["_road", "_pos"])
+    firsts = (mine.select("_road", "_unit").distinct()
+              .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(_BLOCK_LEVEL)))).withColumn("_k", F.expr("shiftright(_unit, _l)"))
+              .join(held, ["_road", "_l", "_k"]).groupBy("_road", "_unit").agg(F.min("_best").alias("_best")))
+    return mine.join(firsts, ["_road", "_unit"]).select("_road", F.col("_pos").alias("_m"), "_best")
 
 
 def lookup_by_reference(cases: DataFrame, objects: DataFrame, object_type: int,
                         prop: str | dict[str, str], out: str | None = None, ref_col: str = "road_ref",
                         default: str = "") -> DataFrame:
     """C4 on a road-object snapshot: properties of the first object (by
-    ``ord``) of ``object_type`` at the case's reference - on the same road, and
+    ``ord``, then by value) of ``object_type`` at the case's reference - on the same road, and
     at the case's meter: there, or (``meter_to``) from before it to beyond it.
     A reference without a meter means the whole road.  None -> ``default``.
+    Objects without ``ord`` have no place in the order and are left out.
 
-    Extents are cut into bins, so that the join is on (road, bin); each
-    distinct (road, meter) is looked up once."""
+    Only the wanted properties travel.  Extents of any length go through
+    ``first_extent``; each distinct (road, meter) is looked up once."""
     wanted = prop if isinstance(prop, dict) else {out or prop: prop}
-    o = objects.where(F.col("object_type") == object_type)
+    o = objects.where((F.col("object_type") == object_type) & F.col("ord").isNotNull())
     has_end = "meter_to" in o.schema["references"].dataType.elementType.names
-    refs = o.select("ord", "properties", F.explode("references").alias("r")).select(
+    values = [first_property("properties", p, default).alias(f"_v{i}") for i, p in enumerate(wanted.values())]
+    refs = o.select("ord", *values, F.explode("references").alias("r")).select(
         F.col("r.road").alias("_road"), F.col("r.meter").alias("_from"),
-        (F.coalesce("r.meter_to", "r.meter") if has_end else F.col("r.meter")).alias("_to"), "ord", "properties")
+        (F.coalesce("r.meter_to", "r.meter") if has_end else F.col("r.meter")).alias("_to"),
+        F.struct("ord", *[f"_v{i}" for i in range(len(values))]).alias("_best"))
     at = cases.select(road_part(ref_col).alias("_road"), road_meter(ref_col).alias("_m")).distinct()
-    pick = F.min_by("properties", "ord").alias("_props")
-    bins = F.sequence(F.floor(F.col("_from") / EXTENT_BIN), F.floor(F.col("_to") / EXTENT_BIN))
-    spans = refs.where("_from <= _to").withColumn("_bin", F.explode(bins))
-    there = (at.where("_m is not null").withColumn("_bin", F.floor(F.col("_m") / EXTENT_BIN))
-             .join(spans, ["_road", "_bin"]).where("_m between _from and _to").groupBy("_road", "_m").agg(pick))
-    roads = (at.where("_m is null").join(refs.groupBy("_road").agg(pick), "_road").select("_road", "_m", "_props"))
-    found = there.unionByName(roads).select(
-        F.col("_road").alias("_r"), F.col("_m").alias("_rm"),
-        *[first_property("_props", p, default).alias(c) for c, p in wanted.items()])
+    there = first_extent(refs, at.where("_m is not null"))
+    roads = at.where("_m is null").join(refs.groupBy("_road").agg(F.min("_best").alias("_best")), "_road")
+    found = there.unionByName(roads.select("_road", "_m", "_best")).select(
+        F.col("_road").alias("_r"), F.col("_m").alias("_rm"), *[F.col(f"_best._v{i}").alias(c) for i, c in enumerate(wanted)])
     c = cases.withColumn("_road", road_part(ref_col)).withColumn("_m", road_meter(ref_col))
     j = c.join(found, (F.col("_road") == F.col("_r")) & F.col("_m").eqNullSafe(F.col("_rm")), "left")
     return j.drop("_road", "_m", "_r", "_rm").withColumns({x: F.coalesce(_q(x), F.lit(default)) for x in wanted})

@@ -96,6 +96,14 @@ def cardinality_gate(spark, sf_dir):
     return profile.cardinality_gate(li, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey"])
 
 
+def encode_gate(spark, sf_dir):
+    """D10, the decision alone, from mergeable sketches in one scan; l_quantity
+    has 50 values, the limit, and the line number, empty for 7, is a text."""
+    line = F.when(F.col("l_linenumber") % 7 == 0, "").otherwise(F.col("l_linenumber").cast("string"))
+    li = Tables(spark, sf_dir).lineitem.withColumn("line", line)
+    return profile.encode_gate(li, ["l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_quantity", "line"], 50)
+
+
 def corr_matrix(spark, sf_dir):
     """D11 over numerics, label-encoded low-cardinality text (G8) and a column without spread."""
     from casework.operators import features
@@ -915,6 +923,27 @@ def lookup_by_reference(spark, sf_dir):
     return enrich.lookup_by_reference(cases, objects, 540, {"priority": "Prioritet", "status": "Status"})
 
 
+def lookup_along_road(spark, sf_dir):
+    """C4 with extents of all lengths: each order is an object on the road of
+    its priority, from a meter given by its key, an extent of up to a million
+    meters by its total price; each line item is a case on the road of its line
+    number (6 and 7 have no objects), at a meter given by its price.  Overlaps are
+    the rule, and a case gets the order key of the first (smallest) object over it."""
+    from casework.operators import enrich
+    t = Tables(spark, sf_dir)
+    start = ((F.col("o_orderkey") * 7919) % 1_000_003).cast("double")
+    length = F.floor(F.col("o_totalprice") * F.when(F.col("o_orderkey") % 50 == 0, F.lit(2.0)).otherwise(F.lit(0.002)))
+    objects = t.orders.select(
+        F.lit(815).alias("object_type"), F.col("o_orderkey").alias("object_id"), F.col("o_orderkey").alias("ord"),
+        F.array(F.struct(F.lit("Key").alias("name"), F.col("o_orderkey").cast("string").alias("value"))).alias("properties"),
+        F.array(F.struct(F.concat(F.lit("R"), F.substring("o_orderpriority", 1, 1)).alias("road"), start.alias("meter"),
+                         (start + length).alias("meter_to"))).alias("references"))
+    meter = F.floor(F.col("l_extendedprice") * 10) % 1_000_003
+    road = F.concat(F.lit("R"), (F.col("l_linenumber") % 7).cast("string"))
+    cases = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(road, F.lit(" m"), meter.cast("string")).alias("road_ref"))
+    return enrich.lookup_by_reference(cases, objects, 815, "Key", "first_order")
+
+
 def stratified_split_missing(spark, sf_dir):
     """G2 with a stratum that is missing: its rows are split like any other."""
     from casework.operators import sample
@@ -1018,7 +1047,7 @@ def argmax_class(spark, sf_dir):
 def _registry() -> dict:
     names = [
         "outcome_crosstab_pct", "freq_by_outcome", "profile_numeric", "profile_mixed",
-        "profile_by_confusion", "confusion_subset_counts", "cardinality_gate", "corr_matrix",
+        "profile_by_confusion", "confusion_subset_counts", "cardinality_gate", "encode_gate", "corr_matrix",
         "top_mean_diff", "score_quantiles", "box_stats", "kde_grid", "histogram_density",
         "facet_options", "facet_bounds",
         "confusion", "class_report", "auto_approve", "high_conf_report", "class_ratio",
@@ -1034,7 +1063,7 @@ def _registry() -> dict:
         "case_text", "prompt", "parse_reply", "explanation_text", "application_type",
         "sparse_prune", "quality_report", "similar_embeddings",
         "annotated_counts", "reject_rate", "count_within_ref",
-        "lookup_by_reference", "duplicate_annotations", "row_ids_repeated",
+        "lookup_by_reference", "lookup_along_road", "duplicate_annotations", "row_ids_repeated",
         "stratified_split_missing", "oversample_missing", "label_encode_many",
         "split_text_keys", "samples_text_keys", "csv_round_trip", "csv_bad_rows", "argmax_class",
     ]

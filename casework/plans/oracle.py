@@ -118,6 +118,17 @@ SELECT column_name, count(DISTINCT value) AS n_distinct, count(DISTINCT value) <
 FROM long WHERE value IS NOT NULL GROUP BY column_name
 """
 
+ORACLE["encode_gate"] = """
+WITH long AS (
+  SELECT 'l_returnflag' AS column_name, CAST(l_returnflag AS VARCHAR) AS value FROM lineitem
+  UNION ALL SELECT 'l_linestatus', CAST(l_linestatus AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_suppkey', CAST(l_suppkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_partkey', CAST(l_partkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'l_quantity', CAST(l_quantity AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'line', CASE WHEN l_linenumber % 7 = 0 THEN '' ELSE CAST(l_linenumber AS VARCHAR) END FROM lineitem)
+SELECT column_name, count(DISTINCT value) <= 50 AS encode FROM long WHERE value IS NOT NULL GROUP BY column_name
+"""
+
 _CORR_COLS = _NUM + ["l_returnflag_code", "l_linestatus_code"]  # and "constant", without correlations
 
 
@@ -965,6 +976,17 @@ SELECT l_orderkey, l_linenumber, road_ref,
 FROM cp
 """
 
+ORACLE["lookup_along_road"] = """
+WITH obj AS (
+  SELECT o_orderkey, 'R' || substr(o_orderpriority, 1, 1) AS road, (o_orderkey * 7919) % 1000003 AS a,
+    (o_orderkey * 7919) % 1000003 + floor(o_totalprice * CASE WHEN o_orderkey % 50 = 0 THEN 2.0 ELSE 0.002 END) AS b FROM orders),
+pos AS (SELECT DISTINCT 'R' || (l_linenumber % 7) AS road, CAST(floor(l_extendedprice * 10) AS BIGINT) % 1000003 AS m FROM lineitem),
+best AS (SELECT pos.road, m, min(o_orderkey) AS k FROM pos JOIN obj ON pos.road = obj.road AND m BETWEEN a AND b GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, l_partkey, 'R' || (l_linenumber % 7) || ' m' || (CAST(floor(l_extendedprice * 10) AS BIGINT) % 1000003) AS road_ref,
+  coalesce(CAST(k AS VARCHAR), '') AS first_order
+FROM lineitem LEFT JOIN best ON best.road = 'R' || (l_linenumber % 7) AND best.m = CAST(floor(l_extendedprice * 10) AS BIGINT) % 1000003
+"""
+
 ORACLE["lookup_by_reference"] = """
 WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority AS pr, o_orderstatus AS st, (o_orderkey % 10) * 100 AS lo,
                   (o_orderkey % 10) * 100 + CASE WHEN o_orderkey % 3 = 0 THEN 400 ELSE 0 END AS hi FROM orders),
