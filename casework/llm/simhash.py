@@ -42,6 +42,8 @@ SEED = 42
 _DENSE = 512
 _RUN = 1 << 16
 _SALTS = 32
+#: fingerprints for each bucket of the exchange, about 600 bytes of entries each
+_BUCKET_NODES = 20_000
 U = np.uint64
 
 
@@ -164,8 +166,10 @@ def links(key: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int, depth
 
 def linked_fingerprints(nodes: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS,
                         fp_col: str = "fp") -> DataFrame:
-    """(a, b): edges that connect all fingerprints within ``distance`` bits, as a forest for each bucket range."""
-    n_buckets = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """(a, b): edges that connect all fingerprints within ``distance`` bits, as a
+    forest for each bucket range; the number of buckets grows with the ``nodes``,
+    which are counted first."""
+    n_buckets = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() // _BUCKET_NODES))
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -83,3 +83,12 @@ def test_links_of_dense_and_sparse_fingerprints(segments, distance):
             r = root[r]
         got.setdefault(r, set()).add(f)
     assert set(map(frozenset, got.values())) == set(components(fps.tolist(), distance).values())
+
+
+def test_a_star_with_very_many_links_is_dealt_into_parts(spark):
+    """A node of most links, chains and repeats: the same components."""
+    from casework.llm.graph import connected_components
+    star = [(500, i) for i in range(1000, 4500)] + [(i, i + 1) for i in range(5000, 5040)] + [(500, 1000), (7, 7), (4499, 3)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(star, "a long, b long")).collect()}
+    want = {i: 3 for i in [500, 3, *range(1000, 4500)]} | {i: 5000 for i in range(5000, 5041)}
+    assert got == want
