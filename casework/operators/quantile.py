@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.session import materialize
+
 #: buckets in one block of offsets
 _BLOCK = 1024
 
@@ -99,9 +101,10 @@ def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str
     """For each query row: sum of point weights with the same keys and
     ``point.pos <= query.pos`` (``< `` when the query's ``strict`` flag is true).
 
-    Points and queries are unioned and sorted by (keys, bucket, pos, tie); the totals of each non-empty bucket give the buckets' offsets, in two
-    levels (buckets within a block of ``_BLOCK``, then blocks), and a running
-    sum inside the bucket finishes the count.  Output: (qid, weights...).  No
+    Points and queries are unioned, exchanged once and sorted by (keys, bucket,
+    pos, tie); the running sums go to the checkpoint folder, and the last one of
+    each bucket gives the buckets' offsets, in two levels (buckets within a
+    block of ``_BLOCK``, then blocks), which finish the count.  Output: (qid, weights...).  No
     point pairs are materialised; callers pass one row for each distinct
     position, so ``bucket_width`` bounds the rows of a bucket.
     """
@@ -115,13 +118,20 @@ def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str
                         _q(qid).alias("_qid"),
                         (F.coalesce(_q(strict), F.lit(False)) if strict else F.lit(False))
                         .alias("_strict")).where(F.col("_pos").isNotNull()).withColumn("_b", bucket)
-    # buckets that hold points or queries, with the weight before each, in two levels:
-    # within blocks of buckets, then over the blocks of a key
+    # strict queries sort before points at the same position, others after
     zero = F.lit(0.0)
-    held = (p.groupBy(*keys, "_b").agg(*[F.sum(w).alias(w) for w in wcols])
-            .unionByName(qs.select(*keys, "_b", *[zero.alias(w) for w in wcols]).distinct())
-            .groupBy(*keys, "_b").agg(*[F.sum(w).alias(w) for w in wcols])
-            .withColumn("_k", F.floor(F.col("_b") / _BLOCK)))
+    none = F.lit(None).cast(queries.schema[qid].dataType)
+    u = (p.select(*keys, "_b", "_pos", none.alias("_qid"), F.lit(1).alias("_tie"), *wcols)
+         .unionByName(qs.select(*keys, "_b", "_pos", "_qid", F.when(F.col("_strict"), 0).otherwise(2).alias("_tie"),
+                                *[zero.alias(w) for w in wcols])))
+    order = Window.partitionBy(*keys, "_b").orderBy("_pos", "_tie")
+    run = order.rowsBetween(Window.unboundedPreceding, 0)
+    # points and queries are read, exchanged and sorted once; a bucket's last row holds its total
+    ran = materialize(u.select(*keys, "_b", "_qid", F.lead(F.lit(True)).over(order).isNull().alias("_last"),
+                               *[F.sum(w).over(run).alias("_r_" + w) for w in wcols])
+                      .where("_last or _qid is not null"))
+    # the weight before each bucket, in two levels: within blocks of buckets, then over the blocks of a key
+    held = (ran.where("_last").select(*keys, "_b", F.floor(F.col("_b") / _BLOCK).alias("_k"), *[F.col("_r_" + w).alias(w) for w in wcols]))
     inner = Window.partitionBy(*keys, "_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (held.groupBy(*keys, "_k").agg(*[F.sum(w).alias(w) for w in wcols])
@@ -129,12 +139,6 @@ def prefix_sums(points: DataFrame, queries: DataFrame, keys: list[str], pos: str
     offsets = (held.select(*keys, "_b", "_k", *[F.coalesce(F.sum(w).over(inner), zero).alias("_i_" + w) for w in wcols])
                .join(blocks, [*keys, "_k"])
                .select(*keys, "_b", *[(F.col("_i_" + w) + F.col("_o_" + w)).alias("_o_" + w) for w in wcols]))
-    # strict queries sort before points at the same position, others after
-    none = F.lit(None).cast(queries.schema[qid].dataType)
-    u = (p.select(*keys, "_b", "_pos", none.alias("_qid"), F.lit(1).alias("_tie"), *wcols)
-         .unionByName(qs.select(*keys, "_b", "_pos", "_qid", F.when(F.col("_strict"), 0).otherwise(2).alias("_tie"),
-                                *[zero.alias(w) for w in wcols])))
-    run = Window.partitionBy(*keys, "_b").orderBy("_pos", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    own = u.select(*keys, "_b", "_qid", *[F.sum(w).over(run).alias("_r_" + w) for w in wcols]).where(F.col("_qid").isNotNull())
+    own = ran.where("_qid is not null").drop("_last")
     return own.join(offsets, [*keys, "_b"]).select(
         F.col("_qid").alias(qid), *[(F.col("_o_" + w) + F.col("_r_" + w)).alias(w) for w in wcols])

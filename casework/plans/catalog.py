@@ -716,6 +716,14 @@ def similar_cases(spark, sf_dir):
     return out.withColumn("distance", F.round("distance", 6))
 
 
+def similar_cases_default(spark, sf_dir):
+    """C8 + E1 + F5 as `similar_cases`, with the library's own direct-scan limit."""
+    from casework.operators import similar
+    df = _sim_cases(Tables(spark, sf_dir))
+    out = similar.similar_cases(df, "case_id", "label", clean.APPROVE, "policy_class", "purpose", _SIM_FEATS, k=2)
+    return out.withColumn("distance", F.round("distance", 6))
+
+
 def reject_examples(spark, sf_dir):
     """The shared rejected examples (all rejects; self removed at use)."""
     from casework.operators import similar
@@ -853,6 +861,15 @@ EMB_DIM = 64
 def similar_embeddings(spark, sf_dir):
     """C8/E1 on vectors: the three nearest embeddings with the same label
     (exact grid-pruned search, grid forced by a low direct-scan limit)."""
+    return _nearest_embeddings(spark, sf_dir, max_brute=20)
+
+
+def similar_embeddings_default(spark, sf_dir):
+    """C8/E1 on vectors as `similar_embeddings`, with the library's own direct-scan limit."""
+    return _nearest_embeddings(spark, sf_dir)
+
+
+def _nearest_embeddings(spark, sf_dir, **limits):
     from casework.operators import similar
     e = Tables(spark, sf_dir).embeddings
     feats = [f"e{i}" for i in range(EMB_DIM)]
@@ -860,7 +877,7 @@ def similar_embeddings(spark, sf_dir):
     base = e.select("vec_id", F.col("label").cast("string").alias("seg"), *cols)
     q = base.select(F.col("vec_id").alias("qid"), "seg", *[F.col(f).alias("q_" + f) for f in feats])
     p = base.select(F.col("vec_id").alias("nid"), "seg", *[F.col(f).alias("p_" + f) for f in feats])
-    out = similar.knn(q, p, feats, 3, max_brute=20)
+    out = similar.knn(q, p, feats, 3, **limits)
     return out.select(F.col("qid").alias("vec_id"), F.col("nid").alias("neighbor_id"),
                       F.round("dist", 6).alias("distance"), F.col("rank").cast("int").alias("rank"))
 
@@ -1033,6 +1050,75 @@ def csv_bad_rows(spark, sf_dir):
     return good.join(bad, "case_id", "full").select("case_id", "decision", "nation", "reason")
 
 
+def object_snapshot(spark, sf_dir):
+    """A12 + C5: parts as road objects (JSON lines with one or two references,
+    some without a meter), written and read again; points of each road within
+    500 m of a supplier's place are counted."""
+    from casework.operators import enrich
+    from casework.sources import cases as files
+    t = Tables(spark, sf_dir)
+    road = F.concat(F.lit("B"), F.substring("p_brand", -1, 1))
+    meter = F.when(F.col("p_partkey") % 11 != 0, F.col("p_retailprice"))
+    first = F.struct(road.alias("road"), meter.alias("meter"))
+    second = F.struct(F.lit("B0").alias("road"), (F.col("p_size") * 20).cast("double").alias("meter"))
+    objects = t.part.select(
+        F.when(F.col("p_size") % 2 == 0, 46).otherwise(570).alias("object_type"), F.col("p_partkey").alias("object_id"),
+        F.col("p_partkey").alias("ord"), F.array(F.struct(F.lit("Klasse").alias("name"), F.col("p_type").alias("value"))).alias("properties"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array(first, second)).otherwise(F.array(first)).alias("references"))
+    path = _files(spark, "objects")
+    objects.write.json(path)
+    points = enrich.object_points(files.read_road_objects(spark, path), 46)
+    place = (F.col("s_suppkey") * 7 % 1500).cast("double")
+    sup = t.supplier.select("s_suppkey", F.concat(F.lit("B"), (F.col("s_suppkey") % 6).cast("string"), F.lit(" m"), place.cast("string")).alias("road_ref"))
+    return enrich.count_within_ref(sup, points, "road_ref", 500.0, out="n_objects").select("s_suppkey", "n_objects")
+
+
+def stat_sinks(spark, sf_dir):
+    """Value counts of two columns stored as partitioned statistic tables and read again."""
+    from casework.sources import cases as files
+    o = Tables(spark, sf_dir).orders
+    path = _files(spark, "stats")
+    for col in ("o_orderstatus", "o_orderpriority"):
+        counts = profile.value_counts(o, col).select(F.lit(col).alias("column_name"), F.col(col).alias("value"), "n")
+        files.write_stats(counts, path, f"counts_{col}", partition=["column_name"])
+    tables = [spark.read.parquet(f"{path}/counts_{c}") for c in ("o_orderstatus", "o_orderpriority")]
+    return tables[0].unionByName(tables[1]).select("stat_table", F.col("column_name").cast("string").alias("column_name"), "value", "n")
+
+
+def threshold_store(spark, sf_dir):
+    """The class thresholds of E7, stored and read again; a class without one keeps NULL."""
+    from casework.sources import cases as files
+    path = _files(spark, "thresholds")
+    files.write_thresholds(class_thresholds(spark, sf_dir).select(
+        F.lit(2).alias("stage"), "class", "threshold", F.lit(0.95).alias("target_precision")), path)
+    return files.read_thresholds(spark, path)
+
+
+def source_headers(spark, sf_dir):
+    """B2 + B3: line items under source headers with blanks around them, the
+    radius under its other header, counts and numbers as text; absent columns
+    come as NULL and a cell that is no number too."""
+    from casework.sources import cases as files
+    li = Tables(spark, sf_dir).lineitem
+    raw = li.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"),
+        F.col("l_orderkey").cast("string").alias(" OBJ.VEGOBJEKT-ID "),
+        F.when(F.col("l_linenumber") == 3, "n/a").otherwise(F.replace(F.col("l_extendedprice").cast("string"), F.lit("."), F.lit(","))).alias("ÅDT, total "),
+        F.concat(F.lit(" "), F.col("l_linenumber").cast("string"), F.lit(".0")).alias("Avkjørsler"),
+        F.col("l_quantity").cast("string").alias("\tKurvatur, horisontalelement"))
+    typed = files.conform(files.to_snake(files.clean_names(raw)))
+    return typed.select("key", "case_id", "aadt_total", "accesses", "curve_radius", "accidents", "municipality")
+
+
+def ordered_columns(spark, sf_dir):
+    """Customers with the columns named first in front, absent names passed
+    over; the names in their order stand in a column, for the compare sorts columns."""
+    from casework.sources import cases as files
+    c = Tables(spark, sf_dir).customer
+    out = files.export_ordered(c, ["c_mktsegment", "nowhere", "c_custkey", "c_mktsegment"])
+    return out.withColumn("order", F.lit(",".join(out.columns)))
+
+
 def argmax_class(spark, sf_dir):
     """E5: the order status that most of a customer's orders have, with its share;
     the shares by status stand for class probabilities, ties go to the first class."""
@@ -1066,6 +1152,8 @@ def _registry() -> dict:
         "lookup_by_reference", "lookup_along_road", "duplicate_annotations", "row_ids_repeated",
         "stratified_split_missing", "oversample_missing", "label_encode_many",
         "split_text_keys", "samples_text_keys", "csv_round_trip", "csv_bad_rows", "argmax_class",
+        "similar_cases_default", "similar_embeddings_default", "object_snapshot", "stat_sinks", "threshold_store",
+        "source_headers", "ordered_columns",
     ]
     g = globals()
     return {n: g[n] for n in names}

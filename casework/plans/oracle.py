@@ -1124,3 +1124,38 @@ WITH n AS (SELECT o_custkey, count_if(o_orderstatus = 'F') AS f, count_if(o_orde
 SELECT o_custkey, CASE WHEN f >= o AND f >= p THEN 'F' WHEN o >= p THEN 'O' ELSE 'P' END AS pred_class,
        round(greatest(f, o, p) / n, 9) AS confidence FROM n
 """
+
+ORACLE["similar_cases_default"] = ORACLE["similar_cases"]
+
+ORACLE["similar_embeddings_default"] = ORACLE["similar_embeddings"]
+
+ORACLE["object_snapshot"] = """
+WITH pts AS (
+  SELECT 'B' || right(p_brand, 1) AS road, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS meter FROM part WHERE p_size % 2 = 0
+  UNION ALL SELECT 'B0', CAST(p_size * 20 AS DOUBLE) FROM part WHERE p_size % 2 = 0 AND p_partkey % 3 = 0)
+SELECT s_suppkey, count(pts.meter) AS n_objects
+FROM supplier LEFT JOIN pts ON pts.road = 'B' || (s_suppkey % 6) AND abs(pts.meter - CAST(s_suppkey * 7 % 1500 AS DOUBLE)) <= 500.0
+GROUP BY s_suppkey
+"""
+
+ORACLE["stat_sinks"] = """
+SELECT 'counts_o_orderstatus' AS stat_table, 'o_orderstatus' AS column_name, o_orderstatus AS value, count(*) AS n
+FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'counts_o_orderpriority', 'o_orderpriority', o_orderpriority, count(*)
+FROM orders WHERE o_orderpriority IS NOT NULL GROUP BY ALL
+"""
+
+ORACLE["threshold_store"] = f"""
+SELECT CAST(2 AS INTEGER) AS stage, class, threshold, CAST(0.95 AS DOUBLE) AS target_precision FROM ({ORACLE["class_thresholds"]}) c
+"""
+
+ORACLE["source_headers"] = """
+SELECT l_orderkey || '-' || l_linenumber AS key, l_orderkey AS case_id,
+       CASE WHEN l_linenumber <> 3 THEN l_extendedprice END AS aadt_total, CAST(l_linenumber AS BIGINT) AS accesses,
+       l_quantity AS curve_radius, CAST(NULL AS BIGINT) AS accidents, CAST(NULL AS VARCHAR) AS municipality
+FROM lineitem
+"""
+
+ORACLE["ordered_columns"] = """
+SELECT *, 'c_mktsegment,c_custkey,c_name,c_nationkey,c_acctbal' AS "order" FROM customer
+"""
