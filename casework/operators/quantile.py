@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casework.session import materialize
+from casework.session import few_rows, materialize
 
 #: buckets in one block of offsets
 _BLOCK = 1024
@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, value: str, by: list[str] | None = None,
     # open brackets reach to the ends of the range
     lows = [F.lit(float("-inf")) if p - slack <= 0 else F.col("_cut")[2 * i] for i, p in enumerate(probs)]
     highs = [F.lit(float("inf")) if p + slack >= 1 else F.col("_cut")[2 * i + 1] for i, p in enumerate(probs)]
-    j = v.join(stats, by)  # stats: one row for each group; broadcast by its size
+    j = v.join(few_rows(stats), by)  # one row for each group; a group's rows stay where they are
     inside = reduce(lambda x, y: x | y, [(F.col("_v") >= a) & (F.col("_v") <= b) for a, b in zip(lows, highs, strict=True)])
     # grows with the value: the same place means the same brackets
     place = sum([(F.col("_v") >= a).cast("int") + (F.col("_v") > b).cast("int") for a, b in zip(lows, highs, strict=True)], F.lit(0))
