@@ -31,3 +31,15 @@ def test_rows_of_a_key_stay_where_they_are(unhinted, name):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join " in line]
     assert joins and "broadcast" in joins[0], plan   # the join that holds the rows
+
+
+def test_replies_are_parsed_before_they_meet_cases(spark):
+    from casework.operators import replies
+    prompts = spark.createDataFrame([(i, "same") for i in range(9)] + [(9, None), (10, "other")], "case_id long, prompt string")
+    inbox = prompts.where("case_id = 0").select(replies.prompt_key("prompt").alias("prompt_key"), F.current_timestamp().alias("received_at"),
+                                                F.lit('{"approve": true}').alias("reply"), F.lit(None).cast("string").alias("error"))
+    out = replies.settle(prompts, inbox)
+    assert {(r.status, r.decision, r.valid) for r in out.collect()} == {("answered", "Godkjent", True), ("open", None, False)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[:plan.index("Join ")]
+    assert "from_json" not in top and "json_tuple" not in top and "approve" not in top, top
