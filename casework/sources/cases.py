@@ -121,7 +121,8 @@ def _typed(name: str, src: T.DataType, to: T.DataType) -> Column:
         return parse_number(cell).cast(to)
     if isinstance(to, T.IntegralType):
         number = parse_number(cell)
-        return F.coalesce(strip(cell).try_cast(to), F.when(number == F.floor(number), number).try_cast(to))
+        whole = F.transform(F.array(number), lambda n: F.when(n == F.floor(n), n).try_cast(to))[0]   # parsed once
+        return F.coalesce(strip(cell).try_cast(to), whole)
     return cell.try_cast(to)
 
 

@@ -43,3 +43,13 @@ def test_replies_are_parsed_before_they_meet_cases(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     top = plan[:plan.index("Join ")]
     assert "from_json" not in top and "json_tuple" not in top and "approve" not in top, top
+
+
+def test_one_parse_of_a_number(spark):
+    """A number's text is read once for a count: before, seven times."""
+    from pyspark.sql import types as T
+    from casework.sources import cases
+    df = spark.createDataFrame([(" 12,0 ",), ("12.5",), ("nan",), ("7",), (None,), ("1e30",)], "accidents string")
+    out = cases.conform(df, T.StructType([T.StructField("accidents", T.IntegerType())]))
+    assert [r.accidents for r in out.collect()] == [12, None, None, 7, None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
