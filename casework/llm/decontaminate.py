@@ -6,9 +6,9 @@ subsequence).  Passages of ``stride`` words give document frequencies and a
 TF-IDF matrix; its leading right singular vectors come from a randomised range
 finder with one power step, each step a distributed pass that sums
 ``A' (A Q)`` (terms x rank, bounded by the benchmark).  The document frequencies
-count all passages; the singular vectors are fitted to the items and to about
-``basis_passages`` passages (the texts of smallest hash, each once), as they
-only span the space that candidates are looked for in.  Overlapping passages of
+count all passages, and the singular vectors are fitted to the items and all
+passages (``basis_passages``, if set, bounds them: the texts of smallest hash,
+each once).  Overlapping passages of
 twice that length, of every text, are folded into the latent space and compared
 with all items; every term counts, by its IDF.  A pair whose cosine reaches ``cosine``
 (less for an item shorter than a passage, whose other words lower it) is checked
@@ -58,7 +58,7 @@ class Settings:
     answer: float = 0.6
     min_words: int = 5
     part_items: int = 5_000
-    basis_passages: int = 200_000
+    basis_passages: int | None = None
     seed: int = 11
 
 
@@ -337,7 +337,6 @@ def document_frequencies(encoded: DataFrame, n_terms: int, stride: int) -> tuple
 
 
 _SLICE = 256
-_SAMPLE_TASKS = 16
 
 
 def gram_times(encoded: DataFrame, idf: np.ndarray, q: np.ndarray, stride: int) -> np.ndarray:
@@ -428,11 +427,11 @@ def _hits(docs: DataFrame, matcher: Matcher, s: Settings, id_col: str, text_col:
     if matcher.items:
         df, passages = document_frequencies(encoded, len(matcher.vocab), s.stride)
         matcher.set_idf(df, passages)
-        # the basis comes from texts with the smallest hashes, each once: about basis_passages passages
-        share = min(1.0, s.basis_passages / max(1, passages))
-        sample = materialize(encoded.where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63).select("h", "terms").dropDuplicates(["h"]))
-        # a bounded sample needs few tasks; each gives a matrix
-        matcher.set_basis(latent_basis(sample.coalesce(_SAMPLE_TASKS), matcher.idf, [x.words for x in matcher.items], s))
+        rows = encoded
+        if s.basis_passages is not None:
+            share = min(1.0, s.basis_passages / max(1, passages))
+            rows = materialize(encoded.where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63).select("h", "terms").dropDuplicates(["h"]))
+        matcher.set_basis(latent_basis(rows, matcher.idf, [x.words for x in matcher.items], s))
     ready = spark.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
