@@ -7,8 +7,8 @@ TF-IDF matrix; its leading right singular vectors come from a randomised range
 finder with one power step, each step a distributed pass that sums
 ``A' (A Q)`` (terms x rank, bounded by the benchmark).  The document frequencies
 count all passages, and the singular vectors are fitted to the items and all
-passages (``basis_passages``, if set, bounds them: the texts of smallest hash,
-each once).  Overlapping passages of
+passages, each text once (``basis_passages``, if set, bounds them: the texts of
+smallest hash).  Overlapping passages of
 twice that length, of every text, are folded into the latent space and compared
 with all items; every term counts, by its IDF.  A pair whose cosine reaches ``cosine``
 (less for an item shorter than a passage, whose other words lower it) is checked
@@ -427,10 +427,9 @@ def _hits(docs: DataFrame, matcher: Matcher, s: Settings, id_col: str, text_col:
     if matcher.items:
         df, passages = document_frequencies(encoded, len(matcher.vocab), s.stride)
         matcher.set_idf(df, passages)
-        rows = encoded
-        if s.basis_passages is not None:
-            share = min(1.0, s.basis_passages / max(1, passages))
-            rows = materialize(encoded.where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63).select("h", "terms").dropDuplicates(["h"]))
+        # the basis comes from every text, each once
+        share = 1.0 if s.basis_passages is None else min(1.0, s.basis_passages / max(1, passages))
+        rows = materialize(encoded.where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63).select("h", "terms").dropDuplicates(["h"]))
         matcher.set_basis(latent_basis(rows, matcher.idf, [x.words for x in matcher.items], s))
     ready = spark.sparkContext.broadcast(matcher)
 
