@@ -5,7 +5,9 @@ item has can neither raise a cosine with an item nor lengthen a common
 subsequence).  Passages of ``stride`` words give document frequencies and a
 TF-IDF matrix; its leading right singular vectors come from a randomised range
 finder with one power step, each step a distributed pass that sums
-``A' (A Q)`` (terms x rank, bounded by the benchmark).  The document frequencies
+``A' (A Q)`` (terms x rank, bounded by the benchmark).  A passage has few terms, so
+a task first sums the products of its pairs of terms, and multiplies by Q once
+(where the pairs of all terms are too many to hold, passage by passage).  The document frequencies
 count all passages, and the singular vectors are fitted to the items and all
 passages, each text once (``basis_passages``, if set, bounds them: the texts of
 smallest hash).  Overlapping passages of
@@ -46,6 +48,10 @@ U = np.uint64
 _ITEMS = 256
 #: a frequent word is in more than one of so many passages
 _FREQUENT = 16
+#: sums of all pairs of terms are held in a task up to so many bytes
+_PAIR_BYTES = 128 << 20
+#: encoded text for a task that sums passages: each sends a matrix of terms x rank
+_TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -339,29 +345,69 @@ def document_frequencies(encoded: DataFrame, n_terms: int, stride: int) -> tuple
 _SLICE = 256
 
 
+def add_pairs(sums: np.ndarray, passage: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+    """Add the products of the weights of all pairs of terms of each passage
+    (sorted by passage and term) to the lower triangle ``sums``, row by row;
+    the diagonal is halved, so that triangle + transpose is ``A' A``."""
+    weight = weight.astype(np.float64)
+    np.add.at(sums, term * (term + 1) // 2 + term, weight * weight / 2)
+    first = np.arange(len(term))
+    for k in range(1, len(term)):                        # the k-th next term of the same passage
+        first = first[first < len(term) - k]
+        first = first[passage[first] == passage[first + k]]
+        if not len(first):
+            break
+        high = term[first + k]
+        np.add.at(sums, high * (high + 1) // 2 + term[first], weight[first] * weight[first + k])
+
+
+def pairs_times(sums: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``A' (A q)`` from the sums of ``add_pairs``."""
+    n, out = len(q), np.zeros(q.shape)
+    for i in range(0, n, _SLICE):
+        j = min(n, i + _SLICE)
+        rows = np.zeros((j - i, j))
+        for r in range(i, j):
+            rows[r - i, :r + 1] = sums[r * (r + 1) // 2:(r + 1) * (r + 2) // 2]
+        out[i:j] += rows @ q[:j]
+        out[:j] += rows.T @ q[i:j]
+    return out
+
+
+def add_rows(out: np.ndarray, passage: np.ndarray, term: np.ndarray, weight: np.ndarray, q: np.ndarray, stride: int) -> None:
+    """Add ``A' (A q)`` of some passages to ``out``."""
+    first = groups(passage)
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(passage))))
+    turn, y = np.arange(len(row)) - first[row], np.zeros((len(first), q.shape[1]), np.float32)
+    for k in range(stride):                              # the k-th terms of all passages
+        mine = np.flatnonzero(turn == k)
+        y[row[mine]] += q[term[mine]] * weight[mine, None]
+    order = np.argsort(term, kind="stable")
+    at = groups(term[order])
+    out[term[order][at]] += np.add.reduceat(y[row[order]] * weight[order, None], at, axis=0)
+
+
 def gram_times(encoded: DataFrame, idf: np.ndarray, q: np.ndarray, stride: int) -> np.ndarray:
     """``A' (A q)`` over all passages: each task sums its rows into a matrix of
     terms x rank; slices of these matrices are added up, one task a slice."""
     sent = encoded.sparkSession.sparkContext.broadcast((idf, q.astype(np.float32)))
     n, width = q.shape
+    pairs = 4 * n * (n + 1) <= _PAIR_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, omega = sent.value
-        out = np.zeros((n, width))
+        out = np.zeros(n * (n + 1) // 2) if pairs else np.zeros((n, width))
         for b in batches:
             for _, terms, offsets in _texts(b.column(0)):
                 passage, term, weight = weigh(terms, offsets, weights, stride, 1)
                 if not len(term):
                     continue
-                first = groups(passage)
-                row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(passage))))
-                turn, y = np.arange(len(row)) - first[row], np.zeros((len(first), width), np.float32)
-                for k in range(stride):                  # the k-th terms of all passages
-                    mine = np.flatnonzero(turn == k)
-                    y[row[mine]] += omega[term[mine]] * weight[mine, None]
-                order = np.argsort(term, kind="stable")
-                at = groups(term[order])
-                out[term[order][at]] += np.add.reduceat(y[row[order]] * weight[order, None], at, axis=0)
+                if pairs:
+                    add_pairs(out, passage, term, weight)
+                else:
+                    add_rows(out, passage, term, weight, omega, stride)
+        if pairs:
+            out = pairs_times(out, omega)
         cuts = range(0, n, _SLICE)
         yield pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()),
                                           pa.array([out[i:i + _SLICE].astype(np.float32).tobytes() for i in cuts], pa.binary())], ["at", "m"])
@@ -430,7 +476,9 @@ def _hits(docs: DataFrame, matcher: Matcher, s: Settings, id_col: str, text_col:
         # the basis comes from every text, each once
         share = 1.0 if s.basis_passages is None else min(1.0, s.basis_passages / max(1, passages))
         rows = materialize(encoded.where(F.col("h").cast("double") <= share * 2.0**64 - 2.0**63).select("h", "terms").dropDuplicates(["h"]))
-        matcher.set_basis(latent_basis(rows, matcher.idf, [x.words for x in matcher.items], s))
+        # a task sends as much for few texts as for many, so each takes its share, however many parts the table has
+        tasks = max(spark.sparkContext.defaultParallelism, -(-4 * s.stride * passages // _TASK_BYTES))
+        matcher.set_basis(latent_basis(rows.coalesce(tasks), matcher.idf, [x.words for x in matcher.items], s))
     ready = spark.sparkContext.broadcast(matcher)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -92,3 +92,41 @@ def test_items_are_summed_some_at_a_time():
         np.add.at(rows[i], w, idf[w])
     rows /= np.linalg.norm(rows, axis=1, keepdims=True)
     assert np.allclose(dc.items_times(items, idf, q), rows.T @ (rows @ q), atol=1e-4)
+
+
+@pytest.mark.parametrize("pair_bytes", [dc._PAIR_BYTES, 0])
+def test_gram_of_all_passages(spark, monkeypatch, pair_bytes):
+    """Sums over pairs of terms, and over passages, equal the plain product."""
+    monkeypatch.setattr(dc, "_PAIR_BYTES", pair_bytes)
+    monkeypatch.setattr(dc, "_SLICE", 16)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(-1, 50, rng.integers(0, 90)).astype(np.int32) for _ in range(40)]
+    idf, q = rng.random(50).astype(np.float32) + 0.1, rng.standard_normal((50, 7))
+    rows = []
+    for t in texts:
+        for i in range(0, len(t), 16):
+            row = np.zeros(50)
+            np.add.at(row, t[i:i + 16][t[i:i + 16] >= 0], 1)
+            row *= idf
+            rows.append(row / max(np.linalg.norm(row), 1e-9))
+    rows = np.array(rows)
+    encoded = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "terms binary").repartition(3)
+    assert np.allclose(dc.gram_times(encoded, idf, q, 16), rows.T @ (rows @ q), atol=1e-4)
+
+
+def test_parts_of_a_table_do_not_multiply_the_sums(spark, monkeypatch):
+    """Each task sends a matrix of terms x rank: a small table in many parts has few such tasks."""
+    seen, fit = [], dc.latent_basis
+    monkeypatch.setattr(dc, "latent_basis", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or fit(rows, *a))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        item = "one two three four five six seven eight. nine ten"
+        docs = spark.createDataFrame([(i, f"w{i} {item} w{i}") for i in range(60)], "doc_id long, text string").repartition(40)
+        found = dc.hits(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+        assert found.count() == 60
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
