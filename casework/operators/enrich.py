@@ -2,15 +2,17 @@
 
 C4 keeps the first object per reference with a hash aggregate (``min_by`` on
 an explicit order) instead of a window, so a reference with many objects is
-reduced map-side.  C5 counts points within a radius along the same road with
-the sort-based ``prefix_sums``: count = S(<= m + r) - S(< m - r), computed once
-per distinct (road, meter) and joined back; no case x point pairs exist at
-any stage, so a dense road segment costs a sort, not a quadratic join.
+reduced map-side.  C5 counts points within a radius along the same road by
+running sums: count = S(<= m + r) - S(< m - r).  Points and cases of a road are
+exchanged together once and sorted; roads that may be too long for one task go
+through ``prefix_sums``, once per distinct (road, meter) and joined back.  No
+case x point pairs exist at any stage, so a dense road segment costs a sort,
+not a quadratic join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casework.functions.derive import first_property, road_meter, road_part
@@ -18,6 +20,12 @@ from casework.operators.quantile import prefix_sums
 from casework.session import materialize
 
 
+#: keys are counted together in so many groups, by hash
+_KEY_GROUPS = 1 << 14
+#: the keys of a group with up to so many rows are sorted in one task each
+_KEY_ROWS = 1 << 20
+
+
 def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
@@ -54,17 +62,39 @@ def _with_exact_bound(df: DataFrame, m: str, r: float, upper: bool, out: str) ->
     in floating point (upper: largest x, else smallest x).
 
     ``x - m`` rounds monotonically in x, so that set is an interval whose end
-    lies within a few ulps of ``m + r`` (``m - r``).  The candidates step by
-    half an ulp over that neighbourhood, and the test keeps the last one that
-    still passes, so the prefix-sum count equals a direct ``abs`` test.  The
-    start and the step are columns of their own, which keeps the generated
-    code small."""
-    t = F.col(m) + F.lit(r) if upper else F.col(m) - F.lit(r)
-    d = df.withColumn("_t", t).withColumn(
-        "_u", F.pow(F.lit(2.0), F.floor(F.log2(F.abs(F.col("_t")) + F.lit(1e-300))) - F.lit(53.0)))
-    cands = [F.col("_t") + F.lit(float(k)) * F.col("_u") for k in range(-8, 9)]
-    ok = [F.when(F.abs(c - F.col(m)) <= F.lit(r), c) for c in cands]
-    return d.withColumn(out, F.greatest(*ok) if upper else F.least(*ok)).drop("_t", "_u")
+    lies within a few ulps of ``m + r`` (``m - r``).  The candidates ``t + k u``
+    step by half an ulp over that neighbourhood, k = -8..8, and the last one that
+    still passes is found by halving, so the count of points up to it equals a
+    direct ``abs`` test.  Every step is a column of its own and none can be
+    null, which keeps the generated method short: one of more than 8000 bytes is
+    interpreted, and then takes tens of microseconds a row."""
+    x = F.coalesce(F.col(m), F.lit(float("nan")))
+    d = df.withColumn("_x", x).withColumn("_t", F.col("_x") + F.lit(r if upper else -r)).withColumn(
+        "_u", F.coalesce(F.pow(F.lit(2.0), F.floor(F.log2(F.abs(F.col("_t")) + F.lit(1e-300))) - F.lit(53.0)), F.lit(0.0)))
+    side = 1.0 if upper else -1.0
+
+    def inside(k):
+        return F.lit(side) * (F.col("_t") + k * F.col("_u") - F.col("_x")) <= F.lit(r)
+    d = d.withColumn("_k", F.lit(-8.0 * side))
+    for step in (8.0, 4.0, 2.0, 1.0, 1.0):
+        further = F.col("_k") + F.lit(step * side)
+        d = d.withColumn("_k", F.when(inside(further), further).otherwise(F.col("_k")))
+    end = F.col("_t") + F.col("_k") * F.col("_u")
+    return d.withColumn("_end", end).withColumn(out, F.when(F.abs(F.col("_end") - F.col("_x")) <= F.lit(r), F.col("_end"))).drop(
+        "_x", "_t", "_u", "_k", "_end")
+
+
+def _key_group(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_KEY_GROUPS)).cast("int")
+
+
+def _long_groups(*keys: DataFrame) -> list[int]:
+    """The groups of keys with more than ``_KEY_ROWS`` rows in one of the tables (each of one column)."""
+    found = set()
+    for k in keys:
+        n = k.where(_q(k.columns[0]).isNotNull()).groupBy(_key_group(_q(k.columns[0])).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        found |= {r.g for r in n.where(F.col("n") > _KEY_ROWS).collect()}  # at most _KEY_GROUPS numbers
+    return sorted(found)
 
 
 def count_within(cases: DataFrame, points: DataFrame, case_key: str, case_pos: str,
@@ -74,7 +104,53 @@ def count_within(cases: DataFrame, points: DataFrame, case_key: str, case_pos: s
     position x satisfies ``abs(x - pos) <= radius`` (inclusive, in floating
     point: the interval ends are found exactly, see ``_with_exact_bound``).  Cases with a
     missing key or position, or no points, get 0.  Points with a NULL position
-    never count.  The sort buckets default to radius / 8: a dense stretch of
+    never count.  Keys are counted first, in groups: those of groups with many rows
+    are spread over tasks by position (``_count_in_buckets``), all others are
+    sorted key by key (``_count_by_key``)."""
+    long = _long_groups(cases.select(_q(case_key)), points.select(_q(point_key)))
+    placed = _q(case_key).isNotNull() & _q(case_pos).isNotNull()
+    none = cases.where(~placed).withColumn(out, F.lit(0).cast("long"))
+    parts = [(cases.where(placed), points, _count_by_key)]
+    if long:
+        far, off = _key_group(_q(case_key)).isin(long), _key_group(_q(point_key)).isin(long)
+        parts = [(cases.where(placed & ~far), points.where(~off), _count_by_key),
+                 (cases.where(placed & far), points.where(off), _count_in_buckets)]
+    for mine, pts, count in parts:
+        none = none.unionByName(count(mine, pts, case_key, case_pos, point_key, point_pos, radius, out, bucket_width))
+    return none
+
+
+def _count_by_key(cases: DataFrame, points: DataFrame, case_key: str, case_pos: str, point_key: str, point_pos: str,
+                  radius: float, out: str, bucket_width: float | None) -> DataFrame:
+    """``count_within`` of keys whose rows fit one task: points and case rows
+    are exchanged by key once; there a case becomes its two bounds, the running
+    count of points is read at both, and they meet again at the case's position."""
+    row = F.struct(*[_q(c) for c in cases.columns])
+    c = cases.select(_q(case_key).alias("_key"), _q(case_pos).cast("double").alias("_m"), row.alias("_row"))
+    # before the exchange, apart from the rows' events: short generated methods
+    c = _with_exact_bound(c, "_m", radius, True, "_hi")
+    c = _with_exact_bound(c, "_m", radius, False, "_lo")
+    p = (points.select(_q(point_key).alias("_key"), _q(point_pos).cast("double").alias("_m"))
+         .where(F.col("_key").isNotNull() & F.col("_m").isNotNull()))
+    u = p.unionByName(c, allowMissingColumns=True).repartition("_key").withColumn("_point", F.col("_row").isNull())
+    # a bound below sorts before points at the same place, one above after them
+    def event(pos, tie, own):
+        return F.struct(pos.alias("_pos"), F.lit(tie).alias("_tie"), own.alias("_own"))
+    nothing = F.lit(None).cast(c.schema["_row"].dataType)
+    events = F.when(F.col("_point"), F.array(event(F.col("_m"), 1, nothing))).otherwise(
+        F.array(event(F.col("_lo"), 0, nothing), event(F.col("_hi"), 2, F.col("_row"))))
+    e = u.select("_key", "_m", F.explode(events).alias("_e")).select("_key", "_m", "_e.*")
+    upto = Window.partitionBy("_key").orderBy("_pos", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumn("_n", F.count_if(F.col("_tie") == 1).over(upto)).where("_tie <> 1")
+    at = Window.partitionBy("_key", "_m").orderBy("_tie").rowsBetween(Window.unboundedPreceding, 0)
+    # no bounds: no point is within the radius, as of a position that is no number
+    n = F.when(F.col("_pos").isNull(), 0).otherwise(F.col("_n") - F.first("_n").over(at)).cast("long")
+    return e.select("_tie", F.col("_own").alias("_row"), n.alias("_within")).where("_tie = 2").select("_row.*", F.col("_within").alias(out))
+
+
+def _count_in_buckets(cases: DataFrame, points: DataFrame, case_key: str, case_pos: str, point_key: str, point_pos: str,
+                      radius: float, out: str, bucket_width: float | None) -> DataFrame:
+    """``count_within`` of keys of any length.  The sort buckets default to radius / 8: a dense stretch of
     one road is spread over more window partitions, while the per-bucket
     offset table stays small (one row per non-empty bucket)."""
     bw = bucket_width or radius / 8.0

@@ -1,7 +1,9 @@
 """Hot-key fixtures: one key holds a third or more of all rows.  Results must
 stay exact and whole (nothing dropped or sampled)."""
 
+import math
 import random
+import re
 
 import pytest
 
@@ -23,6 +25,47 @@ def test_count_within_hot_road(spark):
         assert got[cid] == sum(1 for r, x in pts if r == road and abs(x - m) <= 250), cid
 
 
+@pytest.mark.parametrize("key_rows", [enrich._KEY_ROWS, 200, 0])
+def test_count_within_of_short_and_long_roads(spark, monkeypatch, key_rows):
+    """Short roads are sorted in one exchange, long ones in buckets; the counts are those of all pairs."""
+    monkeypatch.setattr(enrich, "_KEY_ROWS", key_rows)
+    rnd = random.Random(6)
+    road = lambda: rnd.choice(["HOT", "HOT", *[f"R{i}" for i in range(30)], None])
+    place = lambda: rnd.choice([None, float("nan"), float("inf"), -0.0, 0.0, *[round(rnd.uniform(-900, 900), 1) for _ in range(40)]])
+    pts = [("HOT", round(rnd.uniform(0, 900), 1)) for _ in range(300)] + [
+        (r, x) for r, x in ((road(), place()) for _ in range(900)) if x is None or x == x]
+    cases = [(i // 2, road(), place()) for i in range(400)] + [(7, "HOT", 100.0)] * 3
+    p = spark.createDataFrame(pts, "road string, m double")
+    c = spark.createDataFrame(cases, "id long, road string, m double").withColumn("map", F.create_map("id", "road"))
+    got = enrich.count_within(c, p, "road", "m", "road", "m", 250.0)
+    assert got.columns == ["id", "road", "m", "map", "n_within"] and dict(got.dtypes)["n_within"] == "bigint"
+    if key_rows > 1000:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") - plan.count("Subquery") <= 2  # printed in the initial plan only
+    want = [(i, r, str(x), sum(1 for q, y in pts if q is not None and q == r and x is not None and y is not None and abs(y - x) <= 250))
+            for i, r, x in cases]
+    assert sorted(((r.id, r.road, str(r.m), r.n_within) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_bounds_are_exact_and_compiled(spark, upper):
+    """The outermost of all candidates, by methods short enough for the compiler."""
+    rnd = random.Random(7)
+    xs = [None, float("nan"), float("inf"), float("-inf"), 0.0, 1e20, -499.99, 1e-9, *[round(rnd.uniform(-1e5, 1e5), 2) for _ in range(300)]]
+    df = spark.createDataFrame([(x,) for x in xs], "m double")
+    got = enrich._with_exact_bound(df, "m", 500.1, upper, "b")
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(got._jdf.queryExecution(), "codegen")
+    assert max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 2500
+    for row in got.collect():
+        m, best = row.m, None
+        if m is not None and math.isfinite(m):
+            t = m + 500.1 if upper else m - 500.1
+            u = 2.0 ** (math.floor(math.log2(abs(t) + 1e-300)) - 53)
+            ok = [c for c in (t + k * u for k in range(-8, 9)) if abs(c - m) <= 500.1]
+            best = (max(ok) if upper else min(ok)) if ok else None
+        assert row.b == best, m
+
+
 def test_quantiles_hot_group_and_value(spark):
     data = [("hot", 1.0)] * 2000 + [("hot", float(i)) for i in range(1000)] + [("cold", float(i)) for i in range(7)]
     df = spark.createDataFrame(data, "g string, v double")
