@@ -96,6 +96,19 @@ def test_stratified_split_hot_stratum(spark):
     assert cnt["hot"] == 750
 
 
+def test_split_orders_no_stratum_whole(spark, monkeypatch):
+    """A boundary is looked for in one range of hash values: no window gets all rows of a stratum."""
+    seen, held = [], sample.few_rows
+    monkeypatch.setattr(sample, "few_rows", lambda df: seen.append(df) or held(df))
+    df = spark.range(20_000).selectExpr("id", "if(id % 10 = 0, null, 'big') as s")
+    q = spark.createDataFrame([("big", 4321), (None, 5000)], "s string, quota long")
+    got = {r.id for r in sample.rank_select(df, ["s"], "id", q, seed=3).where("selected").collect()}
+    h = {r.id: (r.h, r.id) for r in df.select("id", sample.hash_bucket("id", 3).alias("h")).collect()}
+    assert got == set(sorted((i for i in h if i % 10), key=h.get)[:4321]) | {i for i in h if i % 10 == 0}
+    assert len(seen) == 2 and "_g" in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {r._in for r in seen[0].collect()} - {None}  # the range that holds the boundary
+
+
 def test_prefix_sums_of_many_buckets(spark):
     """Offsets of many buckets, queries outside the points' range included."""
     from casework.operators.quantile import prefix_sums
